@@ -4,10 +4,20 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scriptorium.llm import quality_rules
+from scriptorium.llm import mixing, quality_rules, url_filters
 from scriptorium.llm.shared import documents
 
 
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sainte-Laguë mix of all sources."""
+    return mixing.mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules and weighted vocabulary over all urls."""
+    return url_filters.url_filters(spark.read.parquet(f"{sf_dir}/pages.parquet")).drop("weight")
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line-first cleaning over all documents."""
     return quality_rules.quality_rules(documents(spark, sf_dir)).select(
@@ -16,9 +26,13 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_mixing": op1_mixing,
+    "op5_url_filters": op5_url_filters,
     "op10_quality_rules": op10_quality_rules,
 }
 
 ORACLES = {
+    "op1_mixing": mixing.oracle(),
+    "op5_url_filters": url_filters.oracle(),
     "op10_quality_rules": quality_rules.ORACLE,
 }
