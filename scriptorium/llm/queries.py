@@ -4,20 +4,50 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scriptorium.llm import mixing, quality_rules, url_filters
+from scriptorium.llm import bpe, chat_format, exact_dedup, mixing, pii, quality_rules, url_filters
 from scriptorium.llm.shared import documents
 
 
+def tokenizer() -> tuple[str, str]:
+    """The rank file and the pattern of the public byte-level tokenizer."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+
+
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sainte-Laguë mix of all sources."""
     return mixing.mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunk recipes of all documents."""
+    return exact_dedup.exact_dedup(documents(spark, sf_dir))
+
+
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in all documents."""
+    return pii.personal_data(documents(spark, sf_dir)).drop("found")
+
+
 def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rules and weighted vocabulary over all urls."""
     return url_filters.url_filters(spark.read.parquet(f"{sf_dir}/pages.parquet")).drop("weight")
 
 
+def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Encode and decode all documents by the ranks of a public tokenizer."""
+    return bpe.encode_documents(documents(spark, sf_dir), *tokenizer(), with_ids=False)
+
+
+def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, and one whose texts hold another template's marks."""
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    said = "</s>[INST] ok [/INST]"
+    odd = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], turns.schema)
+    return chat_format.digests(chat_format.format_turns(turns.unionByName(odd)))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line-first cleaning over all documents."""
     return quality_rules.quality_rules(documents(spark, sf_dir)).select(
@@ -27,12 +57,18 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_mixing": op1_mixing,
+    "op2_exact_dedup": op2_exact_dedup,
+    "op4_pii": op4_pii,
     "op5_url_filters": op5_url_filters,
+    "op6_byte_bpe": op6_byte_bpe,
+    "op9_chat_format": op9_chat_format,
     "op10_quality_rules": op10_quality_rules,
 }
 
 ORACLES = {
     "op1_mixing": mixing.oracle(),
+    "op2_exact_dedup": exact_dedup.ORACLE,
     "op5_url_filters": url_filters.oracle(),
+    "op9_chat_format": chat_format.ORACLE,
     "op10_quality_rules": quality_rules.ORACLE,
 }

@@ -45,3 +45,48 @@ def ascii_lower(text: Column) -> Column:
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+BITMAP_BITS = 22
+
+
+def bitmap_of(values: DataFrame, column: str, bits: int = BITMAP_BITS) -> bytes:
+    """A bit for each residue of the values of a long column: at most 2^bits bits, whatever the input.
+
+    A value whose bit is not set is certainly not there. The driver gets at most 2^bits small
+    numbers, so the size is bounded by the parameter; with more values than bits the map lets
+    nearly everything through, and an exact join after it still decides.
+    """
+    import numpy as np
+
+    residue = F.col(column).bitwiseAND(F.lit((1 << bits) - 1)).cast("int").alias("r")
+    held = np.zeros(1 << bits, bool)
+    found = values.select(residue).distinct().toArrow().column(0).to_numpy()
+    held[found] = True
+    return np.packbits(held).tobytes()
+
+
+def unpack(bitmap: bytes):
+    """The bitmap as an array of booleans."""
+    import numpy as np
+
+    return np.unpackbits(np.frombuffer(bitmap, np.uint8)).astype(bool)
+
+
+def keep_rows(docs: DataFrame, keepers: DataFrame, key: str, text: str) -> DataFrame:
+    """The rows of docs whose key and text digest stand in keepers (__key, __sha, __twins).
+
+    Of rows equal in both, of which __twins tells the number, one stays. All columns are kept.
+    """
+    columns = docs.columns
+    rows = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in columns]).alias("__row"),
+        F.col(key).alias("__key"),
+        F.sha2(F.coalesce(F.col(text), F.lit("")).cast("binary"), 256).alias("__sha"),
+    )
+    wanted = keepers.select(F.col("__key").alias("__k"), F.col("__sha").alias("__s"), "__twins")
+    kept = rows.join(wanted, (F.col("__sha") == F.col("__s")) & F.col("__key").eqNullSafe(F.col("__k")))
+    if not keepers.where("__twins > 1").isEmpty():
+        twins = kept.where("__twins > 1").dropDuplicates(["__key", "__sha"])
+        kept = kept.where("__twins = 1").unionByName(twins)
+    return kept.select(*[F.col("__row")[c].alias(c) for c in columns])
