@@ -3,14 +3,14 @@
 Only DataFrame functions: one projection over the scan, without an exchange. Lambdas get the
 word array through a let-binding, so that it is split once for each document.
 
-Rules for a line (the first that holds names it):
+Rules that a line may break:
 
-* navigation - at most ``nav_words`` words, and two or more menu separators or a menu word alone;
+* navigation - at most ``NAV_WORDS`` words, and two or more menu separators or a menu word alone;
 * boilerplate - one of the stock phrases;
-* punctuation - symbols and exclamation marks make up more than ``symbol_percent`` of its characters.
+* punctuation - symbols and exclamation marks make up more than ``SYMBOL_PERCENT`` of its characters.
 
 A document fails if its base statistics fail (fewer than 10 words, or more than a fifth of its
-words in repeated 5-word windows) or if the dropped lines hold more than ``lost_percent`` of its
+words in repeated 5-word windows) or if the dropped lines hold more than ``LOST_PERCENT`` of its
 words.
 
 Defined results: a null or empty text has no words, so it fails; its clean text is empty. Lines
@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scriptorium.llm.shared import GAPS, ascii_lower, let, words_of
+from scriptorium.llm.shared import WORD_GAP, ascii_lower, let, words_of
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 5
@@ -40,12 +40,14 @@ PHRASES = (
     "powered by", "back to top",
 )
 MENU_WORDS = ("home", "menu", "login", "log in", "sign in", "sign up", "register", "search", "sitemap", "next", "previous", "share")
-MENU_LINE = r"^[\x20\x09-\x0D]*(?:" + "|".join(MENU_WORDS) + r")[\x20\x09-\x0D]*$"
+MENU_LINE = r"(?i)^[\x20\x09-\x0D]*(?:" + "|".join(MENU_WORDS) + r")[\x20\x09-\x0D]*$"
+A_WORD = r"[^\x20\x09-\x0D]"
 SEPARATORS = "|»›•"
 
 
 def _count_of(text: Column, characters: str) -> Column:
-    return F.length(text) - F.length(F.translate(text, characters, ""))
+    """How many of the characters stand in the text; one pattern match skips a whole run of others."""
+    return F.length(F.regexp_replace(text, f"[^{characters}]+", ""))
 
 
 def repeated_words(words: Column) -> Column:
@@ -74,29 +76,34 @@ def repeated_words(words: Column) -> Column:
         return F.when(F.size(F.array_distinct(hashes)) < F.size(hashes), covered(hashes)).otherwise(F.lit(0))
 
     def windows(hashes: Column) -> Column:
-        return F.transform(F.sequence(F.lit(1), F.size(hashes) - (WINDOW - 1)), lambda i: F.xxhash64(F.slice(hashes, i, WINDOW)))
+        runs = F.transform(hashes, lambda h, i: F.xxhash64(h, *(F.get(hashes, i + k) for k in range(1, WINDOW))))
+        return F.slice(runs, F.lit(1), F.size(hashes) - (WINDOW - 1))
 
     counted = let(F.transform(words, lambda w: F.xxhash64(w)), lambda h: let(windows(h), judged))
     return F.when(F.size(words) >= WINDOW, counted).otherwise(F.lit(0))
 
 
-def line_rule(line: Column) -> Column:
-    """The rule a line breaks, or null."""
-    low = ascii_lower(line)
-    n_words = F.size(words_of(line))
-    solid = F.length(F.translate(line, GAPS, ""))
+def _may_break(text: Column) -> Column:
+    """Which rules a text can break at all, so that its lines need not be asked for the others."""
+    low = F.lower(text)  # also maps some other characters to a-z, so it lets through too much at worst
     phrase = F.lit(False)
     for p in PHRASES:
         phrase = phrase | F.contains(low, F.lit(p))
-    menu = (n_words <= NAV_WORDS) & ((_count_of(line, SEPARATORS) >= 2) | low.rlike(MENU_LINE))
-    return (
-        F.when(solid == 0, F.lit(None).cast("string"))
-        .when(menu, "navigation")
-        .when(phrase, "boilerplate")
-        .when(_count_of(line, SYMBOLS + "!") * 100 > solid * SYMBOL_PERCENT, "punctuation")
+    return F.struct(
+        (_count_of(text, SEPARATORS) >= 2).alias("menu"),
+        phrase.alias("phrase"),
+        (_count_of(text, SYMBOLS + "!") > 0).alias("symbols"),
     )
 
 
+def breaks_rule(line: Column, may: Column) -> Column:
+    """Whether a line breaks one of the rules."""
+    menu = ((may["menu"] & (_count_of(line, SEPARATORS) >= 2)) | line.rlike(MENU_LINE)) & (F.size(words_of(line)) <= NAV_WORDS)
+    phrase = ascii_lower(line).rlike("|".join(PHRASES))
+    symbols = _count_of(line, SYMBOLS + "!") * 100 > F.length(F.regexp_replace(line, WORD_GAP, "")) * SYMBOL_PERCENT
+    return menu | (may["phrase"] & phrase) | (may["symbols"] & symbols)
+
+
 def assess(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Statistics, clean text and verdict for each row.
 
@@ -109,33 +116,20 @@ def assess(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
 
 
 def _verdicts(text: Column) -> list[Column]:
-    facts = let(words_of(text), lambda w: F.struct(F.size(w).cast("long").alias("n_words"), repeated_words(w).cast("long").alias("n_repeat_words")))
+    facts = let(words_of(text), lambda w: F.struct(F.size(w).cast("long").alias("n_words"), F.length(F.array_join(w, "")).cast("long").alias("word_chars"), repeated_words(w).cast("long").alias("n_repeat_words")))
 
     def by_line(lines: Column) -> Column:
-        worded = F.filter(lines, lambda x: F.length(F.translate(x, GAPS, "")) > 0)
-        ruled = F.transform(lines, lambda x: F.struct(x.alias("line"), line_rule(x).alias("rule")))
-        return F.struct(
-            F.size(lines).cast("long").alias("n_lines"),
-            (F.size(worded) - F.size(F.array_distinct(worded))).cast("long").alias("n_dup_lines"),
-            ruled.alias("ruled"),
-        )
-
-    def cleaned(found: Column) -> Column:
-        bad = F.filter(found["ruled"], lambda r: r["rule"].isNotNull())
-        return F.struct(
-            found["n_lines"].alias("n_lines"),
-            found["n_dup_lines"].alias("n_dup_lines"),
-            F.size(bad).cast("long").alias("n_lines_removed"),
-            F.aggregate(bad, F.lit(0).cast("int"), lambda a, r: a + F.size(words_of(r["line"]))).cast("long").alias("n_words_removed"),
-            F.array_join(F.transform(F.filter(found["ruled"], lambda r: r["rule"].isNull()), lambda r: r["line"]), "\n").alias("clean_text"),
-        )
-
-    lines = let(let(F.split(text, "\n"), by_line), cleaned)
+        worded = F.filter(lines, lambda x: x.rlike(A_WORD))
+        repeats = let(worded, lambda w: F.size(w) - F.size(F.array_distinct(w)))
+        return let(_may_break(text), lambda may: let(F.filter(lines, lambda x: breaks_rule(x, may)), lambda bad: _cleaned(text, lines, may, bad, repeats)))
+
+    lines = let(F.split(text, "\n"), by_line)
     both = let(
         F.struct(facts.alias("w"), lines.alias("l")),
         lambda x: F.struct(
             x["l"]["clean_text"].alias("clean_text"),
             x["w"]["n_words"].alias("n_words"),
+            x["w"]["word_chars"].alias("word_chars"),
             x["w"]["n_repeat_words"].alias("n_repeat_words"),
             x["l"]["n_lines"].alias("n_lines"),
             x["l"]["n_dup_lines"].alias("n_dup_lines"),
@@ -146,11 +140,20 @@ def _verdicts(text: Column) -> list[Column]:
     )
     return [
         F.inline(F.array(both)),
-        F.length(F.translate(text, GAPS, "")).cast("long").alias("word_chars"),
         _count_of(text, SYMBOLS).cast("long").alias("n_symbols"),
     ]
 
 
+def _cleaned(text: Column, lines: Column, may: Column, bad: Column, n_dup_lines: Column) -> Column:
+    return F.struct(
+        F.size(lines).cast("long").alias("n_lines"),
+        n_dup_lines.cast("long").alias("n_dup_lines"),
+        F.size(bad).cast("long").alias("n_lines_removed"),
+        F.aggregate(bad, F.lit(0).cast("int"), lambda a, x: a + F.size(words_of(x))).cast("long").alias("n_words_removed"),
+        F.when(F.size(bad) == 0, text).otherwise(F.array_join(F.filter(lines, lambda x: ~breaks_rule(x, may)), "\n")).alias("clean_text"),
+    )
+
+
 def with_verdict(assessed: DataFrame) -> DataFrame:
     lost = F.col("n_words_removed") * 100 > F.col("n_words") * LOST_PERCENT
     return assessed.withColumn("kept", ~F.col("base_failed") & ~lost)

@@ -33,9 +33,15 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def words_of(text: Column) -> Column:
-    """The maximal runs of other characters than white space, in order; null has none."""
-    trimmed = F.btrim(F.coalesce(text, F.lit("")), F.lit(GAPS))
-    return let(trimmed, lambda t: F.when(t == "", F.array().cast("array<string>")).otherwise(F.split(t, WORD_GAP)))
+    """The maximal runs of other characters than white space, in order; null has none.
+
+    White space becomes spaces by plain replacement, and the split is at one plain character: both
+    work on bytes, where patterns and translate() go through every character.
+    """
+    spaced = F.coalesce(text, F.lit(""))
+    for gap in GAPS[1:]:
+        spaced = F.replace(spaced, F.lit(gap), F.lit(" "))
+    return F.array_remove(F.split(spaced, " "), F.lit(""))
 
 
 def ascii_lower(text: Column) -> Column:
