@@ -90,9 +90,9 @@ def _may_break(text: Column) -> Column:
     for p in PHRASES:
         phrase = phrase | F.contains(low, F.lit(p))
     return F.struct(
-        (_count_of(text, SEPARATORS) >= 2).alias("menu"),
+        text.rlike(f"[{SEPARATORS}][^{SEPARATORS}]*[{SEPARATORS}]").alias("menu"),
         phrase.alias("phrase"),
-        (_count_of(text, SYMBOLS + "!") > 0).alias("symbols"),
+        text.rlike(f"[{SYMBOLS}!]").alias("symbols"),
     )
 
 
