@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scriptorium.llm import bpe, chat_format, exact_dedup, mixing, pii, quality_rules, url_filters
+from scriptorium.llm import bpe, chat_format, exact_dedup, mixing, ngram_join, pii, quality_model, quality_rules, url_filters
 from scriptorium.llm.shared import documents
 
 
@@ -25,6 +25,11 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(documents(spark, sf_dir))
 
 
+def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose sets of 5-word shingles are similar."""
+    return ngram_join.ngram_join(documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id")
+
+
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data in all documents."""
     return pii.personal_data(documents(spark, sf_dir)).drop("found")
@@ -40,6 +45,11 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(documents(spark, sf_dir), *tokenizer(), with_ids=False)
 
 
+def op7_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality scores of all documents, learnt from the labelled rows that are not held out."""
+    return quality_model.quality_scores(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations, and one whose texts hold another template's marks."""
     turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
@@ -58,9 +68,11 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_exact_dedup": op2_exact_dedup,
+    "op3_ngram_join": op3_ngram_join,
     "op4_pii": op4_pii,
     "op5_url_filters": op5_url_filters,
     "op6_byte_bpe": op6_byte_bpe,
+    "op7_quality_model": op7_quality_model,
     "op9_chat_format": op9_chat_format,
     "op10_quality_rules": op10_quality_rules,
 }
