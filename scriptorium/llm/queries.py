@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scriptorium.llm import bpe, chat_format, exact_dedup, mixing, ngram_join, pii, quality_model, quality_rules, url_filters
+from scriptorium.llm import bpe, chat_format, exact_dedup, mixing, ngram_join, pii, quality_model, quality_rules, suffix_tree, url_filters
 from scriptorium.llm.shared import documents
 
 
@@ -50,6 +50,11 @@ def op7_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_model.quality_scores(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op8_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probabilities of all documents by a suffix tree, and the unigram base."""
+    return suffix_tree.suffix_tree_scores(documents(spark, sf_dir))
+
+
 def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations, and one whose texts hold another template's marks."""
     turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
@@ -73,6 +78,7 @@ QUERIES = {
     "op5_url_filters": op5_url_filters,
     "op6_byte_bpe": op6_byte_bpe,
     "op7_quality_model": op7_quality_model,
+    "op8_suffix_tree": op8_suffix_tree,
     "op9_chat_format": op9_chat_format,
     "op10_quality_rules": op10_quality_rules,
 }
