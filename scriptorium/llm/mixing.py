@@ -68,8 +68,8 @@ def targets(by_source: DataFrame) -> DataFrame:
     )
     level = (F.col("__all") - F.col("__capped")) / (F.col("__weights") - F.col("__below"))
     # the first source that does not reach its cap sets the level for all after it
-    stops = F.when(level * F.col("__weight") <= F.col("__cap"), level)
-    filled = sums.withColumn("__level", F.min(stops).over(everything))
+    stops = F.when(level * F.col("__weight") <= F.col("__cap"), F.struct(F.row_number().over(filling).alias("place"), level.alias("level")))
+    filled = sums.withColumn("__level", F.min(stops).over(everything)["level"])
     share = F.col("__level") * F.col("__weight")
     return filled.withColumn(
         "__target", F.when(F.col("__level").isNull() | (share > F.col("__cap")), F.col("__cap").cast("double")).otherwise(share)
@@ -187,9 +187,9 @@ def oracle() -> str:
       SELECT source, total, rk, (rk - 1) % 3 + 1 AS weight, total * {MAX_REPEATS} AS cap
       FROM (SELECT source, sum(size)::BIGINT AS total, row_number() OVER (ORDER BY source NULLS LAST) AS rk FROM sized GROUP BY source)),
     filling AS (
-      SELECT *, (sum(total) OVER () - (sum(cap) OVER w - cap))::DOUBLE / (sum(weight) OVER () - (sum(weight) OVER w - weight))::DOUBLE AS lvl
+      SELECT *, row_number() OVER (ORDER BY cap::DOUBLE / weight, rk) AS place, (sum(total) OVER () - (sum(cap) OVER w - cap))::DOUBLE / (sum(weight) OVER () - (sum(weight) OVER w - weight))::DOUBLE AS lvl
       FROM src WINDOW w AS (ORDER BY cap::DOUBLE / weight, rk ROWS UNBOUNDED PRECEDING)),
-    level AS (SELECT min(lvl) FILTER (WHERE lvl * weight <= cap) AS lvl FROM filling),
+    level AS (SELECT arg_min(lvl, place) FILTER (WHERE lvl * weight <= cap) AS lvl FROM filling),
     tgt AS (
       SELECT source, total, rk, CASE WHEN level.lvl IS NULL OR level.lvl * weight > cap THEN cap::DOUBLE ELSE level.lvl * weight END AS target FROM filling, level),
     seats AS (SELECT round(sum(target) / {BLOCK})::BIGINT AS n FROM tgt),
