@@ -1,5 +1,6 @@
 """All queries over the engine's own relations; importing this module registers them."""
 
+from scriptorium.plans import dictionary_queries  # noqa: F401
 from scriptorium.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
