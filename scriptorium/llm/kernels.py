@@ -7,7 +7,9 @@ bounds memory whatever the number of rows in an Arrow batch.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import contextlib
+import ctypes
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -166,6 +168,23 @@ def members(values: np.ndarray, among: np.ndarray) -> np.ndarray:
     return np.where(among[at] == values, at, -1)
 
 
+def give_back() -> None:
+    """Return freed memory to the system: workers stay alive between tasks, and so would their heaps."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library than glibc has no such call
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def trimmed(task: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A task function that gives memory back when its partition is done."""
+
+    def run(batches: Iterator) -> Iterator:
+        yield from task(batches)
+        give_back()
+
+    return run
+
+
 def components(u: np.ndarray, v: np.ndarray, n: int) -> np.ndarray:
     """For each of n nodes the smallest node that edges (u, v) connect it with."""
     label = np.arange(n)
