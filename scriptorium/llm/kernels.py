@@ -145,7 +145,7 @@ def shingles(hashes: np.ndarray, bounds: np.ndarray, size: int) -> tuple[np.ndar
     n = len(hashes)
     with np.errstate(over="ignore"):
         made = np.zeros(max(0, n - size + 1), np.uint64)
-        for j in range(size):
+        for j in range(size if n >= size else 0):
             made += hashes[j : n - size + 1 + j] * _PLACE[j]
         runs = np.where(counts >= size, counts - size + 1, np.minimum(counts, 1))
         to = np.concatenate([[0], np.cumsum(runs)])
