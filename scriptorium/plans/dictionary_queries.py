@@ -199,7 +199,8 @@ def bulk_create(spark, sf_dir):
     e = S.entries(spark, sf_dir)
     names = e.select(F.col("display").alias("canonical")).unionByName(e.where("id % 3 = 0").select("canonical"))
     fresh = D.new_entries(names, e, ignore_case=False)
-    return fresh.agg(F.count(F.lit(1)).alias("created")).join(names.agg(F.count(F.lit(1)).alias("n"))).select("created", (F.col("n") - F.col("created")).alias("skipped"))
+    counted = fresh.select(F.lit(1).alias("new"), F.lit(0).alias("all")).unionByName(names.select(F.lit(0).alias("new"), F.lit(1).alias("all")))
+    return counted.agg(F.sum("new").alias("created"), (F.sum("all") - F.sum("new")).alias("skipped"))
 
 
 @query("delete_cascade", S.with_relations("usage entries aliases contexts", "SELECT 'entries' AS relation, count(*) AS n FROM entries WHERE tier <> 'B' UNION ALL SELECT 'aliases', count(*) FROM aliases WHERE entry_id IN (SELECT id FROM entries WHERE tier <> 'B') "
