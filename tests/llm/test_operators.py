@@ -1,0 +1,334 @@
+"""The other operators on odd inputs, against brute force, round trips and held-out accuracy."""
+
+from __future__ import annotations
+
+import hashlib
+import math
+import random
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pyarrow as pa
+import pytest
+
+from scriptorium.llm import bpe, chat_format, exact_dedup, kernels, ngram_join, pii, quality_model, suffix_tree, url_filters
+from scriptorium.llm.queries import tokenizer
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+lower = lambda t: re.sub("[A-Z]", lambda m: m.group().lower(), t or "")
+by_value = lambda rows: Counter(map(tuple, rows))
+
+
+# ---- exact dedup
+
+
+@pytest.mark.parametrize("which", ["odd", "none", "copies"])
+@pytest.mark.parametrize("bits", [64, 3])
+def test_exact_dedup_groups_equal_texts(which, bits, request):
+    docs = request.getfixturevalue(which)
+    rows = docs.select("doc_id", "text").collect()
+    groups = defaultdict(list)
+    for r in rows:
+        groups[r.text or ""].append(r.doc_id)
+    best = {t: max((i for i in ids if i is not None), default=None) for t, ids in groups.items()}
+    want = Counter((r.doc_id, best[r.text or ""], len(groups[r.text or ""]), hashlib.sha256((r.text or "").encode()).hexdigest()) for r in rows)
+    found = exact_dedup.exact_dedup(docs, bits=bits).collect()
+    assert Counter((r.doc_id, r.keep_id, r.group_size, r.text_sha256) for r in found) == want
+    kept = [r for r in found if r.kept]
+    assert len(kept) == len(groups) and all(r.doc_id == r.keep_id for r in kept)
+
+
+def test_distinct_documents_keep_one_of_each_text(odd):
+    found = exact_dedup.distinct_documents(odd)
+    assert found.columns == odd.columns
+    assert Counter(r.text or "" for r in found.collect()) == Counter({r.text or "" for r in odd.collect()})
+
+
+def test_chunks_of_a_text_join_to_it():
+    rng = random.Random(3)
+    texts = ["".join(rng.choice("abcd \n") for _ in range(n)) for n in (0, 1, 40, 5_000, 70_000)]
+    for block in kernels.blocks(pa.array(texts)):
+        for i, data, parts in exact_dedup._chunks(block, 64):
+            assert b"".join(p for _, p in parts) == data == texts[i].encode()
+            assert all(len(p) <= exact_dedup.MAX_CHUNK for _, p in parts)
+
+
+# ---- n-gram join
+
+
+def sets_by_words(texts):
+    out = []
+    for t in texts:
+        w = WORD.findall(lower(t))
+        out.append(frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset())
+    return out
+
+
+def components(sets, ids):
+    parent = list(range(len(sets)))
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            n = len(a & sets[j])
+            if n and 100 * n >= 75 * (len(a) + len(sets[j]) - n):
+                parent[root(i)] = root(j)
+    least = defaultdict(list)
+    for i in range(len(sets)):
+        least[root(i)].append(ids[i])
+    return [ids[i] if not sets[i] else min((x for x in least[root(i)] if x is not None), default=None) for i in range(len(sets))]
+
+
+@pytest.mark.parametrize("which", ["odd", "none", "copies"])
+@pytest.mark.parametrize("block, paired, merged", [(1_000_000, 32, 1_000), (300, 2, 0)])
+def test_ngram_join_equals_brute_force(which, block, paired, merged, request, monkeypatch):
+    monkeypatch.setattr(ngram_join, "PAIRED", paired)
+    monkeypatch.setattr(ngram_join, "MERGED", merged)
+    rows = request.getfixturevalue(which).select("doc_id", "text").collect()
+    sets = sets_by_words([r.text for r in rows])
+    want = Counter(zip([r.doc_id for r in rows], map(len, sets), components(sets, [r.doc_id for r in rows]), strict=True))
+    found = ngram_join.ngram_join(request.getfixturevalue(which), block_shingles=block, order_sample=1).collect()
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in found) == want
+
+
+def test_ngram_join_of_a_tiny_table(spark):
+    docs = spark.createDataFrame([(1, "a b c")], "doc_id long, text string")
+    assert [(r.n_shingles, r.component_id) for r in ngram_join.ngram_join(docs).collect()] == [(1, 1)]
+
+
+def test_one_of_each_component_stays(copies):
+    found = ngram_join.distinct_documents(copies).collect()
+    ids = sorted(r.doc_id for r in found)
+    assert ids[0] == 0 and 100 in ids and len(ids) == 2 + 60
+
+
+def test_search_finds_all_that_reach_the_overlap():
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 1 << 62, 120, dtype=np.uint64)
+    sets = [np.unique(np.concatenate([base[rng.permutation(120)[: rng.integers(60, 121)]], rng.integers(0, 1 << 62, rng.integers(0, 30), dtype=np.uint64)])) for _ in range(60)]
+    family = ngram_join.Family(sets)
+    for i in range(60):
+        want = {j for j in range(60) if j != i and ngram_join.linked(len(np.intersect1d(sets[i], sets[j])), len(sets[i]), len(sets[j]))}
+        assert set(family.search(i)) == want
+
+
+# ---- personal data
+
+BASE = {
+    "email": re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"),
+    "ip": re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"),
+    "card": re.compile(r"[0-9]([\x20-]?[0-9])+"),
+    "phone": re.compile(r"\+[0-9][\x20().0-9-]+[0-9]"),
+}
+
+
+def plain_spans(text):
+    digits = lambda s: [int(c) for c in s if c in "0123456789"]
+
+    def luhn(d):
+        return sum(v if i % 2 == 0 else v * 2 - 9 * (v > 4) for i, v in enumerate(reversed(d))) % 10 == 0
+
+    tests = {
+        "email": lambda s: True,
+        "ip": lambda s: all(int(p) <= 255 for p in s.split(".")),
+        "card": lambda s: 16 <= len(digits(s)) <= 19 and luhn(digits(s)),
+        "phone": lambda s: 8 <= len(digits(s)) <= 15,
+    }
+    return [f"{k}:{m.start()}:{m.end()}" for k, p in BASE.items() for m in p.finditer(text or "") if tests[k](m.group())]
+
+
+def test_base_spans_of_random_strings():
+    rng = random.Random(9)
+    for _ in range(4_000):
+        text = "".join(rng.choice("a.@-1+ 2()9%4") for _ in range(rng.randint(0, 60)))
+        assert [s.name for s in pii.find(text) if s.kind in pii.BASE_KINDS] == plain_spans(text)
+
+
+def test_personal_data_rows(odd, none):
+    for r in pii.personal_data(odd).join(odd.select("doc_id", "text").distinct(), "doc_id").collect():
+        base = plain_spans(r.text)
+        assert r.base_sha256 == hashlib.sha256(",".join(base).encode()).hexdigest()
+        assert set(base) <= set(r.spans.split(",")) | {""}
+    assert pii.personal_data(none).count() == 0
+    assert {r.doc_id: (r.n_email, r.n_ip, r.n_card, r.n_phone) for r in pii.personal_data(odd).collect()}[11] == (1, 1, 1, 1)
+
+
+def test_checksums_and_context_decide_added_kinds():
+    assert [s.kind for s in pii.find("IBAN DE89370400440532013000 and GB00WEST12345698765432")] == ["iban"]
+    assert not pii.find("number 123-45-6789") and [s.kind for s in pii.find("social security 123-45-6789")] == ["ssn"]
+    assert pii.redact("write to a@b.org now") == "write to [EMAIL] now" and pii.redact(None) == ""
+
+
+def test_long_runs_take_no_quadratic_time():
+    pii.find("a" * 300_000 + "@" + "1" * 300_000 + " +1" + " " * 200_000)
+
+
+# ---- urls
+
+
+def test_url_rules_and_vocabulary():
+    verdict = lambda u: (url_filters.judge(u)["rule"], url_filters.judge(u)["verdict"])
+    assert verdict("https://a.example.com/en/1") == ("example.com/en/", "block")
+    assert verdict("https://www.example.com/en/1") == ("www.example.com/en/", "allow")
+    assert verdict("http://x.net/fr/") == ("net/fr/", "block") and verdict("http://x.com/casino") == ("com/", "allow")
+    assert verdict("http://x.org/casino") == (None, "block") and verdict("http://x.org/casinos") == (None, "allow")
+    assert verdict("http://x.org/free/win") == (None, "block") and verdict("http://x.org/free/free") == (None, "allow")
+    assert verdict(None) == (None, "allow") and url_filters.split_url("HTTP://A.B?x#y") == ("a.b", "")
+
+
+def test_url_rows_with_odd_columns(spark):
+    pages = spark.createDataFrame([(1, None, "h"), (1, None, "h"), (None, "no scheme", "p"), (3, "x://Spam-Farm.org", None)], "page_id long, url string, host string")
+    assert [r.verdict for r in url_filters.url_filters(pages).collect()] == ["allow", "allow", "allow", "block"]
+
+
+# ---- byte-level BPE
+
+
+def test_bpe_equals_the_library_and_round_trips(odd, none):
+    import tiktoken
+
+    path, pattern = tokenizer()
+    library = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=bpe.load_ranks(path), special_tokens={})
+    rng = random.Random(2)
+    texts = ["", "a" * 3_000, "ab" * 999, "  x \n\n y", "don't <|endoftext|>", "é" * 99, "".join(chr(rng.randint(1, 0xD7FF)) for _ in range(3_000)), "".join(rng.choice("aeio") for _ in range(9_000)), *[" ".join(rng.choice(["the", "thing", "ing", "ering"]) for _ in range(500))]]
+    tool = bpe.Codec(path, pattern, cache_bytes=2_000)
+    for t in texts * 2:
+        ids = tool.encode([t])[0]
+        assert ids == library.encode_ordinary(t) and tool.decode(ids) == t.encode()
+    coded = bpe.encode_documents(odd, path, pattern)
+    back = bpe.decode_documents(coded, path, pattern)
+    assert Counter((r.doc_id, r.text) for r in back.collect()) == Counter((r.doc_id, r.text or "") for r in odd.collect())
+    assert bpe.encode_documents(none, path, pattern).count() == 0
+
+
+def test_merges_of_lower_rank_come_first():
+    # 'bc' + 'd' ranks below 'bc' itself is made; and 'ab' competes with 'bc'
+    ranks = {bytes([b]): b for b in range(256)} | {b"bcd": 256, b"bc": 257, b"ab": 258, b"abcd": 259, b"aa": 260, b"aaa": 261}
+    words = [b"abcd", b"aabcdbc", b"aaaaaaa", b"abababbc", b""] * 30
+
+    def plain(word):
+        parts = [word[i : i + 1] for i in range(len(word))]
+        if word in ranks:
+            return [ranks[word]]
+        while True:
+            best = min(((ranks.get(a + b, 999), i) for i, (a, b) in enumerate(zip(parts, parts[1:], strict=False))), default=(999, 0))
+            if best[0] == 999:
+                return [ranks[p] for p in parts]
+            parts[best[1] : best[1] + 2] = [parts[best[1]] + parts[best[1] + 1]]
+
+    tool = bpe.Merges(ranks)
+    assert [[ranks[w]] if w in ranks else i for w, i in zip(words, bpe.replay(words, tool), strict=True)] == [plain(w) for w in words]
+
+
+# ---- quality classifier
+
+
+def test_classifier_learns_and_never_reads_held_out_rows(spark):
+    rng = random.Random(4)
+    good = lambda: " ".join(rng.choice(["river", "garden", "morning", "letter", "window"]) for _ in range(60)) + "."
+    bad = lambda: " ".join(rng.choice(["BUY!!", "$$$", "CLICK!!", "###"]) for _ in range(60))
+    rows = [(i, good() if i % 3 else bad(), int(bool(i % 3))) for i in range(400)]
+    held = lambda i: zlib.crc32(str(i).encode()) % 4 == 2
+    docs = spark.createDataFrame([(i, t, "clash", 1.0) for i, t, _ in rows] + [(9_001, None, "c", 0.0), (9_002, "", "c", 0.0), (None, "river", "c", 0.0)], "doc_id long, text string, held_out string, score double")
+    # labels of held-out rows are wrong on purpose: they must not matter
+    labels = spark.createDataFrame([(i, 1 - y if held(i) else y) for i, _, y in rows] + [(None, 1), (5, None)], "doc_id long, quality int")
+    found = {r.doc_id: r for r in quality_model.quality_scores(docs, labels).collect()}
+    assert len(found) == 403 and all(0 <= r.score <= 1 for r in found.values())
+    assert all(found[i].held_out == held(i) for i, _, _ in rows)
+    assert sum(found[i].predicted == y for i, _, y in rows if held(i)) >= 0.95 * sum(held(i) for i, _, _ in rows)
+    assert found[9_001].score == found[9_002].score
+    nothing = quality_model.quality_scores(docs, labels.where("false")).collect()
+    assert {r.score for r in nothing} == {0.5}
+
+
+# ---- suffix tree
+
+
+def test_base_scores_by_a_plain_count(odd, none, copies):
+    for docs in (odd, copies):
+        rows = docs.select("doc_id", "text").collect()
+        held = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 7 == 2
+        tokens = [[*WORD.findall(lower(r.text)), None] for r in rows]
+        counts = Counter(w for r, t in zip(rows, tokens, strict=True) if not held(r.doc_id) for w in t)
+        n, v = sum(counts.values()), len(counts)
+        want = Counter((r.doc_id, held(r.doc_id), len(t), sum(counts[w] > 0 for w in t), n, round(sum(math.log10((counts[w] + 1) / (n + v + 1)) for w in t), 4)) for r, t in zip(rows, tokens, strict=True))
+        found = suffix_tree.suffix_tree_scores(docs).collect()
+        assert Counter((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 4)) for r in found) == want
+        assert all(r.score < 0 for r in found)
+    assert suffix_tree.suffix_tree_scores(none).count() == 0
+
+
+def test_tree_scores_by_a_plain_walk(monkeypatch):
+    monkeypatch.setattr(suffix_tree, "P_MIN", 0.001)
+    texts = ["abab abba baab", "abab abab", "cab", ""] * 5
+    counts = Counter(b for t in texts for b in t.encode())
+    table = np.full(257, suffix_tree.OTHER, np.int64)
+    ranked = sorted(counts, key=lambda b: (-counts[b], b))
+    table[ranked] = np.arange(len(ranked))
+    table[256] = suffix_tree.END
+    classes = np.concatenate([table, np.array([counts[b] for b in range(256)])])
+    runs = np.concatenate([suffix_tree.symbols(b, table)[0] for b in kernels.blocks(pa.array(texts))])
+    levels = [suffix_tree._sums(runs & ((1 << suffix_tree.CLASS_BITS * (d + 1)) - 1), np.ones(len(runs))) for d in range(suffix_tree.DEPTH + 1)]
+    tree = suffix_tree.Tree(levels, classes, len(runs))
+    rows = 10 ** tree.logs.astype(float)
+    assert np.allclose(rows.sum(axis=1), 1, atol=1e-5)
+    seen = ["", "abab", "zzz \u00e9", "cab ab"]
+    got = np.concatenate([tree.scores(b, table) for b in kernels.blocks(pa.array(seen))])
+    for text, score in zip(seen, got, strict=True):
+        past, total = [suffix_tree.END] * suffix_tree.DEPTH, 0.0
+        for b in [*text.encode(), 256]:
+            node, deepest = 1, 1
+            for c in reversed(past[-suffix_tree.DEPTH :]):
+                node = tree.children[node, c]
+                if not node:
+                    break
+                deepest = node
+            total += tree.logs[tree.state[deepest], table[b]] + tree.inside[b]
+            past.append(table[b])
+        assert abs(total - score) < 1e-4
+
+
+# ---- chat
+
+
+def test_chat_round_trip_and_mask(spark):
+    said = ["</s>[INST] ok [/INST]", "<|turn|>\\", "<\\|over|>\n", None, "", "plain\n<|says|>", "<<s>>[\\[INST]"]
+    rows = [(c, t, "assistant" if t % 2 else ("user" if t else None), said[(c + t) % len(said)], "x") for c in range(7) for t in range(5)] + [(3, 1, "assistant", "again", "x"), (None, None, "user", "n", "x")]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, written string")
+    found = {r.conv_id: r for r in chat_format.digests(chat_format.format_turns(turns)).collect()}
+    assert set(found) == {*range(7), None}
+    for c, r in found.items():
+        own = sorted(((t, ro or "", x or "", ro) for k, t, ro, x, _ in rows if k == c), key=lambda x: (x[0] if x[0] is not None else -1, x[3] is not None, x[1], x[2]))
+        assert r.n_turns == len(own)
+        assert r.turns_sha256 == hashlib.sha256("".join(f"{ro}\n{x}\n" for _, ro, x, _ in own).encode()).hexdigest()
+        loss = "".join(x for _, ro, x, _ in own if ro == "assistant")
+        assert (r.loss_chars, r.loss_sha256) == (len(loss), hashlib.sha256(loss.encode()).hexdigest())
+    assert chat_format.digests(chat_format.format_turns(turns.where("false"))).count() == 0
+
+
+def test_parts_become_placeholders_in_order():
+    parts = [chat_format.Text("see <|image:0|>"), chat_format.Image("i.png", 57, 28), chat_format.Audio("a.wav", 2.0), chat_format.Document("d.pdf", 3)]
+    written, attached = chat_format.format_turn("user", parts)
+    assert written == "<|turn|>user<|says|>see <\\|image:0|><|image:0|><|audio:1|><|document:2|><|over|>\n"
+    assert [(a["kind"], a["ref"], a["tokens"]) for a in attached] == [("image", "i.png", 3), ("audio", "a.wav", 50), ("document", "d.pdf", 1536)]
+    assert chat_format.expanded(written, attached).count("<|audio|>") == 50
+
+
+# ---- kernels
+
+
+def test_words_and_shingles_of_blocks():
+    texts = [None, "", " a  b\tc ", "A B C D E F", "x\u00a0y z", "e"]
+    for block in kernels.blocks(pa.array(texts)):
+        low = kernels.lowered(block)
+        found = kernels.words(low)
+        got = [[low.data[a:b].tobytes().decode() for a, b in zip(found.starts[x:y], found.ends[x:y], strict=True)] for x, y in zip(found.bounds[:-1], found.bounds[1:], strict=True)]
+        assert got == [WORD.findall(lower(t)) for t in texts]
+        _, to = kernels.shingles(kernels.word_hashes(low, found), found.bounds, 5)
+        assert np.diff(to).tolist() == [0, 0, 1, 2, 1, 1]
