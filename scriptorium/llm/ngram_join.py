@@ -3,14 +3,16 @@
 Documents with the same set of 5-word shingles form a class, and only classes are compared. Two
 sets of n and m shingles are linked when 7 * overlap >= 3 * (n + m), which is a similarity of 0.75.
 
-1. Postings. A set of n shingles that is linked with another shares one of any n // 4 + 1 of its
-   shingles that come first in a common order. The order is: shingles that are not frequent by hash,
+1. Postings. Two linked sets share at least l of the n // 4 + l shingles of each that come first in a
+   common order, l = 1 + n // 32 of the smaller set: one shared shingle is no sign yet. The order is: shingles that are not frequent by hash,
    then frequent ones from rare to common. Which are frequent is estimated from a part of the
    documents and kept to a bounded list; the order decides how much work there is, never what is
    found. Each task sends its postings as packed arrays, one for each bucket of shingles.
-2. Families. Within a posting list sorted by size, neighbours whose sizes allow a link are chained;
-   any two that could be linked lie on one chain. Chains are reduced to spanning forests inside each
-   bucket, and connected components over all buckets give the families: every link lies inside one.
+2. Families. Pairs within a short posting list are counted, over all buckets, and those that share
+   their l shingles are candidates. Long lists are not paired: in one sorted by size, neighbours whose
+   sizes allow a link are chained, and any two that could be linked lie on one chain. Frequent
+   shingles have no lists: their classes are tied to a node for the shingle on the map side. Connected
+   components of all these edges give the families: every link lies inside one.
 3. Search. The sets of the members, and of no other documents, are made again and brought together
    by family. In a family each query runs a T-occurrence search: its short inverted lists are merged
    by a heap, its long ones are probed by binary search, and classes that reach the overlap are
@@ -43,7 +45,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scriptorium.llm import kernels
-from scriptorium.llm.shared import bitmap_of, durable, keep_rows, unpack
+from scriptorium.llm.shared import bitmap_of, durable, keep_rows, release, unpack
 
 SHINGLE = 5
 #: One document in so many is counted to tell which shingles are frequent; the list's length.
@@ -51,10 +53,14 @@ ORDER_SAMPLE = 8
 FREQUENT = 200_000
 FREQUENT_FROM = 3
 #: Text for each bucket of postings, and shingles for each block of a family.
-BUCKET_BYTES = 24 << 20
+BUCKET_BYTES = 12 << 20
 BLOCK_SHINGLES = 2_000_000
+#: Longest posting list whose pairs are counted.
+PAIRED = 32
+#: Edges that are connected in one task, 16 bytes each; beyond that by joins.
+MERGED = 2_000_000
 #: Postings that a task holds before it sends them.
-HELD_POSTINGS = 1_000_000
+HELD_POSTINGS = 400_000
 #: DivideSkip's tuning constant: more lists are probed as it falls.
 MU = 0.0085
 
@@ -64,6 +70,11 @@ def needed(n: int) -> int:
     return (3 * n + 3) // 4
 
 
+def evidence(n):
+    """How many shingles of their prefixes two sets share, if they are linked and n is the smaller size."""
+    return 1 + n // 32
+
+
 def linked(overlap: int, n: int, m: int) -> bool:
     return 7 * overlap >= 3 * (n + m)
 
@@ -97,7 +108,7 @@ def frequent_shingles(docs: DataFrame, text: str, sample: int, least: int, most:
 
         for batch in batches:
             for block in kernels.blocks(batch.column(0)):
-                held += (s[: len(s) // 4 + 1] for s in sets_of(block) if len(s))
+                held += (s[: len(s) // 4 + evidence(len(s))] for s in sets_of(block) if len(s))
                 if sum(map(len, held)) > HELD_POSTINGS:
                     yield out()
         if held:
@@ -105,7 +116,7 @@ def frequent_shingles(docs: DataFrame, text: str, sample: int, least: int, most:
 
     # distinct texts only: copies would make all their shingles look frequent
     drawn = docs.where(F.pmod(F.xxhash64(text), F.lit(sample)) == 0).select(text)
-    counts = drawn.mapInArrow(counted, "s long, n long").groupBy("s").agg(F.sum("n").alias("n"))
+    counts = drawn.mapInArrow(kernels.trimmed(counted), "s long, n long").groupBy("s").agg(F.sum("n").alias("n"))
     top = counts.where(F.col("n") >= least).orderBy(F.col("n").desc(), "s").limit(most).toArrow()
     return top["s"].to_numpy()[::-1].astype(np.int64).view(np.uint64)
 
@@ -120,8 +131,8 @@ class Order:
         self.maybe[(frequent & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
 
     def prefix(self, shingles: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The first n // 4 + 1 of a set, given sorted by hash: rare ones, then frequent ones."""
-        n = len(shingles) // 4 + 1
+        """The prefix of a set, given sorted by hash: rare shingles, then frequent ones."""
+        n = len(shingles) // 4 + evidence(len(shingles))
         maybe = self.maybe[(shingles & np.uint64((1 << 20) - 1)).astype(np.int64)]
         if not maybe.any():
             return shingles[:n], shingles[:0]
@@ -228,38 +239,87 @@ def postings(docs: DataFrame, key: str, text: str, frequent, buckets: int) -> Da
         if tied:
             yield trees()
 
-    return docs.select(key, text).mapInArrow(made, _POSTINGS.format(kind=kind))
+    return docs.select(key, text).mapInArrow(kernels.trimmed(made), _POSTINGS.format(kind=kind))
 
 
-def chained(s: np.ndarray, c: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest of the chains of one bucket's lists: each class with its tree's smallest."""
+def candidates(s: np.ndarray, c: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, ...]:
+    """What one bucket's lists tell: u, v of edges that are certain, and u, v, shared, needed of pairs that
+    have to be counted over all buckets."""
     order = np.argsort(s, kind="stable")
     s, c, n = s[order], c[order], n[order]
     twin = np.zeros(len(s), bool)
     same = s[1:] == s[:-1]
     twin[1:] |= same
     twin[:-1] |= same
-    s, c, n = s[twin], c[twin], n[twin]
+    s, c, n = s[twin], c[twin], n[twin].astype(np.int64)
     order = np.lexsort((c, n, s))
-    s, c, n = s[order], c[order], n[order].astype(np.int64)
-    near = (s[1:] == s[:-1]) & (c[1:] != c[:-1]) & (4 * n[:-1] >= 3 * n[1:])
-    u, v = c[:-1][near], c[1:][near]
-    return forest(u, v)
+    s, c, n = s[order], c[order], n[order]
+    once = np.ones(len(s), bool)
+    once[1:] = (s[1:] != s[:-1]) | (c[1:] != c[:-1])  # tasks may each have sent a class
+    s, c, n = s[once], c[once], n[once]
+    starts = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]])) if len(s) else np.zeros(0, np.int64)
+    lengths = np.diff(np.concatenate([starts, [len(s)]]))
+    long_ = np.repeat(lengths > PAIRED, lengths)
+    near = (s[1:] == s[:-1]) & (4 * n[:-1] >= 3 * n[1:]) & long_[:-1] if len(s) else np.zeros(0, bool)
+    edges = [(c[:-1][near], c[1:][near])]
+    s, c, n = s[~long_], c[~long_], n[~long_]
+    pairs = []
+    for k in range(1, min(PAIRED, len(s))):
+        at = np.flatnonzero((s[k:] == s[:-k]) & (4 * n[:-k] >= 3 * n[k:]))
+        if not len(at) and k > lengths.max(initial=0):
+            break
+        pairs.append((np.minimum(c[at], c[at + k]), np.maximum(c[at], c[at + k]), evidence(n[at])))
+    u, v, least = (np.concatenate(x) for x in zip(*pairs, strict=True)) if pairs else [np.zeros(0, np.int64)] * 3
+    order = np.lexsort((v, u))
+    u, v, least = u[order], v[order], least[order]
+    starts = np.flatnonzero(np.concatenate([[True], (u[1:] != u[:-1]) | (v[1:] != v[:-1])])) if len(u) else np.zeros(0, np.int64)
+    shared = np.diff(np.concatenate([starts, [len(u)]]))
+    u, v, least = u[starts], v[starts], least[starts]
+    sure = shared >= least
+    edges.append((u[sure], v[sure]))
+    tree = forest(*(np.concatenate(x) for x in zip(*edges, strict=True)))
+    return *tree, u[~sure], v[~sure], shared[~sure].astype(np.int32), least[~sure].astype(np.int32)
+
+
+_FOREST = "pairs long, u binary, v binary, shared binary, needed binary, key {kind}, size long, class binary, sha string"
+
+
+def forests(sent: DataFrame, kind: str, buckets: int) -> DataFrame:
+    """Rows of documents and map-side forests as they came; for each bucket a packed forest of certain
+    edges, and packed pairs to be counted (their bucket is in the column pairs)."""
+    names = [x.split()[0] for x in _FOREST.split(", ")]
+
+    def joined(table: pa.Table) -> pa.Table:
+        if table["bucket"][0].as_py() < 0:
+            n = table.num_rows
+            return pa.table([pa.nulls(n, pa.int64()), table["s"], table["c"], *[pa.nulls(n, pa.binary())] * 2, *(table[x] for x in names[5:])], names=names)
+        u, v, *pairs = candidates(*(np.concatenate([np.frombuffer(b.as_buffer(), t) for b in table[x]]) for x, t in (("s", np.uint64), ("c", np.int64), ("n", np.int32))))
+        rows = [(None, u.tobytes(), v.tobytes(), None, None)]
+        to = kernels.mixed(pairs[0].view(np.uint64) ^ kernels.mixed(pairs[1].view(np.uint64))) % np.uint64(buckets)
+        order = np.argsort(to, kind="stable")
+        held, starts = np.unique(to[order], return_index=True)
+        for bucket, at in zip(held.tolist(), np.split(order, starts[1:]), strict=False):
+            rows.append((bucket, *(x[at].tobytes() for x in pairs)))
+        columns = [pa.array([r[i] for r in rows], pa.binary() if i else pa.int64()) for i in range(5)]
+        kernels.give_back()
+        return pa.table([*columns, *(pa.nulls(len(rows), table[x].type) for x in names[5:])], names=names)
+
+    return sent.groupBy("bucket").applyInArrow(joined, _FOREST.format(kind=kind))
 
 
-def forests(sent: DataFrame, kind: str) -> DataFrame:
-    """Rows of documents and map-side forests as they came, and a packed forest for each bucket."""
-    schema = f"u binary, v binary, key {kind}, size long, class binary, sha string"
-    names = ["u", "v", "key", "size", "class", "sha"]
+def counted_pairs(packed: DataFrame) -> DataFrame:
+    """u, v: a packed forest for each bucket of pairs, of those that share what they need in all."""
 
     def joined(table: pa.Table) -> pa.Table:
-        if table["bucket"][0].as_py() < 0:
-            return pa.table([table["s"], table["c"], *(table[x] for x in names[2:])], names=names)
-        s, c, n = (np.frombuffer(b"".join(table[x].to_pylist()), t) for x, t in (("s", np.uint64), ("c", np.int64), ("n", np.int32)))
-        u, v = chained(s, c, n)
-        return pa.table([pa.array([u.tobytes()], pa.binary()), pa.array([v.tobytes()], pa.binary()), *(pa.nulls(1, table[x].type) for x in names[2:])], names=names)
+        u, v, shared, least = (np.frombuffer(b"".join(table[x].to_pylist()), t) for x, t in (("u", np.int64), ("v", np.int64), ("shared", np.int32), ("needed", np.int32)))
+        order = np.lexsort((v, u))
+        u, v, shared, least = u[order], v[order], shared[order], least[order]
+        starts = np.flatnonzero(np.concatenate([[True], (u[1:] != u[:-1]) | (v[1:] != v[:-1])]))
+        enough = np.add.reduceat(shared, starts) >= least[starts]
+        tree = forest(u[starts][enough], v[starts][enough])
+        return pa.table([pa.array([x.tobytes()], pa.binary()) for x in tree], names=["u", "v"])
 
-    return sent.groupBy("bucket").applyInArrow(joined, schema)
+    return packed.select("pairs", "u", "v", "shared", "needed").groupBy("pairs").applyInArrow(joined, "u binary, v binary")
 
 
 def _pairs(packed: DataFrame) -> DataFrame:
@@ -271,6 +331,20 @@ def _pairs(packed: DataFrame) -> DataFrame:
     return packed.select("u", "v").mapInArrow(unpacked, "u long, v long")
 
 
+def families_of(packed: DataFrame) -> DataFrame:
+    """u, v of the components of packed forests (u, v): counted first, then merged in one task if there are
+    at most MERGED edges, and by joins if there are more."""
+    packed = durable(packed)
+    if (packed.agg(F.sum(F.octet_length("u"))).first()[0] or 0) > 8 * MERGED:
+        return connect(_pairs(packed))
+
+    def merged(table: pa.Table) -> pa.Table:
+        u, v = (np.concatenate([np.frombuffer(x.as_buffer(), np.int64) for x in table[c]]) for c in ("u", "v"))
+        return pa.table([pa.array([x.tobytes()], pa.binary()) for x in forest(u, v)], names=["u", "v"])
+
+    return durable(_pairs(packed.withColumn("one", F.lit(0)).groupBy("one").applyInArrow(merged, "u binary, v binary")))
+
+
 def connect(edges: DataFrame) -> DataFrame:
     """u, v for each node u that is not its component's smallest, v: the smallest.
 
@@ -278,8 +352,13 @@ def connect(edges: DataFrame) -> DataFrame:
     changes. Each step's edges are checkpointed and only as many as the nodes and edges of the last.
     """
     greater = lambda d: d.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u != v").distinct()
-    edges = durable(greater(edges))
-    while not edges.isEmpty():
+    edges, before = durable(greater(edges)), None
+    while True:
+        # an order-free digest of the edges tells whether a round has changed anything
+        state = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        if state == before or not state[0]:
+            return edges
+        before = state
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = durable(both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m")))
         # large star: every larger neighbour is tied to the smallest one
@@ -288,11 +367,7 @@ def connect(edges: DataFrame) -> DataFrame:
         # small star: a node and its smaller neighbours are tied to the smallest of them
         lowest = durable(large.groupBy("u").agg(F.min("v").alias("m")))
         small = large.join(lowest, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v")
-        after = durable(greater(small.unionByName(lowest.select("u", F.col("m").alias("v")))))
-        if after.count() == edges.count() and after.exceptAll(edges).isEmpty():
-            return after
-        edges = after
-    return edges
+        edges = durable(greater(small.unionByName(lowest.select("u", F.col("m").alias("v")))))
 
 
 class Family:
@@ -301,13 +376,13 @@ class Family:
     def __init__(self, sets: list[np.ndarray]):
         self.sizes = np.array([len(s) for s in sets])
         shingle = np.concatenate(sets)
-        owner = np.repeat(np.arange(len(sets)), self.sizes)
+        owner = np.repeat(np.arange(len(sets), dtype=np.int32), self.sizes)
         order = np.argsort(shingle, kind="stable")  # owners rise within each list
         shingle, self.owner = shingle[order], owner[order]
         starts = np.flatnonzero(np.concatenate([[True], shingle[1:] != shingle[:-1]]))
         lengths = np.diff(np.concatenate([starts, [len(shingle)]]))
-        index = np.empty(len(shingle), np.int64)
-        index[order] = np.repeat(np.arange(len(starts)), lengths)
+        index = np.empty(len(shingle), np.int32)
+        index[order] = np.repeat(np.arange(len(starts), dtype=np.int32), lengths)
         shared = lengths > 1
         cuts = np.cumsum(self.sizes)[:-1]
         self.starts, self.lengths = starts, lengths
@@ -376,8 +451,8 @@ def _solve(table: pa.Table) -> tuple[list[bytes], list[bytes]]:
     """Links of one group of rows: (family, class, s, core). Core members are linked already."""
     out: tuple[list[bytes], list[bytes]] = ([], [])
     families: dict[int, dict[bytes, tuple[np.ndarray, bool]]] = {}
-    for family, name, s, core in zip(*(table[x].to_pylist() for x in ("family", "class", "s", "core")), strict=True):
-        families.setdefault(family, {})[name] = (np.frombuffer(s, np.uint64), core)
+    for family, name, s, core in zip(*(table[x] for x in ("family", "class", "s", "core")), strict=True):
+        families.setdefault(family.as_py(), {})[name.as_py()] = (np.frombuffer(s.as_buffer(), np.uint64), core.as_py())
     for held in families.values():
         if len(held) < 2:
             continue
@@ -397,6 +472,7 @@ def search_groups(grouped: DataFrame) -> DataFrame:
 
     def solved(table: pa.Table) -> pa.Table:
         u, v = _solve(table)
+        kernels.give_back()
         return pa.table([pa.array(u, pa.binary()), pa.array(v, pa.binary())], names=["u", "v"])
 
     return grouped.groupBy("task").applyInArrow(solved, "u binary, v binary")
@@ -420,7 +496,7 @@ def member_sets(docs: DataFrame, text: str, bitmap: bytes) -> DataFrame:
                 kinds = (("c", pa.int64()), ("class", pa.binary()), ("s", pa.binary()))
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, (_, k) in enumerate(kinds)], names=[x for x, _ in kinds])
 
-    return docs.select(text).mapInArrow(made, "c long, class binary, s binary")
+    return docs.select(text).mapInArrow(kernels.trimmed(made), "c long, class binary, s binary")
 
 
 def compared_with_pivot(members: DataFrame) -> DataFrame:
@@ -440,11 +516,11 @@ def compared_with_pivot(members: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(core, pa.bool_())], names=["family", "class", "s", "blocks", "pivot", "core"])
 
     near = members.join(pivots, "family").select("family", "class", "s", "blocks", "pivot", "ps")
-    return near.mapInArrow(compared, "family long, class binary, s binary, blocks long, pivot binary, core boolean")
+    return near.mapInArrow(kernels.trimmed(compared), "family long, class binary, s binary, blocks long, pivot binary, core boolean")
 
 
 def links(docs: DataFrame, text: str, classes: DataFrame, families: DataFrame, block_shingles: int) -> DataFrame:
-    """u, v over classes: spanning trees of all links."""
+    """u, v over classes: for each class that is not its component's label, the label."""
     placed = durable(classes.join(families, classes["c"] == families["u"], "left").withColumn("family", F.coalesce("v", "c")))
     sizes = placed.groupBy("family").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("shingles")).where("n > 1")
     sizes = durable(sizes.withColumn("blocks", F.ceil(F.col("shingles") / block_shingles).cast("long")))
@@ -452,18 +528,22 @@ def links(docs: DataFrame, text: str, classes: DataFrame, families: DataFrame, b
     inside = durable(placed.join(sizes, "family").select("c", "class", "family", "blocks"))
     if not total:
         return inside.select(F.col("class").alias("u"), F.col("class").alias("v"))
-    # copies are sent by each task that has one, so they are dropped before families come together
-    sets = member_sets(docs, text, bitmap_of(inside, "c")).dropDuplicates(["class"]).drop("c")
-    members = sets.join(inside.drop("c"), "class")
-    large = not sizes.where("blocks > 1").isEmpty()
-    members = durable(members) if large else members
+
+    def members(some: DataFrame) -> DataFrame:
+        # copies are sent by each task that has one, so they are dropped before families come together
+        sets = member_sets(docs, text, bitmap_of(some, "c")).dropDuplicates(["class"]).drop("c")
+        return sets.join(some.drop("c"), "class")
+
     groups = 8 * math.ceil(total / block_shingles)
-    small = members.where("blocks = 1").select("family", "class", "s", F.lit(False).alias("core"))
+    small = members(inside.where("blocks = 1")).select("family", "class", "s", F.lit(False).alias("core"))
     found = search_groups(small.withColumn("task", F.pmod(F.xxhash64("family"), F.lit(groups))))
-    if not large:
-        return durable(found)
-    compared = compared_with_pivot(members.where("blocks > 1").select("family", "class", "s", "blocks"))
+    if sizes.where("blocks > 1").isEmpty():
+        return durable(found)  # each family was searched in one task, so its trees are whole
+    # large families are few, and their texts are read once more rather than all sets be written down
+    compared = compared_with_pivot(durable(members(inside.where("blocks > 1")).select("family", "class", "s", "blocks")))
     cut = durable(compared.withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks"))))
+    found = durable(found)
+    release(docs.sparkSession)
     straight = cut.where("core and class != pivot").select(F.col("class").alias("u"), F.col("pivot").alias("v"))
     # the members of a block that are not linked with the pivot ask every block, their own included
     loose = durable(cut.where("not core").select("family", F.col("block").alias("asking"), "blocks").distinct())
@@ -471,7 +551,7 @@ def links(docs: DataFrame, text: str, classes: DataFrame, families: DataFrame, b
     askers = cut.where("not core").withColumnRenamed("block", "asking").join(others, ["family", "asking"]).withColumn("core", F.lit(False))
     answers = cut.withColumnRenamed("block", "asked").join(loose.drop("blocks"), "family").where("asked != asking or core").withColumn("core", F.lit(True))
     tasks = [x.withColumn("task", F.xxhash64("family", "asking", "asked")).select("task", "family", "class", "s", "core") for x in (askers, answers)]
-    return durable(found.unionByName(straight).unionByName(search_groups(tasks[0].unionByName(tasks[1]))))
+    return connect(found.unionByName(straight).unionByName(search_groups(tasks[0].unionByName(tasks[1]))))
 
 
 def ngram_join(
@@ -492,12 +572,16 @@ def ngram_join(
     # what only passes through is dealt out evenly, so that none of its groups grows with the input
     dealt = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(4 * buckets))
     sent = sent.withColumn("bucket", F.when(F.col("bucket") < 0, -1 - dealt).otherwise(F.col("bucket")))
-    rows = durable(forests(sent, kind))
+    rows = durable(forests(sent, kind, max(8, buckets // 16)))
+    del sent
+    release(docs.sparkSession)
     listed = rows.where("size is not null").select("key", "size", "class", "sha")
-    families = connect(_pairs(rows.where("u is not null")))
+    counted = counted_pairs(rows.where("pairs is not null"))
+    families = families_of(rows.where("pairs is null and u is not null").select("u", "v").unionByName(counted))
     classes = durable(_classes(listed))
     found = links(docs, text, classes, families, block_shingles)
-    labels = connect(found).select(F.col("u").alias("class"), F.col("v").alias("label"))
+    release(docs.sparkSession)
+    labels = found.select(F.col("u").alias("class"), F.col("v").alias("label"))
     named = durable(classes.join(labels, "class", "left").withColumn("label", F.coalesce("label", "class")))
     smallest = durable(named.groupBy("label").agg(F.min("least").alias("component_id")))
     table = durable(named.join(smallest, "label").select("class", "label", "component_id", "members"))

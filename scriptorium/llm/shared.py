@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 from collections.abc import Callable
 
@@ -27,6 +28,16 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files of results that nothing refers to any more.
+
+    Its cleaner works when the driver's garbage is collected, which a driver with little to do seldom
+    is; between the large stages of one operator the disk would hold the files of all of them.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """Evaluate a value once and use it several times in one expression, lambdas included."""
     return F.element_at(F.transform(F.array(value), body), 1)
