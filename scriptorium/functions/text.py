@@ -8,8 +8,9 @@ the caller, who cuts or rejects them.
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -51,34 +52,78 @@ def tokens(text: Column) -> Column:
     return F.when(text == "", F.array().cast("array<string>")).otherwise(F.split(text, " "))
 
 
-def _distances(pairs: Iterator[tuple[list[str], list[str]]]) -> Iterator[tuple[int, int, int, int]]:
-    for ref, hyp in pairs:
-        if max(len(ref), len(hyp)) > MAX_TOKENS:
-            raise ValueError(f"more than {MAX_TOKENS} tokens")
-        # a cell is (distance, substitutions, insertions, deletions)
-        row = [(j, 0, j, 0) for j in range(len(hyp) + 1)]
-        for i, a in enumerate(ref, 1):
-            before, row = row, [(i, 0, 0, i)]
-            for j, b in enumerate(hyp, 1):
-                diagonal, up, left = before[j - 1], before[j], row[j - 1]
-                if a == b:
-                    row.append(diagonal)
-                elif diagonal[0] <= left[0] and diagonal[0] <= up[0]:
-                    row.append((diagonal[0] + 1, diagonal[1] + 1, diagonal[2], diagonal[3]))
-                elif left[0] <= up[0]:
-                    row.append((left[0] + 1, left[1], left[2] + 1, left[3]))
-                else:
-                    row.append((up[0] + 1, up[1], up[2], up[3] + 1))
-        yield row[-1]
+#: A cell of the edit table in one number: distance, the step that led to it (for ties: substitution
+#: before insertion before deletion), substitutions.
+_EDIT, _INSERTED, _DELETED = 1 << 34, 1 << 32, 2 << 32
+_STEP_BITS = ~(3 << 32)
+
+
+def _edits(ref: list[str], hyp: list[str]) -> tuple[int, int, int, int]:
+    """Distance, substitutions, insertions, deletions of two token lists, by the table's antidiagonals."""
+    n, m = len(ref), len(hyp)
+    if max(n, m) > MAX_TOKENS:
+        raise ValueError(f"more than {MAX_TOKENS} tokens")
+    names: dict[str, int] = {}
+    a = np.array([names.setdefault(w, len(names)) for w in ref], np.int64)
+    b = np.array([names.setdefault(w, len(names)) for w in reversed(hyp)], np.int64)
+    two, one, now = (np.zeros(n + 1, np.int64) for _ in range(3))
+    for k in range(1, n + m + 1):
+        lo, hi = max(1, k - m), min(n, k - 1)
+        if lo <= hi:
+            diagonal = two[lo - 1 : hi]
+            x = diagonal + (_EDIT + 1)
+            np.minimum(x, one[lo : hi + 1] + (_EDIT + _INSERTED), out=x)
+            np.minimum(x, one[lo - 1 : hi] + (_EDIT + _DELETED), out=x)
+            x &= _STEP_BITS
+            now[lo : hi + 1] = np.where(a[lo - 1 : hi] == b[m - k + lo : m - k + hi + 1], diagonal, x)
+        if k <= m:
+            now[0] = k * _EDIT
+        if k <= n:
+            now[k] = k * _EDIT
+        two, one, now = one, now, two
+    last = int(one[n])
+    d, s = last >> 34, last & 0xFFFFFFFF
+    inserted = (d - s + m - n) // 2
+    return d, s, inserted, d - s - inserted
+
+
+def _distance(a: str, b: str) -> int:
+    """Edit distance of two strings; the bits of one number are a column of the table (Myers)."""
+    a, b = (a, b) if len(a) >= len(b) else (b, a)
+    if not b:
+        return len(a)
+    full, last, score = (1 << len(a)) - 1, 1 << (len(a) - 1), len(a)
+    places: dict[str, bytearray] = {}
+    for i, c in enumerate(a):
+        places.setdefault(c, bytearray(len(a) // 8 + 1))[i >> 3] |= 1 << (i & 7)
+    masks = {c: int.from_bytes(x, "little") for c, x in places.items()}
+    up, down = full, 0
+    for c in b:
+        eq = masks.get(c, 0)
+        across = (((eq & up) + up) ^ up) | eq
+        more, less = down | (full & ~(across | up)), up & across
+        if more & last:
+            score += 1
+        elif less & last:
+            score -= 1
+        more, less, eq = (more << 1 | 1) & full, (less << 1) & full, eq | down
+        up, down = less | (full & ~(eq | more)), more & eq
+    return score
 
 
 @F.pandas_udf(T.StructType([T.StructField(c, T.LongType()) for c in "dsix"]))
 def word_edits(refs: pd.Series, hyps: pd.Series) -> pd.DataFrame:
     """Edit distance of two token arrays, and its substitutions, insertions and deletions."""
-    found = list(_distances(zip(refs.map(list), hyps.map(list), strict=True)))
+    found = [_edits(list(r), list(h)) for r, h in zip(refs, hyps, strict=True)]
     return pd.DataFrame(found, columns=["d", "s", "i", "x"], dtype="int64")
 
 
+@F.pandas_udf(T.LongType())
+def character_edits(refs: pd.Series, hyps: pd.Series) -> pd.Series:
+    """Edit distance of two strings."""
+    return pd.Series([None if r is None or h is None else _distance(r, h) for r, h in zip(refs, hyps, strict=True)], dtype="Int64")
+
+
 def word_errors(ref: Column, hyp: Column) -> Column:
     """wer, substitutions, insertions, deletions, n_ref, n_hyp of two texts that are normalized.
 
@@ -94,7 +139,7 @@ def word_errors(ref: Column, hyp: Column) -> Column:
 def character_error_rate(ref: Column, hyp: Column) -> Column:
     """On characters without spaces, by the same rules."""
     a, b = F.replace(ref, F.lit(" "), F.lit("")), F.replace(hyp, F.lit(" "), F.lit(""))
-    return F.when((a == "") & (b == ""), 0.0).when(a == "", float("inf")).otherwise(F.levenshtein(a, b) / F.length(a))
+    return F.when((a == "") & (b == ""), 0.0).when(a == "", float("inf")).otherwise(character_edits(a, b) / F.length(a))
 
 
 def clean_html(html: Column) -> Column:

@@ -318,9 +318,8 @@ def normalize_text(spark, sf_dir):
 
 
 def _pairs(spark, sf_dir):
-    """Each document with the next one of its language, cut to thirty words."""
-    first = F.array_join(F.slice(F.split(X.normalize_text(F.col("text"), compose=False), " "), 1, 30), " ")
-    rows = S.texts(spark, sf_dir).select("doc_id", "lang", first.alias("ref"))
+    """Each document with the next one of its language."""
+    rows = S.texts(spark, sf_dir).select("doc_id", "lang", X.normalize_text(F.col("text"), compose=False).alias("ref"))
     return rows.withColumn("hyp", F.lead("ref").over(Window.partitionBy("lang").orderBy("doc_id"))).where("hyp is not null")
 
 

@@ -6,11 +6,15 @@ filter and says which piece of it was left out.
 
 from __future__ import annotations
 
+import random
+
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
-from scriptorium.plans import catalog
+from scriptorium.functions import text as X
 from scriptorium.operators import fuzzy as Z
+from scriptorium.plans import catalog
 from scriptorium.sources import relations as S
 from test_queries import FOLDER, TABLES, rows
 
@@ -54,3 +58,51 @@ def test_best_match_is_the_best_of_all_entries(spark):
     best = ways.groupby("query").confidence.max()
     got = catalog.QUERIES["best_match"](spark, FOLDER).toPandas().set_index("query").confidence
     assert got.to_dict() == best[best >= 0.5].to_dict()
+
+
+def plain_edits(ref, hyp):
+    """(distance, substitutions, insertions, deletions); of equal ones substitution, then insertion."""
+    row = [(j, 0, j, 0) for j in range(len(hyp) + 1)]
+    for i, a in enumerate(ref, 1):
+        old, row = row, [(i, 0, 0, i)]
+        for j, b in enumerate(hyp, 1):
+            (d, s, n, x), up, left = old[j - 1], old[j], row[j - 1]
+            steps = [(d + 1, s + 1, n, x), (left[0] + 1, left[1], left[2] + 1, left[3]), (up[0] + 1, up[1], up[2], up[3] + 1)]
+            row.append(old[j - 1] if a == b else min(steps, key=lambda c: c[0]))
+    return row[-1]
+
+
+def test_edits_by_a_plain_table():
+    rng = random.Random(3)
+    for _ in range(600):
+        a, b = (["".join(rng.choice("abé") for _ in range(rng.randint(1, 2))) for _ in range(rng.choice([0, 1, 3, 9, 40]))] for _ in "ab")
+        assert X._edits(a, b) == plain_edits(a, b)
+        assert X._distance("".join(a), "".join(b)) == plain_edits("".join(a), "".join(b))[0]
+
+
+@pytest.fixture(scope="module")
+def long_pair(spark, tmp_path_factory):
+    """Two documents of a language that differ only far behind their thirtieth word."""
+    folder = str(tmp_path_factory.mktemp("pair"))
+    same = " ".join(f"w{i}" for i in range(50))
+    S.texts(spark, FOLDER).limit(0).unionByName(spark.createDataFrame([(1, f"{same} one é two"), (2, f"{same} one e two three")], "doc_id long, text string").withColumn("lang", F.lit("en")), allowMissingColumns=True).write.parquet(f"{folder}/documents.parquet")
+    return folder
+
+
+def test_error_rates_of_whole_texts(spark, long_pair):
+    (row,) = catalog.QUERIES["wer_pairs"](spark, long_pair).collect()
+    assert (row.n_ref, row.n_hyp, row.substitutions, row.insertions, row.deletions) == (53, 54, 1, 1, 0)
+    (row,) = catalog.QUERIES["wer_averages"](spark, long_pair).collect()
+    assert row.macro == row.micro == round(2 / 53, 6)
+
+
+@pytest.mark.parametrize("name", ["wer_counts"])
+def test_counts_of_whole_texts(name, spark, sql):
+    assert rows(catalog.QUERIES[name](spark, FOLDER).toPandas()) == rows(sql.execute(without(name, ("[1:30]", ""))).df())
+
+
+def test_character_rates_of_whole_texts(spark, sql):
+    """On the plain pairs that SQL can count."""
+    want = sql.execute(without("cer_pairs", ("[1:30]", ""))).df()
+    got = catalog.QUERIES["cer_pairs"](spark, FOLDER).toPandas()
+    assert len(want) and rows(got[got.doc_id.isin(want.doc_id)]) == rows(want)
