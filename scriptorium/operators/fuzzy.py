@@ -136,9 +136,11 @@ def best_match(queries: DataFrame, rows: DataFrame, threshold: float) -> DataFra
 def capitalized_spans(texts: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, span, start: runs of capitalized words that do not begin a text or a sentence.
 
-    The text is cut at its spans; the length of what stands before each is its place.
+    The text is cut at its spans; the length of what stands before each is its place. Letters of all
+    scripts bound a word and all kinds of space part two, whatever the regex engine takes for them.
     """
-    span = r"\b[A-Z][a-z]+(?:\s+[A-Z][a-z]+)*\b"
+    word, gap = r"[\p{L}\p{N}_]", r"[\s\x1c-\x1f\x85\p{Z}]"
+    span = rf"(?<!{word})[A-Z][a-z]+(?:{gap}+[A-Z][a-z]+)*(?!{word})"
     found = texts.select(key, F.col(text).alias("__t"), F.regexp_extract_all(text, F.lit(span), F.lit(0)).alias("spans"), F.split(text, span).alias("gaps"))
 
     def place(i: Column) -> Column:

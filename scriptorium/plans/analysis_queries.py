@@ -346,8 +346,7 @@ def wer_averages(spark, sf_dir):
 
 @query("cer_pairs", f"WITH {_PAIRS} SELECT doc_id, round(levenshtein(replace(ref, ' ', ''), replace(hyp, ' ', '')) / length(replace(ref, ' ', '')), 6) AS cer FROM pairs WHERE regexp_matches(ref || hyp, '^[a-z0-9'' ]+$') AND ref <> ''")
 def cer_pairs(spark, sf_dir):
-    ascii_ = _pairs(spark, sf_dir).where(F.concat("ref", "hyp").rlike("^[a-z0-9' ]+$") & (F.col("ref") != ""))
-    return ascii_.select("doc_id", F.round(X.character_error_rate(F.col("ref"), F.col("hyp")), 6).alias("cer"))
+    return _pairs(spark, sf_dir).select("doc_id", F.round(X.character_error_rate(F.col("ref"), F.col("hyp")), 6).alias("cer"))
 
 
 _HTML = "coalesce(html, '')"

@@ -62,4 +62,4 @@ def best_match(spark, sf_dir):
   p AS (SELECT doc_id, text, spans[i] AS span, list_sum(list_transform(gaps[1:i], lambda g: length(g))) + coalesce(list_sum(list_transform(spans[1:i - 1], lambda s: length(s))), 0) AS start FROM (SELECT *, unnest(range(1, len(spans) + 1)) AS i FROM m))
   SELECT doc_id, span, start::BIGINT AS start FROM p WHERE start > 0 AND NOT regexp_matches(rtrim(translate(left(text, start::BIGINT), chr(9) || chr(10), '  ')), '[.!?]\z')""")
 def capitalized_spans(spark, sf_dir):
-    return Z.capitalized_spans(S.texts(spark, sf_dir).where(~F.col("text").rlike(r"[^\x00-\x7f]")))
+    return Z.capitalized_spans(S.texts(spark, sf_dir))

@@ -7,6 +7,7 @@ filter and says which piece of it was left out.
 from __future__ import annotations
 
 import random
+import re
 
 import duckdb
 import pytest
@@ -106,3 +107,30 @@ def test_character_rates_of_whole_texts(spark, sql):
     want = sql.execute(without("cer_pairs", ("[1:30]", ""))).df()
     got = catalog.QUERIES["cer_pairs"](spark, FOLDER).toPandas()
     assert len(want) and rows(got[got.doc_id.isin(want.doc_id)]) == rows(want)
+
+
+def plain_spans(text):
+    for found in re.finditer(r"\b[A-Z][a-z]+(?:\s+[A-Z][a-z]+)*\b", text):
+        if found.start() and not text[: found.start()].rstrip(" \t\n").endswith((".", "!", "?")):
+            yield found.group(), found.start()
+
+
+def test_spans_of_every_document(spark):
+    texts = S.texts(spark, FOLDER).select("doc_id", "text").collect()
+    want = sorted((r.doc_id, *x) for r in texts for x in plain_spans(r.text or ""))
+    assert any(not r.text.isascii() and list(plain_spans(r.text)) for r in texts if r.text)
+    assert sorted(map(tuple, catalog.QUERIES["capitalized_spans"](spark, FOLDER).collect())) == want
+
+
+def test_spans_beside_letters_of_other_scripts(spark):
+    texts = ["in Frané Paris", "am Müller\u00a0Weg Bonn", "où Ivan\u00a0Petrov, éPaul", "я Anna Maria 😀 Rom", "x Ab1 Cd_ Ef"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(map(tuple, Z.capitalized_spans(docs).collect())) == sorted((i, *x) for i, t in enumerate(texts) for x in plain_spans(t))
+
+
+def test_character_rates_of_every_pair(spark, long_pair):
+    (row,) = catalog.QUERIES["cer_pairs"](spark, long_pair).collect()
+    letters = "".join(f"w{i}" for i in range(50))
+    assert row.cer == round(plain_edits(letters + "oneétwo", letters + "oneetwothree")[0] / len(letters + "oneétwo"), 6)
+    pairs, rates = (catalog.QUERIES[q](spark, FOLDER).select("doc_id").toPandas().doc_id for q in ("wer_pairs", "cer_pairs"))
+    assert sorted(pairs) == sorted(rates)
