@@ -190,8 +190,8 @@ def out_of_order(spark, sf_dir):
 @query("apply_fixes", S.with_relations("segments", "WITH f AS (SELECT transcript, (segment // 2) * 2 AS segment, arg_max(lower(substr(text, 1, 20)), segment) AS corrected FROM segments WHERE transcript % 3 = 0 GROUP BY 1, 2) SELECT s.transcript, s.segment, coalesce(corrected, substr(text, 1, 40)) AS text, corrected IS NOT NULL AS changed FROM segments s LEFT JOIN f USING (transcript, segment)"))
 def apply_fixes(spark, sf_dir):
     rows = S.segments(spark, sf_dir)
-    fixes = rows.where("transcript % 3 = 0").select("transcript", (F.floor(F.col("segment") / 2) * 2).alias("segment"), F.lower(F.left("text", F.lit(20))).alias("corrected"), F.col("segment").alias("pos"))
-    return T.apply_fixes(rows.withColumn("text", F.left("text", F.lit(40))), fixes).select("transcript", "segment", "text", "changed")
+    fixes = rows.where("transcript % 3 = 0").select("transcript", (F.floor(F.col("segment") / 2) * 2).alias("segment"), F.lower("text").alias("corrected"), F.col("segment").alias("pos"))
+    return T.apply_fixes(rows, fixes).select("transcript", "segment", "text", "changed")
 
 
 _MS = "(floor({0}) * 1000 + round_even(({0} - floor({0})) * 1000, 0))::BIGINT"
@@ -379,7 +379,7 @@ def snippet(spark, sf_dir):
 
 @query("local_correct", r"SELECT conv_id, turn, CASE WHEN trim(t) = '' THEN t ELSE (CASE WHEN regexp_matches(t, '^\p{Ll}') THEN upper(substr(t, 1, 1)) || substr(t, 2) ELSE t END) || CASE WHEN regexp_matches(t, '[.!?]\z') THEN '' ELSE '.' END END AS fixed FROM (SELECT conv_id, turn, lower(substr(text, 1, 60)) AS t FROM conversations)")
 def local_correct(spark, sf_dir):
-    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.lower(F.left("text", F.lit(60))).alias("t"))
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.lower("text").alias("t"))
     return rows.select("conv_id", "turn", X.correct_locally(F.col("t")).alias("fixed"))
 
 
@@ -419,7 +419,7 @@ def fenced_json(spark, sf_dir):
 
 @query("parse_terms", r"SELECT doc_id, trim(string_split(x, ':')[-1]) AS term FROM (SELECT doc_id, unnest(string_split(substr(text, 1, 200), ',')) AS x FROM documents) WHERE trim(string_split(x, ':')[-1]) <> ''")
 def parse_terms(spark, sf_dir):
-    return S.texts(spark, sf_dir).select("doc_id", F.explode(X.parse_terms(F.left("text", F.lit(200)))).alias("term"))
+    return S.texts(spark, sf_dir).select("doc_id", F.explode(X.parse_terms(F.col("text"))).alias("term"))
 
 
 # ---- learning --------------------------------------------------------------------------------

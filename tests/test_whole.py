@@ -134,3 +134,15 @@ def test_character_rates_of_every_pair(spark, long_pair):
     assert row.cer == round(plain_edits(letters + "oneétwo", letters + "oneetwothree")[0] / len(letters + "oneétwo"), 6)
     pairs, rates = (catalog.QUERIES[q](spark, FOLDER).select("doc_id").toPandas().doc_id for q in ("wer_pairs", "cer_pairs"))
     assert sorted(pairs) == sorted(rates)
+
+
+PREFIXES = {
+    "parse_terms": (("substr(text, 1, 200)", "text"),),
+    "local_correct": (("substr(text, 1, 60)", "text"),),
+    "apply_fixes": (("substr(text, 1, 20)", "text"), ("substr(text, 1, 40)", "text")),
+}
+
+
+@pytest.mark.parametrize("name", sorted(PREFIXES))
+def test_texts_are_read_to_their_end(name, spark, sql):
+    assert rows(catalog.QUERIES[name](spark, FOLDER).toPandas()) == rows(sql.execute(without(name, *PREFIXES[name])).df())
