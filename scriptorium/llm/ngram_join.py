@@ -15,11 +15,12 @@ sets of n and m shingles are linked when 7 * overlap >= 3 * (n + m), which is a
    components of all these edges give the families: every link lies inside one.
 3. Search. The sets of the members, and of no other documents, are made again and brought together
    by family. In a family each query runs a T-occurrence search: its short inverted lists are merged
-   by a heap, its long ones are probed by binary search, and classes that reach the overlap are
-   linked. Classes already connected need no search, so a tight family of thousands costs one.
-4. A family too large for one task is cut into blocks. All members are compared with one pivot by a
-   join first; blocks are then searched against blocks only for the members not linked with it, so
-   the rest never meets itself.
+   by counting, its long ones are probed by binary search (or counted, where most members stand in
+   them), and classes that reach the overlap are linked. Every class asks, and its links are counted.
+4. A family too large for one task is cut into blocks, and each block meets every block once.
+   Where only components are asked for (``all_links`` false), classes already connected do not ask,
+   and members of a large family are compared with one pivot first, so that those linked with it
+   never meet each other.
 5. Components of the links over classes give each document the smallest doc_id it can reach.
 
 Only shingle hashes of 64 bits are compared; a class is named by 128 bits of its set's digest. Lists
@@ -34,10 +35,8 @@ are members of one class. An empty table gives an empty result; other columns ne
 from __future__ import annotations
 
 import hashlib
-import heapq
 import math
 from collections.abc import Iterator
-from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -403,6 +402,17 @@ class Family:
     def members_of(self, lst: int) -> np.ndarray:
         return self.owner[self.starts[lst] : self.starts[lst] + self.lengths[lst]]
 
+    def counted(self, lists: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The classes of some lists, and in how many of them each stands."""
+        if not len(lists):
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        merged = np.concatenate([self.members_of(x) for x in lists.tolist()])
+        if len(merged) * 8 < len(self.sizes):
+            return np.unique(merged, return_counts=True)
+        times = np.bincount(merged)
+        classes = np.flatnonzero(times)
+        return classes, times[classes]
+
     def search(self, query: int) -> Iterator[int]:
         """The classes linked with the query, found by DivideSkip."""
         n = int(self.sizes[query])
@@ -413,13 +423,17 @@ class Family:
         longest = int(self.lengths[lists[-1]])
         n_long = min(least - 1, int(least / (MU * math.log2(longest) + 1)))
         short, long_ = lists[: len(lists) - n_long], lists[len(lists) - n_long :]
-        merged = heapq.merge(*(self.members_of(x).tolist() for x in short))
-        found = [(y, c) for y, c in ((y, sum(1 for _ in run)) for y, run in groupby(merged)) if c >= least - n_long and y != query]
-        if not found:
+        classes, counts = self.counted(short)
+        enough = (counts >= least - n_long) & (classes != query)
+        classes, counts = classes[enough], counts[enough]
+        if not len(classes):
             return
-        classes = np.array([y for y, _ in found])
-        counts = np.array([c for _, c in found])
         bound = -(-3 * (n + self.sizes[classes]) // 7)
+        if len(long_) * len(classes) > int(self.lengths[long_].sum()):  # most members stand in most lists
+            there, more = self.counted(long_)
+            at = kernels.members(classes, there)
+            counts = counts + np.where(at >= 0, more[at] if len(there) else 0, 0)
+            long_ = long_[:0]
         for probed, x in enumerate(long_[::-1].tolist()):
             open_ = counts + (n_long - probed) >= bound
             classes, counts, bound = classes[open_], counts[open_], bound[open_]
@@ -467,6 +481,43 @@ def _solve(table: pa.Table) -> tuple[list[bytes], list[bytes]]:
     return out
 
 
+def count_groups(grouped: DataFrame) -> DataFrame:
+    """All links within each value of ``task``, as spanning trees (u, v) and as counts (u, n).
+
+    n is the number of documents that the class is linked with in the task, its copies left out. Where
+    a block meets another (``met``), links between the two are looked for, else those inside.
+    """
+
+    def counted(table: pa.Table) -> pa.Table:
+        out: list[tuple[bytes, bytes | None, int | None]] = []
+        families: dict[int, dict[bytes, tuple[np.ndarray, int, int, int]]] = {}
+        for family, name, s, copies, block, met in zip(*(table[x] for x in ("family", "class", "s", "members", "block", "met")), strict=True):
+            families.setdefault(family.as_py(), {})[name.as_py()] = (np.frombuffer(s.as_buffer(), np.uint64), copies.as_py(), block.as_py(), met.as_py())
+        for held in families.values():
+            if len(held) < 2:
+                continue
+            names = sorted(held)
+            family = Family([held[x][0] for x in names])
+            copies, block, others = (np.array([held[x][k] for x in names], np.int64) for k in (1, 2, 3))
+            n = np.zeros(len(names), np.int64)
+            one = bool(block[0] == others[0])
+            for i in range(len(names)) if one else np.flatnonzero(block == block.min()).tolist():
+                met = np.array(list(family.search(i)), np.int64)
+                met = met if one else met[block[met] != block[i]]
+                n[i] += copies[met].sum()
+                if not one:
+                    n[met] += copies[i]
+                for y in met.tolist():
+                    family.join(i, y)
+            out += [(x, names[r], None) for i, x in enumerate(names) if (r := family.root(i)) != i]
+            out += [(x, None, int(k)) for x, k in zip(names, n, strict=True) if k]
+        kernels.give_back()
+        kinds = (pa.binary(), pa.binary(), pa.int64())
+        return pa.table([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], names=["u", "v", "n"])
+
+    return grouped.groupBy("task").applyInArrow(counted, "u binary, v binary, n long")
+
+
 def search_groups(grouped: DataFrame) -> DataFrame:
     """u, v: links (as spanning trees) found within each value of the column ``task``."""
 
@@ -519,15 +570,17 @@ def compared_with_pivot(members: DataFrame) -> DataFrame:
     return near.mapInArrow(kernels.trimmed(compared), "family long, class binary, s binary, blocks long, pivot binary, core boolean")
 
 
-def links(docs: DataFrame, text: str, classes: DataFrame, families: DataFrame, block_shingles: int) -> DataFrame:
-    """u, v over classes: for each class that is not its component's label, the label."""
+def links(docs: DataFrame, text: str, classes: DataFrame, families: DataFrame, block_shingles: int, all_links: bool) -> tuple[DataFrame, DataFrame | None]:
+    """u, v over classes: for each class that is not its component's label, the label; and u, n, the
+    number of documents of other classes that each class is linked with, if all links are asked for."""
     placed = durable(classes.join(families, classes["c"] == families["u"], "left").withColumn("family", F.coalesce("v", "c")))
     sizes = placed.groupBy("family").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("shingles")).where("n > 1")
     sizes = durable(sizes.withColumn("blocks", F.ceil(F.col("shingles") / block_shingles).cast("long")))
     total = sizes.agg(F.sum("shingles")).first()[0]
-    inside = durable(placed.join(sizes, "family").select("c", "class", "family", "blocks"))
+    inside = durable(placed.join(sizes, "family").select("c", "class", "family", "blocks", *(["members"] if all_links else [])))
     if not total:
-        return inside.select(F.col("class").alias("u"), F.col("class").alias("v"))
+        none = inside.select(F.col("class").alias("u"), F.col("class").alias("v"))
+        return none, inside.select(F.col("class").alias("u"), F.col("blocks").alias("n")) if all_links else None
 
     def members(some: DataFrame) -> DataFrame:
         # copies are sent by each task that has one, so they are dropped before families come together
@@ -535,10 +588,22 @@ def links(docs: DataFrame, text: str, classes: DataFrame, families: DataFrame, b
         return sets.join(some.drop("c"), "class")
 
     groups = 8 * math.ceil(total / block_shingles)
+    if all_links:
+        one = F.col("blocks") == 1
+        held = members(inside).withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")))
+        # each block meets every block of its family once, itself included
+        met = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("met")
+        both = held.select("family", "class", "s", "members", "blocks", "block", met)
+        pair = F.xxhash64("family", F.least("block", "met"), F.greatest("block", "met"))
+        found = durable(count_groups(both.withColumn("task", F.when(one, F.pmod(F.xxhash64("family"), F.lit(groups))).otherwise(pair)).drop("blocks")))
+        release(docs.sparkSession)
+        edges = found.where("v is not null").select("u", "v")
+        whole = edges if sizes.where("blocks > 1").isEmpty() else connect(edges)
+        return whole, found.where("n is not null").groupBy("u").agg(F.sum("n").alias("n"))
     small = members(inside.where("blocks = 1")).select("family", "class", "s", F.lit(False).alias("core"))
     found = search_groups(small.withColumn("task", F.pmod(F.xxhash64("family"), F.lit(groups))))
     if sizes.where("blocks > 1").isEmpty():
-        return durable(found)  # each family was searched in one task, so its trees are whole
+        return durable(found), None  # each family was searched in one task, so its trees are whole
     # large families are few, and their texts are read once more rather than all sets be written down
     compared = compared_with_pivot(durable(members(inside.where("blocks > 1")).select("family", "class", "s", "blocks")))
     cut = durable(compared.withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks"))))
@@ -551,7 +616,7 @@ def links(docs: DataFrame, text: str, classes: DataFrame, families: DataFrame, b
     askers = cut.where("not core").withColumnRenamed("block", "asking").join(others, ["family", "asking"]).withColumn("core", F.lit(False))
     answers = cut.withColumnRenamed("block", "asked").join(loose.drop("blocks"), "family").where("asked != asking or core").withColumn("core", F.lit(True))
     tasks = [x.withColumn("task", F.xxhash64("family", "asking", "asked")).select("task", "family", "class", "s", "core") for x in (askers, answers)]
-    return connect(found.unionByName(straight).unionByName(search_groups(tasks[0].unionByName(tasks[1]))))
+    return connect(found.unionByName(straight).unionByName(search_groups(tasks[0].unionByName(tasks[1])))), None
 
 
 def ngram_join(
@@ -560,9 +625,11 @@ def ngram_join(
     text: str = "text",
     block_shingles: int = BLOCK_SHINGLES,
     order_sample: int = ORDER_SAMPLE,
+    all_links: bool = True,
 ) -> DataFrame:
     """key, n_shingles, component_id, class_id and component_class (hex, null for an empty set),
-    class_size and text_sha256 for each row."""
+    class_size, text_sha256 and n_links for each row: the number of other rows it is linked with, copies
+    included. Without all_links only components are searched for, and there is no n_links."""
     context = docs.sparkSession.sparkContext
     frequent = context.broadcast(frequent_shingles(docs, text, order_sample, FREQUENT_FROM, FREQUENT).tobytes())
     size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
@@ -579,12 +646,14 @@ def ngram_join(
     counted = counted_pairs(rows.where("pairs is not null"))
     families = families_of(rows.where("pairs is null and u is not null").select("u", "v").unionByName(counted))
     classes = durable(_classes(listed))
-    found = links(docs, text, classes, families, block_shingles)
+    found, linked_rows = links(docs, text, classes, families, block_shingles, all_links)
     release(docs.sparkSession)
     labels = found.select(F.col("u").alias("class"), F.col("v").alias("label"))
     named = durable(classes.join(labels, "class", "left").withColumn("label", F.coalesce("label", "class")))
     smallest = durable(named.groupBy("label").agg(F.min("least").alias("component_id")))
-    table = durable(named.join(smallest, "label").select("class", "label", "component_id", "members"))
+    if all_links:
+        named = named.join(linked_rows.select(F.col("u").alias("class"), "n"), "class", "left").withColumn("n_links", F.col("members") - 1 + F.coalesce("n", F.lit(0)))
+    table = durable(named.join(smallest, "label").select("class", "label", "component_id", "members", *(["n_links"] if all_links else [])))
     joined = listed.join(table, "class", "left")
     return joined.select(
         F.col("key").alias(key),
@@ -594,6 +663,7 @@ def ngram_join(
         F.lower(F.hex("label")).alias("component_class"),
         F.coalesce("members", F.lit(1)).alias("class_size"),
         F.col("sha").alias("text_sha256"),
+        *([F.coalesce("n_links", F.lit(0)).alias("n_links")] if all_links else []),
     )
 
 
@@ -612,7 +682,7 @@ def _classes(listed: DataFrame) -> DataFrame:
 
 def distinct_documents(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One document of each component, the one with the smallest id; all columns are kept."""
-    judged = ngram_join(docs, key, text)
+    judged = ngram_join(docs, key, text, all_links=False)
     stays = F.col(key).eqNullSafe(F.col("component_id"))
     # rows without shingles are linked with nothing: all of them stay
     alone = judged.where("n_shingles = 0").groupBy(F.col(key).alias("__key"), F.col("text_sha256").alias("__sha")).agg(F.lit(1).alias("__twins"))

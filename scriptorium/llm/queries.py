@@ -26,8 +26,8 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Components of documents whose sets of 5-word shingles are similar."""
-    return ngram_join.ngram_join(documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id")
+    """Documents whose sets of 5-word shingles are similar: components, and the links of each."""
+    return ngram_join.ngram_join(documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id", "n_links")
 
 
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
