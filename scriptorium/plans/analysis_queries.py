@@ -187,7 +187,7 @@ def out_of_order(spark, sf_dir):
     return T.out_of_order(S.segments(spark, sf_dir).withColumn("start", F.col("end") - F.col("start"))).select("transcript", "segment")
 
 
-@query("apply_fixes", S.with_relations("segments", "WITH f AS (SELECT transcript, (segment // 2) * 2 AS segment, arg_max(lower(substr(text, 1, 20)), segment) AS corrected FROM segments WHERE transcript % 3 = 0 GROUP BY 1, 2) SELECT s.transcript, s.segment, coalesce(corrected, substr(text, 1, 40)) AS text, corrected IS NOT NULL AS changed FROM segments s LEFT JOIN f USING (transcript, segment)"))
+@query("apply_fixes", S.with_relations("segments", "WITH f AS (SELECT transcript, (segment // 2) * 2 AS segment, arg_max(lower(text), segment) AS corrected FROM segments WHERE transcript % 3 = 0 GROUP BY 1, 2) SELECT s.transcript, s.segment, coalesce(corrected, text) AS text, corrected IS NOT NULL AS changed FROM segments s LEFT JOIN f USING (transcript, segment)"))
 def apply_fixes(spark, sf_dir):
     rows = S.segments(spark, sf_dir)
     fixes = rows.where("transcript % 3 = 0").select("transcript", (F.floor(F.col("segment") / 2) * 2).alias("segment"), F.lower("text").alias("corrected"), F.col("segment").alias("pos"))
@@ -323,7 +323,7 @@ def _pairs(spark, sf_dir):
     return rows.withColumn("hyp", F.lead("ref").over(Window.partitionBy("lang").orderBy("doc_id"))).where("hyp is not null")
 
 
-_PAIRS = f"pairs AS (SELECT * FROM (SELECT doc_id, lang, ref, lead(ref) OVER (PARTITION BY lang ORDER BY doc_id) AS hyp FROM (SELECT doc_id, lang, array_to_string(string_split({_norm('text')}, ' ')[1:30], ' ') AS ref FROM documents)) WHERE hyp IS NOT NULL)"
+_PAIRS = f"pairs AS (SELECT * FROM (SELECT doc_id, lang, ref, lead(ref) OVER (PARTITION BY lang ORDER BY doc_id) AS hyp FROM (SELECT doc_id, lang, array_to_string(string_split({_norm('text')}, ' '), ' ') AS ref FROM documents)) WHERE hyp IS NOT NULL)"
 
 
 @query("wer_pairs")
@@ -344,7 +344,7 @@ def wer_averages(spark, sf_dir):
     return rows.groupBy("lang").agg(F.round(F.avg(F.when(F.col("n_ref") > 0, F.col("wer"))), 6).alias("macro"), F.round(F.try_divide(F.sum(errors), F.sum("n_ref")), 6).alias("micro"))
 
 
-@query("cer_pairs", f"WITH {_PAIRS} SELECT doc_id, round(levenshtein(replace(ref, ' ', ''), replace(hyp, ' ', '')) / length(replace(ref, ' ', '')), 6) AS cer FROM pairs WHERE regexp_matches(ref || hyp, '^[a-z0-9'' ]+$') AND ref <> ''")
+@query("cer_pairs")
 def cer_pairs(spark, sf_dir):
     return _pairs(spark, sf_dir).select("doc_id", F.round(X.character_error_rate(F.col("ref"), F.col("hyp")), 6).alias("cer"))
 
@@ -377,7 +377,7 @@ def snippet(spark, sf_dir):
     return S.texts(spark, sf_dir).select("doc_id", X.snippet(F.col("text"), F.lit("tion")).alias("snippet")).where("snippet is not null")
 
 
-@query("local_correct", r"SELECT conv_id, turn, CASE WHEN trim(t) = '' THEN t ELSE (CASE WHEN regexp_matches(t, '^\p{Ll}') THEN upper(substr(t, 1, 1)) || substr(t, 2) ELSE t END) || CASE WHEN regexp_matches(t, '[.!?]\z') THEN '' ELSE '.' END END AS fixed FROM (SELECT conv_id, turn, lower(substr(text, 1, 60)) AS t FROM conversations)")
+@query("local_correct", r"SELECT conv_id, turn, CASE WHEN trim(t) = '' THEN t ELSE (CASE WHEN regexp_matches(t, '^\p{Ll}') THEN upper(substr(t, 1, 1)) || substr(t, 2) ELSE t END) || CASE WHEN regexp_matches(t, '[.!?]\z') THEN '' ELSE '.' END END AS fixed FROM (SELECT conv_id, turn, lower(text) AS t FROM conversations)")
 def local_correct(spark, sf_dir):
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.lower("text").alias("t"))
     return rows.select("conv_id", "turn", X.correct_locally(F.col("t")).alias("fixed"))
@@ -417,7 +417,7 @@ def fenced_json(spark, sf_dir):
     return rows.select("doc_id", F.md5(X.fenced_json(F.concat(F.lit("Here:\n```json\n"), "text", F.lit("\n```\nDone.")))).alias("digest"))
 
 
-@query("parse_terms", r"SELECT doc_id, trim(string_split(x, ':')[-1]) AS term FROM (SELECT doc_id, unnest(string_split(substr(text, 1, 200), ',')) AS x FROM documents) WHERE trim(string_split(x, ':')[-1]) <> ''")
+@query("parse_terms", r"SELECT doc_id, trim(string_split(x, ':')[-1]) AS term FROM (SELECT doc_id, unnest(string_split(text, ',')) AS x FROM documents) WHERE trim(string_split(x, ':')[-1]) <> ''")
 def parse_terms(spark, sf_dir):
     return S.texts(spark, sf_dir).select("doc_id", F.explode(X.parse_terms(F.col("text"))).alias("term"))
 

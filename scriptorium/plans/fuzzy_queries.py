@@ -22,7 +22,7 @@ def _queries(spark, sf_dir):
     return table(spark, sf_dir, "part").select(changed.alias("query")).distinct()
 
 
-_FORMS = "forms AS (SELECT DISTINCT id AS entry_id, lower(canonical) AS form, 'canonical' AS kind FROM entries WHERE id % 10 = 0 UNION SELECT entry_id, lower(alias), 'alias' FROM aliases WHERE entry_id % 10 = 0)"
+_FORMS = "forms AS (SELECT DISTINCT id AS entry_id, lower(canonical) AS form, 'canonical' AS kind FROM entries UNION SELECT entry_id, lower(alias), 'alias' FROM aliases)"
 _QUERIES = "queries AS (SELECT DISTINCT CASE p_partkey % 3 WHEN 0 THEN p_name[1:2] || 'x' || p_name[4:] WHEN 1 THEN p_name[1:2] || p_name[4:] ELSE p_name END AS query FROM part)"
 
 
@@ -58,8 +58,6 @@ def best_match(spark, sf_dir):
     return Z.best_match(_queries(spark, sf_dir), _rows(spark, sf_dir), 0.5)
 
 
-@query("capitalized_spans", r"""WITH m AS (SELECT doc_id, text, regexp_extract_all(text, '\b[A-Z][a-z]+(?:\s+[A-Z][a-z]+)*\b') AS spans, string_split_regex(text, '\b[A-Z][a-z]+(?:\s+[A-Z][a-z]+)*\b') AS gaps FROM documents WHERE NOT regexp_matches(text, '[^\x00-\x7f]')),
-  p AS (SELECT doc_id, text, spans[i] AS span, list_sum(list_transform(gaps[1:i], lambda g: length(g))) + coalesce(list_sum(list_transform(spans[1:i - 1], lambda s: length(s))), 0) AS start FROM (SELECT *, unnest(range(1, len(spans) + 1)) AS i FROM m))
-  SELECT doc_id, span, start::BIGINT AS start FROM p WHERE start > 0 AND NOT regexp_matches(rtrim(translate(left(text, start::BIGINT), chr(9) || chr(10), '  ')), '[.!?]\z')""")
+@query("capitalized_spans")
 def capitalized_spans(spark, sf_dir):
     return Z.capitalized_spans(S.texts(spark, sf_dir))
