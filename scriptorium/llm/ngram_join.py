@@ -14,13 +14,14 @@ sets of n and m shingles are linked when 7 * overlap >= 3 * (n + m), which is a
    shingles have no lists: their classes are tied to a node for the shingle on the map side. Connected
    components of all these edges give the families: every link lies inside one.
 3. Search. The sets of the members, and of no other documents, are made again and brought together
-   by family. In a family each query runs a T-occurrence search: its short inverted lists are merged
-   by counting, its long ones are probed by binary search (or counted, where most members stand in
-   them), and classes that reach the overlap are linked. Every class asks, and its links are counted.
-4. A family too large for one task is cut into blocks, and each block meets every block once.
-   Where only components are asked for (``all_links`` false), classes already connected do not ask,
-   and members of a large family are compared with one pivot first, so that those linked with it
-   never meet each other.
+   by family. In a family each class asks a T-occurrence search: short inverted lists are merged by
+   counting, long ones are probed by binary search (or counted, where most members stand in them),
+   and the classes that reach the overlap are linked and counted.
+4. A family too large for one task sends each set as its difference from one member, the pivot: the
+   shingles that it lacks and those that it has besides. With p shingles in the pivot, of which the
+   sets lack l and k, two sets share p - l - k and as many more as their differences have in common,
+   so the same search runs on the differences and is exact; near copies differ in few shingles. The
+   family is cut into blocks by the size of its differences, and each block meets every block once.
 5. Components of the links over classes give each document the smallest doc_id it can reach.
 
 Only shingle hashes of 64 bits are compared; a class is named by 128 bits of its set's digest. Lists
@@ -49,13 +50,15 @@ from scriptorium.llm.shared import bitmap_of, durable, keep_rows, release, unpac
 SHINGLE = 5
 #: One document in so many is counted to tell which shingles are frequent; the list's length.
 ORDER_SAMPLE = 8
-FREQUENT = 200_000
+FREQUENT = 1_000_000
 FREQUENT_FROM = 3
 #: Text for each bucket of postings, and shingles for each block of a family.
 BUCKET_BYTES = 12 << 20
-BLOCK_SHINGLES = 2_000_000
+BLOCK_SHINGLES = 1_000_000
+#: Bytes of pivots that are broadcast; more are joined by family.
+PIVOT_BYTES = 32 << 20
 #: Longest posting list whose pairs are counted.
-PAIRED = 32
+PAIRED = 64
 #: Edges that are connected in one task, 16 bytes each; beyond that by joins.
 MERGED = 2_000_000
 #: Postings that a task holds before it sends them.
@@ -94,29 +97,52 @@ def short_id(name: bytes) -> int:
     return int.from_bytes(name[:8], "little", signed=True)
 
 
-def frequent_shingles(docs: DataFrame, text: str, sample: int, least: int, most: int) -> np.ndarray:
-    """At most ``most`` shingles, from rare to common, that stand in several of the sampled documents."""
+def order_key(shingles: np.ndarray) -> np.ndarray:
+    """The 40 bits of a shingle by which it is looked up in the order's list: a rare one that meets a
+    frequent one in them is placed late as well, for all sets alike."""
+    return shingles >> np.uint64(24)
 
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def frequent_shingles(docs: DataFrame, text: str, sample: int, least: int, most: int, size: int) -> np.ndarray:
+    """Keys of at most ``most`` shingles, from rare to common, that stand in several of the sampled texts.
+
+    Whole sets are counted: were only prefixes, their frequent shingles would make way for others just
+    as frequent. Sets are told apart by 8 bits of theirs, so the copies of a text count once, and counts
+    over some hundreds level off. They are taken by bucket, so no task's share grows with the input.
+    """
+    bits = max(8, (size // BUCKET_BYTES).bit_length())
+    shift = np.uint64(40 - bits)
+
+    def sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
 
         def out() -> pa.RecordBatch:
-            seen, times = np.unique(np.concatenate(held), return_counts=True)
+            seen = np.unique(np.concatenate(held))
             held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(seen.view(np.int64)), pa.array(times)], names=["s", "n"])
+            keys, sets = seen >> np.uint64(8), (seen & np.uint64(255)).astype(np.uint8)
+            buckets, starts = np.unique(keys >> shift, return_index=True)
+            cut = list(zip(starts.tolist(), [*starts[1:].tolist(), len(keys)], strict=True))
+            low = (keys & ((np.uint64(1) << shift) - np.uint64(1))).astype(np.uint32)
+            return pa.RecordBatch.from_arrays([pa.array(buckets.astype(np.int64)), *(pa.array([x[i:j].tobytes() for i, j in cut], pa.binary()) for x in (low, sets))], names=["bucket", "s", "b"])
 
         for batch in batches:
             for block in kernels.blocks(batch.column(0)):
-                held += (s[: len(s) // 4 + evidence(len(s))] for s in sets_of(block) if len(s))
-                if sum(map(len, held)) > HELD_POSTINGS:
+                held += (order_key(s) << np.uint64(8) | np.bitwise_xor.reduce(s) & np.uint64(255) for s in sets_of(block) if len(s))
+                if sum(map(len, held)) > 4 * HELD_POSTINGS:
                     yield out()
         if held:
             yield out()
 
-    # distinct texts only: copies would make all their shingles look frequent
+    def counted(table: pa.Table) -> pa.Table:
+        s, b = (np.concatenate([np.frombuffer(x.as_buffer(), t) for x in table[c]]).astype(np.uint64) for c, t in (("s", np.uint32), ("b", np.uint8)))
+        keys, times = np.unique(np.unique(s << np.uint64(8) | b) >> np.uint64(8), return_counts=True)
+        keys, times = keys[times >= least].astype(np.int64), times[times >= least]
+        kernels.give_back()
+        return pa.table([keys | (table["bucket"][0].as_py() << int(shift)), times], names=["s", "n"])
+
     drawn = docs.where(F.pmod(F.xxhash64(text), F.lit(sample)) == 0).select(text)
-    counts = drawn.mapInArrow(kernels.trimmed(counted), "s long, n long").groupBy("s").agg(F.sum("n").alias("n"))
-    top = counts.where(F.col("n") >= least).orderBy(F.col("n").desc(), "s").limit(most).toArrow()
+    counts = drawn.mapInArrow(kernels.trimmed(sampled), "bucket long, s binary, b binary").groupBy("bucket").applyInArrow(counted, "s long, n long")
+    top = counts.orderBy(F.col("n").desc(), "s").limit(most).toArrow()
     return top["s"].to_numpy()[::-1].astype(np.int64).view(np.uint64)
 
 
@@ -126,16 +152,17 @@ class Order:
     def __init__(self, frequent: np.ndarray):
         self.rank = np.argsort(frequent, kind="stable")  # places in the list, from rare to common
         self.sorted = frequent[self.rank]
-        self.maybe = np.zeros(1 << 20, bool)
-        self.maybe[(frequent & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
+        self.maybe = np.zeros(1 << 22, bool)
+        self.maybe[(frequent & np.uint64((1 << 22) - 1)).astype(np.int64)] = True
 
     def prefix(self, shingles: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The prefix of a set, given sorted by hash: rare shingles, then frequent ones."""
         n = len(shingles) // 4 + evidence(len(shingles))
-        maybe = self.maybe[(shingles & np.uint64((1 << 20) - 1)).astype(np.int64)]
+        keys = order_key(shingles)
+        maybe = self.maybe[(keys & np.uint64((1 << 22) - 1)).astype(np.int64)]
         if not maybe.any():
             return shingles[:n], shingles[:0]
-        at = kernels.members(shingles[maybe], self.sorted)
+        at = kernels.members(keys[maybe], self.sorted)
         common = np.zeros(len(shingles), bool)
         common[np.flatnonzero(maybe)[at >= 0]] = True
         rare = shingles[~common]
@@ -166,6 +193,26 @@ DOCUMENT, FOREST = -1, -2
 _POSTINGS = "bucket long, s binary, c binary, n binary, key {kind}, size long, class binary, sha string"
 
 
+#: A posting on its way: 32 bits of the shingle after those that name the bucket, 48 of the class's short
+#: id, the size up to 65,535. Each says a little less than it could, so that candidates may be too
+#: many and never too few; they are only candidates.
+SENT = (np.uint32, np.uint32, np.uint16, np.uint16)
+
+
+def shortened(s: np.ndarray, c: np.ndarray, n: np.ndarray, buckets: int) -> tuple[np.ndarray, tuple[np.ndarray, ...]]:
+    """The bucket of each posting, and what is sent of it."""
+    scaled = (s >> np.uint64(32)) * np.uint64(buckets)
+    low = ((s & np.uint64(0xFFFFFFFF)) * np.uint64(buckets)) >> np.uint64(32)
+    after = (scaled + low) & np.uint64(0xFFFFFFFF)
+    bucket = ((scaled + low) >> np.uint64(32)).astype(np.int64)
+    return bucket, (after.astype(np.uint32), (c & 0xFFFFFFFF).astype(np.uint32), ((c >> 32) & 0xFFFF).astype(np.uint16), np.minimum(n, 65_535).astype(np.uint16))
+
+
+def near_id(c):
+    """The 48 bits of a short id by which candidates are named."""
+    return c & 0xFFFF_FFFF_FFFF
+
+
 def postings(docs: DataFrame, key: str, text: str, frequent, buckets: int) -> DataFrame:
     """Rows of three kinds, told by the bucket: packed postings of rare shingles (0 and up: shingles,
     classes' short ids, sizes), packed forests of classes and hubs, whose frequent shingles thus never
@@ -190,16 +237,16 @@ def postings(docs: DataFrame, key: str, text: str, frequent, buckets: int) -> Da
             s = np.concatenate([h[0] for h in held])
             sizes = [len(h[0]) for h in held]
             c = np.repeat(np.array([h[1] for h in held], np.int64), sizes)
-            n = np.repeat(np.array([h[2] for h in held], np.int32), sizes)
+            n = np.repeat(np.array([h[2] for h in held], np.int64), sizes)
             held.clear()
-            bucket = ((s >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
+            bucket, parts = shortened(s, c, n, buckets)
             by = np.argsort(bucket, kind="stable")
-            s, c, n, bucket = s[by], c[by], n[by], bucket[by]
+            bucket, (after, low, high, n) = bucket[by], (x[by] for x in parts)
             names, starts = np.unique(bucket, return_index=True)
-            cut = list(zip(starts.tolist(), [*starts[1:].tolist(), len(s)], strict=True))
+            cut = list(zip(starts.tolist(), [*starts[1:].tolist(), len(after)], strict=True))
             blank = len(cut)
-            columns = [pa.array(names.astype(np.int64))]
-            columns += [pa.array([x[a:b].tobytes() for a, b in cut], pa.binary()) for x in (s, c, n)]
+            columns = [pa.array(names)]
+            columns += [pa.array(x, pa.binary()) for x in ([after[a:b].tobytes() for a, b in cut], [low[a:b].tobytes() + high[a:b].tobytes() for a, b in cut], [n[a:b].tobytes() for a, b in cut])]
             columns += [pa.nulls(blank, t) for t in (key_type, pa.int64(), pa.binary(), pa.string())]
             return pa.RecordBatch.from_arrays(columns, names=names_)
 
@@ -217,9 +264,9 @@ def postings(docs: DataFrame, key: str, text: str, frequent, buckets: int) -> Da
                         seen.add(short)
                         rare, frequent_ = order.prefix(shingles)
                         if len(rare):
-                            held.append((rare, short, len(shingles)))
+                            held.append((rare, near_id(short), len(shingles)))
                         if len(frequent_):
-                            tied.append((hubs(frequent_, len(shingles)), short))
+                            tied.append((hubs(frequent_, len(shingles)), near_id(short)))
                         count += len(rare) + 2 * len(frequent_)
                 n = block.n
                 columns = [pa.array(np.full(n, DOCUMENT)), *[pa.nulls(n, pa.binary())] * 3, batch.column(0).slice(block.first, n)]
@@ -283,6 +330,12 @@ def candidates(s: np.ndarray, c: np.ndarray, n: np.ndarray) -> tuple[np.ndarray,
 _FOREST = "pairs long, u binary, v binary, shared binary, needed binary, key {kind}, size long, class binary, sha string"
 
 
+def _ids(sent: pa.Buffer) -> np.ndarray:
+    """Short ids of 48 bits, sent as their low 32 bits and then their high 16."""
+    n = sent.size // 6
+    return np.frombuffer(sent, np.uint32, n).astype(np.int64) | (np.frombuffer(sent, np.uint16, n, 4 * n).astype(np.int64) << 32)
+
+
 def forests(sent: DataFrame, kind: str, buckets: int) -> DataFrame:
     """Rows of documents and map-side forests as they came; for each bucket a packed forest of certain
     edges, and packed pairs to be counted (their bucket is in the column pairs)."""
@@ -292,7 +345,8 @@ def forests(sent: DataFrame, kind: str, buckets: int) -> DataFrame:
         if table["bucket"][0].as_py() < 0:
             n = table.num_rows
             return pa.table([pa.nulls(n, pa.int64()), table["s"], table["c"], *[pa.nulls(n, pa.binary())] * 2, *(table[x] for x in names[5:])], names=names)
-        u, v, *pairs = candidates(*(np.concatenate([np.frombuffer(b.as_buffer(), t) for b in table[x]]) for x, t in (("s", np.uint64), ("c", np.int64), ("n", np.int32))))
+        s, n = (np.concatenate([np.frombuffer(b.as_buffer(), t) for b in table[x]]) for x, t in (("s", np.uint32), ("n", np.uint16)))
+        u, v, *pairs = candidates(s, np.concatenate([_ids(b.as_buffer()) for b in table["c"]]), n)
         rows = [(None, u.tobytes(), v.tobytes(), None, None)]
         to = kernels.mixed(pairs[0].view(np.uint64) ^ kernels.mixed(pairs[1].view(np.uint64))) % np.uint64(buckets)
         order = np.argsort(to, kind="stable")
@@ -370,115 +424,75 @@ def connect(edges: DataFrame) -> DataFrame:
 
 
 class Family:
-    """The sets of some classes, the inverted lists of the shingles they share, their links so far."""
+    """Sets of classes, the inverted lists of the shingles they share, the components found so far.
+
+    With a pivot of p shingles, the sets are differences from it and ``lacks`` tells how many of the
+    pivot's shingles each class has not; ``sizes`` are those of the classes in any case.
+    """
 
-    def __init__(self, sets: list[np.ndarray]):
-        self.sizes = np.array([len(s) for s in sets])
+    def __init__(self, sets: list[np.ndarray], sizes: np.ndarray | None = None, lacks: np.ndarray | None = None, p: int = 0):
+        held = np.array([len(s) for s in sets])
+        self.sizes = held if sizes is None else sizes
+        self.lacks = np.zeros(len(sets), np.int64) if lacks is None else lacks
+        self.p = p
         shingle = np.concatenate(sets)
-        owner = np.repeat(np.arange(len(sets), dtype=np.int32), self.sizes)
+        owner = np.repeat(np.arange(len(sets), dtype=np.int32), held)
         order = np.argsort(shingle, kind="stable")  # owners rise within each list
         shingle, self.owner = shingle[order], owner[order]
-        starts = np.flatnonzero(np.concatenate([[True], shingle[1:] != shingle[:-1]]))
+        starts = np.flatnonzero(np.concatenate([[True], shingle[1:] != shingle[:-1]])) if len(shingle) else np.zeros(0, np.int64)
         lengths = np.diff(np.concatenate([starts, [len(shingle)]]))
         index = np.empty(len(shingle), np.int32)
         index[order] = np.repeat(np.arange(len(starts), dtype=np.int32), lengths)
         shared = lengths > 1
-        cuts = np.cumsum(self.sizes)[:-1]
         self.starts, self.lengths = starts, lengths
         # of each class the lists with another member in them
-        self.lists = [x[shared[x]] for x in np.split(index, cuts)]
-        self.parent = list(range(len(sets)))
-
-    def root(self, i: int) -> int:
-        while self.parent[i] != i:
-            self.parent[i] = i = self.parent[self.parent[i]]
-        return i
+        self.lists = [x[shared[x]] for x in np.split(index, np.cumsum(held)[:-1])]
+        self.label = np.arange(len(sets))
 
-    def join(self, i: int, j: int) -> bool:
-        i, j = self.root(i), self.root(j)
-        self.parent[max(i, j)] = min(i, j)
-        return i != j
+    def join(self, query: int, classes: np.ndarray) -> None:
+        """Put a class and those linked with it into one component, labelled by its first member."""
+        labels = np.append(self.label[classes], self.label[query])
+        if (labels != labels[0]).any():
+            self.label[np.isin(self.label, labels)] = labels.min()
 
     def members_of(self, lst: int) -> np.ndarray:
         return self.owner[self.starts[lst] : self.starts[lst] + self.lengths[lst]]
 
-    def counted(self, lists: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The classes of some lists, and in how many of them each stands."""
+    def counted(self, lists: np.ndarray) -> np.ndarray:
+        """In how many of some lists each class stands."""
         if not len(lists):
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        merged = np.concatenate([self.members_of(x) for x in lists.tolist()])
-        if len(merged) * 8 < len(self.sizes):
-            return np.unique(merged, return_counts=True)
-        times = np.bincount(merged)
-        classes = np.flatnonzero(times)
-        return classes, times[classes]
-
-    def search(self, query: int) -> Iterator[int]:
-        """The classes linked with the query, found by DivideSkip."""
+            return np.zeros(len(self.sizes), np.int64)
+        return np.bincount(np.concatenate([self.members_of(x) for x in lists.tolist()]), minlength=len(self.sizes))
+
+    def search(self, query: int, among: np.ndarray | None = None) -> np.ndarray:
+        """The classes linked with the query (of those among, if given), found by DivideSkip."""
         n = int(self.sizes[query])
-        least, lists = needed(n), self.lists[query]
+        near = (4 * np.minimum(n, self.sizes) >= 3 * np.maximum(n, self.sizes)) & (among if among is not None else True)
+        near[query] = False
+        classes = np.flatnonzero(near)
+        lists = self.lists[query]
+        bound = -(-3 * (n + self.sizes[classes]) // 7) - self.p + self.lacks[query] + self.lacks[classes]
+        least = int(bound.min(initial=len(lists) + 1))
         if len(lists) < least:
-            return
+            return classes[:0]
         lists = lists[np.argsort(self.lengths[lists], kind="stable")]
-        longest = int(self.lengths[lists[-1]])
-        n_long = min(least - 1, int(least / (MU * math.log2(longest) + 1)))
+        n_long = 0
+        if least > 1:
+            n_long = min(least - 1, int(least / (MU * math.log2(int(self.lengths[lists[-1]])) + 1)))
         short, long_ = lists[: len(lists) - n_long], lists[len(lists) - n_long :]
-        classes, counts = self.counted(short)
-        enough = (counts >= least - n_long) & (classes != query)
-        classes, counts = classes[enough], counts[enough]
-        if not len(classes):
-            return
-        bound = -(-3 * (n + self.sizes[classes]) // 7)
+        counts = self.counted(short)[classes]
+        enough = counts >= bound - n_long
+        classes, counts, bound = classes[enough], counts[enough], bound[enough]
         if len(long_) * len(classes) > int(self.lengths[long_].sum()):  # most members stand in most lists
-            there, more = self.counted(long_)
-            at = kernels.members(classes, there)
-            counts = counts + np.where(at >= 0, more[at] if len(there) else 0, 0)
+            counts = counts + self.counted(long_)[classes]
             long_ = long_[:0]
         for probed, x in enumerate(long_[::-1].tolist()):
             open_ = counts + (n_long - probed) >= bound
             classes, counts, bound = classes[open_], counts[open_], bound[open_]
             if not len(classes):
-                return
+                break
             counts = counts + (kernels.members(classes, self.members_of(x)) >= 0)
-        yield from classes[counts >= bound].tolist()
-
-    def connect(self, queries: list[int] | None = None) -> None:
-        """Join all linked classes that one of the queries takes part in; all classes ask if None.
-
-        The first to ask is the class that shares most, as a rule the source of the others' text.
-        Links are symmetric, so if all ask, the members of one component need not: whoever is
-        linked with them asks, or is in that component as well.
-        """
-        asks = range(len(self.sizes)) if queries is None else queries
-        weight = [int(self.lengths[x].sum()) for x in self.lists]
-        hub = None
-        for query in sorted(asks, key=lambda i: (-weight[i], i)):
-            if hub is not None and self.root(query) == self.root(hub):
-                continue
-            for y in self.search(query):
-                self.join(query, y)
-            if queries is None and hub is None:
-                hub = query
-
-
-def _solve(table: pa.Table) -> tuple[list[bytes], list[bytes]]:
-    """Links of one group of rows: (family, class, s, core). Core members are linked already."""
-    out: tuple[list[bytes], list[bytes]] = ([], [])
-    families: dict[int, dict[bytes, tuple[np.ndarray, bool]]] = {}
-    for family, name, s, core in zip(*(table[x] for x in ("family", "class", "s", "core")), strict=True):
-        families.setdefault(family.as_py(), {})[name.as_py()] = (np.frombuffer(s.as_buffer(), np.uint64), core.as_py())
-    for held in families.values():
-        if len(held) < 2:
-            continue
-        names = sorted(held)
-        family = Family([held[x][0] for x in names])
-        loose = [i for i, x in enumerate(names) if not held[x][1]]
-        family.connect(None if len(loose) == len(names) else loose)
-        for i, name in enumerate(names):
-            if (r := family.root(i)) != i:
-                out[0].append(name)
-                out[1].append(names[r])
-    return out
+        return classes[counts >= bound]
 
 
 def count_groups(grouped: DataFrame) -> DataFrame:
@@ -490,26 +504,25 @@ def count_groups(grouped: DataFrame) -> DataFrame:
 
     def counted(table: pa.Table) -> pa.Table:
         out: list[tuple[bytes, bytes | None, int | None]] = []
-        families: dict[int, dict[bytes, tuple[np.ndarray, int, int, int]]] = {}
-        for family, name, s, copies, block, met in zip(*(table[x] for x in ("family", "class", "s", "members", "block", "met")), strict=True):
-            families.setdefault(family.as_py(), {})[name.as_py()] = (np.frombuffer(s.as_buffer(), np.uint64), copies.as_py(), block.as_py(), met.as_py())
+        families: dict[int, dict[bytes, tuple[np.ndarray, ...]]] = {}
+        numbers = ("size", "lacks", "p", "members", "block", "met")
+        for family, name, s, *rest in zip(*(table[x] for x in ("family", "class", "s", *numbers)), strict=True):
+            families.setdefault(family.as_py(), {})[name.as_py()] = (np.frombuffer(s.as_buffer(), np.uint64), *(x.as_py() for x in rest))
         for held in families.values():
             if len(held) < 2:
                 continue
             names = sorted(held)
-            family = Family([held[x][0] for x in names])
-            copies, block, others = (np.array([held[x][k] for x in names], np.int64) for k in (1, 2, 3))
+            sizes, lacks, p, copies, block, others = (np.array([held[x][k] for x in names], np.int64) for k in range(1, 7))
+            family = Family([held[x][0] for x in names], sizes, lacks, int(p[0]))
             n = np.zeros(len(names), np.int64)
-            one = bool(block[0] == others[0])
-            for i in range(len(names)) if one else np.flatnonzero(block == block.min()).tolist():
-                met = np.array(list(family.search(i)), np.int64)
-                met = met if one else met[block[met] != block[i]]
+            one, first = bool(block[0] == others[0]), block == block.min()
+            for i in range(len(names)) if one else np.flatnonzero(first).tolist():
+                met = family.search(i, None if one else ~first)
                 n[i] += copies[met].sum()
                 if not one:
                     n[met] += copies[i]
-                for y in met.tolist():
-                    family.join(i, y)
-            out += [(x, names[r], None) for i, x in enumerate(names) if (r := family.root(i)) != i]
+                family.join(i, met)
+            out += [(x, names[r], None) for i, (x, r) in enumerate(zip(names, family.label.tolist(), strict=True)) if r != i]
             out += [(x, None, int(k)) for x, k in zip(names, n, strict=True) if k]
         kernels.give_back()
         kinds = (pa.binary(), pa.binary(), pa.int64())
@@ -518,17 +531,6 @@ def count_groups(grouped: DataFrame) -> DataFrame:
     return grouped.groupBy("task").applyInArrow(counted, "u binary, v binary, n long")
 
 
-def search_groups(grouped: DataFrame) -> DataFrame:
-    """u, v: links (as spanning trees) found within each value of the column ``task``."""
-
-    def solved(table: pa.Table) -> pa.Table:
-        u, v = _solve(table)
-        kernels.give_back()
-        return pa.table([pa.array(u, pa.binary()), pa.array(v, pa.binary())], names=["u", "v"])
-
-    return grouped.groupBy("task").applyInArrow(solved, "u binary, v binary")
-
-
 def member_sets(docs: DataFrame, text: str, bitmap: bytes) -> DataFrame:
     """c, class, s for the classes whose short id the bitmap lets through; once from each task at most."""
 
@@ -550,73 +552,72 @@ def member_sets(docs: DataFrame, text: str, bitmap: bytes) -> DataFrame:
     return docs.select(text).mapInArrow(kernels.trimmed(made), "c long, class binary, s binary")
 
 
-def compared_with_pivot(members: DataFrame) -> DataFrame:
-    """Adds pivot and core to members of large families (family, class, s, blocks).
-
-    The pivot is the class with the smallest name; core tells whether a member is linked with it.
-    Another pivot would change the work that is left, not the links.
-    """
-    pivots = durable(members.groupBy("family").agg(F.min(F.struct("class", "s")).alias("p")).select("family", F.col("p.class").alias("pivot"), F.col("p.s").alias("ps")))
+def differences(members: DataFrame, pivots: DataFrame) -> DataFrame:
+    """The sets of members of large families as differences from their family's pivot."""
 
-    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            core = []
-            for s, ps in zip(batch.column(2), batch.column(5), strict=True):
+            out, lacks, sizes = [], [], []
+            for s, ps in zip(batch.column(2), batch.column(4), strict=True):
                 a, b = np.frombuffer(s.as_py(), np.uint64), np.frombuffer(ps.as_py(), np.uint64)
-                core.append(linked(int((kernels.members(a, b) >= 0).sum()), len(a), len(b)))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(core, pa.bool_())], names=["family", "class", "s", "blocks", "pivot", "core"])
+                missing = np.setdiff1d(b, a, assume_unique=True)
+                out.append(np.concatenate([missing, np.setdiff1d(a, b, assume_unique=True)]).tobytes())
+                lacks.append(len(missing))
+                sizes.append(len(b))
+            columns = [*batch.columns[:2], pa.array(out, pa.binary()), batch.column(3), pa.array(lacks, pa.int64()), pa.array(sizes, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=["family", "class", "s", "members", "lacks", "p"])
 
-    near = members.join(pivots, "family").select("family", "class", "s", "blocks", "pivot", "ps")
-    return near.mapInArrow(kernels.trimmed(compared), "family long, class binary, s binary, blocks long, pivot binary, core boolean")
+    near = members.join(pivots, "family").select("family", "class", "s", "members", "ps")
+    return near.mapInArrow(kernels.trimmed(made), "family long, class binary, s binary, members long, lacks long, p long")
 
 
-def links(docs: DataFrame, text: str, classes: DataFrame, families: DataFrame, block_shingles: int, all_links: bool) -> tuple[DataFrame, DataFrame | None]:
+def pivots_of(large: DataFrame) -> DataFrame:
+    """family, class: of each family one member whose size is in the middle. Another one would change
+    how much is sent, not what is found."""
+    middle = large.groupBy("family").agg(F.percentile_approx("size", 0.5).alias("middle"))
+    nearest = F.min(F.struct(F.abs(F.col("size") - F.col("middle")).alias("far"), "class"))
+    return large.join(middle, "family").groupBy("family").agg(nearest.alias("p")).select("family", F.col("p.class").alias("class"))
+
+
+def links(docs: DataFrame, text: str, classes: DataFrame, families: DataFrame, block_shingles: int) -> tuple[DataFrame, DataFrame]:
     """u, v over classes: for each class that is not its component's label, the label; and u, n, the
-    number of documents of other classes that each class is linked with, if all links are asked for."""
-    placed = durable(classes.join(families, classes["c"] == families["u"], "left").withColumn("family", F.coalesce("v", "c")))
-    sizes = placed.groupBy("family").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("shingles")).where("n > 1")
-    sizes = durable(sizes.withColumn("blocks", F.ceil(F.col("shingles") / block_shingles).cast("long")))
+    number of documents of other classes that each class is linked with."""
+    placed = durable(classes.join(families, F.col("c").bitwiseAND(F.lit(0xFFFF_FFFF_FFFF)) == families["u"], "left").withColumn("family", F.coalesce("v", F.col("c").bitwiseAND(F.lit(0xFFFF_FFFF_FFFF)))))
+    sizes = durable(placed.groupBy("family").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("shingles")).where("n > 1"))
     total = sizes.agg(F.sum("shingles")).first()[0]
-    inside = durable(placed.join(sizes, "family").select("c", "class", "family", "blocks", *(["members"] if all_links else [])))
+    inside = durable(placed.join(sizes, "family").select("c", "class", "family", "size", "members", "shingles"))
     if not total:
         none = inside.select(F.col("class").alias("u"), F.col("class").alias("v"))
-        return none, inside.select(F.col("class").alias("u"), F.col("blocks").alias("n")) if all_links else None
+        return none, inside.select(F.col("class").alias("u"), F.col("size").alias("n"))
 
-    def members(some: DataFrame) -> DataFrame:
+    def sets(some: DataFrame) -> DataFrame:
         # copies are sent by each task that has one, so they are dropped before families come together
-        sets = member_sets(docs, text, bitmap_of(some, "c")).dropDuplicates(["class"]).drop("c")
-        return sets.join(some.drop("c"), "class")
+        made = member_sets(docs, text, bitmap_of(some, "c")).dropDuplicates(["class"]).drop("c")
+        return made.join(some.drop("c"), "class")
 
+    whole = F.col("shingles") <= block_shingles
+    zero = F.lit(0).cast("long")
     groups = 8 * math.ceil(total / block_shingles)
-    if all_links:
-        one = F.col("blocks") == 1
-        held = members(inside).withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")))
-        # each block meets every block of its family once, itself included
-        met = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("met")
-        both = held.select("family", "class", "s", "members", "blocks", "block", met)
-        pair = F.xxhash64("family", F.least("block", "met"), F.greatest("block", "met"))
-        found = durable(count_groups(both.withColumn("task", F.when(one, F.pmod(F.xxhash64("family"), F.lit(groups))).otherwise(pair)).drop("blocks")))
-        release(docs.sparkSession)
-        edges = found.where("v is not null").select("u", "v")
-        whole = edges if sizes.where("blocks > 1").isEmpty() else connect(edges)
-        return whole, found.where("n is not null").groupBy("u").agg(F.sum("n").alias("n"))
-    small = members(inside.where("blocks = 1")).select("family", "class", "s", F.lit(False).alias("core"))
-    found = search_groups(small.withColumn("task", F.pmod(F.xxhash64("family"), F.lit(groups))))
-    if sizes.where("blocks > 1").isEmpty():
-        return durable(found), None  # each family was searched in one task, so its trees are whole
-    # large families are few, and their texts are read once more rather than all sets be written down
-    compared = compared_with_pivot(durable(members(inside.where("blocks > 1")).select("family", "class", "s", "blocks")))
-    cut = durable(compared.withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks"))))
-    found = durable(found)
+    columns = ["family", "class", "s", "size", "lacks", "p", "members", "block", "met"]
+    small = sets(inside.where(whole)).select("family", "class", "s", "size", zero.alias("lacks"), zero.alias("p"), "members", zero.alias("block"), zero.alias("met"))
+    found = durable(count_groups(small.withColumn("task", F.pmod(F.xxhash64("family"), F.lit(groups)))))
+    release(docs.sparkSession)
+    large = inside.where(~whole)
+    if large.isEmpty():
+        return found.where("v is not null").select("u", "v"), found.where("n is not null").select("u", "n")
+    chosen = durable(pivots_of(large))
+    pivots = durable(sets(large.join(chosen.drop("family"), "class", "left_semi").select("c", "class", "family")).select("family", F.col("s").alias("ps")))
+    bound = (pivots.agg(F.sum(F.octet_length("ps") + 16)).first()[0] or 0) <= PIVOT_BYTES
+    cut = durable(differences(sets(large), F.broadcast(pivots) if bound else pivots).join(large.select("class", "size"), "class"))
+    release(docs.sparkSession)
+    blocks = durable(cut.groupBy("family").agg(F.ceil((F.sum(F.octet_length("s")) / 8 + F.count(F.lit(1))) / block_shingles).cast("long").alias("blocks")))
+    # each block meets every block of its family once, itself included
+    held = cut.join(blocks, "family").withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")))
+    both = held.withColumn("met", F.explode(F.sequence(zero, F.col("blocks") - 1))).select(*columns)
+    pair = F.xxhash64("family", F.least("block", "met"), F.greatest("block", "met"))
+    found = found.unionByName(durable(count_groups(both.withColumn("task", pair))))
     release(docs.sparkSession)
-    straight = cut.where("core and class != pivot").select(F.col("class").alias("u"), F.col("pivot").alias("v"))
-    # the members of a block that are not linked with the pivot ask every block, their own included
-    loose = durable(cut.where("not core").select("family", F.col("block").alias("asking"), "blocks").distinct())
-    others = loose.select("family", "asking", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("asked"))
-    askers = cut.where("not core").withColumnRenamed("block", "asking").join(others, ["family", "asking"]).withColumn("core", F.lit(False))
-    answers = cut.withColumnRenamed("block", "asked").join(loose.drop("blocks"), "family").where("asked != asking or core").withColumn("core", F.lit(True))
-    tasks = [x.withColumn("task", F.xxhash64("family", "asking", "asked")).select("task", "family", "class", "s", "core") for x in (askers, answers)]
-    return connect(found.unionByName(straight).unionByName(search_groups(tasks[0].unionByName(tasks[1])))), None
+    return connect(found.where("v is not null").select("u", "v")), found.where("n is not null").groupBy("u").agg(F.sum("n").alias("n"))
 
 
 def ngram_join(
@@ -625,14 +626,13 @@ def ngram_join(
     text: str = "text",
     block_shingles: int = BLOCK_SHINGLES,
     order_sample: int = ORDER_SAMPLE,
-    all_links: bool = True,
 ) -> DataFrame:
     """key, n_shingles, component_id, class_id and component_class (hex, null for an empty set),
     class_size, text_sha256 and n_links for each row: the number of other rows it is linked with, copies
-    included. Without all_links only components are searched for, and there is no n_links."""
+    included."""
     context = docs.sparkSession.sparkContext
-    frequent = context.broadcast(frequent_shingles(docs, text, order_sample, FREQUENT_FROM, FREQUENT).tobytes())
     size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    frequent = context.broadcast(frequent_shingles(docs, text, order_sample, FREQUENT_FROM, FREQUENT, size).tobytes())
     buckets = max(8, math.ceil(size / BUCKET_BYTES))
     kind = docs.schema[key].dataType.simpleString()
     sent = postings(docs, key, text, frequent, buckets)
@@ -646,14 +646,13 @@ def ngram_join(
     counted = counted_pairs(rows.where("pairs is not null"))
     families = families_of(rows.where("pairs is null and u is not null").select("u", "v").unionByName(counted))
     classes = durable(_classes(listed))
-    found, linked_rows = links(docs, text, classes, families, block_shingles, all_links)
+    found, linked_rows = links(docs, text, classes, families, block_shingles)
     release(docs.sparkSession)
     labels = found.select(F.col("u").alias("class"), F.col("v").alias("label"))
     named = durable(classes.join(labels, "class", "left").withColumn("label", F.coalesce("label", "class")))
     smallest = durable(named.groupBy("label").agg(F.min("least").alias("component_id")))
-    if all_links:
-        named = named.join(linked_rows.select(F.col("u").alias("class"), "n"), "class", "left").withColumn("n_links", F.col("members") - 1 + F.coalesce("n", F.lit(0)))
-    table = durable(named.join(smallest, "label").select("class", "label", "component_id", "members", *(["n_links"] if all_links else [])))
+    named = named.join(linked_rows.select(F.col("u").alias("class"), "n"), "class", "left").withColumn("n_links", F.col("members") - 1 + F.coalesce("n", F.lit(0)))
+    table = durable(named.join(smallest, "label").select("class", "label", "component_id", "members", "n_links"))
     joined = listed.join(table, "class", "left")
     return joined.select(
         F.col("key").alias(key),
@@ -663,7 +662,7 @@ def ngram_join(
         F.lower(F.hex("label")).alias("component_class"),
         F.coalesce("members", F.lit(1)).alias("class_size"),
         F.col("sha").alias("text_sha256"),
-        *([F.coalesce("n_links", F.lit(0)).alias("n_links")] if all_links else []),
+        F.coalesce("n_links", F.lit(0)).alias("n_links"),
     )
 
 
@@ -682,7 +681,7 @@ def _classes(listed: DataFrame) -> DataFrame:
 
 def distinct_documents(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One document of each component, the one with the smallest id; all columns are kept."""
-    judged = ngram_join(docs, key, text, all_links=False)
+    judged = ngram_join(docs, key, text)
     stays = F.col(key).eqNullSafe(F.col("component_id"))
     # rows without shingles are linked with nothing: all of them stay
     alone = judged.where("n_shingles = 0").groupBy(F.col(key).alias("__key"), F.col("text_sha256").alias("__sha")).agg(F.lit(1).alias("__twins"))

@@ -64,23 +64,35 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-BITMAP_BITS = 22
+#: A bitmap has 8 bits or more for each value, up to 2^27 in all (16 MB).
+BITMAP_BITS = (16, 27)
 
 
-def bitmap_of(values: DataFrame, column: str, bits: int = BITMAP_BITS) -> bytes:
-    """A bit for each residue of the values of a long column: at most 2^bits bits, whatever the input.
+def bitmap_of(values: DataFrame, column: str) -> bytes:
+    """A bit for each residue of the values of a long column, 2^k bits as the number of values asks for.
 
-    A value whose bit is not set is certainly not there. The driver gets at most 2^bits small
-    numbers, so the size is bounded by the parameter; with more values than bits the map lets
-    nearly everything through, and an exact join after it still decides.
+    A value whose bit is not set is certainly not there. Bits are set by segment on the executors, so
+    the driver gets 16 MB at most; beyond 2^27 / 8 values the map lets more and more through, and the
+    exact join that follows it always decides.
     """
     import numpy as np
-
-    residue = F.col(column).bitwiseAND(F.lit((1 << bits) - 1)).cast("int").alias("r")
-    held = np.zeros(1 << bits, bool)
-    found = values.select(residue).distinct().toArrow().column(0).to_numpy()
-    held[found] = True
-    return np.packbits(held).tobytes()
+    import pyarrow as pa
+
+    least, most = BITMAP_BITS
+    bits = min(most, max(least, (8 * values.count()).bit_length()))
+    width = 1 << 16
+
+    def packed(table: pa.Table) -> pa.Table:
+        held = np.zeros(width, bool)
+        held[table["r"].to_numpy() & (width - 1)] = True
+        return pa.table([[table["g"][0].as_py()], pa.array([np.packbits(held).tobytes()], pa.binary())], names=["g", "b"])
+
+    residues = values.select(F.col(column).bitwiseAND(F.lit((1 << bits) - 1)).alias("r")).distinct()
+    found = residues.withColumn("g", F.shiftright("r", 16)).groupBy("g").applyInArrow(packed, "g long, b binary").toArrow()
+    made = bytearray(1 << (bits - 3))
+    for g, b in zip(found["g"].to_pylist(), found["b"].to_pylist(), strict=True):
+        made[g * width // 8 : (g + 1) * width // 8] = b
+    return bytes(made)
 
 
 def unpack(bitmap: bytes):
