@@ -15,7 +15,8 @@ exchange.
 
 Defined results: a null or empty text has no buckets, so its score is the softmax of the bias alone.
 Labels, language, source and id are never features. Rows with a null label or id teach nothing; with
-no labelled rows at all, every score is 0.5. Repeated rows get equal scores, an empty table an empty
+no labelled rows at all, every score is 0.5. Of rows with one id the smallest label and the smallest
+text teach. Very long texts are read to their end. Repeated rows get equal scores, an empty table an empty
 result; other columns never take part.
 """
 
@@ -166,12 +167,14 @@ def held_out(key: Column, parts: int = 4, part: int = 2) -> Column:
 def training_rows(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str) -> DataFrame:
     """__text and __label of at most TRAIN_DOCS labelled rows that may be learnt from."""
     usable = labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull() & ~held_out(F.col(key)))
-    drawn = usable.select(F.col(key).alias("__key"), F.col(label).cast("int").alias("__label")).dropDuplicates(["__key"])
+    drawn = usable.select(F.col(key).alias("__key"), F.col(label).cast("int").alias("__label"))
+    # of repeated ids the smallest label and text teach, so that reruns learn the same
+    drawn = drawn.groupBy("__key").agg(F.min("__label").alias("__label"))
     drawn = drawn.orderBy(F.xxhash64("__key"), "__key").limit(TRAIN_DOCS)
     # at most TRAIN_DOCS keys, so this side is always small enough to broadcast
     texts = docs.select(F.col(key).alias("__key"), F.col(text).alias("__text"))
     # rows with the same id would make the sample grow: one of them is enough
-    return texts.join(F.broadcast(drawn), "__key").groupBy("__key").agg(F.first("__text").alias("__text"), F.first("__label").alias("__label"))
+    return texts.join(F.broadcast(drawn), "__key").groupBy("__key").agg(F.min("__text").alias("__text"), F.min("__label").alias("__label"))
 
 
 def quality_scores(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality") -> DataFrame:

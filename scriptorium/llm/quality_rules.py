@@ -6,8 +6,11 @@ word array through a let-binding, so that it is split once for each document.
 Rules that a line may break:
 
 * navigation - at most ``NAV_WORDS`` words, and two or more menu separators or a menu word alone;
-* boilerplate - one of the stock phrases;
-* punctuation - symbols and exclamation marks make up more than ``SYMBOL_PERCENT`` of its characters.
+* boilerplate - at most ``NAV_WORDS`` words, and one of the stock phrases: prose that mentions one stays;
+* punctuation - symbols and exclamation marks make up more than ``SYMBOL_PERCENT`` of its characters, or
+  it has at most ``NAV_WORDS`` words and breaks off in an ellipsis, as teasers do.
+
+Phrases and menu words are those of four languages; a text is asked for all of them.
 
 A document fails if its base statistics fail (fewer than 10 words, or more than a fifth of its
 words in repeated 5-word windows) or if the dropped lines hold more than ``LOST_PERCENT`` of its
@@ -15,7 +18,7 @@ words.
 
 Defined results: a null or empty text has no words, so it fails; its clean text is empty. Lines
 without a word are kept as they are. Rows are judged one by one, so repeated rows and ties get
-equal results and an empty table an empty one. Columns of the input that are not named in the call
+equal results and an empty table an empty one. Very long texts and lines are judged whole. Columns of the input that are not named in the call
 never take part, whatever their names.
 """
 
@@ -33,13 +36,26 @@ REPEAT_PERCENT = 20
 NAV_WORDS = 12
 SYMBOL_PERCENT = 15
 LOST_PERCENT = 50
-#: Phrases and menu words, in lower case.
-PHRASES = (
-    "all rights reserved", "privacy policy", "terms of use", "terms of service", "cookie policy",
-    "accept cookies", "enable javascript", "lorem ipsum", "subscribe to our", "click here",
-    "powered by", "back to top",
-)
-MENU_WORDS = ("home", "menu", "login", "log in", "sign in", "sign up", "register", "search", "sitemap", "next", "previous", "share")
+TEASER = r"(?:…|\.\.\.)[\x20\x09-\x0D\])»]*$"
+#: Phrases and menu words by language, in lower case.
+PHRASES_OF = {
+    "en": (
+        "all rights reserved", "privacy policy", "terms of use", "terms of service", "cookie policy",
+        "accept cookies", "enable javascript", "lorem ipsum", "subscribe to our", "click here",
+        "powered by", "back to top", "read more", "sign up for", "follow us on", "share this",
+    ),
+    "de": ("alle rechte vorbehalten", "datenschutzerklärung", "nutzungsbedingungen", "cookies akzeptieren", "newsletter abonnieren", "mehr erfahren", "nach oben"),
+    "es": ("todos los derechos reservados", "política de privacidad", "términos de uso", "aceptar cookies", "haga clic aquí", "leer más", "volver arriba"),
+    "fr": ("tous droits réservés", "politique de confidentialité", "conditions d.utilisation", "accepter les cookies", "cliquez ici", "lire la suite", "haut de page"),
+}
+MENU_WORDS_OF = {
+    "en": ("home", "menu", "login", "log in", "sign in", "sign up", "register", "search", "sitemap", "next", "previous", "share"),
+    "de": ("startseite", "anmelden", "abmelden", "suche", "kontakt", "impressum", "weiter", "teilen"),
+    "es": ("inicio", "iniciar sesión", "registrarse", "buscar", "contacto", "siguiente", "anterior", "compartir"),
+    "fr": ("accueil", "connexion", "rechercher", "plan du site", "suivant", "précédent", "partager"),
+}
+PHRASES = tuple(p for ps in PHRASES_OF.values() for p in ps)
+MENU_WORDS = tuple(w for ws in MENU_WORDS_OF.values() for w in ws)
 MENU_LINE = r"(?i)^[\x20\x09-\x0D]*(?:" + "|".join(MENU_WORDS) + r")[\x20\x09-\x0D]*$"
 A_WORD = r"[^\x20\x09-\x0D]"
 SEPARATORS = "|»›•"
@@ -85,23 +101,21 @@ def repeated_words(words: Column) -> Column:
 
 def _may_break(text: Column) -> Column:
     """Which rules a text can break at all, so that its lines need not be asked for the others."""
-    low = F.lower(text)  # also maps some other characters to a-z, so it lets through too much at worst
-    phrase = F.lit(False)
-    for p in PHRASES:
-        phrase = phrase | F.contains(low, F.lit(p))
     return F.struct(
         text.rlike(f"[{SEPARATORS}][^{SEPARATORS}]*[{SEPARATORS}]").alias("menu"),
-        phrase.alias("phrase"),
+        # lower() also maps some other characters to a-z, so it lets through too much at worst
+        F.lower(text).rlike("|".join(PHRASES)).alias("phrase"),
         text.rlike(f"[{SYMBOLS}!]").alias("symbols"),
     )
 
 
 def breaks_rule(line: Column, may: Column) -> Column:
-    """Whether a line breaks one of the rules."""
-    menu = ((may["menu"] & (_count_of(line, SEPARATORS) >= 2)) | line.rlike(MENU_LINE)) & (F.size(words_of(line)) <= NAV_WORDS)
-    phrase = ascii_lower(line).rlike("|".join(PHRASES))
+    """Whether a line breaks one of the rules; the costly questions come last."""
+    short = F.size(words_of(line)) <= NAV_WORDS
+    menu = (may["menu"] & (_count_of(line, SEPARATORS) >= 2)) | line.rlike(MENU_LINE)
+    phrase = may["phrase"] & ascii_lower(line).rlike("|".join(PHRASES))
     symbols = _count_of(line, SYMBOLS + "!") * 100 > F.length(F.regexp_replace(line, WORD_GAP, "")) * SYMBOL_PERCENT
-    return menu | (may["phrase"] & phrase) | (may["symbols"] & symbols)
+    return ((menu | phrase | line.rlike(TEASER)) & short) | (may["symbols"] & symbols)
 
 
 def assess(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -195,8 +209,7 @@ ruled AS (
 judged AS (
   SELECT *, list_filter(ls, lambda l: l.solid > 0 AND (
       (l.nw <= {NAV_WORDS} AND (length(l.line) - length(regexp_replace(l.line, '[|»›•]', '', 'g')) >= 2
-          OR regexp_matches(l.low, '{MENU_LINE}')))
-      OR regexp_matches(l.low, '{"|".join(PHRASES)}')
+          OR regexp_matches(l.low, '{MENU_LINE}') OR regexp_matches(l.low, '{"|".join(PHRASES)}') OR regexp_matches(l.line, '{TEASER}')))
       OR (length(l.line) - length(regexp_replace(l.line, '[#*$%&|<>!]', '', 'g'))) * 100 > l.solid * {SYMBOL_PERCENT})) AS bad
   FROM ruled),
 wins AS (

@@ -102,3 +102,11 @@ def test_lines_that_fail_go_and_the_rest_stays(odd):
     assert kept[12].text.startswith("same line\nsame line\nw0 ") and "rights" not in kept[12].text and "About" not in kept[12].text
     assert kept[12].n_chars == len(kept[12].text) and kept[12].bucket == "clash"
     assert 1 not in kept and 4 not in kept and kept[6].text.endswith("w59.")
+
+
+def test_prose_that_mentions_a_phrase_stays(spark):
+    prose = "The board met in spring to settle its privacy policy and the terms of use, and it voted for both of them after a long talk."
+    texts = [prose, f"{prose}\nPrivacy policy | Terms of use", f"{prose}\nDatenschutzerklärung", f"{prose}\nAccueil", f"{prose}\nThe board met in ...", prose.replace(".", "..."), None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r.doc_id: (r.kept, r.n_lines_removed) for r in quality_rules.quality_rules(docs).collect()}
+    assert found == {0: (True, 0), 1: (True, 1), 2: (True, 1), 3: (True, 1), 4: (True, 1), 5: (True, 0), 6: (False, 0)}
