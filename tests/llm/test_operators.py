@@ -336,34 +336,79 @@ def test_base_scores_by_a_plain_count(odd, none, copies):
     assert suffix_tree.suffix_tree_scores(none).count() == 0
 
 
-def test_tree_scores_by_a_plain_walk(monkeypatch):
-    monkeypatch.setattr(suffix_tree, "P_MIN", 0.001)
-    texts = ["abab abba baab", "abab abab", "cab", ""] * 5
-    counts = Counter(b for t in texts for b in t.encode())
-    table = np.full(257, suffix_tree.OTHER, np.int64)
-    ranked = sorted(counts, key=lambda b: (-counts[b], b))
-    table[ranked] = np.arange(len(ranked))
-    table[256] = suffix_tree.END
-    classes = np.concatenate([table, np.array([counts[b] for b in range(256)])])
-    runs = np.concatenate([suffix_tree.symbols(b, table)[0] for b in kernels.blocks(pa.array(texts))])
-    levels = [suffix_tree._sums(runs & ((1 << suffix_tree.CLASS_BITS * (d + 1)) - 1), np.ones(len(runs))) for d in range(suffix_tree.DEPTH + 1)]
-    tree = suffix_tree.Tree(levels, classes, len(runs))
-    rows = 10 ** tree.logs.astype(float)
-    assert np.allclose(rows.sum(axis=1), 1, atol=1e-5)
-    seen = ["", "abab", "zzz \u00e9", "cab ab"]
-    got = np.concatenate([tree.scores(b, table) for b in kernels.blocks(pa.array(seen))])
-    for text, score in zip(seen, got, strict=True):
-        past, total = [suffix_tree.END] * suffix_tree.DEPTH, 0.0
-        for b in [*text.encode(), 256]:
-            node, deepest = 1, 1
-            for c in reversed(past[-suffix_tree.DEPTH :]):
-                node = tree.children[node, c]
-                if not node:
-                    break
-                deepest = node
-            total += tree.logs[tree.state[deepest], table[b]] + tree.inside[b]
-            past.append(table[b])
-        assert abs(total - score) < 1e-4
+def plain_tree(texts, taught, root):
+    """log10 probabilities by dictionaries: states by the left-out gain, Witten-Bell smoothing."""
+    depth, end = suffix_tree.DEPTH, None
+    said = [[*t, end] for t in texts]
+    walks = [[(tuple(([end] * depth + t)[i : i + depth]), t[i]) for i in range(len(t))] for t in said]
+    seen = defaultdict(Counter)
+    for walk, flag in zip(walks, taught, strict=True):
+        for past, x in walk if flag else []:
+            for k in range(1, depth + 1):
+                seen[past[depth - k :]][x] += 1
+
+    def p(past, x, k):
+        return root(x) if k == 0 else smoothed(past[depth - k :], x, p(past, x, k - 1)) if states.get(past[depth - k :]) else p(past, x, k - 1)
+
+    def smoothed(context, x, less):
+        n, t = sum(seen[context].values()), len(seen[context])
+        return (seen[context][x] + t * less) / (n + t)
+
+    states = {}
+    for k in range(1, depth + 1):
+        gains = Counter()
+        for walk, flag in zip(walks, taught, strict=True):
+            for past, x in walk if flag else []:
+                c, less = past[depth - k :], p(past, x, k - 1)
+                left, kinds = sum(seen[c].values()) - 1, len(seen[c]) - (seen[c][x] == 1)
+                gains[c] += math.log((seen[c][x] - 1 + kinds * less) / (left + kinds) / less) if left else 0
+        for c, gain in gains.items():
+            n = sum(seen[c].values())
+            states[c] = n >= suffix_tree.MIN_COUNT and gain > suffix_tree.GAIN * n and not all(w in hot for w in c)
+    return [sum(math.log10(p(past, x, depth)) for past, x in walk) for walk in walks], sum(states.values())
+
+
+hot: set = set()
+
+
+@pytest.mark.parametrize("listed, hot_count", [(1 << 20, 1_000_000), (5, 40)])
+def test_tree_equals_a_plain_one(listed, hot_count, spark, monkeypatch):
+    monkeypatch.setattr(suffix_tree, "LISTED", listed)
+    monkeypatch.setattr(suffix_tree, "HOT_COUNT", hot_count)
+    rng = random.Random(8)
+    line = "of the old mill by the river"
+    texts = [" ".join([*(rng.choice("the of a old mill Stone by tree red".split()) for _ in range(rng.randint(0, 25))), *([line] if i % 4 == 0 else [])]) for i in range(120)] + [None, "", "unseen words only", line]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    held = [zlib.crc32(str(i).encode()) % 7 == 2 for i in range(len(texts))]
+    words = [WORD.findall(lower(t)) for t in texts]
+    counts = Counter(w for t, h in zip(words, held, strict=True) for w in t if not h)
+    n_texts = held.count(False)
+    total = sum(counts.values()) + n_texts + len(counts) + 2
+    # the same list as the operator's, and the other words in equal parts
+    order = sorted((w for w in counts if counts[w] >= suffix_tree.MIN_COUNT), key=lambda w: -counts[w])[:listed]
+    assert len(order) < listed or counts[order[-1]] > max((counts[w] for w in counts if w not in order), default=0)
+    rest = total - sum(counts[w] + 1 for w in order) - n_texts - 1
+    root = lambda w: (n_texts + 1) / total if w is None else (counts[w] + 1) / total if w in order else rest / total / (len(counts) - len(order) + 1)
+    hot.clear()
+    hot.update(w for w in order if counts[w] > hot_count)
+    if n_texts > hot_count:
+        hot.add(None)
+    want, states = plain_tree(words, [not h for h in held], root)
+    assert states > 10
+    found = {r.doc_id: r.score for r in suffix_tree.suffix_tree_scores(docs).collect()}
+    assert max(abs(found[i] - x) for i, x in enumerate(want)) < 1e-3
+
+
+@pytest.mark.parametrize("folder", ["sf0.001", "sf0.01"])
+def test_tree_scores_held_out_texts_above_the_base(folder, spark):
+    docs = spark.read.parquet(f"/root/testdata/{folder}/documents.parquet")
+    sums = {r.held_out: r for r in suffix_tree.suffix_tree_scores(docs).groupBy("held_out").agg({"score": "sum", "base_score": "sum"}).collect()}
+    assert all(r["sum(score)"] > r["sum(base_score)"] for r in sums.values())
+
+
+def test_tree_of_an_untaught_corpus(spark):
+    rows = suffix_tree.suffix_tree_scores(spark.createDataFrame([(i, "a b") for i in range(60) if zlib.crc32(str(i).encode()) % 7 == 2], "doc_id long, text string")).collect()
+    assert rows and {(r.held_out, r.train_tokens, r.n_known, r.base_score, round(r.score, 6)) for r in rows} == {(True, 0, 0, 0.0, round(3 * math.log10(0.5), 6))}
 
 
 # ---- chat
