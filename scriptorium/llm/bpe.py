@@ -1,19 +1,23 @@
-"""Byte-level BPE by replaying merges over many words at once, and decoding.
-
-The words (pre-tokens) of a block of documents are deduplicated and laid end to end as bytes. An
-inverted index maps each merge, named by its rank, to the positions where its pair stands. Ranks
-are applied in order; a merge touches only its two neighbours, whose new pairs enter the index.
-Words never meet, since no pair crosses a border. If a merge makes a pair of lower rank than its
-own, that rank comes next, so the result is the one of merging the lowest pair of each word first.
-
-Results are kept by word, up to about ``CACHE_BYTES`` in each worker, and the words not used lately
-make room. Blocks hold about ``BLOCK_CHARS`` of text, so memory stays bounded. Documents are encoded in Arrow batches,
-without an exchange.
-
-Defined results: a null or empty text has no ids, and the digests of no bytes. Repeated rows get
-equal results, an empty table an empty one; other columns of the input never take part. A missing
-rank file raises; a byte without a rank of its own raises a KeyError. Lone surrogates cannot occur
-in Spark strings.
+"""Byte-level BPE by replaying the merges over the whole corpus's words, and decoding.
+
+1. Each task cuts its texts into words (pre-tokens) and numbers the distinct ones of about
+   ``BLOCK_CHARS`` of text, a source. Words that are tokens as a whole have their id already; the others
+   go to a bucket by their hash. What stays of the texts is the sequence of numbers, packed.
+2. A bucket holds each of its words once, from however many texts. They are laid end to end as bytes,
+   and an inverted index maps each merge, named by its rank, to the positions where its pair stands.
+   Ranks are applied in order; a merge touches only its two neighbours, whose new pairs enter the
+   index. Words never meet, since no pair crosses a border. If a merge makes a pair of lower rank than
+   its own, that rank comes next, so the result is the one of merging each word's lowest pair first.
+3. The ids of its words come back to each source, which reads its texts' ids off by number, and
+   decodes them.
+
+Words are replayed once for the corpus, and buckets grow in number with it, not in size. Sources are
+named by a hash of their texts, so what a repeated task sends never meets another's.
+
+Defined results: a null or empty text has no ids, and the digests of no bytes. Very long texts are
+sources of their own, and a long word is replayed like any other. Repeated rows get equal results,
+an empty table an empty one; other columns of the input never take part. A missing rank file raises;
+a byte without a rank of its own raises a KeyError. Lone surrogates cannot occur in Spark strings.
 """
 
 from __future__ import annotations
@@ -21,18 +25,28 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
+import math
+from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain, pairwise
+from itertools import chain, count, pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-CACHE_BYTES = 160 << 20
-BLOCK_CHARS = 1 << 22
-#: What a cached word takes besides its characters.
-ENTRY_BYTES = 220
+from scriptorium.llm import kernels
+
+#: Text of a source, and text for each bucket of words.
+BLOCK_CHARS = 12 << 20
+BUCKET_BYTES = 24 << 20
+#: Groups that rows which only pass through the buckets' exchange are dealt to.
+PASSING = 4_096
 
 
 @lru_cache(maxsize=2)
@@ -208,48 +222,30 @@ def replay(words: list[bytes], merges: Merges) -> list[list[int]]:
 
 
 class Codec:
-    """Encodes and decodes texts by one rank file and one pattern.
-
-    Known words are held in two generations of half the room each: when the young one is full it
-    becomes the old one, and words in use move back into the young one.
-    """
+    """Encodes and decodes by one rank file and one pattern."""
 
-    def __init__(self, path: str, pattern: str, cache_bytes: int = CACHE_BYTES):
+    def __init__(self, path: str, pattern: str):
         import regex
 
         self.ranks = load_ranks(path)
         self.bytes_of = {rank: token for token, rank in self.ranks.items()}
         self.merges = Merges(self.ranks)
         self.split = regex.compile(pattern).findall
-        self.room = cache_bytes // 2
-        self.young: dict[str, list[int]] = {}
-        self.old: dict[str, list[int]] = {}
-        self.held = 0
-
-    def learn(self, words: set[str]) -> None:
-        """Replay the merges over the words that are not known yet."""
-        if self.held > self.room:
-            self.old, self.young, self.held = self.young, {}, 0
-        young, old, ranks, new = self.young, self.old, self.ranks, []
-        for word in words:
-            if word in young:
-                continue
-            if (ids := old.get(word)) is not None:
-                young[word] = ids
-            elif (whole := ranks.get(data := word.encode())) is not None:
-                young[word] = [whole]
-            else:
-                new.append((word, data))
-            self.held += len(word) + ENTRY_BYTES
-        for (word, _), ids in zip(new, replay([d for _, d in new], self.merges), strict=True):
-            young[word] = ids
+
+    def encode_words(self, words: list[bytes]) -> list[list[int]]:
+        """The ids of each word; those that are no token themselves are replayed together."""
+        made = [[self.ranks[w]] if w in self.ranks else None for w in words]
+        rest = [i for i, ids in enumerate(made) if ids is None]
+        for i, ids in zip(rest, replay([words[i] for i in rest], self.merges), strict=True):
+            made[i] = ids
+        return made
 
     def encode(self, texts: list[str]) -> list[list[int]]:
-        """The ids of each text of a block."""
+        """The ids of each of some texts, for use without Spark."""
         split = [self.split(t) for t in texts]
-        self.learn(set(chain.from_iterable(split)))
-        ids_of = self.young.__getitem__
-        return [list(chain.from_iterable(map(ids_of, words))) for words in split]
+        words = list(set(chain.from_iterable(split)))
+        ids_of = dict(zip(words, self.encode_words([w.encode() for w in words]), strict=True)).__getitem__
+        return [list(chain.from_iterable(map(ids_of, s))) for s in split]
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, ids))
@@ -260,43 +256,183 @@ def codec(path: str, pattern: str) -> Codec:
     return Codec(path, pattern)
 
 
-def text_blocks(column: pa.Array) -> Iterator[list[str]]:
-    """Texts in runs of about BLOCK_CHARS characters; null counts as empty."""
-    block, held = [], 0
-    for value in column:
-        text = value.as_py() or ""
-        block.append(text)
-        held += len(text)
-        if held >= BLOCK_CHARS:
-            yield block
-            block, held = [], 0
-    if block:
-        yield block
+def squeezed(numbers: np.ndarray) -> bytes:
+    """Numbers below 2^32 as compressed planes of their bytes."""
+    numbers = numbers.astype(np.uint32)
+    return zstandard.ZstdCompressor(level=1).compress(numbers.view(np.uint8).reshape(-1, 4).T.tobytes())
 
 
-def encode_documents(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text: str = "text", with_ids: bool = True) -> DataFrame:
-    """key, n_tokens, the digests of ids and decoded bytes, and the ids if they are wanted."""
+def expanded(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(planes.T).view(np.uint32).ravel().astype(np.int64)
+
+
+def joined_words(words: list[bytes]) -> bytes:
+    """Words as one compressed string, their lengths first."""
+    lengths = np.array([len(w) for w in words], np.uint32)
+    return zstandard.ZstdCompressor(level=1).compress(np.array([len(words)], np.uint32).tobytes() + lengths.tobytes() + b"".join(words))
+
+
+def parted_words(data: bytes) -> list[bytes]:
+    data = zstandard.ZstdDecompressor().decompress(data)
+    n = int(np.frombuffer(data, np.uint32, 1)[0])
+    ends = np.cumsum(np.frombuffer(data, np.uint32, n, 4), dtype=np.int64) + 4 * (n + 1)
+    return [data[a:b] for a, b in pairwise([4 * (n + 1), *ends.tolist()])]
+
+
+#: Kinds of rows: a document, a source's sequence of words, words of a source for a bucket or their ids.
+DOCUMENT, SEQUENCE, WORDS = 0, 1, 2
+_SENT = "bucket long, kind int, source long, key {kind}, uid long, n long, numbers binary, data binary"
+_NAMES = ["bucket", "kind", "source", "key", "uid", "n", "numbers", "data"]
+
 
-    def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+class _Source:
+    """Some texts of one task: their distinct words by number, and their sequences of numbers."""
+
+    def __init__(self, salt: str):
+        self.number: dict[str, int] = defaultdict(count().__next__)
+        self.sequence: list[np.ndarray] = []
+        self.rows: list[tuple[pa.Array, int, int]] = []
+        self.chars = 0
+        self.digest = xxhash.xxh3_64(salt)
+
+    def add(self, key: pa.Array, uid: int, text: str, tool: Codec) -> None:
+        words = tool.split(text)
+        self.sequence.append(np.fromiter(map(self.number.__getitem__, words), np.uint32, len(words)))
+        self.rows.append((key, uid, len(words)))
+        self.digest.update(text)
+        self.chars += len(text)
+
+    def packed(self, tool: Codec, buckets: int, key_type: pa.DataType) -> Iterator[pa.RecordBatch]:
+        name = self.digest.intdigest() - (1 << 63)
+        by_bucket: dict[int, tuple[list[int], list[bytes]]] = defaultdict(lambda: ([], []))
+        known: list[tuple[int, int]] = []
+        for word, number in self.number.items():
+            data = word.encode()
+            if (rank := tool.ranks.get(data)) is not None:
+                known.append((number, rank))
+            else:
+                numbers, words = by_bucket[xxhash.xxh3_64_intdigest(data) % buckets]
+                numbers.append(number)
+                words.append(data)
+        numbers, ranks = (np.array(x, np.int64) for x in zip(*known, strict=True)) if known else (np.zeros(0, np.int64),) * 2
+        keys = pa.concat_arrays([k for k, _, _ in self.rows])
+        for at in range(0, len(self.rows), 10_000):
+            rows = self.rows[at : at + 10_000]
+            uids, n = pa.array([u for _, u, _ in rows], pa.int64()), len(rows)
+            columns = [pa.array([-1 - u % PASSING for _, u, _ in rows], pa.int64()), pa.array([DOCUMENT] * n, pa.int32()), pa.array([name] * n, pa.int64()), keys.slice(at, n), uids, pa.array([k for _, _, k in rows], pa.int64()), *[pa.nulls(n, pa.binary())] * 2]
+            yield pa.RecordBatch.from_arrays(columns, names=_NAMES)
+        sequence = squeezed(np.concatenate(self.sequence))
+        # the numbers of words known here travel with the sequence as pairs
+        packed = [(-1 - name % PASSING, SEQUENCE, sequence, squeezed(np.concatenate([numbers, ranks])))]
+        packed += [(b, WORDS, squeezed(np.array(numbers)), joined_words(words)) for b, (numbers, words) in by_bucket.items()]
+        for at in range(0, len(packed), 256):
+            part = packed[at : at + 256]
+            n = len(part)
+            columns = [pa.array([p[0] for p in part], pa.int64()), pa.array([p[1] for p in part], pa.int32()), pa.array([name] * n, pa.int64()), pa.nulls(n, key_type), *[pa.nulls(n, pa.int64())] * 2, *(pa.array([p[i] for p in part], pa.binary()) for i in (2, 3))]
+            yield pa.RecordBatch.from_arrays(columns, names=_NAMES)
+
+
+def numbered(docs: DataFrame, path: str, pattern: str, key: str, text: str, buckets: int, block_chars: int) -> DataFrame:
+    """Rows of the three kinds for all documents."""
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = codec(path, pattern)
-        names = [key, "n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * with_ids]
+        task = TaskContext.get().partitionId()
+        uid, key_type, source = task << 40, None, _Source(f"{task}:0")
         for batch in batches:
-            at = 0
-            for block in text_blocks(batch.column(1)):
-                ids = tool.encode(block)
-                columns = [
-                    batch.column(0).slice(at, len(block)),
-                    pa.array(map(len, ids), pa.int64()),
-                    pa.array([hashlib.sha256(" ".join(map(str, i)).encode()).hexdigest() for i in ids], pa.string()),
-                    pa.array([hashlib.sha256(tool.decode(i)).hexdigest() for i in ids], pa.string()),
-                    *[pa.array(ids, pa.list_(pa.int32()))] * with_ids,
-                ]
-                at += len(block)
-                yield pa.RecordBatch.from_arrays(columns, names=names)
+            key_type = batch.column(0).type
+            for i, value in enumerate(batch.column(1)):
+                source.add(batch.column(0).slice(i, 1), uid, value.as_py() or "", tool)
+                uid += 1
+                if source.chars >= block_chars or len(source.rows) >= 100_000:
+                    yield from source.packed(tool, buckets, key_type)
+                    source = _Source(f"{task}:{uid}")
+        if source.rows:
+            yield from source.packed(tool, buckets, key_type)
+
+    kind = docs.schema[key].dataType.simpleString()
+    return docs.select(key, text).mapInArrow(kernels.trimmed(made), _SENT.format(kind=kind))
+
+
+def replayed(sent: DataFrame, path: str, pattern: str, kind: str) -> DataFrame:
+    """In each bucket the ids of its words, for each source that asked; other rows as they came."""
+
+    def joined(table: pa.Table) -> pa.Table:
+        if table["bucket"][0].as_py() < 0:
+            return table.drop_columns("bucket")
+        tool = codec(path, pattern)
+        asked = [parted_words(x.as_py()) for x in table["data"]]
+        place: dict[bytes, int] = defaultdict(count().__next__)
+        asked = [np.fromiter(map(place.__getitem__, words), np.int64, len(words)) for words in asked]
+        ids = replay(list(place), tool.merges)
+        lengths = np.array([len(i) for i in ids], np.int64)
+        starts, flat = np.cumsum(lengths) - lengths, np.fromiter(chain.from_iterable(ids), np.int64, int(lengths.sum()))
+        del ids
+        data = [squeezed(np.concatenate([lengths[at], flat[ragged(starts[at], lengths[at])]])) for at in asked]
+        kernels.give_back()
+        n = table.num_rows
+        columns = [*(table[c] for c in ("kind", "source", "key", "uid", "n", "numbers")), pa.array(data, pa.binary())]
+        return pa.table(columns, names=_NAMES[1:]) if n else table.drop_columns("bucket")
+
+    return sent.groupBy("bucket").applyInArrow(joined, _SENT.format(kind=kind).removeprefix("bucket long, "))
+
+
+def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The places of runs that begin at starts, end to end."""
+    ends = np.cumsum(lengths)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - lengths), lengths)
+
+
+def ids_of_source(table: pa.Table) -> tuple[pa.Table, np.ndarray, np.ndarray]:
+    """The documents of a source in order, their ids end to end, and where each one's begin."""
+    kind = table["kind"]
+    docs = table.filter(pc.equal(kind, DOCUMENT)).sort_by("uid")
+    whole = table.filter(pc.equal(kind, SEQUENCE))
+    sequence, known = (expanded(whole[c][0].as_py()) for c in ("numbers", "data"))
+    numbers, lengths, flat = [known[: len(known) // 2]], [np.ones(len(known) // 2, np.int64)], [known[len(known) // 2 :]]
+    words = table.filter(pc.equal(kind, WORDS))
+    for asked, answer in zip(words["numbers"], words["data"], strict=True):
+        asked, answer = expanded(asked.as_py()), expanded(answer.as_py())
+        numbers.append(asked)
+        lengths.append(answer[: len(asked)])
+        flat.append(answer[len(asked) :])
+    numbers, lengths, flat = map(np.concatenate, (numbers, lengths, flat))
+    starts = np.cumsum(lengths) - lengths
+    place = np.full(max(numbers.max(initial=-1), sequence.max(initial=-1)) + 1, -1)
+    place[numbers] = np.arange(len(numbers))
+    at = place[sequence]
+    if (at < 0).any():
+        raise RuntimeError("words of a source came without their ids")
+    upto = np.concatenate([[0], np.cumsum(lengths[at])])
+    bounds = upto[np.concatenate([[0], np.cumsum(docs["n"].to_numpy())])]
+    return docs, flat[ragged(starts[at], lengths[at])], bounds
+
+
+def encode_documents(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text: str = "text", with_ids: bool = True, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """key, n_tokens, the digests of ids and decoded bytes, and the ids if they are wanted."""
+    names = [key, "n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * with_ids]
+
+    def coded(table: pa.Table) -> pa.Table:
+        tool = codec(path, pattern)
+        rows, flat, bounds = ids_of_source(table)
+        digests: tuple[list[str], list[str]] = ([], [])
+        for a, b in pairwise(bounds.tolist()):
+            ids = flat[a:b].tolist()
+            digests[0].append(hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest())
+            digests[1].append(hashlib.sha256(tool.decode(ids)).hexdigest())
+        columns = [rows["key"], pa.array(np.diff(bounds)), *(pa.array(x, pa.string()) for x in digests)]
+        if with_ids:
+            columns.append(pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(flat, pa.int32())))
+        kernels.give_back()
+        return pa.table(columns, names=names)
 
     kind = docs.schema[key].dataType.simpleString()
+    size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    buckets = max(8, math.ceil(size / BUCKET_BYTES))
+    done = replayed(numbered(docs, path, pattern, key, text, buckets, block_chars), path, pattern, kind)
     schema = f"`{key}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
-    return docs.select(key, text).mapInArrow(coded, schema)
+    return done.groupBy("source").applyInArrow(coded, schema)
 
 
 def decode_documents(encoded: DataFrame, path: str, pattern: str, key: str = "doc_id", ids: str = "ids") -> DataFrame:
