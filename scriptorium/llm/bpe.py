@@ -257,20 +257,29 @@ def codec(path: str, pattern: str) -> Codec:
 
 
 def squeezed(numbers: np.ndarray) -> bytes:
-    """Numbers below 2^32 as compressed planes of their bytes."""
-    numbers = numbers.astype(np.uint32)
-    return zstandard.ZstdCompressor(level=1).compress(numbers.view(np.uint8).reshape(-1, 4).T.tobytes())
+    """Numbers below 2^32 as compressed planes of their bytes, as many as the largest one needs."""
+    width = max(1, (int(numbers.max(initial=0)).bit_length() + 7) // 8)
+    planes = numbers.astype(np.uint32).view(np.uint8).reshape(-1, 4).T[:width]
+    return bytes([width]) + zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
 
 
 def expanded(data: bytes) -> np.ndarray:
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(4, -1)
-    return np.ascontiguousarray(planes.T).view(np.uint32).ravel().astype(np.int64)
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data[1:]), np.uint8).reshape(data[0], -1)
+    made = np.zeros(planes.shape[1], np.int64)
+    for i, plane in enumerate(planes):
+        made |= plane.astype(np.int64) << (8 * i)
+    return made
+
+
+def steps(rising: np.ndarray) -> np.ndarray:
+    """Rising numbers as the first one and the differences, which np.cumsum undoes."""
+    return np.diff(rising, prepend=0)
 
 
 def joined_words(words: list[bytes]) -> bytes:
     """Words as one compressed string, their lengths first."""
     lengths = np.array([len(w) for w in words], np.uint32)
-    return zstandard.ZstdCompressor(level=1).compress(np.array([len(words)], np.uint32).tobytes() + lengths.tobytes() + b"".join(words))
+    return zstandard.ZstdCompressor(level=3).compress(np.array([len(words)], np.uint32).tobytes() + lengths.tobytes() + b"".join(words))
 
 
 def parted_words(data: bytes) -> list[bytes]:
@@ -305,15 +314,26 @@ class _Source:
 
     def packed(self, tool: Codec, buckets: int, key_type: pa.DataType) -> Iterator[pa.RecordBatch]:
         name = self.digest.intdigest() - (1 << 63)
+        sequence = np.concatenate(self.sequence)
+        # numbers by falling frequency take fewest bytes; words that stand once follow in their order, so
+        # that the sequence need only say that there is one
+        times = np.bincount(sequence, minlength=len(self.number))
+        order = np.argsort(-np.where(times == 1, 0, times), kind="stable")
+        number = np.empty(len(order), np.int64)
+        number[order] = np.arange(len(order))
+        repeated = int((times > 1).sum())
+        sequence = number[sequence] + 1
+        sequence[sequence > repeated] = 0
         by_bucket: dict[int, tuple[list[int], list[bytes]]] = defaultdict(lambda: ([], []))
         known: list[tuple[int, int]] = []
-        for word, number in self.number.items():
-            data = word.encode()
+        found = list(self.number)
+        for place, i in enumerate(order.tolist()):
+            data = found[i].encode()
             if (rank := tool.ranks.get(data)) is not None:
-                known.append((number, rank))
+                known.append((place, rank))
             else:
                 numbers, words = by_bucket[xxhash.xxh3_64_intdigest(data) % buckets]
-                numbers.append(number)
+                numbers.append(place)
                 words.append(data)
         numbers, ranks = (np.array(x, np.int64) for x in zip(*known, strict=True)) if known else (np.zeros(0, np.int64),) * 2
         keys = pa.concat_arrays([k for k, _, _ in self.rows])
@@ -322,10 +342,9 @@ class _Source:
             uids, n = pa.array([u for _, u, _ in rows], pa.int64()), len(rows)
             columns = [pa.array([-1 - u % PASSING for _, u, _ in rows], pa.int64()), pa.array([DOCUMENT] * n, pa.int32()), pa.array([name] * n, pa.int64()), keys.slice(at, n), uids, pa.array([k for _, _, k in rows], pa.int64()), *[pa.nulls(n, pa.binary())] * 2]
             yield pa.RecordBatch.from_arrays(columns, names=_NAMES)
-        sequence = squeezed(np.concatenate(self.sequence))
-        # the numbers of words known here travel with the sequence as pairs
-        packed = [(-1 - name % PASSING, SEQUENCE, sequence, squeezed(np.concatenate([numbers, ranks])))]
-        packed += [(b, WORDS, squeezed(np.array(numbers)), joined_words(words)) for b, (numbers, words) in by_bucket.items()]
+        # the numbers of words known here travel with the sequence
+        packed = [(-1 - name % PASSING, SEQUENCE, squeezed(sequence), squeezed(np.concatenate([[repeated], steps(numbers), ranks])))]
+        packed += [(b, WORDS, squeezed(steps(np.array(numbers))), joined_words(words)) for b, (numbers, words) in by_bucket.items()]
         for at in range(0, len(packed), 256):
             part = packed[at : at + 256]
             n = len(part)
@@ -390,11 +409,16 @@ def ids_of_source(table: pa.Table) -> tuple[pa.Table, np.ndarray, np.ndarray]:
     docs = table.filter(pc.equal(kind, DOCUMENT)).sort_by("uid")
     whole = table.filter(pc.equal(kind, SEQUENCE))
     sequence, known = (expanded(whole[c][0].as_py()) for c in ("numbers", "data"))
-    numbers, lengths, flat = [known[: len(known) // 2]], [np.ones(len(known) // 2, np.int64)], [known[len(known) // 2 :]]
+    repeated, known = int(known[0]), known[1:]
+    once = sequence == 0
+    sequence -= 1
+    sequence[once] = repeated + np.arange(once.sum())
+    numbers, flat = [np.cumsum(known[: len(known) // 2])], [known[len(known) // 2 :]]
+    lengths = [np.ones(len(flat[0]), np.int64)]
     words = table.filter(pc.equal(kind, WORDS))
     for asked, answer in zip(words["numbers"], words["data"], strict=True):
         asked, answer = expanded(asked.as_py()), expanded(answer.as_py())
-        numbers.append(asked)
+        numbers.append(np.cumsum(asked))
         lengths.append(answer[: len(asked)])
         flat.append(answer[len(asked) :])
     numbers, lengths, flat = map(np.concatenate, (numbers, lengths, flat))
