@@ -7,6 +7,7 @@ the caller, who cuts or rejects them.
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from collections.abc import Callable
 
@@ -19,11 +20,15 @@ from pyspark.sql import types as T
 MAX_TOKENS = 50_000
 #: HTML entities in the order of their replacement.
 ENTITIES = (("&nbsp;", " "), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&mdash;", "—"), ("&ndash;", "–"))
-#: Words that mark a short line as navigation.
-NAVIGATION = ("home", "menu", "search", "login", "copyright", "next", "previous", "contact", "about", "privacy", "sitemap", "navigation")
-#: Beginnings of the marker lines of book texts.
-BOOK_STARTS = ("*** START OF THE PROJECT", "*** START OF THIS PROJECT", "***START OF")
-BOOK_ENDS = ("*** END OF THE PROJECT", "*** END OF THIS PROJECT", "***END OF")
+#: Strings that mark a short line as navigation.
+NAVIGATION = ("home", "fiction", "poetry", "essays", "letters", "miscellany", "about", "copyright", "h.p. lovecraft", "return to", "written", "first published")
+#: Beginnings of the marker lines of book texts, in the order they are tried.
+BOOK_STARTS = ("*** START OF THE PROJECT GUTENBERG", "*** START OF THIS PROJECT GUTENBERG")
+BOOK_ENDS = ("*** END OF THE PROJECT GUTENBERG", "*** END OF THIS PROJECT GUTENBERG")
+#: What could steer a model, in any case.
+STEERING = (r"system:", r"assistant:", r"user:", r"<\|.*?\|>", r"\[INST\]", r"\[/INST\]")
+#: Ends of company names.
+COMPANY_ENDS = ("Inc", "LLC", "Corp", "Ltd", "Co", "Company", "Technologies", "Labs")
 SNIPPET_REACH, SNIPPET_MOST = 75, 150
 
 
@@ -156,22 +161,22 @@ def clean_html(html: Column) -> Column:
         return F.filter(lines, lambda x, i: i + 1 >= F.when(F.array_position(long_, True) > 0, F.array_position(long_, True)).otherwise(F.size(lines) + 1))
 
     lines = F.filter(F.transform(F.split(done, "\n"), lambda x: F.trim(x)), lambda x: x != "")
-    is_menu = lambda x: (F.length(x) < 100) & F.lower(x).rlike("|".join(NAVIGATION))
+    is_menu = lambda x: (F.length(x) < 100) & F.lower(x).rlike("|".join(map(re.escape, NAVIGATION)))
     kept = let(F.filter(lines, lambda x: ~is_menu(x)), from_first_long)
     return F.trim(F.regexp_replace(F.array_join(kept, " "), r"\s+", " "))
 
 
 def clean_book(text: Column) -> Column:
-    """What stands between the first start marker's line and the first end marker, in one line."""
-    done = text
-    for marker in reversed(BOOK_STARTS):  # the first marker of the list that is there decides
-        rest = F.substr(text, F.locate(marker, text))
-        after = F.when(F.locate("\n", rest) > 0, F.substr(rest, F.locate("\n", rest) + 1)).otherwise(F.lit(""))
-        done = F.when(F.contains(text, F.lit(marker)), after).otherwise(done)
-    for marker in BOOK_ENDS:
-        found = F.locate(marker, done)
-        done = F.when(found > 0, F.left(done, found - 1)).otherwise(done)
-    lines = F.filter(F.transform(F.split(done, "\n"), lambda x: F.trim(x)), lambda x: x != "")
+    """What stands between the line of the first start marker tried and that of the first end marker
+    tried, in one line; a marker that is missing, or a start without a line after it, cuts nothing."""
+    start, end = F.lit(0), F.length(text)
+    for marker in reversed(BOOK_STARTS):
+        line_end = F.call_function("locate", F.lit("\n"), text, F.locate(marker, text))
+        start = F.when(F.contains(text, F.lit(marker)), F.when(line_end > 0, line_end).otherwise(F.lit(0))).otherwise(start)
+    for marker in reversed(BOOK_ENDS):
+        end = F.when(F.contains(text, F.lit(marker)), F.locate(marker, text) - 1).otherwise(end)
+    body = F.substr(text, start + 1, F.greatest(F.lit(0), end - start))
+    lines = F.filter(F.transform(F.split(body, "\n"), lambda x: F.trim(x)), lambda x: x != "")
     return F.trim(F.regexp_replace(F.array_join(lines, " "), r"\s+", " "))
 
 
@@ -197,14 +202,24 @@ def correct_locally(text: Column) -> Column:
     return F.when(F.trim(text) == "", text).otherwise(F.when(capital.rlike(r"[.!?]\z"), capital).otherwise(F.concat(capital, F.lit("."))))
 
 
+#: White space of all kinds, as a character class's content.
+BLANKS = r"\t\n\x0B\f\r\x1c-\x1f\x85\p{Z}"
+
+
+def stripped(text: Column) -> Column:
+    """Without white space of any kind at its ends."""
+    return F.regexp_replace(text, rf"^[{BLANKS}]+|[{BLANKS}]+\z", "")
+
+
 def sanitize_prompt(text: Column, most: int = 1000) -> Column:
-    """Control characters out, HTML escaped, instructions to a model removed, cut and trimmed."""
-    done = F.regexp_replace(F.coalesce(text, F.lit("")), r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]", "")
+    """Characters out that are neither printable nor white space, HTML escaped, steering words removed
+    one after the other, cut and stripped."""
+    done = F.regexp_replace(F.coalesce(text, F.lit("")), rf"[\p{{C}}&&[^{BLANKS}]]", "")
     for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#x27;")):
         done = F.replace(done, F.lit(a), F.lit(b))
-    for pattern in (r"(?i)ignore\s+(all\s+)?previous\s+instructions?", r"(?i)disregard\s+(all\s+)?previous", r"(?i)system\s*:", r"(?i)assistant\s*:", r"(?i)user\s*:", r"```"):
-        done = F.regexp_replace(done, pattern, "")
-    return F.trim(F.left(done, F.lit(most)))
+    for pattern in STEERING:
+        done = F.regexp_replace(done, f"(?iu){pattern}", "")
+    return stripped(F.left(done, F.lit(most)))
 
 
 def valid_term(term: Column) -> Column:
@@ -215,7 +230,7 @@ def valid_term(term: Column) -> Column:
 
 def infer_type(term: Column, domain: Column) -> Column:
     """Entry type by the domain, else by the look of the term."""
-    low, parts = F.lower(domain), F.split(F.trim(term), r"\s+")
+    low, parts = F.lower(domain), F.split(stripped(term), r"\s+")
     capital = F.forall(parts, lambda w: w.rlike(r"^\p{Lu}"))
     return (
         F.when(low.isin("biography", "names", "people", "speakers"), "person")
@@ -225,7 +240,7 @@ def infer_type(term: Column, domain: Column) -> Column:
         .when(low.isin("places", "locations", "geography"), "location")
         .when(low.isin("events", "conferences"), "event")
         .when(F.size(parts).between(2, 4) & capital, "person")
-        .when(term.rlike(r"\b(Inc|LLC|Corp|Ltd|Co|Company|Technologies|Labs)\.?$"), "org")
+        .when(term.rlike(rf"({'|'.join(COMPANY_ENDS)})\z"), "org")
         .otherwise("misc")
     )
 
@@ -263,4 +278,4 @@ def parse_terms(line: Column) -> Column:
 
 
 def sanitize_vocabulary(terms: Column, most: int = 500) -> Column:
-    return F.slice(F.filter(F.transform(terms, lambda t: sanitize_prompt(t, 100)), lambda t: t != ""), 1, most)
+    return F.slice(F.filter(F.transform(terms, lambda t: sanitize_prompt(t)), lambda t: t != ""), 1, most)

@@ -8,8 +8,10 @@ keys and the distance is computed for those pairs only, not for all.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from scriptorium.functions.phonetic import metaphone
 
@@ -74,22 +76,28 @@ def by_edits(queries: DataFrame, rows: DataFrame) -> DataFrame:
     return scored.select("query", "entry_id", "form", "confidence", F.lit("edit_distance").alias("match_type"))
 
 
-def similarity(a: Column, b: Column) -> Column:
-    """Twice the longest common subsequence over both lengths: a fold over the letters of a."""
-    letters, others = F.split(a, ""), F.split(b, "")
-    start = F.transform(F.sequence(F.lit(0), F.length(b)), lambda _: F.lit(0))
+@F.pandas_udf(T.DoubleType())
+def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Twice the longest common subsequence over both lengths, by bits: one addition for each letter.
 
-    def row(before: Column, x: Column) -> Column:
-        zero = F.array(F.lit(0))
-        return F.aggregate(
-            F.sequence(F.lit(1), F.length(b)),
-            zero,
-            lambda done, j: F.concat(done, F.array(F.when(x == F.get(others, j - 1), F.get(before, j - 1) + 1).otherwise(F.greatest(F.get(before, j), F.element_at(done, -1))))),
-        )
-
-    both = F.length(a) + F.length(b)
-    lcs = F.element_at(F.aggregate(letters, start, row), -1)
-    return F.when((F.length(a) == 0) | (F.length(b) == 0), 0.0).otherwise(2.0 * lcs / both)
+    A query stands beside many forms, so the places of its letters are kept from row to row.
+    """
+    masks: dict[str, dict[str, int]] = {}
+    out = []
+    for x, y in zip(a, b, strict=True):
+        if x is None or y is None or not x or not y:
+            out.append(None if x is None or y is None else 0.0)
+            continue
+        if (of := masks.get(x)) is None:
+            of = masks[x] = {}
+            for i, c in enumerate(x):
+                of[c] = of.get(c, 0) | 1 << i
+        row = full = (1 << len(x)) - 1
+        for c in y:
+            met = row & of.get(c, 0)
+            row = (row + met) | (row - met)
+        out.append(2.0 * (len(x) - (row & full).bit_count()) / (len(x) + len(y)))
+    return pd.Series(out, dtype="float64")
 
 
 def _codes(rows: DataFrame, text: str) -> DataFrame:

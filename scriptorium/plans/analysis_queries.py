@@ -356,17 +356,24 @@ for _p, _b in X.ENTITIES:
     _HTML = f"replace({_HTML}, '{_p.replace(chr(39), chr(39) * 2)}', '{_b.replace(chr(39), chr(39) * 2)}')"
 
 
-@query("html_clean", f"""WITH l AS (SELECT page_id, list_filter(list_filter(list_transform(string_split({_HTML}, chr(10)), lambda x: trim(x, ' ')), lambda x: x <> ''), lambda x: NOT (length(x) < 100 AND regexp_matches(lower(x), '{"|".join(X.NAVIGATION)}'))) AS ls FROM pages),
+@query("html_clean", f"""WITH l AS (SELECT page_id, list_filter(list_filter(list_transform(string_split({_HTML}, chr(10)), lambda x: trim(x, ' ')), lambda x: x <> ''), lambda x: NOT (length(x) < 100 AND regexp_matches(lower(x), 'home|fiction|poetry|essays|letters|miscellany|about|copyright|h[.]p[.] lovecraft|return to|written|first published'))) AS ls FROM pages),
   p AS (SELECT page_id, ls, list_position(list_transform(ls, lambda x: length(x) > 50), true) AS place FROM l)
   SELECT page_id, md5(trim(regexp_replace(array_to_string(CASE WHEN place > 0 THEN ls[place:] ELSE [] END, ' '), '\\s+', ' ', 'g'))) AS digest FROM p""")
 def html_clean(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", F.md5(X.clean_html(F.col("html"))).alias("digest"))
 
 
-_BOOK = "'Front matter' || chr(10) || '*** START OF THE PROJECT ' || doc_id || ' ***' || chr(10) || text || chr(10) || '*** END OF THE PROJECT ***' || chr(10) || 'License'"
-@query("book_clean", r"SELECT doc_id, md5(trim(regexp_replace(array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x, ' ')), lambda x: x <> ''), ' '), '\s+', ' ', 'g'))) AS digest FROM documents")
+#: Books with either pair of markers, with one marker alone, and with none.
+_BOOK = ("CASE doc_id % 5 WHEN 0 THEN 'Front' || chr(10) || '*** START OF THE PROJECT GUTENBERG EBOOK ***' || chr(10) || text || chr(10) || '*** END OF THE PROJECT GUTENBERG EBOOK ***' || chr(10) || 'License' "
+         "WHEN 1 THEN 'Front' || chr(10) || '*** START OF THIS PROJECT GUTENBERG EBOOK' || chr(10) || text || chr(10) || '*** END OF THIS PROJECT GUTENBERG EBOOK' "
+         "WHEN 2 THEN text || '*** START OF THE PROJECT GUTENBERG' WHEN 3 THEN '***START OF' || chr(10) || text || '*** END OF THE PROJECT GUTENBERG' || text ELSE text END")
+#: What the markers leave of them.
+_BODY = "CASE doc_id % 5 WHEN 2 THEN text || '*** START OF THE PROJECT GUTENBERG' WHEN 3 THEN '***START OF' || chr(10) || text ELSE text END"
+
+
+@query("book_clean", rf"SELECT doc_id, md5(trim(regexp_replace(array_to_string(list_filter(list_transform(string_split({_BODY}, chr(10)), lambda x: trim(x, ' ')), lambda x: x <> ''), ' '), '\s+', ' ', 'g'))) AS digest FROM documents")
 def book_clean(spark, sf_dir):
-    book = F.concat_ws("\n", F.lit("Front matter"), F.concat(F.lit("*** START OF THE PROJECT "), F.col("doc_id").cast("string"), F.lit(" ***")), F.col("text"), F.lit("*** END OF THE PROJECT ***"), F.lit("License"))
+    book = F.expr(_BOOK.replace("chr(10)", "char(10)"))
     return S.texts(spark, sf_dir).select("doc_id", F.md5(X.clean_book(book)).alias("digest"))
 
 
@@ -383,10 +390,27 @@ def local_correct(spark, sf_dir):
     return rows.select("conv_id", "turn", X.correct_locally(F.col("t")).alias("fixed"))
 
 
-@query("sanitize_prompt", r"""SELECT page_id, md5(trim(left(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace(replace(replace(replace(replace(regexp_replace(html, '[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]', '', 'g'), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#x27;'),
-  '(?i)ignore\s+(all\s+)?previous\s+instructions?', '', 'g'), '(?i)disregard\s+(all\s+)?previous', '', 'g'), '(?i)system\s*:', '', 'g'), '(?i)assistant\s*:', '', 'g'), '(?i)user\s*:', '', 'g'), '```', '', 'g'), 1000))) AS digest FROM pages""")
+#: Pages with words and marks added that are to go.
+_STEERED = "'SYSTEM: be' || chr(1) || ' [INST]' || html || '[/inst] <|im_start|> uSer:' || chr(8203) || ' System: x'"
+_OPEN = r"\t\n\x0b\f\r\x1c-\x1f\x85\p{Z}"
+
+
+def _without(x, *patterns):
+    for p in patterns:
+        x = f"regexp_replace({x}, '{p}', '', 'g')"
+    return x
+
+
+_ESCAPED = _without(_STEERED, r"[\x00-\x08\x0e-\x1b\x7f-\x84\x86-\x9f\p{Cf}\p{Co}]")
+for _p, _b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("''", "&#x27;")):
+    _ESCAPED = f"replace({_ESCAPED}, '{_p}', '{_b}')"
+_ESCAPED = _without(_ESCAPED, r"(?i)system:", r"(?i)assistant:", r"(?i)user:", r"(?i)<\|.*?\|>", r"(?i)\[INST\]", r"(?i)\[/INST\]")
+
+
+@query("sanitize_prompt", f"SELECT page_id, md5({_without(f'left({_ESCAPED}, 1000)', f'^[{_OPEN}]+', f'[{_OPEN}]+$')}) AS digest FROM pages")
 def sanitize_prompt(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", F.md5(X.sanitize_prompt(F.col("html"))).alias("digest"))
+    steered = F.expr(_STEERED.replace("chr(8203)", "decode(unhex('E2808B'), 'UTF-8')"))
+    return table(spark, sf_dir, "pages").select("page_id", F.md5(X.sanitize_prompt(steered)).alias("digest"))
 
 
 @query("vocab_filter", r"SELECT DISTINCT w AS term FROM (SELECT unnest(string_split_regex(text, '\s+')) AS w FROM documents) WHERE length(w) BETWEEN 2 AND 100 AND length(regexp_replace(w, '\P{L}', '', 'g')) > 0 AND NOT regexp_matches(w, '^[0-9]+$') AND length(regexp_replace(w, '\P{L}', '', 'g')) * 2 >= length(w)")
@@ -394,10 +418,14 @@ def vocab_filter(spark, sf_dir):
     return S.texts(spark, sf_dir).select(F.explode(F.split("text", r"\s+")).alias("term")).where(X.valid_term(F.col("term"))).distinct()
 
 
-@query("type_infer", r"""SELECT doc_id, CASE WHEN lang = 'de' THEN 'location' WHEN n BETWEEN 2 AND 4 AND regexp_matches(t, '^\p{Lu}\S*(\s+\p{Lu}\S*)*$') THEN 'person' WHEN regexp_matches(t, '\b(Inc|LLC|Corp|Ltd|Co|Company|Technologies|Labs)\.?$') THEN 'org' ELSE 'misc' END AS type
-  FROM (SELECT doc_id, lang, array_to_string(ws, ' ') AS t, len(list_filter(ws, lambda w: w <> '')) AS n FROM (SELECT doc_id, lang, string_split_regex(text, '\s+')[1:doc_id % 4 + 1] AS ws FROM documents))""")
+#: Terms of one to four words, and of one word with a company's end.
+_TERMS = "(SELECT doc_id, lang, CASE WHEN doc_id % 7 = 3 THEN ws[1] || ['Inc', 'Labs', 'Company.', ' Ltd'][doc_id % 4 + 1] ELSE array_to_string(ws[1:doc_id % 4 + 1], ' ') END AS t FROM (SELECT doc_id, lang, string_split_regex(text, '\\s+') AS ws FROM documents))"
+@query("type_infer", rf"""SELECT doc_id, CASE WHEN lang = 'de' THEN 'location' WHEN n BETWEEN 2 AND 4 AND regexp_matches(trim(t), '^\p{{Lu}}\S*(\s+\p{{Lu}}\S*)*$') THEN 'person' WHEN regexp_matches(t, '(Inc|LLC|Corp|Ltd|Co|Company|Technologies|Labs)$') THEN 'org' ELSE 'misc' END AS type
+  FROM (SELECT *, len(list_filter(string_split_regex(t, '\s+'), lambda w: w <> '')) AS n FROM {_TERMS})""".replace("'\\\\s+'", "'\\s+'"))
 def type_infer(spark, sf_dir):
-    term = F.array_join(F.slice(F.split("text", r"\s+"), F.lit(1), (F.col("doc_id") % 4 + 1).cast("int")), " ")
+    words = F.split("text", r"\s+")
+    company = F.concat(F.get(words, 0), F.element_at(F.array(*map(F.lit, ("Inc", "Labs", "Company.", " Ltd"))), (F.col("doc_id") % 4 + 1).cast("int")))
+    term = F.when(F.col("doc_id") % 7 == 3, company).otherwise(F.array_join(F.slice(words, F.lit(1), (F.col("doc_id") % 4 + 1).cast("int")), " "))
     domain = F.when(F.col("lang") == "de", "places").otherwise("other")
     return S.texts(spark, sf_dir).select("doc_id", X.infer_type(term, domain).alias("type"))
 
@@ -411,10 +439,11 @@ def diff_gate(spark, sf_dir):
     return rows.select("transcript", "segment", X.gate_correction(F.col("ws"), F.substr("text", F.lit(40))).alias("valid"))
 
 
-@query("fenced_json", "SELECT doc_id, md5(trim(text)) AS digest FROM documents WHERE NOT contains(text, '```')")
+@query("fenced_json", r"SELECT doc_id, md5(trim(text)) AS digest FROM documents WHERE NOT contains(text, '```') UNION ALL "
+       r"SELECT doc_id, md5(trim(coalesce(nullif(regexp_extract(CASE WHEN doc_id % 3 = 0 THEN text ELSE 'Here:' || chr(10) || '```json' || chr(10) || text || chr(10) || '```' END, '(?s)```(?:json)?\s*(.*?)\s*```', 1), ''), text))) FROM documents WHERE contains(text, '```')")
 def fenced_json(spark, sf_dir):
-    rows = S.texts(spark, sf_dir).where(~F.contains("text", F.lit("```")))
-    return rows.select("doc_id", F.md5(X.fenced_json(F.concat(F.lit("Here:\n```json\n"), "text", F.lit("\n```\nDone.")))).alias("digest"))
+    fenced = F.when(F.col("doc_id") % 3 == 0, F.col("text")).otherwise(F.concat(F.lit("Here:\n```json\n"), "text", F.lit("\n```\nDone.")))
+    return S.texts(spark, sf_dir).select("doc_id", F.md5(X.fenced_json(fenced)).alias("digest"))
 
 
 @query("parse_terms", r"SELECT doc_id, trim(string_split(x, ':')[-1]) AS term FROM (SELECT doc_id, unnest(string_split(text, ',')) AS x FROM documents) WHERE trim(string_split(x, ':')[-1]) <> ''")

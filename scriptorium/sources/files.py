@@ -52,7 +52,7 @@ TRANSCRIPT = T.StructType(
     ]
 )
 #: Names that no vocabulary may have.
-RESERVED = frozenset(("con", "prn", "aux", "nul", ".", ".."))
+RESERVED = frozenset((".", "..", "pending_vocabulary", "config"))
 
 
 def dictionary_json(spark: SparkSession, path: str) -> DataFrame:
@@ -76,7 +76,7 @@ def domains(spark: SparkSession, path: str) -> DataFrame:
 
 
 def valid_domain(name: str) -> bool:
-    return bool(re.fullmatch(r"[A-Za-z0-9_-]{1,64}", name)) and name.lower() not in RESERVED
+    return 0 < len(name) <= 64 and all(c.isalnum() or c in "_-" for c in name) and name not in RESERVED
 
 
 def transcripts(spark: SparkSession, path: str) -> DataFrame:
