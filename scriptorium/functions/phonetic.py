@@ -11,9 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 VOWELS = frozenset("AEIOUY")
-LENGTH = 4
 #: Letters with one sound, which also swallow their double.
-PLAIN = {"B": "P", "F": "F", "K": "K", "L": "L", "M": "M", "N": "N", "Q": "K", "V": "F"}
+PLAIN = {"B": "P", "F": "F", "K": "K", "N": "N", "Q": "K", "V": "F"}
 
 
 class Coder:
@@ -49,7 +48,7 @@ class Coder:
         if self.word.startswith("X"):
             self.say("S")
             self.at = 1
-        while self.at < len(self.word) and (len("".join(self.first)) < LENGTH or len("".join(self.second)) < LENGTH):
+        while self.at < len(self.word):
             c = self.letter()
             if c in VOWELS:
                 if self.at == 0:
@@ -60,9 +59,23 @@ class Coder:
                 self.at += 2 if self.letter(1) == c else 1
             else:
                 self.at += getattr(self, f"_{c}", lambda: 1)()
-        first, second = "".join(self.first)[:LENGTH], "".join(self.second)[:LENGTH]
+        first, second = "".join(self.first), "".join(self.second)
         return first, "" if second == first else second
 
+    def _L(self) -> int:
+        if self.letter(1) != "L":
+            self.say("L")
+            return 1
+        end = len(self.word) - 3 == self.at and self.here(-1, "ILLO", "ILLA", "ALLE")
+        open_ = self.here(-1, "ALLE") and self.word.endswith(("AS", "OS", "A", "O"))
+        self.say("L", "" if end or open_ else None)  # Spanish
+        return 2
+
+    def _M(self) -> int:
+        self.say("M")
+        mute = self.here(-1, "UMB") and (self.at + 1 == len(self.word) - 1 or self.here(2, "ER"))
+        return 2 if mute or self.letter(1) == "M" else 1
+
     def _C(self) -> int:
         if self.at > 1 and not self.vowel(-2) and self.here(-1, "ACH") and self.letter(2) != "I" and (self.letter(2) != "E" or self.here(-2, "BACHER", "MACHER")):
             self.say("K")

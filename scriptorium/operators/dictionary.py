@@ -128,3 +128,48 @@ def added_aliases(aliases: DataFrame, wanted: DataFrame) -> DataFrame:
 def orphans(children: DataFrame, entries: DataFrame) -> DataFrame:
     """Child rows whose entry is missing."""
     return children.join(entries.select(F.col("id").alias("entry_id")), "entry_id", "left_anti")
+
+
+def present(entries: DataFrame, keys: DataFrame) -> DataFrame:
+    """keys (id) with found: whether there is such an entry."""
+    return keys.join(entries.select("id", F.lit(True).alias("found")).distinct(), "id", "left").withColumn("found", F.coalesce("found", F.lit(False)))
+
+
+def version(applied: DataFrame) -> DataFrame:
+    """version: the highest migration (version) that was applied, 0 for none."""
+    return applied.agg(F.coalesce(F.max("version"), F.lit(0)).alias("version"))
+
+
+def outdated(applied: DataFrame, current: int) -> DataFrame:
+    """needed: whether a store is behind the current version."""
+    return version(applied).select((F.col("version") < current).alias("needed"))
+
+
+def created(tables: dict[str, DataFrame], rows: DataFrame) -> dict[str, DataFrame]:
+    """Entries, aliases and contexts with those of new entries (nested rows) appended.
+
+    An alias that says what the canonical says, in any case, and one that is there already, are left
+    out; so is an entry whose canonical or id is there.
+    """
+    fresh = new_entries(rows, tables["entries"]).join(tables["entries"].select("id"), "id", "left_anti")
+    named = fresh.select(F.col("id").alias("entry_id"), "canonical", F.explode("aliases").alias("a")).select("entry_id", "canonical", F.trim("a.alias").alias("alias"), F.col("a.is_common_misspelling").alias("is_common_misspelling"))
+    named = named.where((F.col("alias") != "") & (F.lower("alias") != F.lower("canonical"))).drop("canonical").dropDuplicates(["entry_id", "alias"])
+    known = tables["aliases"].select(F.lower("alias").alias("__k")).distinct()
+    named = named.withColumn("__k", F.lower("alias")).join(known, "__k", "left_anti").drop("__k")
+    placed = fresh.select(F.col("id").alias("entry_id"), F.explode("contexts").alias("context")).distinct()
+    own = tables["entries"].columns
+    return {
+        "entries": tables["entries"].unionByName(fresh.select(*[c for c in own if c in fresh.columns]), allowMissingColumns=True),
+        "aliases": tables["aliases"].unionByName(named),
+        "contexts": tables["contexts"].unionByName(placed),
+    }
+
+
+def replaced(children: DataFrame, patch: DataFrame) -> DataFrame:
+    """Child rows with those of the patched entries put in place of their old ones."""
+    return children.join(patch.select("entry_id").distinct(), "entry_id", "left_anti").unionByName(patch)
+
+
+def removed(tables: dict[str, DataFrame], keys: DataFrame) -> dict[str, DataFrame]:
+    """The tables without the entries that the keys name by id, canonical or alias, in any case."""
+    return delete(tables, lookup(tables["entries"], tables["aliases"], keys).select("id").distinct())

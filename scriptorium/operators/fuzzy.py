@@ -8,12 +8,17 @@ keys and the distance is computed for those pairs only, not for all.
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable, Iterator
+
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from scriptorium.functions.phonetic import metaphone
+from scriptorium.functions.text import stripped
 
 MOST_EDITS = 3
 #: Weight and least similarity of the code combinations, in the order they are tried.
@@ -141,21 +146,97 @@ def best_match(queries: DataFrame, rows: DataFrame, threshold: float) -> DataFra
     return candidates(queries, rows, 1).where(F.col("confidence") >= max(0.0, min(1.0, threshold)))
 
 
+CAPITALIZED = r"\b[A-Z][a-z]+(?:\s+[A-Z][a-z]+)*\b"
+WORD = r"\b[A-Za-z]+\b"
+
+
+def placed_spans(texts: DataFrame, pattern: str, keep: Callable[[str, re.Match], bool], key: str, text: str) -> DataFrame:
+    """key, span, start: where a pattern stands and a test holds, by one pass over each text."""
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        search = re.compile(pattern).finditer
+        for batch in batches:
+            hits = [(i, m.group(), m.start()) for i, t in enumerate(batch.column(1).to_pylist()) if t for m in search(t) if keep(t, m)]
+            of = pa.array([i for i, _, _ in hits], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(of), pa.array([s for _, s, _ in hits], pa.string()), pa.array([n for _, _, n in hits], pa.int64())], names=[key, "span", "start"])
+
+    kind = texts.schema[key].dataType.simpleString()
+    return texts.select(key, text).mapInArrow(found, f"`{key}` {kind}, span string, start long")
+
+
+def _inside(text: str, found: re.Match) -> bool:
+    """Whether a span begins neither its text nor a sentence."""
+    at = found.start() - 1
+    while at > 0 and text[at] in " \t\n":
+        at -= 1
+    return at >= 0 and text[at] not in ".!?"
+
+
 def capitalized_spans(texts: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, span, start: runs of capitalized words that do not begin a text or a sentence.
+    """key, span, start: runs of capitalized words that do not begin a text or a sentence."""
+    return placed_spans(texts, CAPITALIZED, _inside, key, text)
+
+
+def sounding_words(texts: DataFrame, rows: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """key, span, start: words of three letters or more that have a code of some form's words."""
+    found = placed_spans(texts, WORD, lambda _, m: len(m.group()) >= 3, key, text)
+    words = found.select("span").distinct().withColumn("m", metaphone("span")).select("span", F.explode(F.array("m.p", "m.a")).alias("code"))
+    heard = _codes(rows, "form").select(F.explode(F.array("__m.p", "__m.a")).alias("code")).where("code != ''").distinct()
+    return found.join(words.join(heard, "code", "left_semi").select("span").distinct(), "span", "left_semi").select(key, "span", "start")
+
+
+def match_spans(texts: DataFrame, rows: DataFrame, key: str = "doc_id", text: str = "text", least: float = 0.5) -> DataFrame:
+    """key, span, start, end, candidates: spans that name an entry, with their best candidates in order.
+
+    Capitalized spans need any candidate; words that merely sound like a form need one of ``least``, and
+    give way to a capitalized span of the same place. Distinct spans are matched once for all texts.
+    """
+    capital = capitalized_spans(texts, key, text).withColumn("strict", F.lit(False))
+    sounding = sounding_words(texts, rows, key, text).withColumn("strict", F.lit(True))
+    spans = capital.unionByName(sounding).groupBy(key, "span", "start").agg(F.min("strict").alias("strict"))
+    best = candidates(spans.select(F.col("span").alias("query")).distinct(), rows)
+    each = F.struct("place", "entry_id", "form", "confidence", "match_type")
+    listed = best.groupBy(F.col("query").alias("span")).agg(F.sort_array(F.collect_list(each)).alias("candidates"))
+    met = spans.join(listed, "span").where(~F.col("strict") | (F.col("candidates")[0]["confidence"] >= least))
+    return met.select(key, "span", "start", (F.col("start") + F.length("span")).alias("end"), "candidates")
+
+
+def anchored(corrections: DataFrame, terms: DataFrame, key: str = "id", least: float = 0.5) -> DataFrame:
+    """key, valid: whether a correction (key, original, corrected) to a dictionary term (term, in lower
+    case) has a word in the original that is spelt or sounds like one of its words.
 
-    The text is cut at its spans; the length of what stands before each is its place. Letters of all
-    scripts bound a word and all kinds of space part two, whatever the regex engine takes for them.
+    Corrections that are empty, or to no term, or to words without a code, are valid.
     """
-    word, gap = r"[\p{L}\p{N}_]", r"[\s\x1c-\x1f\x85\p{Z}]"
-    span = rf"(?<!{word})[A-Z][a-z]+(?:{gap}+[A-Z][a-z]+)*(?!{word})"
-    found = texts.select(key, F.col(text).alias("__t"), F.regexp_extract_all(text, F.lit(span), F.lit(0)).alias("spans"), F.split(text, span).alias("gaps"))
-
-    def place(i: Column) -> Column:
-        before = F.aggregate(F.slice(F.col("gaps"), F.lit(1), i + 1), F.lit(0).cast("int"), lambda a, g: a + F.length(g))
-        own = F.aggregate(F.slice(F.col("spans"), F.lit(1), i), F.lit(0).cast("int"), lambda a, s: a + F.length(s))
-        return before + own
-
-    rows = found.select(key, "__t", "spans", "gaps", F.posexplode("spans").alias("i", "span")).withColumn("start", place(F.col("i")))
-    left = F.rtrim(F.translate(F.left("__t", F.col("start")), "\t\n", "  "))
-    return rows.where((F.col("start") > 0) & ~left.rlike(r"[.!?]\z")).select(key, "span", F.col("start").cast("long").alias("start"))
+    low = F.lower(stripped(F.col("corrected")))
+    asked = corrections.where("original != '' and corrected != ''").select(key, "original", low.alias("term")).join(terms.select("term").distinct(), "term", "left_semi")
+    said = asked.select(key, F.explode(F.split(F.lower("original"), r"\s+")).alias("o")).withColumn("o", F.regexp_replace("o", r"""^[.,!?;:"']+|[.,!?;:"']+$""", "")).where("o != ''").distinct()
+    wanted = asked.select(key, F.explode(F.split("term", r"\s+")).alias("c")).where("c != ''").distinct()
+    coded = lambda rows, c: rows.select(c).distinct().withColumn(f"m_{c}", metaphone(c))
+    wanted = wanted.join(coded(wanted, "c"), "c")
+    # the words of one correction meet each other, never those of another
+    pairs = said.join(coded(said, "o"), "o").join(wanted, key)
+    spelt = 1 - F.levenshtein("o", "c") / F.greatest(F.length("o"), F.length("c")) >= least
+    sounds = (F.col("m_c.p") != "") & ((F.col("m_o.p") == F.col("m_c.p")) | (F.col("m_o.a") == F.col("m_c.p")))
+    held = pairs.groupBy(key).agg(F.max(spelt | sounds).alias("held"))
+    mute = wanted.groupBy(key).agg(F.max(F.col("m_c.p") != "").alias("coded"))
+    judged = asked.select(key).join(held, key, "left").join(mute, key, "left").select(key, (F.coalesce("held", F.lit(False)) | ~F.coalesce("coded", F.lit(False))).alias("valid"))
+    return corrections.select(key).join(judged, key, "left").select(key, F.coalesce("valid", F.lit(True)).alias("valid"))
+
+
+def heard_by_sound(entities: DataFrame, least: float = 0.6) -> DataFrame:
+    """form, word: of entities (form, words) those that a heard word of three letters or more sounds like
+    with the confidence, and the first such word. Each form is its own only entry."""
+    pairs = entities.select("form", F.explode("words").alias("word")).where(F.length("word") >= 3).distinct()
+    share = 2 * F.least(F.length("word"), F.length("form")) / (F.length("word") + F.length("form"))
+    # no combination of codes weighs more than the first, so shorter words cannot reach it
+    near = pairs.where(share * COMBINATIONS[0][2] >= least - 1e-9).withColumn("s", similarity(F.col("word"), F.col("form")))
+    near = near.where(F.col("s") * COMBINATIONS[0][2] >= least - 1e-9)
+    letters = lambda c: F.regexp_replace(c, "[^a-zA-Z]", "")
+    mine = near.select("word").distinct().withColumn("m", metaphone(letters("word")))
+    theirs = near.select("form").distinct().select("form", F.explode(F.split("form", r"\s+")).alias("t")).withColumn("t", letters("t")).where("length(t) >= 2").withColumn("n", metaphone("t"))
+    met = near.join(mine, "word").join(theirs, "form")
+    hits = [(F.col(f"m.{a}") != "") & (F.col(f"m.{a}") == F.col(f"n.{b}")) for a, b, _, _ in COMBINATIONS]
+    combo = F.coalesce(*[F.when(h, F.lit(i)) for i, h in enumerate(hits)])
+    first = met.withColumn("combo", combo).where("combo is not null").groupBy("form", "word", "s").agg(F.min("combo").alias("combo"))
+    weight = F.element_at(F.array(*[F.lit(c[2]) for c in COMBINATIONS]), F.col("combo") + 1)
+    return first.where(weight * F.col("s") >= least - 1e-9).groupBy("form").agg(F.min("word").alias("word"))

@@ -1,4 +1,4 @@
-"""Renderers: time stamps, subtitles, markdown, text, JSON, and prompts under a token budget.
+"""Renderers: time stamps, subtitles, markdown, text, JSON.
 
 A rendered transcript is one string, so its segments are gathered by transcript: groups are single
 recordings, bounded by their length, never the corpus.
@@ -10,8 +10,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 MARKDOWN_SPECIALS = r"([\\`*_{}\[\]()#+\-.!|>~])"
-#: Labels of entry types, in the order of the prompt.
-LABELS = {"person": "People", "location": "Places", "org": "Organizations", "product": "Products", "event": "Events", "jargon": "Terms", "misc": "Other"}
 
 
 def total_ms(seconds: Column) -> Column:
@@ -102,59 +100,3 @@ def export_entries(entries: DataFrame, max_tier: str = "H", context: str | None
     # the place is part of the export; exports are small by their filters, and so is this window
     place = F.row_number().over(Window.orderBy("tier", F.lower("canonical"), "id"))
     return kept.withColumn("place", place).withColumn("json", F.to_json(F.struct("canonical", "display", "type", "tier", "boost_weight", "contexts")))
-
-
-def estimate_tokens(text: Column) -> Column:
-    return F.when(F.coalesce(F.length(text), F.lit(0)) == 0, 0).otherwise(F.greatest(F.lit(1), F.floor(F.length(text) / 4)))
-
-
-def type_label(kind: Column) -> Column:
-    labels = F.create_map(*[F.lit(x) for pair in LABELS.items() for x in pair])
-    return F.coalesce(labels[kind], F.lit("Other"))
-
-
-def budgeted_prompt(entries: list, max_tokens: int, prefix: str = "") -> str:
-    """A prompt of labelled groups from at most 1000 entries (canonical, type, boost_weight, aliases).
-
-    Entries go by falling boost; a group that does not fit whole gives as many terms as fit.
-    """
-    if max_tokens <= 0:
-        raise ValueError("max_tokens must be positive")
-    tokens = lambda x: max(1, len(x) // 4) if x else 0
-    groups: dict[str, list[str]] = {label: [] for label in LABELS.values()}
-    for e in sorted(entries[:1000], key=lambda e: -e["boost_weight"]):
-        own = [e["canonical"], *[a for a in e["aliases"] if a.lower() != e["canonical"].lower()][:2]]
-        groups[LABELS.get(e["type"], "Other")] += own
-    parts, used = [prefix] if prefix else [], tokens(prefix + " ") if prefix else 0
-    for label, terms in groups.items():
-        if not terms or used >= max_tokens:
-            continue
-        whole = f"[{label}: {', '.join(terms)}]"
-        if used + tokens(whole) + 1 <= max_tokens:
-            parts.append(whole)
-            used += tokens(whole) + 1
-            continue
-        cost, fits = tokens(f"[{label}: ]") + 1, []
-        for term in terms:
-            if used + cost + tokens(term + ", ") > max_tokens:
-                break
-            fits.append(term)
-            cost += tokens(term + ", ")
-        if fits:
-            parts.append(f"[{label}: {', '.join(fits)}]")
-            used += cost
-    return " ".join(parts)
-
-
-def escape_cell(text: Column) -> Column:
-    return F.trim(F.replace(F.replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), F.lit("|"), F.lit("\\|")), F.lit("\n"), F.lit(" ")))
-
-
-def correction_block(entries: DataFrame, n: int) -> DataFrame:
-    """One row: a markdown table of the n entries with the highest boost, with up to three aliases each."""
-    top = entries.orderBy(F.col("boost_weight").desc(), "id").limit(n)
-    names = F.array_join(F.slice(F.transform("aliases", lambda a: a["alias"]), 1, 3), ", ")
-    row = F.concat(F.lit("| "), escape_cell(F.col("canonical")), F.lit(" | "), escape_cell(F.col("type")), F.lit(" | "), escape_cell(names), F.lit(" |"))
-    listed = F.sort_array(F.collect_list(F.struct((-F.col("boost_weight")).alias("b"), "id", row.alias("row"))))
-    head = "| Term | Type | Also heard as |\n|---|---|---|\n"
-    return top.agg(F.concat(F.lit(head), F.array_join(F.transform(listed, lambda x: x["row"]), "\n")).alias("block"))

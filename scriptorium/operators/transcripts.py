@@ -101,3 +101,10 @@ def learnable(corrections: DataFrame) -> DataFrame:
     worth = F.col("corrected").rlike(r"^\p{Lu}") | F.col("corrected").contains(" ") | reason
     w = Window.partitionBy(F.lower("corrected")).orderBy("pos")
     return corrections.where(worth).withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
+
+
+def numbered_transcript(segments: DataFrame, most: int = 10_000, key: str = "transcript") -> DataFrame:
+    """key, body: one line for each segment with its number; null for a transcript of more than ``most``."""
+    line = F.concat(F.lit("["), F.col("segment").cast("string"), F.lit("] "), F.coalesce("text", F.lit("")))
+    listed = F.sort_array(F.collect_list(F.struct("segment", line.alias("line"))))
+    return segments.groupBy(key).agg(F.when(F.count(F.lit(1)) <= most, F.array_join(F.transform(listed, lambda x: x["line"]), "\n")).alias("body"))

@@ -9,6 +9,7 @@ from scriptorium.functions import text as X
 from scriptorium.operators import intervals as I
 from scriptorium.operators import learning as L
 from scriptorium.operators import logs as G
+from scriptorium.operators import prompts as P
 from scriptorium.operators import render as N
 from scriptorium.operators import transcripts as T
 from scriptorium.plans.registry import query, table
@@ -232,13 +233,7 @@ def render_text(spark, sf_dir):
 
 @query("estimate_tokens", "SELECT doc_id, CASE WHEN length(text) = 0 THEN 0 ELSE greatest(1, length(text) // 4) END AS n FROM documents")
 def estimate_tokens(spark, sf_dir):
-    return S.texts(spark, sf_dir).select("doc_id", N.estimate_tokens(F.col("text")).cast("long").alias("n"))
-
-
-@query("correction_block", S.with_relations("usage entries aliases", "WITH t AS (SELECT * FROM entries ORDER BY boost_weight DESC, id LIMIT 15), a AS (SELECT entry_id, array_to_string((list(alias ORDER BY alias))[1:3], ', ') AS names FROM aliases GROUP BY 1) "
-       "SELECT '| Term | Type | Also heard as |' || chr(10) || '|---|---|---|' || chr(10) || string_agg('| ' || canonical || ' | ' || type || ' | ' || names || ' |', chr(10) ORDER BY boost_weight DESC, id) AS block FROM t JOIN a ON id = entry_id"))
-def correction_block(spark, sf_dir):
-    return N.correction_block(S.dictionary(spark, sf_dir), 15)
+    return S.texts(spark, sf_dir).select("doc_id", P.estimate_tokens(F.col("text")).cast("long").alias("n"))
 
 
 # ---- logs ------------------------------------------------------------------------------------

@@ -14,6 +14,7 @@ from scriptorium.operators import intervals as I
 from scriptorium.operators import learning as L
 from scriptorium.operators import logs as G
 from scriptorium.operators import ranking as R
+from scriptorium.operators import prompts as P
 from scriptorium.operators import render as N
 from scriptorium.operators import transcripts as T
 from scriptorium.sources import files
@@ -65,13 +66,20 @@ def test_markdown_and_unknown_format(spark):
         N.render(spark.range(1), "docx")
 
 
-def test_prompt_budget():
-    e = lambda c, t, b, a=(): {"canonical": c, "type": t, "boost_weight": b, "aliases": list(a)}
-    entries = [e("Alpha", "person", 1.0, ["alpha", "Al"]), e("Beta", "org", 3.0), e("Gamma", "person", 2.0)]
-    assert N.budgeted_prompt(entries, 100, "Talk:") == "Talk: [People: Gamma, Alpha, Al] [Organizations: Beta]"
-    assert N.budgeted_prompt(entries, 4) == "[People: Gamma]" and N.budgeted_prompt([], 5) == ""
-    with pytest.raises(ValueError):
-        N.budgeted_prompt(entries, 0)
+def test_prompt_budget(spark):
+    alias = lambda a, wrong=False: (a, wrong)
+    rows = [(1, "Alpha", "Alpha", "person", 1.0, [alias("alpha"), alias("Al"), alias("Ally")], []), (2, "Beta", None, "ORG", 3.0, [alias("Bta", True)], []), (3, "Gamma", "G.", "person", 2.0, [], None)]
+    entries = spark.createDataFrame(rows, "id long, canonical string, display string, type string, boost_weight double, aliases array<struct<alias:string,is_common_misspelling:boolean>>, contexts array<string>")
+    said = lambda *a: P.term_prompt(entries, *a).collect()[0].prompt
+    assert said(100) == "You may hear proper nouns: [People: Gamma, Alpha, Al] [Organizations: Beta]"
+    assert said(100, "tech").startswith("This is a technical discussion about software development. You may hear: [People")
+    assert said(10) == "You may hear proper nouns: [People: Gamma]" and said(3) == ""
+    assert P.term_prompt(entries.where("false")).collect()[0].prompt == "" and P.correction_table(entries.where("false")).collect()[0].block == ""
+    lines = P.correction_table(entries, 2).collect()[0].block.split("\n")
+    assert lines[7:9] == ["| Beta | ORG |  |  |", "| Gamma | person |  | G. |"] and lines[10] == "NEAR-MISS RULE:"
+    for bad in (lambda: P.term_prompt(entries, 0), lambda: P.correction_table(entries, 0)):
+        with pytest.raises(ValueError):
+            bad()
 
 
 def test_gap_exactly_at_the_threshold_does_not_merge(spark):
@@ -108,6 +116,15 @@ def test_candidates_and_sounds(spark):
     assert found["garmo"] == (2, "exact_alias") and found["Stravvo"][0] == 1 and found["fone"] == (3, "metaphone")
 
 
+def test_codes_of_published_examples():
+    """Examples that come with public versions of the algorithm; codes are not cut."""
+    known = {
+        "maurice": ("MRS", ""), "aubrey": ("APR", ""), "cambrillo": ("KMPRL", "KMPR"), "heidegger": ("HTKR", ""), "katherine": ("K0RN", "KTRN"), "richard": ("RXRT", "RKRT"),
+        "bob": ("PP", ""), "walter": ("ALTR", "FLTR"), "bartosz": ("PRTS", "PRTX"), "filipowicz": ("FLPTS", "FLPFX"), "thumb": ("0M", "TM"), "knight": ("NT", ""), "laugh": ("LF", ""),
+    }
+    assert {w: phonetic.double_metaphone(w) for w in known} == known
+
+
 def test_edit_pairs_lose_none(spark):
     import random
 
