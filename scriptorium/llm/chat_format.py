@@ -17,7 +17,8 @@ what was written, turn by turn.
 Defined results: null texts and roles count as empty; rows with a null conversation id form one
 conversation. Turns that tie are ordered by role, then text, nulls first; repeated rows are turns of
 their own. Only content of the assistant role is in the loss mask, without its marks. An empty table
-gives no conversations; other columns never take part.
+gives no conversations; other columns never take part. Very long texts are formatted whole: one larger than
+Spark's bound on an Arrow batch is a batch of its own.
 """
 
 from __future__ import annotations

@@ -156,18 +156,21 @@ def mix(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str =
 def mix_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", chars: str = "n_chars", seed: str = SEED) -> DataFrame:
     """The mix as documents: a row for each time a text is taken, the last one cut to its words.
 
-    Rows are found again by the seeded hash of id and text, so equal rows share one decision each:
-    they are numbered among themselves and so are their decisions.
+    Rows are found again by the seeded hash of id and text. Where several rows have one hash, one of
+    them stands for all and is given once for each of their decisions; only these are told apart by
+    looking at rows again, so the texts are brought to their decisions once.
     """
     columns = docs.columns
-    taken = durable(mix(docs, key, text, source, seed).where("taken > 0").select("drawn", "size", "taken"))
-    twins = Window.partitionBy("drawn").orderBy(F.col("taken").desc())
-    taken = taken.withColumn("__twin", F.row_number().over(twins))
+    judged = mix(docs, key, text, source, seed).groupBy("drawn").agg(F.count(F.lit(1)).alias("__rows"), F.first("size").alias("size"), F.array_sort(F.collect_list(F.when(F.col("taken") > 0, F.col("taken")))).alias("__taken"))
+    decided = durable(judged.where(F.size("__taken") > 0))
     drawn = F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col(f"__row.{key}").cast("string"), F.lit("")), F.lit(":"), F.coalesce(F.col(f"__row.{text}"), F.lit(""))))
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("__row")).withColumn("drawn", drawn)
-    rows = rows.withColumn("__twin", F.row_number().over(Window.partitionBy("drawn").orderBy(F.lit(0))))
+    found = rows.join(decided.where("__rows = 1"), "drawn")
+    twins = decided.where("__rows > 1")
+    if not twins.isEmpty():
+        found = found.unionByName(rows.join(twins, "drawn").dropDuplicates(["drawn"]))
     copies = F.sequence(F.lit(1), F.ceil(F.col("taken") / F.col("size")).cast("int"))
-    dealt = rows.join(taken, ["drawn", "__twin"]).withColumn("__copy", F.explode(copies))
+    dealt = found.withColumn("taken", F.explode("__taken")).withColumn("__copy", F.explode(copies))
     words = F.col("taken") - (F.col("__copy") - 1) * F.col("size")
     cut = F.array_join(F.slice(words_of(F.col(f"__row.{text}")), F.lit(1), words.cast("int")), " ")
     put_text = F.when(words >= F.col("size"), F.col(f"__row.{text}")).otherwise(cut)

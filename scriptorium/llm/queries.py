@@ -37,7 +37,7 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rules and weighted vocabulary over all urls."""
-    return url_filters.url_filters(spark.read.parquet(f"{sf_dir}/pages.parquet")).drop("weight")
+    return url_filters.url_filters(spark.read.parquet(f"{sf_dir}/pages.parquet")).select("page_id", "host", "path", "rule", "verdict")
 
 
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -15,16 +15,27 @@ WORD_GAP = r"[\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the session names in spark.checkpoint.dir.
+
+    Only a local session, as in tests, may name none and gets a temporary one: on a cluster the machines
+    do not share theirs, so a lost executor could not be recovered from.
+    """
+    context = spark.sparkContext
+    named = context.getCheckpointDir() or context.getConf().get("spark.checkpoint.dir")
+    if named is None and not context.master.startswith("local"):
+        raise RuntimeError("name a shared folder in spark.checkpoint.dir")
+    return named or tempfile.mkdtemp("-checkpoints")
+
+
 def durable(df: DataFrame) -> DataFrame:
     """Write a result to the shared checkpoint folder and go on from there.
 
-    The folder is the session's spark.checkpoint.dir; only where none is set, as in tests, a
-    temporary one is made. Later stages then neither recompute the result nor depend on the
-    executor that made it.
+    Later stages then neither recompute the result nor depend on the executor that made it.
     """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp("-checkpoints"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 

@@ -259,6 +259,29 @@ def test_url_rows_with_odd_columns(spark):
     assert [r.verdict for r in url_filters.url_filters(pages).collect()] == ["allow", "allow", "allow", "block"]
 
 
+def test_vocabulary_by_plain_patterns(tmp_path, spark):
+    """Every term, at borders and inside words, against one pattern for each."""
+    rng = random.Random(6)
+    words = [t.word for t in url_filters.VOCABULARY] + ["news", "photo", "article"]
+    urls = ["".join(rng.choice(words) + rng.choice(["/", "-", "", "_", ".", "s", "2", "\u00e9"]) for _ in range(rng.randint(1, 6))) for _ in range(3_000)]
+    for u in urls:
+        want = {t.word for t in url_filters.VOCABULARY if re.search(f"(?<![a-z0-9]){t.word}(?![a-z0-9])", u.lower())}
+        found = url_filters.judge("x://h.org/" + u)
+        assert set(found["terms"]) == want and found["verdict"] == ("block" if round(sum(t.weight for t in url_filters.VOCABULARY if t.word in want), 6) >= 1 else "allow")
+    file = tmp_path / "terms.tsv"
+    file.write_text("# own\nBad\tx\t1\nmeh\ty\t0.5\nhm\ty\t0.5\n")
+    own = url_filters.read_vocabulary(str(file))
+    pages = spark.createDataFrame([(1, "a://b/bad"), (2, "a://b/meh"), (3, "a://b/meh/hm"), (4, "a://b/" + "x" * 200_000 + "/bad"), (5, "")], "page_id long, url string")
+    found = {r.page_id: (r.verdict, r.category) for r in url_filters.url_filters(pages, vocabulary=own).collect()}
+    assert found == {1: ("block", "x"), 2: ("allow", "y"), 3: ("block", "y"), 4: ("block", "x"), 5: ("allow", None)}
+    assert url_filters.url_filters(pages.where("false")).count() == 0 and url_filters.url_filters(pages, vocabulary=()).where("verdict = 'block'").count() == 0
+
+
+def test_rules_of_one_length():
+    tied = (url_filters.Rule("b.org", "/a/", "allow"), url_filters.Rule("b.org", "/a/", "block"), url_filters.Rule("x.b.org", "/", "block"))
+    assert url_filters.judge("h://x.b.org/a/1", tied)["rule"] == "x.b.org/" and url_filters.judge("h://b.org/a/1", tied[:1])["verdict"] == "allow"
+
+
 # ---- byte-level BPE
 
 
@@ -340,6 +363,11 @@ def test_classifier_learns_and_never_reads_held_out_rows(spark):
     assert all(found[i].held_out == held(i) for i, _, _ in rows)
     assert sum(found[i].predicted == y for i, _, y in rows if held(i)) >= 0.95 * sum(held(i) for i, _, _ in rows)
     assert found[9_001].score == found[9_002].score
+    again = {r.doc_id: r.score for r in quality_model.quality_scores(docs, labels).collect()}
+    assert all(found[i].score == s for i, s in again.items())
+    long_ = docs.unionByName(spark.createDataFrame([(i, good() * 900, "c", 0.0) for i in (9_003, 9_003)], docs.schema))
+    assert quality_model.quality_scores(long_, labels).where("doc_id = 9003").selectExpr("count(*) n", "min(score) a", "max(score) b").first() [0] == 2
+    assert quality_model.quality_scores(docs.where("false"), labels).count() == 0
     nothing = quality_model.quality_scores(docs, labels.where("false")).collect()
     assert {r.score for r in nothing} == {0.5}
 
