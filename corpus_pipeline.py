@@ -2,7 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept. Its result is
 written as Parquet to the shared folder and read again as the next stage's documents, so a lost
-executor costs at most a stage. All but the last return the columns of documents.
+executor costs at most a stage; what a stage read is deleted when its own result is there. All but the
+last return the columns of documents.
 
 Stages keep or drop whole rows by their operators' decisions, and the operators' rules for nulls,
 ties, repeated rows and empty tables hold here as well. Quality rules pass texts on without the lines
@@ -12,7 +13,6 @@ often as it is taken, the last time cut to the words taken.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from scriptorium.llm import bpe, exact_dedup, mixing, ngram_join, quality_rules
 from scriptorium.llm.queries import tokenizer
-from scriptorium.llm.shared import documents
+from scriptorium.llm.shared import documents, shared_folder
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -62,16 +62,19 @@ STAGES: list[tuple[str, Stage]] = [
 ORACLE_SQL = None
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names for checkpoints; a temporary one only where it names none."""
-    context = spark.sparkContext
-    return context.getCheckpointDir() or context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp("-pipeline")
+def _drop(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents; the result is the last one's."""
     docs, folder = documents(spark, sf_dir), f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    before = None
     for name, stage in STAGES[:-1]:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
+        if before:
+            _drop(spark, f"{folder}/{before}")
+        before = name
     return STAGES[-1][1](spark, docs, sf_dir)
