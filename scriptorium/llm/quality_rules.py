@@ -27,7 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scriptorium.llm.shared import WORD_GAP, ascii_lower, let, words_of
+from scriptorium.llm.shared import GAPS, WORD_GAP, ascii_lower, let, words_of
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 5
@@ -57,6 +57,7 @@ MENU_WORDS_OF = {
 PHRASES = tuple(p for ps in PHRASES_OF.values() for p in ps)
 MENU_WORDS = tuple(w for ws in MENU_WORDS_OF.values() for w in ws)
 MENU_LINE = r"(?i)^[\x20\x09-\x0D]*(?:" + "|".join(MENU_WORDS) + r")[\x20\x09-\x0D]*$"
+MENU_BYTES = max(len(w.encode()) for w in MENU_WORDS)
 A_WORD = r"[^\x20\x09-\x0D]"
 SEPARATORS = "|»›•"
 
@@ -105,17 +106,24 @@ def _may_break(text: Column) -> Column:
         text.rlike(f"[{SEPARATORS}][^{SEPARATORS}]*[{SEPARATORS}]").alias("menu"),
         # lower() also maps some other characters to a-z, so it lets through too much at worst
         F.lower(text).rlike("|".join(PHRASES)).alias("phrase"),
+        (F.contains(text, F.lit("...")) | F.contains(text, F.lit("…"))).alias("teaser"),
         text.rlike(f"[{SYMBOLS}!]").alias("symbols"),
     )
 
 
+def _is_menu_word(line: Column) -> Column:
+    """Whether a line is a menu word alone: only lines short enough are looked up."""
+    bare = F.btrim(line, F.lit(GAPS))
+    return (F.octet_length(bare) <= MENU_BYTES) & ascii_lower(bare).isin(list(MENU_WORDS))
+
+
 def breaks_rule(line: Column, may: Column) -> Column:
     """Whether a line breaks one of the rules; the costly questions come last."""
     short = F.size(words_of(line)) <= NAV_WORDS
-    menu = (may["menu"] & (_count_of(line, SEPARATORS) >= 2)) | line.rlike(MENU_LINE)
+    menu = (may["menu"] & (_count_of(line, SEPARATORS) >= 2)) | _is_menu_word(line)
     phrase = may["phrase"] & ascii_lower(line).rlike("|".join(PHRASES))
     symbols = _count_of(line, SYMBOLS + "!") * 100 > F.length(F.regexp_replace(line, WORD_GAP, "")) * SYMBOL_PERCENT
-    return ((menu | phrase | line.rlike(TEASER)) & short) | (may["symbols"] & symbols)
+    return ((menu | phrase | (may["teaser"] & line.rlike(TEASER))) & short) | (may["symbols"] & symbols)
 
 
 def assess(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
