@@ -39,3 +39,10 @@ def derived(runs: DataFrame) -> DataFrame:
         .withColumn("accuracy_raw", accuracy("wer_raw"))
         .withColumn("accuracy_corrected", accuracy("wer_corrected"))
     )
+
+
+def scored_errors(rows: DataFrame) -> DataFrame:
+    """Error rates (n_ref, substitutions, deletions, wer) with the words that are correct and the accuracy,
+    which is never negative."""
+    correct = F.col("n_ref") - F.col("substitutions") - F.col("deletions")
+    return rows.withColumn("correct", correct).withColumn("accuracy", F.greatest(F.lit(0.0), 1 - F.col("wer")))

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from scriptorium.operators.fuzzy import heard_by_sound
+
 PROMOTE_FROM = 3
 
 
@@ -64,17 +66,23 @@ def supported(term: Column, words: Column) -> Column:
     return F.when(shared == F.size(own), "exact").when(shared * 2 >= F.size(own), "partial")
 
 
-def discover(entities: DataFrame, known: DataFrame, common: tuple[str, ...], min_confidence: float, least: int) -> DataFrame:
+def discover(entities: DataFrame, known: DataFrame, common: tuple[str, ...], min_confidence: float, least: int, by_sound: float | None = 0.6) -> DataFrame:
     """Adds outcome to entities (text, confidence, count, words): the first gate that stops each.
 
-    known: form, in lower case. Counts are of all sightings, before equal names were joined.
+    known: form, in lower case. Counts are of all sightings, before equal names were joined; each name
+    stands once. A name that was not heard as it is spelt may still sound like a word that was, with the
+    confidence ``by_sound``; with None that gate is left out.
     """
     low = entities.where(F.col("confidence") >= min_confidence).withColumn("form", F.lower(F.trim("text")))
     found = low.join(known.select("form").distinct().withColumn("is_known", F.lit(True)), "form", "left")
+    plain = unusual(F.col("text"), common).isNotNull() | (F.col("count") < least)
+    unheard = ~plain & F.col("is_known").isNull() & supported(F.col("text"), F.col("words")).isNull()
+    sounds = F.lit(False)
+    if by_sound is not None:
+        heard_as = heard_by_sound(found.where(unheard).select("form", "words"), by_sound).withColumnRenamed("word", "heard_as")
+        found = found.join(heard_as, "form", "left")
+        sounds = F.col("heard_as").isNotNull()
     return found.withColumn(
         "outcome",
-        F.when(unusual(F.col("text"), common).isNotNull() | (F.col("count") < least), "rejected_weirdness")
-        .when(F.col("is_known"), "already_in_dictionary")
-        .when(supported(F.col("text"), F.col("words")).isNull(), "rejected_hallucinations")
-        .otherwise("discovered"),
+        F.when(plain, "rejected_weirdness").when(F.col("is_known"), "already_in_dictionary").when(unheard & ~sounds, "rejected_hallucinations").otherwise("discovered"),
     ).drop("is_known")

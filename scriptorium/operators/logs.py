@@ -91,15 +91,15 @@ def first_completion(events: DataFrame) -> DataFrame:
     return events.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
 
 
-def speed(compute: Column, audio: Column) -> Column:
-    """rtf (compute over audio) and speedup (audio over compute), 0 where they have no meaning."""
+def speed(compute: Column, recorded: Column) -> Column:
+    """rtf (compute over recorded) and speedup (recorded over compute), 0 where they have no meaning."""
     ratio = lambda a, b: F.when(b > 0, a / b).otherwise(0.0)
-    return F.struct(ratio(compute, audio).alias("rtf"), ratio(audio, compute).alias("speedup"))
+    return F.struct(ratio(compute, recorded).alias("rtf"), ratio(recorded, compute).alias("speedup"))
 
 
 def bench_summary(runs: DataFrame) -> DataFrame:
-    """Over runs (name, wall, audio, errors, n_ref): times, their deviation, macro and micro error rates."""
-    rtf = F.when(F.col("audio") > 0, F.col("wall") / F.col("audio"))
+    """Over runs (name, wall, recorded, errors, n_ref): times, their deviation, macro and micro error rates."""
+    rtf = F.when(F.col("recorded") > 0, F.col("wall") / F.col("recorded"))
     return runs.groupBy("name").agg(
         F.count(F.lit(1)).alias("n"),
         F.avg("wall").alias("avg_wall"),
@@ -109,3 +109,20 @@ def bench_summary(runs: DataFrame) -> DataFrame:
         F.avg(F.when(F.col("n_ref") > 0, F.col("errors") / F.col("n_ref"))).alias("macro_wer"),
         F.try_divide(F.sum("errors"), F.sum("n_ref")).alias("micro_wer"),
     )
+
+
+#: Kinds of events of a session's log.
+KINDS = (
+    "session_start", "config", "audio_prepared", "chunk_transcribed", "chunk_timing", "segment_created", "correction_attempted",
+    "correction_applied", "correction_rejected", "vocabulary_used", "learning_candidates", "pass_complete", "error",
+    "session_complete", "transcription_complete",
+)
+
+
+def event_lines(rows: DataFrame, kind: str, fields: dict[str, Column], session: str = "session", at: str = "ts") -> DataFrame:
+    """session and line: one JSON event of a kind for each row, with its time and fields; what is missing is
+    left out of the line."""
+    if kind not in KINDS:
+        raise ValueError(f"unknown kind of event: {kind}")
+    body = F.struct(F.lit(kind).alias("event"), F.col(at).cast("string").alias("ts"), *[c.alias(n) for n, c in fields.items()])
+    return rows.select(F.col(session).alias("session"), F.to_json(body).alias("line"))

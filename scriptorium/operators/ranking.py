@@ -149,3 +149,14 @@ def forms(entries: DataFrame) -> DataFrame:
     rows = entries.select("id", F.posexplode(listed).alias("ord", "form")).where("form is not null and trim(form) != ''")
     first = Window.partitionBy("id", F.lower("form")).orderBy("ord")
     return rows.withColumn("n", F.row_number().over(first)).where("n = 1").drop("n")
+
+
+def with_keywords(keywords: dict[str, tuple[str, ...]], context: str, more: list[str]) -> dict[str, tuple[str, ...]]:
+    """Keywords by context with more of one context: lower case, stripped, each once; the given ones stay."""
+    low = (k.lower().strip() for k in more)
+    return keywords | {context: tuple(dict.fromkeys([*keywords.get(context, ()), *(k for k in low if k)]))}
+
+
+def select(entries: DataFrame, now_us: int, **how) -> DataFrame:
+    """The bias list under its earlier name."""
+    return select_bias_list(entries, now_us, **how)

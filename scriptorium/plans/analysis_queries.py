@@ -294,10 +294,18 @@ def speed_ratios(spark, sf_dir):
 
 @query("bench_summary", "SELECT event_type AS name, count(*) AS n, round(avg(value), 6) AS avg_wall, round(coalesce(stddev_samp(value), 0), 6) AS stdev_wall, round(avg((event_id % 7)::DOUBLE / (event_id % 11)) FILTER (WHERE event_id % 11 > 0), 6) AS macro_wer, round(sum(event_id % 7) / sum(event_id % 11), 6) AS micro_wer FROM events GROUP BY 1")
 def bench_summary(spark, sf_dir):
-    runs = table(spark, sf_dir, "events").select(F.col("event_type").alias("name"), F.col("value").alias("wall"), F.col("user_id").alias("audio"), (F.col("event_id") % 7).alias("errors"), (F.col("event_id") % 11).alias("n_ref"))
+    runs = table(spark, sf_dir, "events").select(F.col("event_type").alias("name"), F.col("value").alias("wall"), F.col("user_id").alias("recorded"), (F.col("event_id") % 7).alias("errors"), (F.col("event_id") % 11).alias("n_ref"))
     return G.bench_summary(runs).select("name", "n", *[F.round(c, 6).alias(c) for c in ("avg_wall", "stdev_wall", "macro_wer", "micro_wer")])
 
 
+@query("event_lines", S.with_relations("log_events", "SELECT session, count(*) AS n, sum(n)::BIGINT AS words FROM log_events WHERE event = 'chunk_transcribed' GROUP BY 1"))
+def event_lines(spark, sf_dir):
+    """Events written as lines and read back."""
+    rows = S.log_events(spark, sf_dir).where("event = 'chunk_transcribed'").withColumn("ts", F.lit("2001-11-01"))
+    lines = G.event_lines(rows, "chunk_transcribed", {"word_count": F.col("n"), "avg_confidence": F.col("value")})
+    return G.read_lines(lines).groupBy("session").agg(F.count(F.lit(1)).alias("n"), F.sum("word_count").alias("words"))
+
+
 # ---- texts -----------------------------------------------------------------------------------
 
 def _norm(x):
@@ -522,7 +530,17 @@ _COMMON = ("this", "that", "with", "from", "there", "then")
   SELECT form, CASE WHEN length(form) < 4 OR form IN {_COMMON} OR c < 2 THEN 'rejected_weirdness' WHEN form LIKE 'e%' THEN 'already_in_dictionary' WHEN NOT list_contains(ws, form) THEN 'rejected_hallucinations' ELSE 'discovered' END AS outcome
   FROM e JOIN d ON d.doc_id = e.pos + 1""")
 def discovery(spark, sf_dir):
+    """Without the gate of sounds, which SQL cannot state."""
+    return L.discover(*_discovery(spark, sf_dir), _COMMON, 0.5, 2, by_sound=None).select("form", "outcome")
+
+
+def _discovery(spark, sf_dir):
     seen = names(spark, sf_dir).groupBy(F.lower("term").alias("text")).agg(F.count(F.lit(1)).alias("count"), F.min("pos").alias("pos")).withColumn("confidence", F.lit(0.9))
     heard = S.texts(spark, sf_dir).select((F.col("doc_id") - 1).alias("pos"), F.array_distinct(F.split(F.lower("text"), r"[^\p{L}]+")).alias("words"))
     known = seen.where(F.col("text").startswith("e")).select(F.col("text").alias("form"))
-    return L.discover(seen.join(heard, "pos"), known, _COMMON, 0.5, 2).select("form", "outcome")
+    return seen.join(heard, "pos"), known
+
+
+@query("discovery_by_sound")
+def discovery_by_sound(spark, sf_dir):
+    return L.discover(*_discovery(spark, sf_dir), _COMMON, 0.5, 2).select("form", "outcome", "heard_as")

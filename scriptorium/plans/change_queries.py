@@ -159,3 +159,22 @@ def remove_entries(spark, sf_dir):
     keys = tables["entries"].where("id between 5 and 9").select(F.upper("canonical").alias("key")).unionByName(spark.sql("select explode(array('3', 'BRAND#11')) as key"))
     left = D.removed(tables, keys)
     return left["entries"].select(F.lit("entry").alias("kind"), "id", F.col("canonical").alias("value")).unionByName(left["aliases"].select(F.lit("alias").alias("kind"), F.col("entry_id").alias("id"), F.col("alias").alias("value")))
+
+
+# ---- stores ----------------------------------------------------------------------------------
+
+@query("selected_terms", "SELECT list, pos, term FROM (SELECT CASE r_ % 3 WHEN 0 THEN 'first_names' WHEN 1 THEN 'last_names' ELSE 'historians' END AS list, (r_ // 3)::BIGINT AS pos, term FROM (SELECT p_partkey AS r_, p_name AS term FROM part)) WHERE pos < 200 OR list = 'historians'")
+def selected_terms(spark, sf_dir):
+    from scriptorium.sources.stores import selected_terms as chosen
+
+    n = F.col("p_partkey")
+    lists = table(spark, sf_dir, "part").select(F.element_at(F.array(*map(F.lit, ("first_names", "last_names", "historians"))), (n % 3 + 1).cast("int")).alias("list"), F.floor(n / 3).alias("pos"), F.col("p_name").alias("term"))
+    return chosen(lists, "biography")
+
+
+@query("accuracy", "SELECT event_id, event_id % 40 - least(event_id % 40, event_id % 3) - least(event_id % 40 - least(event_id % 40, event_id % 3), event_id % 5) AS correct, round(greatest(0, 1 - (event_id % 60) / 40), 6) AS accuracy FROM events")
+def accuracy(spark, sf_dir):
+    i, n = F.col("event_id"), F.col("event_id") % 40
+    subs = F.least(n, i % 3)
+    rows = table(spark, sf_dir, "events").select("event_id", n.alias("n_ref"), subs.alias("substitutions"), F.least(n - subs, i % 5).alias("deletions"), (i % 60 / 40).alias("wer"))
+    return E.scored_errors(rows).select("event_id", "correct", F.round("accuracy", 6).alias("accuracy"))

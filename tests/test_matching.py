@@ -104,3 +104,17 @@ def test_no_spans_of_empty_tables(spark):
     rows = spark.createDataFrame(FORMS, "entry_id long, form string, kind string, ord int")
     none = spark.createDataFrame([], "doc_id long, text string")
     assert Z.match_spans(none, rows).count() == 0 and Z.match_spans(none.unionByName(spark.createDataFrame([(1, "Garmin Garmin")], none.schema)), rows.where(F.lit(False))).count() == 0
+
+
+def test_sound_saves_names_from_being_taken_for_invented(spark):
+    from scriptorium.plans import catalog
+
+    folder = "/root/testdata/sf0.001"
+    plain = {r.form: r.outcome for r in catalog.QUERIES["discovery"](spark, folder).collect()}
+    rows = catalog.QUERIES["discovery_by_sound"](spark, folder).collect()
+    assert {r.form for r in rows} == set(plain)
+    for r in rows:
+        saved = r.heard_as is not None
+        assert r.outcome == ("discovered" if saved else plain[r.form])
+        assert not saved or plain[r.form] == "rejected_hallucinations" and ratio(r.heard_as, r.form) >= 0.75 - 1e-9
+    assert any(r.heard_as for r in rows)
