@@ -27,7 +27,7 @@ import hashlib
 import heapq
 import math
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 from itertools import chain, count, pairwise
 
@@ -319,11 +319,11 @@ class _Source:
         # that the sequence need only say that there is one
         times = np.bincount(sequence, minlength=len(self.number))
         order = np.argsort(-np.where(times == 1, 0, times), kind="stable")
-        number = np.empty(len(order), np.int64)
-        number[order] = np.arange(len(order))
+        number = np.empty(len(order), np.uint32)
+        number[order] = np.arange(1, len(order) + 1)
         repeated = int((times > 1).sum())
-        sequence = number[sequence] + 1
-        sequence[sequence > repeated] = 0
+        number[number > repeated] = 0
+        sequence = number[sequence]
         by_bucket: dict[int, tuple[list[int], list[bytes]]] = defaultdict(lambda: ([], []))
         known: list[tuple[int, int]] = []
         found = list(self.number)
@@ -403,8 +403,9 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - lengths), lengths)
 
 
-def ids_of_source(table: pa.Table) -> tuple[pa.Table, np.ndarray, np.ndarray]:
-    """The documents of a source in order, their ids end to end, and where each one's begin."""
+def ids_of_source(table: pa.Table) -> tuple[pa.Table, Callable[[int, int], np.ndarray]]:
+    """The documents of a source in order, and the ids of any run of its words: only the distinct words'
+    ids and the words' numbers are held, never the ids of all texts."""
     kind = table["kind"]
     docs = table.filter(pc.equal(kind, DOCUMENT)).sort_by("uid")
     whole = table.filter(pc.equal(kind, SEQUENCE))
@@ -422,15 +423,13 @@ def ids_of_source(table: pa.Table) -> tuple[pa.Table, np.ndarray, np.ndarray]:
         lengths.append(answer[: len(asked)])
         flat.append(answer[len(asked) :])
     numbers, lengths, flat = map(np.concatenate, (numbers, lengths, flat))
-    starts = np.cumsum(lengths) - lengths
-    place = np.full(max(numbers.max(initial=-1), sequence.max(initial=-1)) + 1, -1)
+    starts, flat = np.cumsum(lengths) - lengths, flat.astype(np.int32)
+    place = np.full(max(numbers.max(initial=-1), sequence.max(initial=-1)) + 1, -1, np.int32)
     place[numbers] = np.arange(len(numbers))
     at = place[sequence]
     if (at < 0).any():
         raise RuntimeError("words of a source came without their ids")
-    upto = np.concatenate([[0], np.cumsum(lengths[at])])
-    bounds = upto[np.concatenate([[0], np.cumsum(docs["n"].to_numpy())])]
-    return docs, flat[ragged(starts[at], lengths[at])], bounds
+    return docs, lambda a, b: flat[ragged(starts[at[a:b]], lengths[at[a:b]])]
 
 
 def encode_documents(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text: str = "text", with_ids: bool = True, block_chars: int = BLOCK_CHARS) -> DataFrame:
@@ -439,15 +438,20 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, key: str = "doc_i
 
     def coded(table: pa.Table) -> pa.Table:
         tool = codec(path, pattern)
-        rows, flat, bounds = ids_of_source(table)
+        rows, ids_of = ids_of_source(table)
         digests: tuple[list[str], list[str]] = ([], [])
-        for a, b in pairwise(bounds.tolist()):
-            ids = flat[a:b].tolist()
+        sizes, kept = [], []
+        for a, b in pairwise([0, *np.cumsum(rows["n"].to_numpy()).tolist()]):
+            found = ids_of(a, b)
+            ids = found.tolist()
+            sizes.append(len(ids))
             digests[0].append(hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest())
             digests[1].append(hashlib.sha256(tool.decode(ids)).hexdigest())
-        columns = [rows["key"], pa.array(np.diff(bounds)), *(pa.array(x, pa.string()) for x in digests)]
+            if with_ids:
+                kept.append(found)
+        columns = [rows["key"], pa.array(sizes, pa.int64()), *(pa.array(x, pa.string()) for x in digests)]
         if with_ids:
-            columns.append(pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(flat, pa.int32())))
+            columns.append(pa.ListArray.from_arrays(pa.array(np.cumsum([0, *sizes]), pa.int32()), pa.array(np.concatenate(kept))))
         kernels.give_back()
         return pa.table(columns, names=names)
 

@@ -8,6 +8,7 @@ from collections import Counter
 import corpus_pipeline
 from scriptorium.llm import mixing
 from scriptorium.llm.queries import tokenizer
+from test_operators import components, sets_by_words
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -32,8 +33,18 @@ def test_stages_in_order(odd, copies, spark, tmp_path):
     assert Counter(after) == Counter(set(before))
     ids = {r.doc_id for r in seen["ngram_join"][1].collect()}
     assert len(ids & set(range(1100, 1160))) == 1 and ids >= set(range(1200, 1260))
+    # near duplicates by brute force over the stage's whole input: the smallest id of each component stays
+    rows = seen["ngram_join"][0].select("doc_id", "text").collect()
+    smallest = components(sets_by_words([r.text for r in rows]), [r.doc_id for r in rows])
+    assert Counter(r.doc_id for r in seen["ngram_join"][1].collect()) == Counter(r.doc_id for r, least in zip(rows, smallest, strict=True) if r.doc_id == least)
     before, after = seen["mixing"]
-    assert sum(len(WORD.findall(r.text)) for r in after.collect()) == sum(r.taken for r in mixing.mix(before).collect())
+    # each document as often as it is taken, in whole or cut to its first words
+    taken = Counter()
+    for r in after.collect():
+        taken[r.doc_id] += len(WORD.findall(r.text))
+    assert taken == Counter({r.doc_id: r.taken for r in mixing.mix(before).collect() if r.taken})
+    texts = {r.doc_id: WORD.findall(r.text) for r in before.collect()}
+    assert all(texts[r.doc_id][: len(w := WORD.findall(r.text))] == w for r in after.collect())
     before, after = seen["byte_bpe"]
     path, pattern = tokenizer()
     library = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=load_ranks(path), special_tokens={})
