@@ -1,8 +1,8 @@
 """Text functions: normalization, error rates, cleaning of web and book texts, gates on corrections.
 
 Column functions throughout. Whole-document folds over word arrays (edit distances) are bounded by
-``MAX_TOKENS`` of each side, as a dynamic program costs their product; longer pairs are an error of
-the caller, who cuts or rejects them.
+``MAX_TOKENS`` of each side, as a dynamic program costs their product; a longer pair has no rates, and
+the rows beside it keep theirs.
 """
 
 from __future__ import annotations
@@ -66,8 +66,6 @@ _STEP_BITS = ~(3 << 32)
 def _edits(ref: list[str], hyp: list[str]) -> tuple[int, int, int, int]:
     """Distance, substitutions, insertions, deletions of two token lists, by the table's antidiagonals."""
     n, m = len(ref), len(hyp)
-    if max(n, m) > MAX_TOKENS:
-        raise ValueError(f"more than {MAX_TOKENS} tokens")
     names: dict[str, int] = {}
     a = np.array([names.setdefault(w, len(names)) for w in ref], np.int64)
     b = np.array([names.setdefault(w, len(names)) for w in reversed(hyp)], np.int64)
@@ -118,9 +116,10 @@ def _distance(a: str, b: str) -> int:
 
 @F.pandas_udf(T.StructType([T.StructField(c, T.LongType()) for c in "dsix"]))
 def word_edits(refs: pd.Series, hyps: pd.Series) -> pd.DataFrame:
-    """Edit distance of two token arrays, and its substitutions, insertions and deletions."""
-    found = [_edits(list(r), list(h)) for r, h in zip(refs, hyps, strict=True)]
-    return pd.DataFrame(found, columns=["d", "s", "i", "x"], dtype="int64")
+    """Edit distance of two token arrays, and its substitutions, insertions and deletions; null for a pair
+    with more than MAX_TOKENS on a side."""
+    found = [_edits(list(r), list(h)) if max(len(r), len(h)) <= MAX_TOKENS else (None,) * 4 for r, h in zip(refs, hyps, strict=True)]
+    return pd.DataFrame(found, columns=["d", "s", "i", "x"], dtype="Int64")
 
 
 @F.pandas_udf(T.LongType())

@@ -63,7 +63,7 @@ def top_by_usage(entries: DataFrame, k: int, exact: bool = False) -> DataFrame:
 def stats(entries: DataFrame, aliases: DataFrame, contexts: DataFrame) -> DataFrame:
     """dimension, key, n: totals, and counts by tier, type and context."""
     one = F.count(F.lit(1)).alias("n")
-    sets = entries.cube("tier", "type").agg(one, F.grouping_id().alias("g")).where("g != 0")
+    sets = entries.groupingSets([[], ["tier"], ["type"]], "tier", "type").agg(one, F.grouping_id().alias("g"))
     named = sets.select(
         F.when(F.col("g") == 3, "total").when(F.col("g") == 1, "tier").otherwise("type").alias("dimension"),
         F.when(F.col("g") == 3, "entries").when(F.col("g") == 1, F.col("tier")).otherwise(F.col("type")).alias("key"),

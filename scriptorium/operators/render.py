@@ -97,6 +97,9 @@ def export_entries(entries: DataFrame, max_tier: str = "H", context: str | None
     kept = entries.where(F.col("tier") <= max_tier)
     if context:
         kept = kept.where(F.exists("contexts", lambda c: F.lower(c) == context.lower()))
-    # the place is part of the export; exports are small by their filters, and so is this window
-    place = F.row_number().over(Window.orderBy("tier", F.lower("canonical"), "id"))
-    return kept.withColumn("place", place).withColumn("json", F.to_json(F.struct("canonical", "display", "type", "tier", "boost_weight", "contexts")))
+    # places count on within each of the eight tiers from where the tiers before it end
+    sizes = kept.groupBy("tier").agg(F.count(F.lit(1)).alias("n"))
+    starts = sizes.select("tier", (F.sum("n").over(Window.orderBy("tier")) - F.col("n")).alias("__start"))
+    kept = kept.join(F.broadcast(starts), "tier")
+    place = (F.col("__start") + F.row_number().over(Window.partitionBy("tier").orderBy(F.lower("canonical"), "id"))).cast("int")
+    return kept.withColumn("place", place).withColumn("json", F.to_json(F.struct("canonical", "display", "type", "tier", "boost_weight", "contexts"))).drop("__start")

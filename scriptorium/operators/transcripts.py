@@ -17,15 +17,19 @@ def context_windows(segments: DataFrame, reach: int, key: str = "transcript") ->
     return segments.withColumns({"before": joined(-reach, -1), "after": joined(1, reach)})
 
 
-def rolling_context(segments: DataFrame, n_words: int = 100, most_chars: int = 500, reach: int = 100, key: str = "transcript") -> DataFrame:
+def rolling_context(segments: DataFrame, n_words: int = 100, most_chars: int = 500, key: str = "transcript") -> DataFrame:
     """Adds context: the last words of all earlier segments, cut to the last characters.
 
-    Only the last ``reach`` segments can matter while segments have words, so the frame is bounded.
+    A segment that is not blank has a word at least, so the last ``n_words`` segments of that kind hold
+    all that matter, and the frame is bounded by them however many blank ones lie between.
     """
-    frame = Window.partitionBy(key).orderBy("segment").rowsBetween(-reach, -1)
-    said = F.filter(F.flatten(F.collect_list(F.split(F.trim("text"), r"\s+")).over(frame)), lambda w: w != "")
+    spoken = F.trim("text") != ""
+    before = Window.partitionBy(key).orderBy("segment").rowsBetween(Window.unboundedPreceding, -1)
+    numbered = segments.withColumn("__spoken", F.count(F.when(spoken, 1)).over(before))
+    frame = Window.partitionBy(key).orderBy("__spoken").rangeBetween(-n_words, -1)
+    said = F.filter(F.flatten(F.collect_list(F.when(spoken, F.split(F.trim("text"), r"\s+"))).over(frame)), lambda w: w != "")
     last = F.when(F.size(said) > n_words, F.slice(said, -n_words, n_words)).otherwise(said)
-    return segments.withColumn("context", F.trim(F.right(F.array_join(last, " "), F.lit(most_chars))))
+    return numbered.withColumn("context", F.trim(F.right(F.array_join(last, " "), F.lit(most_chars)))).drop("__spoken")
 
 
 def mark_spans(words: Column, threshold: float = 0.7) -> Column:

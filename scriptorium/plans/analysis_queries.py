@@ -150,12 +150,21 @@ def context_window(spark, sf_dir):
     return T.context_windows(S.segments(spark, sf_dir), 2).select("transcript", "segment", "before", "after")
 
 
-@query("rolling_context", S.with_relations("segments", r"WITH said AS (SELECT transcript, segment, list_filter(string_split_regex(coalesce(string_agg(trim(text), ' ' ORDER BY segment) OVER (PARTITION BY transcript ORDER BY segment ROWS BETWEEN 100 PRECEDING AND 1 PRECEDING), ''), '\s+'), lambda w: w <> '') AS ws FROM segments) "
-       "SELECT transcript, segment, trim(right(array_to_string(ws[greatest(1, len(ws) - 99):], ' '), 500)) AS context FROM said"))
+def _rolling_sql(chars):
+    return S.with_relations("segments", r"WITH said AS (SELECT transcript, segment, list_filter(string_split_regex(coalesce(string_agg(trim(text), ' ' ORDER BY segment) OVER (PARTITION BY transcript ORDER BY segment ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), ''), '\s+'), lambda w: w <> '') AS ws FROM segments) "
+        rf"SELECT transcript, segment, trim(right(array_to_string(ws[greatest(1, len(ws) - 99):], ' '), {chars})) AS context FROM said")
+
+
+@query("rolling_context", _rolling_sql(500))
 def rolling_context(spark, sf_dir):
     return T.rolling_context(S.segments(spark, sf_dir)).select("transcript", "segment", "context")
 
 
+@query("rolling_context_short", _rolling_sql(400))
+def rolling_context_short(spark, sf_dir):
+    return T.rolling_context(S.segments(spark, sf_dir), most_chars=400).select("transcript", "segment", "context")
+
+
 _CAP = r"regexp_matches({0}, '^\p{{Lu}}')"
 @query("low_conf_spans", S.with_relations("segments words", rf"""WITH t AS (SELECT *, {_CAP.format('word')} AS capital, confidence < 0.7 AS low FROM words),
   u AS (SELECT *, low OR ((length(word) = 1 AND capital AND word NOT IN ('I', 'A') OR length(word) = 2 AND capital) AND (coalesce(lag(low) OVER w, false) OR coalesce(lead(low) OVER w, false))) AS m0 FROM t WINDOW w AS (PARTITION BY transcript, segment ORDER BY pos)),

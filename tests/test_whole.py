@@ -112,3 +112,18 @@ def test_character_rates_of_every_pair(spark, long_pair):
     assert row.cer == round(plain_edits(letters + "oneétwo", letters + "oneetwothree")[0] / len(letters + "oneétwo"), 6)
     pairs, rates = (catalog.QUERIES[q](spark, FOLDER).select("doc_id").toPandas().doc_id for q in ("wer_pairs", "cer_pairs"))
     assert sorted(pairs) == sorted(rates)
+
+
+def test_rolling_context_looks_past_blank_segments(spark):
+    from scriptorium.operators import transcripts as T
+
+    rows = [(1, i, "" if i % 7 else f"w{i}", 0.0) for i in range(1, 900)]
+    found = {r.segment: r.context for r in T.rolling_context(spark.createDataFrame(rows, "transcript long, segment long, text string, start double"), most_chars=10_000).collect()}
+    said = [(i, t) for _, i, t, _ in rows if t]
+    assert all(found[i] == " ".join([t for j, t in said if j < i][-100:]) for _, i, _, _ in rows)
+
+
+def test_pairs_that_are_too_long_have_no_rates(spark, monkeypatch):
+    rows = spark.createDataFrame([("a b", "a c"), ("x " * 50_001 + "x", "a")], "ref string, hyp string")
+    first, second = rows.select(X.word_errors(F.col("ref"), F.col("hyp")).alias("e")).select("e.*").collect()
+    assert (first.wer, first.substitutions) == (0.5, 1) and second.wer is None and second.n_ref == 50_002
