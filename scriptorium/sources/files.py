@@ -117,5 +117,5 @@ def file_digest(spark: SparkSession, path: str) -> DataFrame:
 
 
 def filter_chain(*filters: str | None) -> str:
-    """Names of audio filters joined by commas, those not wanted left out."""
+    """Names of filters joined by commas, those not wanted left out."""
     return ",".join(f for f in filters if f)
