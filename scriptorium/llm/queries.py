@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scriptorium.llm import bpe, chat_format, exact_dedup, mixing, ngram_join, pii, quality_model, quality_rules, suffix_tree, url_filters
+from scriptorium.llm import bpe, chat_format, divergence, exact_dedup, mixing, ngram_join, pii, quality_model, quality_rules, suffix_tree, url_filters
 from scriptorium.llm.shared import documents
 
 
@@ -70,6 +70,11 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far the sources of a language are apart, and the terms that each uses more than its language."""
+    return divergence.divergence(documents(spark, sf_dir))
+
+
 QUERIES = {
     "op1_mixing": op1_mixing,
     "op2_exact_dedup": op2_exact_dedup,
@@ -81,6 +86,7 @@ QUERIES = {
     "op8_suffix_tree": op8_suffix_tree,
     "op9_chat_format": op9_chat_format,
     "op10_quality_rules": op10_quality_rules,
+    "op13_divergence": op13_divergence,
 }
 
 ORACLES = {
@@ -89,4 +95,5 @@ ORACLES = {
     "op5_url_filters": url_filters.oracle(),
     "op9_chat_format": chat_format.ORACLE,
     "op10_quality_rules": quality_rules.ORACLE,
+    "op13_divergence": divergence.ORACLE,
 }
