@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scriptorium.llm import bpe, chat_format, divergence, exact_dedup, mixing, ngram_join, pii, quality_model, quality_rules, suffix_tree, url_filters
+from scriptorium.llm import bpe, chat_format, divergence, exact_dedup, mixing, ngram_join, pii, quality_model, quality_rules, suffix_tree, url_filters, whitening
 from scriptorium.llm.shared import documents
 
 
@@ -70,6 +70,11 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All embeddings projected on the components of their covariance, each of variance 1."""
+    return whitening.whitened(spark.read.parquet(f"{sf_dir}/embeddings.parquet")).drop("deviation_exact")
+
+
 def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How far the sources of a language are apart, and the terms that each uses more than its language."""
     return divergence.divergence(documents(spark, sf_dir))
@@ -86,6 +91,7 @@ QUERIES = {
     "op8_suffix_tree": op8_suffix_tree,
     "op9_chat_format": op9_chat_format,
     "op10_quality_rules": op10_quality_rules,
+    "op11_whitening": op11_whitening,
     "op13_divergence": op13_divergence,
 }
 
