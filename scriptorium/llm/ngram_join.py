@@ -38,6 +38,7 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -77,15 +78,33 @@ def evidence(n):
     return 1 + n // 32
 
 
-def linked(overlap: int, n: int, m: int) -> bool:
-    return 7 * overlap >= 3 * (n + m)
+class Rule(NamedTuple):
+    """Shingles of so many words; sets are linked when 100 * overlap >= percent * union."""
 
+    words: int = SHINGLE
+    percent: int = 75
 
-def sets_of(block: kernels.Block) -> list[np.ndarray]:
+    def overlap(self, total):
+        """The least overlap of linked sets that have so many shingles together."""
+        return -(-self.percent * total // (100 + self.percent))
+
+    def near(self, n, m):
+        """Whether sizes allow a link."""
+        return 100 * np.minimum(n, m) >= self.percent * np.maximum(n, m)
+
+
+RULE = Rule()
+
+
+def linked(overlap: int, n: int, m: int, rule: Rule = RULE) -> bool:
+    return overlap >= rule.overlap(n + m)
+
+
+def sets_of(block: kernels.Block, size: int = SHINGLE) -> list[np.ndarray]:
     """The sorted distinct shingle hashes of each text of a block."""
     low = kernels.lowered(block)
     found = kernels.words(low)
-    hashes, to = kernels.shingles(kernels.word_hashes(low, found), found.bounds, SHINGLE)
+    hashes, to = kernels.shingles(kernels.word_hashes(low, found), found.bounds, size)
     return [np.unique(hashes[a:b]) for a, b in zip(to[:-1].tolist(), to[1:].tolist(), strict=True)]
 
 
@@ -430,11 +449,11 @@ class Family:
     pivot's shingles each class has not; ``sizes`` are those of the classes in any case.
     """
 
-    def __init__(self, sets: list[np.ndarray], sizes: np.ndarray | None = None, lacks: np.ndarray | None = None, p: int = 0):
+    def __init__(self, sets: list[np.ndarray], sizes: np.ndarray | None = None, lacks: np.ndarray | None = None, p: int = 0, rule: Rule = RULE):
         held = np.array([len(s) for s in sets])
         self.sizes = held if sizes is None else sizes
         self.lacks = np.zeros(len(sets), np.int64) if lacks is None else lacks
-        self.p = p
+        self.p, self.rule = p, rule
         shingle = np.concatenate(sets)
         owner = np.repeat(np.arange(len(sets), dtype=np.int32), held)
         order = np.argsort(shingle, kind="stable")  # owners rise within each list
@@ -467,11 +486,11 @@ class Family:
     def search(self, query: int, among: np.ndarray | None = None) -> np.ndarray:
         """The classes linked with the query (of those among, if given), found by DivideSkip."""
         n = int(self.sizes[query])
-        near = (4 * np.minimum(n, self.sizes) >= 3 * np.maximum(n, self.sizes)) & (among if among is not None else True)
+        near = self.rule.near(n, self.sizes) & (among if among is not None else True)
         near[query] = False
         classes = np.flatnonzero(near)
         lists = self.lists[query]
-        bound = -(-3 * (n + self.sizes[classes]) // 7) - self.p + self.lacks[query] + self.lacks[classes]
+        bound = self.rule.overlap(n + self.sizes[classes]) - self.p + self.lacks[query] + self.lacks[classes]
         least = int(bound.min(initial=len(lists) + 1))
         if len(lists) < least:
             return classes[:0]
@@ -495,7 +514,7 @@ class Family:
         return classes[counts >= bound]
 
 
-def count_groups(grouped: DataFrame) -> DataFrame:
+def count_groups(grouped: DataFrame, rule: Rule = RULE) -> DataFrame:
     """All links within each value of ``task``, as spanning trees (u, v) and as counts (u, n).
 
     n is the number of documents that the class is linked with in the task, its copies left out. Where
@@ -513,7 +532,7 @@ def count_groups(grouped: DataFrame) -> DataFrame:
                 continue
             names = sorted(held)
             sizes, lacks, p, copies, block, others = (np.array([held[x][k] for x in names], np.int64) for k in range(1, 7))
-            family = Family([held[x][0] for x in names], sizes, lacks, int(p[0]))
+            family = Family([held[x][0] for x in names], sizes, lacks, int(p[0]), rule)
             n = np.zeros(len(names), np.int64)
             one, first = bool(block[0] == others[0]), block == block.min()
             for i in range(len(names)) if one else np.flatnonzero(first).tolist():
@@ -531,7 +550,7 @@ def count_groups(grouped: DataFrame) -> DataFrame:
     return grouped.groupBy("task").applyInArrow(counted, "u binary, v binary, n long")
 
 
-def member_sets(docs: DataFrame, text: str, bitmap: bytes) -> DataFrame:
+def member_sets(docs: DataFrame, text: str, bitmap: bytes, size: int = SHINGLE) -> DataFrame:
     """c, class, s for the classes whose short id the bitmap lets through; once from each task at most."""
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -540,7 +559,7 @@ def member_sets(docs: DataFrame, text: str, bitmap: bytes) -> DataFrame:
         for batch in batches:
             for block in kernels.blocks(batch.column(0)):
                 rows = []
-                for shingles in sets_of(block):
+                for shingles in sets_of(block, size):
                     if len(shingles) and (name := class_of(shingles)) not in seen and wanted[short_id(name) & mask]:
                         rows.append((short_id(name), name, shingles.tobytes()))
                         seen.add(name)
@@ -579,7 +598,7 @@ def pivots_of(large: DataFrame) -> DataFrame:
     return large.join(middle, "family").groupBy("family").agg(nearest.alias("p")).select("family", F.col("p.class").alias("class"))
 
 
-def links(docs: DataFrame, text: str, classes: DataFrame, families: DataFrame, block_shingles: int) -> tuple[DataFrame, DataFrame]:
+def links(docs: DataFrame, text: str, classes: DataFrame, families: DataFrame, block_shingles: int, rule: Rule = RULE) -> tuple[DataFrame, DataFrame]:
     """u, v over classes: for each class that is not its component's label, the label; and u, n, the
     number of documents of other classes that each class is linked with."""
     placed = durable(classes.join(families, F.col("c").bitwiseAND(F.lit(0xFFFF_FFFF_FFFF)) == families["u"], "left").withColumn("family", F.coalesce("v", F.col("c").bitwiseAND(F.lit(0xFFFF_FFFF_FFFF)))))
@@ -592,7 +611,7 @@ def links(docs: DataFrame, text: str, classes: DataFrame, families: DataFrame, b
 
     def sets(some: DataFrame) -> DataFrame:
         # copies are sent by each task that has one, so they are dropped before families come together
-        made = member_sets(docs, text, bitmap_of(some, "c")).dropDuplicates(["class"]).drop("c")
+        made = member_sets(docs, text, bitmap_of(some, "c"), rule.words).dropDuplicates(["class"]).drop("c")
         return made.join(some.drop("c"), "class")
 
     whole = F.col("shingles") <= block_shingles
@@ -600,7 +619,7 @@ def links(docs: DataFrame, text: str, classes: DataFrame, families: DataFrame, b
     groups = 8 * math.ceil(total / block_shingles)
     columns = ["family", "class", "s", "size", "lacks", "p", "members", "block", "met"]
     small = sets(inside.where(whole)).select("family", "class", "s", "size", zero.alias("lacks"), zero.alias("p"), "members", zero.alias("block"), zero.alias("met"))
-    found = durable(count_groups(small.withColumn("task", F.pmod(F.xxhash64("family"), F.lit(groups)))))
+    found = durable(count_groups(small.withColumn("task", F.pmod(F.xxhash64("family"), F.lit(groups))), rule))
     release(docs.sparkSession)
     large = inside.where(~whole)
     if large.isEmpty():
@@ -615,7 +634,7 @@ def links(docs: DataFrame, text: str, classes: DataFrame, families: DataFrame, b
     held = cut.join(blocks, "family").withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")))
     both = held.withColumn("met", F.explode(F.sequence(zero, F.col("blocks") - 1))).select(*columns)
     pair = F.xxhash64("family", F.least("block", "met"), F.greatest("block", "met"))
-    found = found.unionByName(durable(count_groups(both.withColumn("task", pair))))
+    found = found.unionByName(durable(count_groups(both.withColumn("task", pair), rule)))
     release(docs.sparkSession)
     return connect(found.where("v is not null").select("u", "v")), found.where("n is not null").groupBy("u").agg(F.sum("n").alias("n"))
 
@@ -645,8 +664,14 @@ def ngram_join(
     listed = rows.where("size is not null").select("key", "size", "class", "sha")
     counted = counted_pairs(rows.where("pairs is not null"))
     families = families_of(rows.where("pairs is null and u is not null").select("u", "v").unionByName(counted))
+    return judged(docs, key, text, listed, families, block_shingles)
+
+
+def judged(docs: DataFrame, key: str, text: str, listed: DataFrame, families: DataFrame, block_shingles: int = BLOCK_SHINGLES, rule: Rule = RULE) -> DataFrame:
+    """What ngram_join() returns, from a row (key, size, class, sha) for each document and families that
+    hold every link: all links inside them are found on whole sets."""
     classes = durable(_classes(listed))
-    found, linked_rows = links(docs, text, classes, families, block_shingles)
+    found, linked_rows = links(docs, text, classes, families, block_shingles, rule)
     release(docs.sparkSession)
     labels = found.select(F.col("u").alias("class"), F.col("v").alias("label"))
     named = durable(classes.join(labels, "class", "left").withColumn("label", F.coalesce("label", "class")))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from scriptorium.llm import bpe, chat_format, divergence, exact_dedup, mixing, ngram_join, pii, quality_model, quality_rules, suffix_tree, url_filters, whitening
+from scriptorium.llm import bpe, chat_format, divergence, exact_dedup, minhash, mixing, ngram_join, pii, quality_model, quality_rules, suffix_tree, url_filters, whitening
 from scriptorium.llm.shared import documents
 
 
@@ -75,6 +75,11 @@ def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whitened(spark.read.parquet(f"{sf_dir}/embeddings.parquet")).drop("deviation_exact")
 
 
+def op12_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near duplicates of all documents by buckets of their signatures, confirmed on whole sets."""
+    return minhash.near_duplicates(documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id", "kept", "n_links")
+
+
 def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How far the sources of a language are apart, and the terms that each uses more than its language."""
     return divergence.divergence(documents(spark, sf_dir))
@@ -92,6 +97,7 @@ QUERIES = {
     "op9_chat_format": op9_chat_format,
     "op10_quality_rules": op10_quality_rules,
     "op11_whitening": op11_whitening,
+    "op12_minhash": op12_minhash,
     "op13_divergence": op13_divergence,
 }
 
@@ -101,5 +107,6 @@ ORACLES = {
     "op5_url_filters": url_filters.oracle(),
     "op9_chat_format": chat_format.ORACLE,
     "op10_quality_rules": quality_rules.ORACLE,
+    "op12_minhash": minhash.ORACLE,
     "op13_divergence": divergence.ORACLE,
 }
