@@ -28,7 +28,9 @@ columns never take part.
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -77,44 +79,45 @@ def runs(*keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class _TermCounts:
-    """What a task has counted: a table of (group, term, n, df)."""
+    """What a task has counted: (group and term, n, df), terms by their numbers in a vocabulary."""
 
-    def __init__(self):
+    def __init__(self, between: int):
+        self.between = between  # rows that come between two merges at least
         self.groups: dict[tuple[str, str], int] = {}
-        self.parts: list[pa.Table] = []
-        self.rows = 0
+        self.clear()
+
+    def clear(self) -> None:
+        self.numbers: dict[str, int] = defaultdict(count().__next__)
+        self.parts: list[tuple[np.ndarray, ...]] = []
+        self.rows = self.merged = 0
 
     def add(self, block: kernels.Block, group: np.ndarray) -> None:
         found, bounds = terms(block)
-        index = found.indices.to_numpy().astype(np.int64)
+        index = np.fromiter(map(self.numbers.__getitem__, found.dictionary.to_pylist()), np.int64, len(found.dictionary))[found.indices.to_numpy()]
         of = np.repeat(np.arange(block.n), np.diff(bounds))
-        width = max(1, len(found.dictionary))
-        seen, times = np.unique(of * width + index, return_counts=True)
-        order, starts = runs(group[seen // width] * width + seen % width)
-        if not len(starts):
-            return
-        n, df = np.add.reduceat(times[order], starts), np.diff(np.append(starts, len(order)))
-        seen = seen[order][starts]
-        columns = [pa.array(group[seen // width]), found.dictionary.take(pa.array(seen % width)), pa.array(n), pa.array(df)]
-        self.parts.append(pa.table(columns, names=["g", "term", "n", "df"]))
+        seen, times = np.unique(of << 32 | index, return_counts=True)
+        self.parts.append((group[seen >> 32] << 32 | seen & 0xFFFF_FFFF, times, np.ones(len(seen), np.int64)))
         self.rows += len(seen)
 
-    def merged(self) -> pa.Table:
-        whole = pa.concat_tables(self.parts).group_by(["g", "term"]).aggregate([("n", "sum"), ("df", "sum")])
-        return whole.select(["g", "term", "n_sum", "df_sum"]).rename_columns(["g", "term", "n", "df"])
+    def merge(self) -> None:
+        keys, n, df = (np.concatenate(x) for x in zip(*self.parts, strict=True))
+        order, starts = runs(keys)
+        self.parts = [(keys[order][starts], *(np.add.reduceat(x[order], starts) if len(starts) else x for x in (n, df)))]
+        self.rows = self.merged = len(starts)
 
     def sent(self, most: int) -> Iterator[pa.RecordBatch]:
-        """Merge what is held, and send it if that leaves more than ``most`` rows."""
-        if self.parts:
-            self.parts = [self.merged()]
-            self.rows = self.parts[0].num_rows
-        if self.rows > most:
-            names = list(self.groups)
-            langs, sources = (pa.array([g[i] for g in names], pa.string()) for i in (0, 1))
-            whole, self.parts, self.rows = self.parts[0], [], 0
-            for batch in whole.to_batches(max_chunksize=50_000):
-                at = batch.column(0)
-                yield pa.RecordBatch.from_arrays([langs.take(at), sources.take(at), batch.column(1).cast(pa.string()), *batch.columns[2:]], names=["lang", "source", "term", "n", "df"])
+        """Merge what is held, if enough has come since, and send it if that leaves more than ``most`` rows."""
+        if most and self.rows < self.between + 2 * self.merged or not self.parts:
+            return
+        self.merge()
+        if self.rows <= most:
+            return
+        langs, sources = (pa.array([g[i] for g in self.groups], pa.string()) for i in (0, 1))
+        named, (keys, n, df) = pa.array(list(self.numbers), pa.string()), self.parts[0]
+        for i in range(0, len(keys), 50_000):
+            of, term, *counts = (pa.array(x[i : i + 50_000]) for x in (keys >> 32, keys & 0xFFFF_FFFF, n, df))
+            yield pa.RecordBatch.from_arrays([langs.take(of), sources.take(of), named.take(term), *counts], names=["lang", "source", "term", "n", "df"])
+        self.clear()
 
     def marks(self) -> pa.RecordBatch:
         """A row without a term for each group."""
@@ -128,14 +131,13 @@ def term_counts(docs: DataFrame, text: str, lang: str, source: str) -> DataFrame
     """lang, source, term, n, df: counts by task, and a row with an empty term for each group."""
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = _TermCounts()
+        held = _TermCounts(MERGED)
         for batch in batches:
             names = zip(*(pc.fill_null(batch.column(i), "").to_pylist() for i in (1, 2)), strict=True)
             group = np.array([held.groups.setdefault(g, len(held.groups)) for g in names], np.int64)
             for block in kernels.blocks(batch.column(0)):
                 held.add(block, group[block.first : block.first + block.n])
-                if held.rows > MERGED:
-                    yield from held.sent(HELD)
+                yield from held.sent(HELD)
         yield from held.sent(0)
         yield held.marks()
 
@@ -157,10 +159,11 @@ def kept_terms(counts: DataFrame, least: int) -> DataFrame:
 class _Tally:
     """Combinations of counts by pair of sources, merged as terms come in."""
 
-    def __init__(self):
+    def __init__(self, between: int):
+        self.between = between
         self.names: dict[tuple[str, str], int] = {}
         self.parts: list[tuple[np.ndarray, ...]] = []
-        self.rows = 0
+        self.rows = self.merged = 0
 
     def add(self, batch: pa.RecordBatch) -> None:
         held = batch.column(1)
@@ -178,21 +181,22 @@ class _Tally:
             at = np.flatnonzero(row[k:] == row[:-k])
             self.parts.append((code[at], code[at + k], n[at], n[at + k], np.ones(len(at), np.int64)))
             self.rows += len(at)
-            if self.rows > MERGED:
+            if self.rows > self.between + 2 * self.merged:
                 self.merge()
 
     def merge(self) -> None:
         *keys, m = (np.concatenate(x) for x in zip(*self.parts, strict=True))
         order, starts = runs(*keys)
         self.parts = [(*(k[order][starts] for k in keys), np.add.reduceat(m[order], starts) if len(starts) else m)]
-        self.rows = len(starts)
+        self.rows = self.merged = len(starts)
 
     def sent(self, most: int) -> Iterator[pa.RecordBatch]:
-        if self.parts:
+        """All that is held, if it is more than ``most`` rows after merging."""
+        if self.rows > most:
             self.merge()
         if self.rows > most:
             langs, sources = (pa.array([x[i] for x in self.names], pa.string()) for i in (0, 1))
-            whole, self.parts, self.rows = self.parts[0], [], 0
+            whole, self.parts, self.rows, self.merged = self.parts[0], [], 0, 0
             for i in range(0, len(whole[0]), 50_000):
                 a, b, ca, cb, m = (pa.array(x[i : i + 50_000]) for x in whole)
                 yield pa.RecordBatch.from_arrays([langs.take(a), sources.take(a), sources.take(b), ca, cb, m], names=["lang", "a", "b", "ca", "cb", "m"])
@@ -203,11 +207,10 @@ def joint_histograms(kept: DataFrame) -> DataFrame:
     a < b."""
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tally = _Tally()
+        tally = _Tally(MERGED)
         for batch in batches:
             tally.add(batch)
-            if tally.rows > MERGED:
-                yield from tally.sent(HELD)
+            yield from tally.sent(HELD)
         yield from tally.sent(0)
 
     found = kept.select("lang", "held").mapInArrow(kernels.trimmed(made), _TALLY)
