@@ -19,10 +19,9 @@ from pyspark.sql import types as T
 
 from scriptorium.functions.phonetic import metaphone
 from scriptorium.functions.text import stripped
+from scriptorium.operators.phonetic_join import COMBINATIONS, by_sound
 
 MOST_EDITS = 3
-#: Weight and least similarity of the code combinations, in the order they are tried.
-COMBINATIONS = (("p", "p", 0.8, 0.35), ("p", "a", 0.7, 0.35), ("a", "p", 0.7, 0.35), ("a", "a", 0.6, 0.3))
 EDIT_WEIGHTS = {"canonical": 0.6, "alias": 0.55}
 EDIT_LEAST = 0.3
 
@@ -43,29 +42,35 @@ def exact(queries: DataFrame, rows: DataFrame) -> DataFrame:
     return one.select("query", "entry_id", "form", F.when(canonical, 1.0).otherwise(0.98).alias("confidence"), F.when(canonical, "exact").otherwise("exact_alias").alias("match_type"))
 
 
-def _pieces(text: Column, n: int) -> Column:
-    """A string cut into n pieces of nearly equal length: (place, piece)."""
-    size = F.length(text)
+def _pieces(size: Column, n: int) -> Column:
+    """A string of some length cut into n pieces of nearly equal length: (i, at, len), places from 0."""
     cut = lambda i: F.floor(size * i / n).cast("int")
-    return F.array(*[F.struct(F.lit(i).alias("i"), cut(i).alias("at"), F.substr(text, cut(i) + 1, cut(i + 1) - cut(i)).alias("piece")) for i in range(n)])
+    return F.array(*[F.struct(F.lit(i).alias("i"), cut(i).alias("at"), (cut(i + 1) - cut(i)).alias("len")) for i in range(n)])
 
 
 def edit_pairs(queries: DataFrame, rows: DataFrame, most: int = MOST_EDITS) -> DataFrame:
     """query, entry_id, form, kind, distance for all pairs with 1 <= distance <= most.
 
-    Forms are cut into most + 1 pieces; one of them stands unchanged in the query, at most ``most``
-    places from where it stood. Forms too short for pieces are joined by length instead.
+    Forms are cut into most + 1 pieces, of which one stands unchanged in the query. Keys are a form's
+    length, the piece's number and the piece; a query asks for each length that is near enough, and for
+    the places that a piece can have moved to: the edits before piece i are at most i, those after it at
+    most most - i, for else another piece stands unchanged as well. Forms too short for pieces are joined
+    by length instead.
     """
     q = queries.select("query", F.lower(F.trim("query")).alias("q")).where("q != ''").distinct()
     names = rows.select("form").distinct()
-    cut = names.where(F.length("form") > most).select("form", F.explode(_pieces(F.col("form"), most + 1)).alias("x"))
-    cut = cut.select("form", F.col("x.at").alias("at"), F.col("x.piece").alias("piece"), F.length("form").alias("size"))
-    # every substring of the query that could be a piece: lengths of pieces follow from form lengths
-    places = F.sequence(F.lit(1), F.length("q"))
-    lengths = F.sequence(F.lit(1), F.floor((F.length("q") + most) / (most + 1)).cast("int") + 1)
-    subs = q.select("query", "q", F.explode(places).alias("place"), F.lit(0).alias("z")).withColumn("len", F.explode(F.transform(lengths, lambda x: x)))
-    subs = subs.where(F.col("place") + F.col("len") - 1 <= F.length("q")).select("query", "q", "place", F.substr("q", F.col("place"), F.col("len")).alias("piece"))
-    near = subs.join(cut, "piece").where((F.abs(F.col("place") - 1 - F.col("at")) <= most) & (F.abs(F.length("q") - F.col("size")) <= most)).select("query", "q", "form").distinct()
+    size = F.length("form")
+    cut = names.where(size > most).select("form", size.alias("size"), F.inline(_pieces(size, most + 1)))
+    cut = cut.select("form", "size", "i", F.substr("form", F.col("at") + 1, F.col("len")).alias("piece"))
+    mine = F.length("q")
+    asked = q.withColumn("size", F.explode(F.sequence(F.greatest(mine - most, F.lit(most + 1)), F.greatest(mine + most, F.lit(most + 1)))))
+    asked = asked.select("query", "q", "size", F.inline(_pieces(F.col("size"), most + 1)))
+    longer = mine - F.col("size")
+    low = F.greatest(F.col("at") - F.col("i"), F.col("at") + longer - (most - F.col("i")), F.lit(0))
+    high = F.least(F.col("at") + F.col("i"), F.col("at") + longer + (most - F.col("i")), mine - F.col("len"))
+    asked = asked.withColumn("low", low).withColumn("high", high).where("low <= high").withColumn("place", F.explode(F.sequence("low", "high")))
+    asked = asked.select("query", "q", "size", "i", F.substr("q", F.col("place") + 1, F.col("len")).alias("piece")).distinct()
+    near = asked.join(cut, ["size", "i", "piece"]).select("query", "q", "form").distinct()
     short = names.where(F.length("form") <= most).withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(2 * most))))
     near = near.unionByName(q.where(F.length("q") <= 2 * most).withColumn("k", F.length("q")).join(short, "k").select("query", "q", "form"))
     distance = F.levenshtein("q", "form", most)
@@ -110,36 +115,16 @@ def _codes(rows: DataFrame, text: str) -> DataFrame:
     return words.withColumn("__m", metaphone("__w"))
 
 
-def by_sound(queries: DataFrame, rows: DataFrame) -> DataFrame:
-    """Candidates whose word sounds like a query word.
-
-    The first combination of codes that meets a (form, entry) takes it, even below its threshold.
-    """
-    q = queries.select("query", F.lower(F.trim("query")).alias("q")).distinct()
-    q = q.select("query", "q", F.posexplode(F.split("q", r"\s+")).alias("word", "__t")).withColumn("__t", F.regexp_replace("__t", "[^a-zA-Z]", "")).where("length(__t) >= 2")
-    q = q.withColumn("m", metaphone("__t")).select("query", "q", "word", F.col("m.p").alias("p"), F.col("m.a").alias("a"))
-    # the pieces' long form: one row for each query word, combination and code
-    tries = F.array(*[F.struct(F.lit(i).alias("combo"), F.col(mine).alias("code"), F.lit(theirs).alias("which")) for i, (mine, theirs, _, _) in enumerate(COMBINATIONS)])
-    q = q.select("query", "q", "word", F.inline(tries)).where("code != ''")
-    f = _codes(rows.where("kind != ''"), "form").select("entry_id", "form", F.inline(F.array(F.struct(F.lit("p").alias("which"), F.col("__m.p").alias("code")), F.struct(F.lit("a").alias("which"), F.col("__m.a").alias("code")))))
-    f = f.where("code != ''").distinct()
-    met = q.join(f, ["code", "which"]).groupBy("query", "q", "entry_id", "form").agg(F.min(F.struct("word", "combo")).alias("first"))
-    combo = F.col("first.combo") + 1
-    weight = F.element_at(F.array(*[F.lit(c[2]) for c in COMBINATIONS]), combo)
-    least = F.element_at(F.array(*[F.lit(c[3]) for c in COMBINATIONS]), combo)
-    scored = met.withColumn("confidence", weight * similarity(F.col("q"), F.col("form"))).where(F.col("confidence") > least)
-    return scored.select("query", "entry_id", "form", "confidence", F.lit("metaphone").alias("match_type"))
-
-
 def candidates(queries: DataFrame, rows: DataFrame, most: int = 10) -> DataFrame:
     """The best candidate of each entry over all strategies, and of these the best for each query."""
-    ways = [exact(queries, rows), by_sound(queries, rows), by_edits(queries, rows)]
+    most = max(0, min(most, 100))
+    ways = [exact(queries, rows), by_sound(queries, rows, max(1, most)), by_edits(queries, rows)]
     every = [w.withColumn("way", F.lit(i)) for i, w in enumerate(ways)]
     union = every[0].unionByName(every[1]).unionByName(every[2])
     best = Window.partitionBy("query", "entry_id").orderBy(F.col("confidence").desc(), "way", "form")
     top = Window.partitionBy("query").orderBy(F.col("confidence").desc(), "way", "entry_id")
     one = union.withColumn("__n", F.row_number().over(best)).where("__n = 1")
-    return one.withColumn("place", F.row_number().over(top)).where(F.col("place") <= min(most, 100)).drop("__n", "way")
+    return one.withColumn("place", F.row_number().over(top)).where(F.col("place") <= most).drop("__n", "way")
 
 
 def best_match(queries: DataFrame, rows: DataFrame, threshold: float) -> DataFrame:

@@ -6,8 +6,14 @@ import re
 
 from pyspark.sql import functions as F
 
+import random
+
+import pytest
+
 from scriptorium.functions import phonetic
 from scriptorium.operators import fuzzy as Z
+from scriptorium.operators import phonetic_join
+from scriptorium.plans import fuzzy_queries
 
 FORMS = [(1, "ron chernow", "canonical", 0), (2, "suunto", "canonical", 0), (2, "sunto watch", "alias", 1), (3, "navesink", "canonical", 0), (4, "garmin", "canonical", 0)]
 
@@ -40,6 +46,95 @@ def test_similarity_by_a_plain_table(spark):
     assert all(abs(r.s - ratio(r.a, r.b)) < 1e-12 for r in rows)
 
 
+def plain_sound(query, form):
+    """The confidence by the first combination of codes that meets, or None below its least value."""
+    words = lambda t: [c for w in re.split(r"[ \t\n\x0b\f\r]+", t) if len(c := re.sub("[^a-zA-Z]", "", w)) >= 2]
+    theirs = [phonetic.double_metaphone(w) for w in words(form)]
+    for w in words(query):
+        p, a = phonetic.double_metaphone(w)
+        for mine, k, weight, least in ((p, 0, 0.8, 0.35), (p, 1, 0.7, 0.35), (a, 0, 0.7, 0.35), (a, 1, 0.6, 0.3)):
+            if mine and any(mine == t[k] for t in theirs):
+                confidence = weight * ratio(query, form)
+                return confidence if confidence > least else None
+    return None
+
+
+def plain_candidates(queries, rows, most):
+    """query: [(place, entry, form, confidence, match)], by every strategy over all forms."""
+    out = {}
+    for query in queries:
+        q, best = query.strip(" ").lower(), {}
+
+        def offer(entry, confidence, way, form, kind, best=best):
+            if entry not in best or (-confidence, way, form) < best[entry][:3]:
+                best[entry] = (-confidence, way, form, kind)
+
+        for kind, confidence, match in (("canonical", 1.0, "exact"), ("alias", 0.98, "exact_alias")):
+            if found := [e for e, f, k, _ in rows if k == kind and f == q]:
+                offer(max(found), confidence, 0, q, match)
+        for entry, form, kind, _ in rows:
+            if (c := plain_sound(q, form)) is not None:
+                offer(entry, c, 1, form, "metaphone")
+            if abs(len(q) - len(form)) <= 3 and 1 <= (d := edits(q, form)) <= 3 and (c := {"canonical": 0.6, "alias": 0.55}[kind] * (1 - d / max(len(q), len(form)))) > 0.3:
+                offer(entry, c, 2, form, "edit_distance")
+        order = sorted(best.items(), key=lambda x: (x[1][0], x[1][1], x[0]))[:most]
+        out[query] = [(i + 1, e, form, round(-c, 9), match) for i, (e, (c, _, form, match)) in enumerate(order)]
+    return {q: v for q, v in out.items() if v}
+
+
+def found_candidates(queries, rows, most):
+    out = {}
+    for r in Z.candidates(queries, rows, most).collect():
+        out.setdefault(r.query, []).append((r.place, r.entry_id, r.form, round(r.confidence, 9), r.match_type))
+    return {q: sorted(v) for q, v in out.items()}
+
+
+@pytest.mark.parametrize("most", [1, 3, 10])
+def test_candidates_of_a_dictionary_by_a_plain_loop(spark, most, monkeypatch):
+    """The whole top of each query, with its ties, cut into many blocks."""
+    monkeypatch.setattr(phonetic_join, "FORMS", 7)
+    monkeypatch.setattr(phonetic_join, "QUERIES", 3)
+    rng = random.Random(most)
+    names = ["smith", "smyth", "schmidt", "kathryn", "catherine", "philip", "filip", "knight", "nite", "wright", "x", "ab", "bob", "bobby", "josé", "xavier", "thomas", "tomas"]
+    forms = sorted({(e, " ".join(rng.choices(names, k=rng.choice([1, 2, 3]))) + rng.choice(["", "", f" {e}"]), rng.choice(["canonical", "alias"])) for e in range(60) for _ in range(2)})
+    forms = [(e, f, k, int(k == "alias")) for e, f, k in forms]
+    queries = sorted({" ".join(rng.choices(names, k=rng.choice([1, 1, 2]))).title() for _ in range(40)} | {"", "  ", "12", "Smith 7 ", "zz" * 50, "smith " * 20})
+    rows = spark.createDataFrame(forms, "entry_id long, form string, kind string, ord int")
+    got = found_candidates(spark.createDataFrame([(q,) for q in queries], "query string").unionByName(spark.createDataFrame([(None,)], "query string")), rows, most)
+    want = plain_candidates(queries, forms, most)
+    assert got == want and max(map(len, want.values())) == most
+
+
+def test_queries_find_what_a_plain_loop_finds(spark):
+    """match_candidates and metaphone_join over all rows of the smallest tables."""
+    folder = "/root/testdata/sf0.001"
+    queries = [r.query for r in fuzzy_queries._queries(spark, folder).collect()]
+    forms = [tuple(r) for r in fuzzy_queries._rows(spark, folder).collect()]
+    sounds = {(q, f): plain_sound(q.lower(), f) for q in queries for f in {f for _, f, _, _ in forms}}
+    want = {(q, e, f, round(sounds[q, f], 9)) for q in queries for e, f, _, _ in forms if sounds[q, f] is not None}
+    got = [(r.query, r.entry_id, r.form, round(r.confidence, 9)) for r in fuzzy_queries.metaphone_join(spark, folder).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    assert found_candidates(fuzzy_queries._queries(spark, folder), fuzzy_queries._rows(spark, folder), 10) == plain_candidates(queries, forms, 10)
+
+
+def test_common_subsequences_in_a_block():
+    rng = random.Random(6)
+    words = ["".join(rng.choice("abcdé 😀") for _ in range(n)) for n in (0, 1, 2, 5, 9, 30, 62, 63, 64, 90)]
+    letters, lengths = phonetic_join.letters_of(words)
+    assert lengths.tolist() == [len(w) for w in words]
+    for q in words[1:]:
+        assert phonetic_join.subsequences(q, letters).tolist() == [lcs(q, w) for w in words]
+
+
+def test_pieces_miss_no_pair_within_three_edits(spark):
+    rng = random.Random(8)
+    words = sorted({"".join(rng.choice("ab") for _ in range(rng.randrange(1, 13))) for _ in range(130)})
+    rows = spark.createDataFrame([(i, w, "canonical", 0) for i, w in enumerate(words)], "entry_id long, form string, kind string, ord int")
+    got = [(r.query, r.form, r.distance) for r in Z.edit_pairs(spark.createDataFrame([(w,) for w in words], "query string"), rows).collect()]
+    want = {(a, b, d) for a in words for b in words if 1 <= (d := edits(a, b)) <= 3}
+    assert len(got) == len(set(got)) and set(got) == want
+
+
 def test_match_spans_by_a_plain_loop(spark):
     texts = ["I met Ron Chernow in town. Ron Chernow wrote", "my sunto broke, and the Sunto Watch too", "near navysink a garmen rang", "", None, "no names here", "Garmin. And Garmin again!"]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
