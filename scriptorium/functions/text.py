@@ -9,9 +9,9 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections import Counter
 from collections.abc import Callable
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -57,37 +57,100 @@ def tokens(text: Column) -> Column:
     return F.when(text == "", F.array().cast("array<string>")).otherwise(F.split(text, " "))
 
 
-#: A cell of the edit table in one number: distance, the step that led to it (for ties: substitution
-#: before insertion before deletion), substitutions.
-_EDIT, _INSERTED, _DELETED = 1 << 34, 1 << 32, 2 << 32
-_STEP_BITS = ~(3 << 32)
+#: Least band of an edit table; bits of columns that are kept for the way back, beyond which they are made again.
+_BAND, _KEPT_BITS = 64, 1 << 26
+
+
+class _Table:
+    """The columns of an edit table within a band, as bits of whole numbers (Myers, Hyyro).
+
+    Row i of column j is bit i - j + up; rows above 0 stand for what would lead away from the start. A column
+    is kept as its rises and falls from row to row; ``step`` tells of a column where it equals its diagonal
+    neighbour and where it is one more than its left one, which is all that the way back asks for.
+    """
+
+    def __init__(self, ref: list, hyp: list, most: int):
+        self.n, self.m, self.hyp = len(ref), len(hyp), hyp
+        self.up, down = (most - self.n + self.m) // 2, (most + self.n - self.m) // 2
+        self.width = self.up + down + 1
+        self.full = (1 << self.width) - 1
+        places: dict = {}
+        for i, word in enumerate(ref):
+            places.setdefault(word, bytearray(self.n // 8 + 1))[i >> 3] |= 1 << (i & 7)
+        self.rows = {w: int.from_bytes(x, "little") for w, x in places.items()}
+        self.start = (self.full & ~((1 << (self.up + 1)) - 1), (1 << (self.up + 1)) - 1)
+
+    def columns(self, j: int, to: int, state: tuple[int, int], out: list | None) -> tuple[tuple[int, int], int]:
+        """Go from column j to another; the state there, and by how much the band's upper edge has risen."""
+        (rise, fall), full, top, risen = state, self.full, 1 << (self.width - 1), 0
+        for j in range(j + 1, to + 1):
+            shift = j - self.up - 1
+            rows = self.rows.get(self.hyp[j - 1], 0)
+            eq = (rows >> shift if shift >= 0 else rows << -shift) & full
+            rise, fall = rise >> 1 | top, fall >> 1
+            same = ((((eq & rise) + rise) ^ rise) | eq | fall) & full
+            right = fall | (full & ~(same | rise))
+            if out is not None:
+                out.append((same, right))
+            risen += not same & 1
+            left, right = (rise & same) << 1 & full, (right << 1 | 1) & full
+            rise, fall = left | (full & ~(same | right)), same & right
+        return (rise, fall), risen
+
+    def solve(self) -> tuple[int, list[tuple[int, int]], int, list]:
+        """The distance (if it is within the band), states at the starts of blocks, the blocks' length, and
+        the last block's columns."""
+        block = max(1, min(self.m, _KEPT_BITS // self.width))
+        states, state, score, out = [], self.start, self.up, []
+        for j in range(0, self.m, block):
+            states.append(state)
+            out = []
+            last = j + block >= self.m
+            state, risen = self.columns(j, min(j + block, self.m), state, out if last else None)
+            score += risen
+        held = ((1 << (self.n - self.m + self.up + 1)) - 1) & ~1
+        return score + (state[0] & held).bit_count() - (state[1] & held).bit_count(), states, block, out
 
 
 def _edits(ref: list[str], hyp: list[str]) -> tuple[int, int, int, int]:
-    """Distance, substitutions, insertions, deletions of two token lists, by the table's antidiagonals."""
+    """Distance, substitutions, insertions, deletions of two token lists; of equal ways substitution comes
+    before insertion and that before deletion.
+
+    The band is widened until the distance fits it (Ukkonen), from what the words' counts make certain, so
+    alike lists cost their length times their distance. The cells on the way back are on ways of least
+    cost, all of which lie in the band, so it is the whole table's. Columns that are too many to keep are
+    made again from the nearest state.
+    """
     n, m = len(ref), len(hyp)
-    names: dict[str, int] = {}
-    a = np.array([names.setdefault(w, len(names)) for w in ref], np.int64)
-    b = np.array([names.setdefault(w, len(names)) for w in reversed(hyp)], np.int64)
-    two, one, now = (np.zeros(n + 1, np.int64) for _ in range(3))
-    for k in range(1, n + m + 1):
-        lo, hi = max(1, k - m), min(n, k - 1)
-        if lo <= hi:
-            diagonal = two[lo - 1 : hi]
-            x = diagonal + (_EDIT + 1)
-            np.minimum(x, one[lo : hi + 1] + (_EDIT + _INSERTED), out=x)
-            np.minimum(x, one[lo - 1 : hi] + (_EDIT + _DELETED), out=x)
-            x &= _STEP_BITS
-            now[lo : hi + 1] = np.where(a[lo - 1 : hi] == b[m - k + lo : m - k + hi + 1], diagonal, x)
-        if k <= m:
-            now[0] = k * _EDIT
-        if k <= n:
-            now[k] = k * _EDIT
-        two, one, now = one, now, two
-    last = int(one[n])
-    d, s = last >> 34, last & 0xFFFFFFFF
-    inserted = (d - s + m - n) // 2
-    return d, s, inserted, d - s - inserted
+    if not n or not m:
+        return n + m, 0, m, n
+    shared = sum((Counter(ref) & Counter(hyp)).values())
+    most = max(_BAND, abs(n - m), max(n, m) - shared)
+    while True:
+        table = _Table(ref, hyp, min(most, n + m))
+        distance, states, block, kept = table.solve()
+        if distance <= most:
+            break
+        most *= 2
+    i, j, substituted = n, m, 0
+    first = (len(states) - 1) * block
+    while i and j:
+        if j <= first:
+            first -= block
+            kept = []
+            table.columns(first, first + block, states[first // block], kept)
+        if ref[i - 1] == hyp[j - 1]:
+            i, j = i - 1, j - 1
+            continue
+        (same, right), at = kept[j - first - 1], i - j + table.up
+        if not same >> at & 1:
+            i, j, substituted = i - 1, j - 1, substituted + 1
+        elif right >> at & 1:
+            j -= 1
+        else:
+            i -= 1
+    inserted = (distance - substituted + m - n) // 2
+    return distance, substituted, inserted, distance - substituted - inserted
 
 
 def _distance(a: str, b: str) -> int:

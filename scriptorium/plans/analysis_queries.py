@@ -9,6 +9,7 @@ from scriptorium.functions import text as X
 from scriptorium.operators import intervals as I
 from scriptorium.operators import learning as L
 from scriptorium.operators import logs as G
+from scriptorium.operators import order as O
 from scriptorium.operators import prompts as P
 from scriptorium.operators import render as N
 from scriptorium.operators import transcripts as T
@@ -330,9 +331,11 @@ def normalize_text(spark, sf_dir):
 
 
 def _pairs(spark, sf_dir):
-    """Each document with the next one of its language."""
-    rows = S.texts(spark, sf_dir).select("doc_id", "lang", X.normalize_text(F.col("text"), compose=False).alias("ref"))
-    return rows.withColumn("hyp", F.lead("ref").over(Window.partitionBy("lang").orderBy("doc_id"))).where("hyp is not null")
+    """Each document with the next one of its language: pairs of ids first, then their texts."""
+    texts = S.texts(spark, sf_dir).select("doc_id", "lang", X.normalize_text(F.col("text"), compose=False).alias("ref"))
+    pairs = O.followers(S.texts(spark, sf_dir).select("doc_id", "lang"), "lang", "doc_id").where("next is not null")
+    first = pairs.join(texts.drop("lang"), "doc_id")
+    return first.join(texts.select(F.col("doc_id").alias("next"), F.col("ref").alias("hyp")), "next").drop("next")
 
 
 _PAIRS = f"pairs AS (SELECT * FROM (SELECT doc_id, lang, ref, lead(ref) OVER (PARTITION BY lang ORDER BY doc_id) AS hyp FROM (SELECT doc_id, lang, array_to_string(string_split({_norm('text')}, ' '), ' ') AS ref FROM documents)) WHERE hyp IS NOT NULL)"
@@ -345,8 +348,45 @@ def wer_pairs(spark, sf_dir):
 
 @query("wer_counts", f"WITH {_PAIRS} SELECT doc_id, len(string_split(ref, ' ')) AS n_ref, len(string_split(hyp, ' ')) AS n_hyp FROM pairs WHERE ref <> '' AND hyp <> ''")
 def wer_counts(spark, sf_dir):
-    found = _pairs(spark, sf_dir).where("ref != '' and hyp != ''").select("doc_id", X.word_errors(F.col("ref"), F.col("hyp")).alias("e"))
-    return found.where("e.n_ref - e.deletions - e.substitutions = e.n_hyp - e.insertions - e.substitutions").select("doc_id", "e.n_ref", "e.n_hyp")
+    size = lambda c: F.size(X.tokens(F.col(c))).cast("long")
+    return _pairs(spark, sf_dir).where("ref != '' and hyp != ''").select("doc_id", size("ref").alias("n_ref"), size("hyp").alias("n_hyp"))
+
+
+#: The edit table of each pair, cell by cell: a cell is made from the one before it, the one above it and that
+#: one's left neighbour; of equal costs substitution comes first, then insertion.
+_NAMES = """
+WITH RECURSIVE pairs AS (
+  SELECT p_partkey AS id, string_split(lower(p_name || ' ' || p_brand || ' ' || p_type), ' ') AS r,
+         string_split(lower(CASE p_partkey % 5 WHEN 0 THEN p_type || ' ' || p_name WHEN 1 THEN p_name || ' new ' || p_brand WHEN 2 THEN 'the ' || p_brand || ' ' || p_type || ' of ' || p_name WHEN 3 THEN p_name || ' ' || p_brand || ' ' || p_type ELSE p_brand END), ' ') AS h
+  FROM part
+),
+cells AS (
+  SELECT id, r, h, 0 AS k, [{'d': 0, 's': 0, 'n': 0, 'x': 0}] AS t FROM pairs
+  UNION ALL
+  SELECT id, r, h, k + 1, list_append(t, CASE
+    WHEN i = 0 THEN {'d': j, 's': 0, 'n': j, 'x': 0}
+    WHEN j = 0 THEN {'d': i, 's': 0, 'n': 0, 'x': i}
+    WHEN r[i] = h[j] THEN t[k + 1 - w]
+    WHEN t[k + 1 - w].d <= t[k + 1].d AND t[k + 1 - w].d <= t[k + 2 - w].d THEN {'d': t[k + 1 - w].d + 1, 's': t[k + 1 - w].s + 1, 'n': t[k + 1 - w].n, 'x': t[k + 1 - w].x}
+    WHEN t[k + 1].d <= t[k + 2 - w].d THEN {'d': t[k + 1].d + 1, 's': t[k + 1].s, 'n': t[k + 1].n + 1, 'x': t[k + 1].x}
+    ELSE {'d': t[k + 2 - w].d + 1, 's': t[k + 2 - w].s, 'n': t[k + 2 - w].n, 'x': t[k + 2 - w].x + 1} END)
+  FROM (SELECT *, len(h) + 1 AS w, ((k + 1) // (len(h) + 1))::INT AS i, ((k + 1) % (len(h) + 1))::INT AS j FROM cells WHERE k + 1 < (len(r) + 1) * (len(h) + 1))
+)
+SELECT id, t[-1].d::DOUBLE / len(r) AS wer, t[-1].s::BIGINT AS substitutions, t[-1].n::BIGINT AS insertions, t[-1].x::BIGINT AS deletions, len(r) AS n_ref, len(h) AS n_hyp
+FROM cells WHERE k + 1 = (len(r) + 1) * (len(h) + 1)
+"""
+
+
+@query("wer_names", _NAMES)
+def wer_names(spark, sf_dir):
+    """How parts are called, against their full names: short pairs, whose whole edit tables SQL can state."""
+    name, brand, kind = (F.col(c) for c in ("p_name", "p_brand", "p_type"))
+    said = F.element_at(
+        F.array(F.concat_ws(" ", kind, name), F.concat_ws(" ", name, F.lit("new"), brand), F.concat_ws(" ", F.lit("the"), brand, kind, F.lit("of"), name), F.concat_ws(" ", name, brand, kind), brand),
+        (F.col("p_partkey") % 5 + 1).cast("int"),
+    )
+    rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.lower(F.concat_ws(" ", name, brand, kind)).alias("ref"), F.lower(said).alias("hyp"))
+    return rows.select("id", X.word_errors(F.col("ref"), F.col("hyp")).alias("e")).select("id", "e.*")
 
 
 @query("wer_averages")

@@ -63,6 +63,34 @@ def test_edits_by_a_plain_table():
         assert X._distance("".join(a), "".join(b)) == plain_edits("".join(a), "".join(b))[0]
 
 
+@pytest.mark.parametrize("band, kept", [(64, 1 << 26), (1, 1 << 26), (1, 8), (3, 40)])
+def test_edits_of_alike_and_unlike_lists_by_a_plain_table(band, kept, monkeypatch):
+    """Narrow bands have to be widened, and columns that are not kept are made again."""
+    monkeypatch.setattr(X, "_BAND", band)
+    monkeypatch.setattr(X, "_KEPT_BITS", kept)
+    rng = random.Random(band * kept)
+    for _ in range(300):
+        letters = rng.choice(["ab", "abcdefgh", "abcdefghijklmnopqrstuvwxyz"])
+        a, b = ([rng.choice(letters) for _ in range(rng.choice([0, 1, 2, 5, 17, 60]))] for _ in "ab")
+        if rng.random() < 0.5:
+            b = [x for x in a if rng.random() < 0.9]
+        assert X._edits(a, b) == plain_edits(a, b)
+
+
+def test_alike_lists_cost_their_length_times_their_distance():
+    rng = random.Random(2)
+    a = [str(rng.randrange(4_000)) for _ in range(30_000)]
+    b = [x for x in a if rng.random() > 0.002]
+    b[100:100] = ["new"] * 20
+    made = []
+    columns, X._Table.columns = X._Table.columns, lambda self, *args: (made.append((args[1] - args[0]) * self.width), columns(self, *args))[1]
+    try:
+        assert X._edits(a, b) == (len(a) - len(b) + 40, 0, 20, len(a) - len(b) + 20)
+    finally:
+        X._Table.columns = columns
+    assert sum(made) < 12 * len(a) * 100
+
+
 @pytest.fixture(scope="module")
 def long_pair(spark, tmp_path_factory):
     """Two documents of a language that differ only far behind their thirtieth word."""
@@ -114,6 +142,18 @@ def test_character_rates_of_every_pair(spark, long_pair):
     assert sorted(pairs) == sorted(rates)
 
 
+def test_followers_within_and_between_chunks(spark):
+    from scriptorium.operators import order
+
+    rng = random.Random(1)
+    rows = [(k, rng.choice(["a", "b", None])) for k in rng.sample(range(-300_000, 300_000), 400)] + [(None, "a"), (1 << 40, "b")]
+    found = {(r.g, r.k): r.next for r in order.followers(spark.createDataFrame(rows, "k long, g string"), "g", "k").collect()}
+    for g in ("a", "b", None):
+        keys = sorted(k for k, h in rows if h == g and k is not None)
+        assert [found[g, k] for k in keys] == [*keys[1:], None]
+    assert len(found) == 401
+
+
 def test_rolling_context_looks_past_blank_segments(spark):
     from scriptorium.operators import transcripts as T
 
