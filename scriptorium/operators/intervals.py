@@ -7,6 +7,9 @@ whose length bounds the array), inside the JVM.
 
 from __future__ import annotations
 
+import math
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -143,10 +146,82 @@ def split_long(intervals: DataFrame, difficulty: Column, easy: float = 60.0, har
     return each.withColumn("part_start", start).withColumn("part_end", F.least(F.col("end"), start + F.col("__cap"))).drop("__cap", "__stride", "__n")
 
 
-def difficulty_of(samples: Column) -> Column:
-    """How far the loudness of samples lies from the usual one, up to 1."""
+def difficulty_of(samples: Column, speech: Column | None = None) -> Column:
+    """How far the loudness of samples lies from the usual one, up to 1.
+
+    Where the probabilities of speech by frame are known (not null, not empty), half of what they lack on the
+    average and half of their variance, within 0 and 1.
+    """
+    mean = lambda xs: F.aggregate(xs, F.lit(0.0), lambda a, x: a + x) / F.size(xs)
     power = F.aggregate(samples, F.lit(0.0), lambda a, x: a + x * x) / F.size(samples)
-    return F.when(F.size(samples) == 0, 0.0).otherwise(F.least(F.lit(1.0), F.abs(F.sqrt(power) - 0.2) / 0.2))
+    loudness = F.when(F.size(samples) == 0, 0.0).otherwise(F.least(F.lit(1.0), F.abs(F.sqrt(power) - 0.2) / 0.2))
+    if speech is None:
+        return loudness
+
+    def blend(average: Column) -> Column:
+        spread = mean(F.transform(speech, lambda x: (x - average) * (x - average)))
+        return F.least(F.lit(1.0), F.greatest(F.lit(0.0), (1 - average) * 0.5 + spread * 0.5))
+
+    known = speech.isNotNull() & (F.size(speech) > 0)
+    return F.when(known, F.element_at(F.transform(F.array(mean(speech)), blend), 1)).otherwise(loudness)
+
+
+def speech_segments(found: DataFrame, recordings: DataFrame, key: str = "grp", min_silence: float = MIN_SILENCE, pad: float = PAD) -> DataFrame:
+    """key, start, end: what was found (key, start, end) with short silences closed, widened within the recording
+    (key, total) and merged again. A recording in which nothing was found is one segment."""
+    merged = merge_gaps(found, key, min_silence).join(recordings.select(key, "total"), key)
+    heard = pad_and_merge(merged.select(key, "start", "end", "total"), key, pad, F.col("total")).select(key, "start", "end")
+    silent = recordings.join(found.select(key).distinct(), key, "left_anti")
+    return heard.unionByName(silent.select(key, F.lit(0.0).alias("start"), F.col("total").cast("double").alias("end")))
+
+
+def chunks(segments: DataFrame, key: str = "grp", cap: float = 60.0, overlap: float = 2.0, between: float = 0.25, hard: float = 30.0, hard_from: float = 0.35, rate: int = 16_000) -> DataFrame:
+    """key, chunk, start, length, difficulty: what a recognizer is given of each recording, in order.
+
+    segments: key, start, end, difficulty, and total, the recording's length. A segment begins ``between``
+    seconds early unless that lies before the end of the chunk before it, less a tenth of a second, and ends as
+    much later; the first has no early begin and the last no late end. Segments longer than the cap, which is
+    lower for hard ones, are cut into windows that overlap. Times are cut to samples of ``rate``; what has no
+    sample is left out.
+
+    Whether a segment begins early depends on the chunk before it, so a recording is gone through in order, by
+    one task in Arrow; windows of a long segment follow from its length. Segments without times, or of a null
+    recording length, are left out.
+    """
+    if rate <= 0 or cap <= 0 or overlap >= cap:
+        raise ValueError("a rate and a cap above 0 are needed, and an overlap below the cap")
+    kind = segments.schema[key].dataType.simpleString()
+
+    def gone_through(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("start", "ascending"), ("end", "ascending")])
+        columns = [table[c].to_numpy() for c in ("start", "end", "difficulty", "total")]
+        out: list[tuple[float, float, float]] = []
+        upto = None
+        for i, (begins, ends, difficulty, total) in enumerate(zip(*columns, strict=True)):
+            last = int(total * rate)
+            early = max(0.0, begins - between)
+            if i and between > 0 and (upto is None or early >= upto - 0.1):
+                begins = early
+            if i < table.num_rows - 1 and between > 0:
+                ends = min(total, ends + between)
+            if ends - begins <= 0:
+                continue
+            most = min(cap, hard) if difficulty > hard_from else cap
+            stride = max(1.0, most - min(overlap, most - 1.0))
+            parts = 1 if ends - begins <= most else math.ceil((ends - begins - most) / stride) + 1
+            for k in range(parts):
+                start = begins + k * stride
+                stop = min(start + most, ends)
+                length = (min(int(stop * rate), last) - int(start * rate)) / rate
+                if length <= 0:
+                    break
+                out.append((start, length, difficulty))
+                upto = start + length
+        made = [pa.repeat(table[key][0], len(out)), pa.array(range(len(out)), pa.int32()), *(pa.array([r[k] for r in out], pa.float64()) for k in range(3))]
+        return pa.table(made, names=[key, "chunk", "start", "length", "difficulty"])
+
+    wanted = segments.select(key, *[F.col(c).cast("double").alias(c) for c in ("start", "end")], F.coalesce(F.col("difficulty"), F.lit(0.0)).cast("double").alias("difficulty"), F.col("total").cast("double").alias("total"))
+    return wanted.dropna(subset=["start", "end", "total"]).groupBy(key).applyInArrow(gone_through, f"`{key}` {kind}, chunk int, start double, length double, difficulty double")
 
 
 def parsed_words(words: Column) -> Column:

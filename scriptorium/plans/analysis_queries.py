@@ -117,6 +117,57 @@ def chunk_split(spark, sf_dir):
     return found.select("id", "part", F.round("part_start", 6).alias("start"), F.round("part_end", 6).alias("end"))
 
 
+#: Recordings end a little before the last speech does; one in seven has none that was found.
+_RECORDINGS = 'recordings AS (SELECT grp, max("end") - 0.05::DOUBLE AS total FROM dense GROUP BY grp)'
+_HEARD = f"""{_DENSE}, {_RECORDINGS}, found AS (SELECT * FROM dense WHERE grp % 7 <> 6),
+a AS (SELECT *, CASE WHEN start - lag("end") OVER (PARTITION BY grp ORDER BY start, "end") < 0.5 THEN 0 ELSE 1 END AS fresh FROM found),
+closed AS ({_ISLANDS.replace("marked", "a")}),
+wide AS (SELECT grp, greatest(0.0::DOUBLE, start - 0.15::DOUBLE) AS start, least("end" + 0.15::DOUBLE, total) AS "end" FROM closed JOIN recordings USING (grp)),
+b AS (SELECT *, CASE WHEN start <= max("end") OVER (PARTITION BY grp ORDER BY start, "end" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS fresh FROM wide),
+heard AS (SELECT grp, start, "end" FROM ({_ISLANDS.replace("marked", "b")}) UNION ALL SELECT grp, 0.0::DOUBLE, total FROM recordings ANTI JOIN found USING (grp))"""
+
+
+def _heard(spark, sf_dir):
+    rows = dense(spark, sf_dir)
+    recordings = rows.groupBy("grp").agg((F.max("end") - 0.05).alias("total"))
+    return I.speech_segments(rows.where("grp % 7 != 6"), recordings), recordings
+
+
+@query("speech_segments", S.with_relations("intervals", f"WITH {_HEARD} SELECT grp, {_SIX} FROM heard"))
+def speech_segments(spark, sf_dir):
+    return _six(_heard(spark, sf_dir)[0], "grp")
+
+
+@query("chunks", f"""WITH RECURSIVE {S.SQL["intervals"]}, {_HEARD},
+o AS (SELECT *, (floor(start)::BIGINT % 10) / 10.0::DOUBLE AS difficulty, row_number() OVER w AS n, count(*) OVER (PARTITION BY grp) AS m FROM heard JOIN recordings USING (grp) WINDOW w AS (PARTITION BY grp ORDER BY start, "end")),
+fold AS (
+  SELECT grp, 0::BIGINT AS n, NULL::DOUBLE AS upto, 0.0::DOUBLE AS s, 0.0::DOUBLE AS e, 0.0::DOUBLE AS cap, 0.0::DOUBLE AS difficulty, 0.0::DOUBLE AS total, false AS kept FROM recordings
+  UNION ALL
+  SELECT grp, n, CASE WHEN kept THEN last + (least(floor(e * 16000), floor(total * 16000)) - floor(last * 16000)) / 16000 ELSE upto END, s, e, cap, difficulty, total, kept FROM (
+    SELECT *, s + CASE WHEN e - s <= cap THEN 0 ELSE ceil((e - s - cap) / (cap - 2)) END * (cap - 2) AS last, e - s > 0 AS kept FROM (
+      SELECT o.grp, o.n, f.upto, o.total, o.difficulty, CASE WHEN o.difficulty > 0.35::DOUBLE THEN 3.0::DOUBLE ELSE 6.0::DOUBLE END AS cap,
+        CASE WHEN o.n > 1 AND (f.upto IS NULL OR greatest(0.0::DOUBLE, o.start - 0.25::DOUBLE) >= f.upto - 0.1::DOUBLE) THEN greatest(0.0::DOUBLE, o.start - 0.25::DOUBLE) ELSE o.start END AS s,
+        CASE WHEN o.n < o.m THEN least(o.total, o."end" + 0.25::DOUBLE) ELSE o."end" END AS e
+      FROM fold f JOIN o ON o.grp = f.grp AND o.n = f.n + 1))),
+parts AS (SELECT *, unnest(range(CASE WHEN e - s <= cap THEN 1 ELSE ceil((e - s - cap) / (cap - 2))::BIGINT + 1 END)) AS part FROM fold WHERE kept),
+pieces AS (SELECT *, s + part * (cap - 2) AS start, least(s + part * (cap - 2) + cap, e) AS stop FROM parts)
+SELECT grp, (row_number() OVER (PARTITION BY grp ORDER BY n, part) - 1)::INT AS chunk, round(start, 6) AS start, round((least(floor(stop * 16000), floor(total * 16000)) - floor(start * 16000)) / 16000, 7) AS length, difficulty
+FROM pieces""")
+def chunks(spark, sf_dir):
+    heard, recordings = _heard(spark, sf_dir)
+    rows = heard.join(recordings, "grp").withColumn("difficulty", F.floor("start") % 10 / 10)
+    return I.chunks(rows, cap=6.0, hard=3.0).select("grp", "chunk", F.round("start", 6).alias("start"), F.round("length", 7).alias("length"), "difficulty")
+
+
+@query("chunk_difficulty_by_speech", """SELECT vec_id, CASE WHEN len(p) = 0 THEN round(least(1.0, abs(sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE)) / len(embedding)) - 0.2) / 0.2), 6)
+  ELSE round(least(1.0, greatest(0.0, (1 - list_sum(p) / len(p)) * 0.5 + (list_sum(list_transform(p, lambda x: x * x)) / len(p) - (list_sum(p) / len(p)) ** 2) * 0.5)), 6) END AS difficulty
+FROM (SELECT *, CASE WHEN vec_id % 5 = 0 THEN []::DOUBLE[] ELSE list_transform(embedding, lambda x: least(1.0::DOUBLE, abs(x::DOUBLE) * 4)) END AS p FROM embeddings)""")
+def chunk_difficulty_by_speech(spark, sf_dir):
+    samples = F.col("embedding").cast("array<double>")
+    speech = F.when(F.col("vec_id") % 5 != 0, F.transform(samples, lambda x: F.least(F.lit(1.0), F.abs(x) * 4)))
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.round(I.difficulty_of(samples, speech), 6).alias("difficulty"))
+
+
 @query("chunk_difficulty", "SELECT vec_id, round(least(1.0, abs(sqrt(list_sum(list_transform(embedding, lambda x: x::DOUBLE * x::DOUBLE)) / len(embedding)) - 0.2) / 0.2), 6) AS difficulty FROM embeddings")
 def chunk_difficulty(spark, sf_dir):
     samples = F.col("embedding").cast("array<double>")

@@ -187,3 +187,55 @@ def test_streams(spark, tmp_path):
     run.processAllAvailable()
     run.stop()
     assert [(r.key, r.occurrences) for r in spark.table("promoted").collect()] == [("a", 3)]
+
+
+def plain_chunks(rows, cap, overlap, between, hard, rate):
+    """(start, length) of one recording's chunks, segment after segment and window after window."""
+    out = []
+    for i, (begins, ends, difficulty, total) in enumerate(sorted(rows)):
+        if i and between > 0:
+            early = max(0.0, begins - between)
+            begins = begins if out and early < out[-1][0] + out[-1][1] - 0.1 else early
+        if i < len(rows) - 1 and between > 0:
+            ends = min(total, ends + between)
+        if ends - begins <= 0:
+            continue
+        most = min(cap, hard) if difficulty > 0.35 else cap
+        start = begins
+        while start < ends:
+            stop = min(start + most, ends)
+            length = (min(int(stop * rate), int(total * rate)) - int(start * rate)) / rate
+            if length <= 0:
+                break
+            out.append((start, length))
+            if stop >= ends:
+                break
+            start = max(stop - min(overlap, most - 1.0), start + 1.0)
+    return [(round(a, 6), round(b, 6)) for a, b in out]
+
+
+@pytest.mark.parametrize("cap, overlap, between, hard, rate", [(60.0, 2.0, 0.25, 30.0, 16_000), (4.0, 1.5, 0.0, 3.0, 100), (3.0, 2.5, 0.5, 9.0, 8), (2.0, 0.0, 5.0, 1.0, 1)])
+def test_chunks_by_a_plain_loop(spark, cap, overlap, between, hard, rate):
+    import random
+
+    from scriptorium.operators import intervals as I
+
+    rng = random.Random(rate)
+    rows = [(g, a := float(rng.randrange(0, 300)) / 2, a + rng.choice([-1.0, 0.0, 0.05, 1.0, 3.0, 20.0, 150.0]), rng.choice([0.1, 0.9]), rng.choice([100.0, 130.0])) for g in range(30) for _ in range(rng.randrange(1, 9))]
+    rows = list({(g, a): (g, a, b, d, {h: t for h, *_, t in rows}[g]) for g, a, b, d, _ in rows}.values())
+    odd = [(900, None, 1.0, 0.1, 9.0), (901, 0.0, 1.0, None, 9.0), (902, 0.0, 1.0, 0.1, None), (None, 0.0, 1.0, 0.1, 9.0)]
+    found = {}
+    for r in I.chunks(spark.createDataFrame(rows + odd, "grp long, start double, end double, difficulty double, total double"), cap=cap, overlap=overlap, between=between, hard=hard, rate=rate).orderBy("grp", "chunk").collect():
+        found.setdefault(r.grp, []).append((round(r.start, 6), round(r.length, 6)))
+    want = {g: c for g in {r[0] for r in rows} if (c := plain_chunks([r[1:] for r in rows if r[0] == g], cap, overlap, between, hard, rate))}
+    one = plain_chunks([(0.0, 1.0, 0.0, 9.0)], cap, overlap, between, hard, rate)
+    assert found == want | {901: one, None: one}
+    with pytest.raises(ValueError, match="below the cap"):
+        I.chunks(None, cap=2.0, overlap=2.0)
+
+
+def test_difficulty_by_speech(spark):
+    from scriptorium.operators import intervals as I
+
+    rows = spark.createDataFrame([([0.2], [0.5, 1.0]), ([0.2], []), ([0.4], None), ([], [0.0])], "s array<double>, p array<double>")
+    assert [round(r.d, 9) for r in rows.select(I.difficulty_of(F.col("s"), F.col("p")).alias("d")).collect()] == [0.15625, 0.0, 1.0, 0.5]
