@@ -504,13 +504,16 @@ def _without(x, *patterns):
     return x
 
 
-_ESCAPED = _without(_STEERED, r"[\x00-\x08\x0e-\x1b\x7f-\x84\x86-\x9f\p{Cf}\p{Co}]")
-for _p, _b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("''", "&#x27;")):
-    _ESCAPED = f"replace({_ESCAPED}, '{_p}', '{_b}')"
-_ESCAPED = _without(_ESCAPED, r"(?i)system:", r"(?i)assistant:", r"(?i)user:", r"(?i)<\|.*?\|>", r"(?i)\[INST\]", r"(?i)\[/INST\]")
+def sanitized(x, most=1000):
+    """SQL of a text that is made harmless for a prompt."""
+    done = _without(x, r"[\x00-\x08\x0e-\x1b\x7f-\x84\x86-\x9f\p{Cf}\p{Co}]")
+    for mark, by in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("''", "&#x27;")):
+        done = f"replace({done}, '{mark}', '{by}')"
+    done = _without(done, r"(?i)system:", r"(?i)assistant:", r"(?i)user:", r"(?i)<\|.*?\|>", r"(?i)\[INST\]", r"(?i)\[/INST\]")
+    return _without(f"left({done}, {most})", f"^[{_OPEN}]+", f"[{_OPEN}]+$")
 
 
-@query("sanitize_prompt", f"SELECT page_id, md5({_without(f'left({_ESCAPED}, 1000)', f'^[{_OPEN}]+', f'[{_OPEN}]+$')}) AS digest FROM pages")
+@query("sanitize_prompt", f"SELECT page_id, md5({sanitized(_STEERED)}) AS digest FROM pages")
 def sanitize_prompt(spark, sf_dir):
     steered = F.expr(_STEERED.replace("chr(8203)", "decode(unhex('E2808B'), 'UTF-8')"))
     return table(spark, sf_dir, "pages").select("page_id", F.md5(X.sanitize_prompt(steered)).alias("digest"))

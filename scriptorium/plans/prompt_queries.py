@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from scriptorium.functions import text as X
 from scriptorium.operators import fuzzy as Z
 from scriptorium.operators import prompts as P
+from scriptorium.plans.analysis_queries import sanitized
 from scriptorium.plans.registry import query, table
 from scriptorium.sources import relations as S
 
@@ -122,11 +123,11 @@ def pass1_entities(spark, sf_dir):
     return corrected_entities(changes, X.sanitize_prompt)
 
 
-@query("sanitized_vocabulary", "SELECT conv_id, array_to_string(list_filter(list(trim(left(replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#x27;'), 1000)) ORDER BY turn), lambda t: t <> ''), '|') AS terms FROM conversations WHERE NOT regexp_matches(text, '(?i)(system|assistant|user):|\\[/?INST\\]') AND NOT regexp_matches(text, '[\\x00-\\x1f\\x7f-\\x9f\\p{Cf}\\p{Co}]|^[^\\S ]|[^\\S ]$') GROUP BY 1".replace("\\\\", "\\"))
+@query("sanitized_vocabulary", f"SELECT conv_id, array_to_string(list_filter(list({sanitized('text')} ORDER BY turn), lambda t: t <> ''), '|') AS terms FROM conversations GROUP BY 1")
 def sanitized_vocabulary(spark, sf_dir):
-    """Turns without control characters or steering words, which their SQL does not take out."""
-    plain = table(spark, sf_dir, "conversations").where(~F.col("text").rlike(r"(?i)(system|assistant|user):|\[/?INST\]") & ~F.col("text").rlike(r"[\x00-\x1f\x7f-\x9f\p{Cf}\p{Co}]|^[^\S ]|[^\S ]$"))
-    listed = plain.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "text"))).alias("ts"))
+    """All turns of a conversation as a vocabulary."""
+    turns = table(spark, sf_dir, "conversations")
+    listed = turns.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "text"))).alias("ts"))
     return listed.select("conv_id", F.array_join(X.sanitize_vocabulary(F.transform("ts", lambda t: t["text"])), "|").alias("terms"))
 
 
