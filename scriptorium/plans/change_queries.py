@@ -10,6 +10,7 @@ from scriptorium.operators import queues as Q
 from scriptorium.plans.analysis_queries import _NAMES, names
 from scriptorium.plans.registry import query, table
 from scriptorium.sources import relations as S
+from scriptorium.sources import versions as V
 
 _QUEUE = f"{_NAMES}, queue AS (SELECT lower(term) AS key, min(term) AS term, count(*) AS occurrences, min(source) AS domain FROM names GROUP BY 1)"
 
@@ -178,3 +179,30 @@ def accuracy(spark, sf_dir):
     subs = F.least(n, i % 3)
     rows = table(spark, sf_dir, "events").select("event_id", n.alias("n_ref"), subs.alias("substitutions"), F.least(n - subs, i % 5).alias("deletions"), (i % 60 / 40).alias("wer"))
     return E.scored_errors(rows).select("event_id", "correct", F.round("accuracy", 6).alias("accuracy"))
+
+
+# ---- tables that change as one -----------------------------------------------------------------
+
+
+@query("changed_dictionary", S.with_relations("usage entries aliases contexts", "SELECT id, CASE WHEN id % 10 = 0 THEN 'A' ELSE tier END AS tier, CASE WHEN id % 10 = 0 THEN 'new ' || id ELSE a.names END AS aliases, CASE WHEN id % 10 = 0 THEN 0 ELSE coalesce(c.n, 0) END AS n_contexts "
+       "FROM entries LEFT JOIN (SELECT entry_id AS id, string_agg(alias, '|' ORDER BY alias) AS names FROM aliases GROUP BY 1) a USING (id) LEFT JOIN (SELECT entry_id AS id, count(*) AS n FROM contexts GROUP BY 1) c USING (id)"))
+def changed_dictionary(spark, sf_dir):
+    """A store of the dictionary in which every tenth entry is given a tier, another alias and no contexts."""
+    store = V.Store(spark, V.shared_place(spark, "dictionary"), {"entries": "id", "aliases": "entry_id", "contexts": "entry_id"}, buckets=16)
+    store.create({"entries": S.entries(spark, sf_dir), "aliases": S.aliases(spark, sf_dir), "contexts": S.contexts(spark, sf_dir)})
+    ids = S.entries(spark, sf_dir).where("id % 10 = 0").select("id")
+
+    def update(held):
+        mine = ids.withColumnRenamed("id", "entry_id")
+        named = mine.select("entry_id", F.concat(F.lit("new "), "entry_id").alias("alias"), F.lit(False).alias("is_common_misspelling"))
+        return {
+            "entries": D.patched(held["entries"], ids.withColumn("tier", F.lit("A")), ("tier",)).select(*held["entries"].columns),
+            "aliases": D.replaced(held["aliases"], named),
+            "contexts": held["contexts"].join(mine, "entry_id", "left_anti"),
+        }
+
+    store.change(ids, update, must_exist="entries")
+    now = store.read()
+    names = now["aliases"].groupBy(F.col("entry_id").alias("id")).agg(F.array_join(F.sort_array(F.collect_list("alias")), "|").alias("aliases"))
+    placed = now["contexts"].groupBy(F.col("entry_id").alias("id")).agg(F.count(F.lit(1)).alias("n"))
+    return now["entries"].select("id", "tier").join(names, "id", "left").join(placed, "id", "left").select("id", "tier", "aliases", F.coalesce("n", F.lit(0)).cast("long").alias("n_contexts"))
