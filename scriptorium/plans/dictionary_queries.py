@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from scriptorium.operators import dictionary as D
 from scriptorium.operators import ranking as R
+from scriptorium.operators import search_index as I
 from scriptorium.plans.registry import query, table
 from scriptorium.sources import relations as S
 
@@ -64,6 +65,27 @@ def search_ranked(spark, sf_dir):
     return R.search_ranked(S.entries(spark, sf_dir), S.aliases(spark, sf_dir), "Red ", 25).withColumn("score", F.round("score", 6))
 
 
+#: A part of every part's name, of one to eight letters, and words that stand nowhere.
+_ASKED = "asked AS (SELECT DISTINCT query, lower(trim(query)) AS q FROM (SELECT substr(p_name, (p_partkey % 5 + 1)::BIGINT, (p_partkey % 8 + 1)::BIGINT) AS query FROM part UNION ALL SELECT upper(p_brand) FROM part UNION ALL SELECT 'zz%' FROM part) WHERE trim(query) <> '')"
+
+
+def _hits(form, rows, scores, used, place):
+    rank = f"CASE WHEN lower({form}) = q THEN 0 WHEN starts_with(lower({form}), q) THEN 1 ELSE 2 END"
+    return (f"SELECT query, id, canonical, tier, {place} AS branch, rank, matched, CASE rank WHEN 0 THEN {scores[0]} WHEN 1 THEN {scores[1]} ELSE {scores[2]} END::DOUBLE * {_WEIGHT} * boost_weight AS score FROM "
+            f"(SELECT *, {form} AS matched, {rank} AS rank FROM {rows} JOIN asked ON contains(lower({form}), q)) QUALIFY row_number() OVER (PARTITION BY query ORDER BY rank, tier, {used} id, matched) <= 15")
+
+
+@query("search_many", S.with_relations("usage entries aliases", f"WITH {_ASKED}, hits AS (" + _hits("canonical", "entries", (1.0, 0.9, 0.7), "occurrence_count DESC,", 0) + " UNION ALL " + _hits("alias", "(SELECT * FROM entries JOIN aliases ON id = entry_id)", (0.95, 0.85, 0.65), "", 1) + "), "
+       "one AS (SELECT * FROM hits QUALIFY row_number() OVER (PARTITION BY query, id ORDER BY branch, rank, matched) = 1) "
+       "SELECT query, (row_number() OVER (PARTITION BY query ORDER BY score DESC, branch, rank, tier, id))::INT AS place, id, canonical, round(score, 6) AS score, CASE branch WHEN 0 THEN 'canonical' ELSE 'alias' END AS matched_on FROM one QUALIFY place <= 15"))
+def search_many(spark, sf_dir):
+    parts = table(spark, sf_dir, "part")
+    part_of = F.substr("p_name", F.col("p_partkey") % 5 + 1, F.col("p_partkey") % 8 + 1)
+    asked = parts.select(F.explode(F.array(part_of, F.upper("p_brand"), F.lit("zz%"))).alias("query")).distinct()
+    entries, aliases = S.entries(spark, sf_dir), S.aliases(spark, sf_dir)
+    return I.search_many(entries, I.build(entries, aliases), asked, 15).withColumn("score", F.round("score", 6))
+
+
 _ANY = "len(list_filter(names, lambda a: {})) > 0"
 @query("search_scored", S.with_relations("usage entries aliases", "WITH own AS (SELECT entries.*, names FROM entries LEFT JOIN (SELECT entry_id, list(lower(alias)) AS names FROM aliases GROUP BY 1) ON id = entry_id) SELECT id, canonical, score FROM (SELECT *, CASE WHEN lower(canonical) = 'brand' THEN 100 "
        "WHEN starts_with(lower(canonical), 'brand') THEN 80 WHEN contains(lower(canonical), 'brand') THEN 60 "
