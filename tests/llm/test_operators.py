@@ -417,15 +417,13 @@ def plain_tree(texts, taught, root):
                 gains[c] += math.log((seen[c][x] - 1 + kinds * less) / (left + kinds) / less) if left else 0
         for c, gain in gains.items():
             n = sum(seen[c].values())
-            states[c] = n >= suffix_tree.MIN_COUNT and gain > suffix_tree.GAIN * n and not all(w in hot for w in c)
+            states[c] = n >= suffix_tree.MIN_COUNT and gain > suffix_tree.GAIN * n
     return [sum(math.log10(p(past, x, depth)) for past, x in walk) for walk in walks], sum(states.values())
 
 
-hot: set = set()
-
-
-@pytest.mark.parametrize("listed, hot_count", [(1 << 20, 1_000_000), (5, 40)])
+@pytest.mark.parametrize("listed, hot_count", [(1 << 20, 1_000_000), (5, 40), (8, 20), (1 << 20, 3)])
 def test_tree_equals_a_plain_one(listed, hot_count, spark, monkeypatch):
+    """Whichever contexts are too frequent for one task, the model is the same."""
     monkeypatch.setattr(suffix_tree, "LISTED", listed)
     monkeypatch.setattr(suffix_tree, "HOT_COUNT", hot_count)
     rng = random.Random(8)
@@ -442,16 +440,45 @@ def test_tree_equals_a_plain_one(listed, hot_count, spark, monkeypatch):
     assert len(order) < listed or counts[order[-1]] > max((counts[w] for w in counts if w not in order), default=0)
     rest = total - sum(counts[w] + 1 for w in order) - n_texts - 1
     root = lambda w: (n_texts + 1) / total if w is None else (counts[w] + 1) / total if w in order else rest / total / (len(counts) - len(order) + 1)
-    hot.clear()
-    hot.update(w for w in order if counts[w] > hot_count)
-    if n_texts > hot_count:
-        hot.add(None)
     want, states = plain_tree(words, [not h for h in held], root)
     assert states > 10
     found = {r.doc_id: r.score for r in suffix_tree.suffix_tree_scores(docs).collect()}
     assert max(abs(found[i] - x) for i, x in enumerate(want)) < 1e-3
 
 
+def test_probabilities_of_a_state_sum_to_one():
+    """Over the listed words, the end, each other word seen, and one unknown; few words are listed."""
+    rng = np.random.default_rng(4)
+    words = rng.integers(1, 1 << 63, 40, dtype=np.uint64) * np.uint64(2)
+    counts = np.array([60, 50, 40])
+    # 39 words were seen and the end; the last one is unknown
+    root = suffix_tree.Root(words[:3], counts, 25, 25 + 150 + 36 * 2, 40, 2, 10**9)
+    assert sum(root.p(root.ids(words))) + root.p_end == pytest.approx(1)
+    ids = np.append(root.ids(words), suffix_tree.END)
+    taught = [np.stack([rng.choice(ids[rng.permutation(41)[:9]], 80), np.full(80, a), np.full(80, b)]) for a in (ids[0], ids[7], ids[8]) for b in (ids[0], ids[9])]
+    asked = [np.stack([ids, np.full(41, a), np.full(41, b)]) for a in (ids[0], ids[7], ids[8], ids[39]) for b in (ids[0], ids[9], ids[10])]
+    rows = np.concatenate([*taught, *asked], axis=1)
+    flags = np.arange(rows.shape[1]) < sum(x.shape[1] for x in taught)
+    local, places, sizes, others = suffix_tree.unpacked_rows([tuple(suffix_tree.packed_rows(rows[:, :100], flags[:100])), tuple(suffix_tree.packed_rows(rows[:, 100:], flags[100:]))], 2)
+    assert (suffix_tree.full_numbers(local[0], others) == rows[0]).all() and sizes.tolist() == [100, rows.shape[1] - 100] and (places == flags).all()
+    base = root.p(local[0])
+    p = base * 10 ** suffix_tree.added_by_states(local, flags, np.zeros(len(flags), np.int8), base, base)
+    changed = 0
+    for i in range(len(asked)):
+        part = p[~flags][41 * i : 41 * i + 41]
+        assert part.sum() == pytest.approx(1)
+        changed += not np.allclose(part, base[~flags][41 * i : 41 * i + 41])
+    assert changed >= 6
+
+
+def test_longer_contexts_are_a_parameter(spark):
+    docs = spark.createDataFrame([(i, "a b c d e f " * 3 + random.Random(i).choice("xyz") + " d e f g") for i in range(80)], "doc_id long, text string")
+    total = [suffix_tree.suffix_tree_scores(docs, depth=k).agg({"score": "sum"}).first()[0] for k in (1, 2, 4)]
+    assert total == sorted(total) and total[0] < total[2]
+    with pytest.raises(ValueError, match="one word"):
+        suffix_tree.suffix_tree_scores(docs, depth=0)
+
+
 @pytest.mark.parametrize("folder", ["sf0.001", "sf0.01"])
 def test_tree_scores_held_out_texts_above_the_base(folder, spark):
     docs = spark.read.parquet(f"/root/testdata/{folder}/documents.parquet")
