@@ -45,8 +45,6 @@ from scriptorium.llm import kernels
 #: Text of a source, and text for each bucket of words.
 BLOCK_CHARS = 12 << 20
 BUCKET_BYTES = 24 << 20
-#: Groups that rows which only pass through the buckets' exchange are dealt to.
-PASSING = 4_096
 
 
 @lru_cache(maxsize=2)
@@ -337,13 +335,14 @@ class _Source:
                 words.append(data)
         numbers, ranks = (np.array(x, np.int64) for x in zip(*known, strict=True)) if known else (np.zeros(0, np.int64),) * 2
         keys = pa.concat_arrays([k for k, _, _ in self.rows])
+        passing = 4 * buckets  # groups for rows that only pass through the buckets' exchange
         for at in range(0, len(self.rows), 10_000):
             rows = self.rows[at : at + 10_000]
             uids, n = pa.array([u for _, u, _ in rows], pa.int64()), len(rows)
-            columns = [pa.array([-1 - u % PASSING for _, u, _ in rows], pa.int64()), pa.array([DOCUMENT] * n, pa.int32()), pa.array([name] * n, pa.int64()), keys.slice(at, n), uids, pa.array([k for _, _, k in rows], pa.int64()), *[pa.nulls(n, pa.binary())] * 2]
+            columns = [pa.array([-1 - u % passing for _, u, _ in rows], pa.int64()), pa.array([DOCUMENT] * n, pa.int32()), pa.array([name] * n, pa.int64()), keys.slice(at, n), uids, pa.array([k for _, _, k in rows], pa.int64()), *[pa.nulls(n, pa.binary())] * 2]
             yield pa.RecordBatch.from_arrays(columns, names=_NAMES)
         # the numbers of words known here travel with the sequence
-        packed = [(-1 - name % PASSING, SEQUENCE, squeezed(sequence), squeezed(np.concatenate([[repeated], steps(numbers), ranks])))]
+        packed = [(-1 - name % passing, SEQUENCE, squeezed(sequence), squeezed(np.concatenate([[repeated], steps(numbers), ranks])))]
         packed += [(b, WORDS, squeezed(steps(np.array(numbers))), joined_words(words)) for b, (numbers, words) in by_bucket.items()]
         for at in range(0, len(packed), 256):
             part = packed[at : at + 256]
