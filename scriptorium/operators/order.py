@@ -1,4 +1,4 @@
-"""Neighbours and numbers in an order that may hold any number of rows: no window goes over all of them."""
+"""Where rows go: neighbours in an order that may hold any number of rows, and costly rows dealt to many tasks."""
 
 from __future__ import annotations
 
@@ -9,6 +9,14 @@ from pyspark.sql import functions as F
 CHUNK_BITS = 16
 
 
+def spread(rows: DataFrame, *keys: str) -> DataFrame:
+    """Rows dealt by keys to several tasks for each core, whatever their bytes: for work that costs far more than
+    reading them, which adaptive execution would put into few tasks as long as the rows are small."""
+    spark = rows.sparkSession
+    n = max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return rows.repartition(n, *keys)
+
+
 def followers(rows: DataFrame, group: str, key: str) -> DataFrame:
     """Adds next: the key that follows within the group, null for its last row.
 

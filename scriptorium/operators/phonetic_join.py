@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from scriptorium.functions.phonetic import double_metaphone
+from scriptorium.operators.order import spread
 
 #: Weight and least confidence of the code combinations, in the order they are tried.
 COMBINATIONS = (("p", "p", 0.8, 0.35), ("p", "a", 0.7, 0.35), ("a", "p", 0.7, 0.35), ("a", "a", 0.6, 0.3))
@@ -210,7 +211,7 @@ def by_blocks(queries: DataFrame, forms: DataFrame, most: int | None, entry_type
         return pa.table([pa.array([r[i] for r in out], t) for i, t in enumerate(types)], names=names)
 
     schema = "query string, form string, confidence double" + (f", entry_id {entry_type}" if most else "")
-    return left.groupBy(*key).cogroup(right.groupBy(*key)).applyInArrow(joined, schema)
+    return spread(left, *key).groupBy(*key).cogroup(spread(right, *key).groupBy(*key)).applyInArrow(joined, schema)
 
 
 def by_sound(queries: DataFrame, rows: DataFrame, most: int | None = None) -> DataFrame:

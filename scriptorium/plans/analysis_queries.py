@@ -386,7 +386,9 @@ def _pairs(spark, sf_dir):
     texts = S.texts(spark, sf_dir).select("doc_id", "lang", X.normalize_text(F.col("text"), compose=False).alias("ref"))
     pairs = O.followers(S.texts(spark, sf_dir).select("doc_id", "lang"), "lang", "doc_id").where("next is not null")
     first = pairs.join(texts.drop("lang"), "doc_id")
-    return first.join(texts.select(F.col("doc_id").alias("next"), F.col("ref").alias("hyp")), "next").drop("next")
+    second = texts.select(F.col("doc_id").alias("next"), F.col("ref").alias("hyp"))
+    # comparing costs far more than reading, so the last join is also what deals the pairs to tasks
+    return O.spread(first, "next").join(O.spread(second, "next"), "next").drop("next")
 
 
 _PAIRS = f"pairs AS (SELECT * FROM (SELECT doc_id, lang, ref, lead(ref) OVER (PARTITION BY lang ORDER BY doc_id) AS hyp FROM (SELECT doc_id, lang, array_to_string(string_split({_norm('text')}, ' '), ' ') AS ref FROM documents)) WHERE hyp IS NOT NULL)"

@@ -11,7 +11,7 @@ from scriptorium.sources import relations as S
 
 
 def _rows(spark, sf_dir):
-    return Z.forms(S.entries(spark, sf_dir), S.aliases(spark, sf_dir))
+    return Z.forms(S.entries(spark, sf_dir, used=False), S.aliases(spark, sf_dir))
 
 
 def _queries(spark, sf_dir):

@@ -26,8 +26,8 @@ def usage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").alias("id")).agg(F.count(F.lit(1)).alias("occurrence_count"), F.max(seen).alias("last_seen_us"))
 
 
-def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The fact table of the dictionary."""
+def entries(spark: SparkSession, sf_dir: str, used: bool = True) -> DataFrame:
+    """The fact table of the dictionary; with ``used``, how often and when last each entry was met."""
     kind = F.element_at(F.array(*[F.lit(t) for t in TYPES]), (F.col("p_partkey") % 7 + 1).cast("int"))
     parts = table(spark, sf_dir, "part").select(
         F.col("p_partkey").alias("id"),
@@ -38,6 +38,8 @@ def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
         ((F.col("p_size") % 7) * 0.5).cast("double").alias("boost_weight"),
         F.lit("en").alias("language"),
     )
+    if not used:
+        return parts
     return parts.join(usage(spark, sf_dir), "id", "left").withColumn("occurrence_count", F.coalesce("occurrence_count", F.lit(0)).cast("long"))
 
 
