@@ -157,6 +157,16 @@ def _inside(text: str, found: re.Match) -> bool:
     return at >= 0 and text[at] not in ".!?"
 
 
+def spans_of(text: str) -> Iterator[tuple[str, int, bool]]:
+    """span, start, capital: the capitalized spans of a text, and its words of three letters or more."""
+    for m in re.finditer(CAPITALIZED, text):
+        if _inside(text, m):
+            yield m.group(), m.start(), True
+    for m in re.finditer(WORD, text):
+        if len(m.group()) >= 3:
+            yield m.group(), m.start(), False
+
+
 def capitalized_spans(texts: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, span, start: runs of capitalized words that do not begin a text or a sentence."""
     return placed_spans(texts, CAPITALIZED, _inside, key, text)

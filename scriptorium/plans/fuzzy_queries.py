@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from scriptorium.functions.phonetic import metaphone
 from scriptorium.operators import fuzzy as Z
+from scriptorium.operators import table_functions as U
 from scriptorium.plans.registry import query, table
 from scriptorium.sources import relations as S
 
@@ -61,3 +62,20 @@ def best_match(spark, sf_dir):
 @query("capitalized_spans")
 def capitalized_spans(spark, sf_dir):
     return Z.capitalized_spans(S.texts(spark, sf_dir))
+
+
+@query("match_spans_sql")
+def match_spans_sql(spark, sf_dir):
+    """The names of entries in every turn, by table functions in SQL text."""
+    turns = table(spark, sf_dir, "conversations").select(F.concat_ws("/", "conv_id", "turn").alias("doc_id"), "text")
+    found = U.match_spans(spark, turns, _rows(spark, sf_dir))
+    return found.select("doc_id", "span", "start", "end", F.col("candidates")[0]["entry_id"].alias("entry_id"), F.size("candidates").alias("n"))
+
+
+@query("first_turns", "SELECT conv_id, n::INT AS place, text FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations) WHERE n <= 2")
+def first_turns(spark, sf_dir):
+    """The first two turns of each conversation, by a table function that stops reading there."""
+    U.register(spark)
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
+    found = spark.sql("SELECT place, row FROM first_rows(2, TABLE(SELECT * FROM {turns}) PARTITION BY conv_id ORDER BY turn)", turns=turns)
+    return found.select(F.split_part("row", F.lit("|"), F.lit(1)).cast("long").alias("conv_id"), "place", F.regexp_replace("row", r"(?s)^[^|]*\|[^|]*\|", "").alias("text"))

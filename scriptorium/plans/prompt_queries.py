@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from scriptorium.functions import text as X
 from scriptorium.operators import fuzzy as Z
 from scriptorium.operators import prompts as P
-from scriptorium.plans.analysis_queries import sanitized
+from scriptorium.operators import recognition as N
+from scriptorium.plans.analysis_queries import _OPEN, _without, sanitized
 from scriptorium.plans.registry import query, table
 from scriptorium.sources import relations as S
 
@@ -123,6 +124,30 @@ def pass1_entities(spark, sf_dir):
     return corrected_entities(changes, X.sanitize_prompt)
 
 
+_CLEAN = _without("coalesce(text, '')", f"^[{_OPEN}]+", f"[{_OPEN}]+$", r"[\x00-\x08\x0e-\x1b\x7f-\x84\x86-\x9f\p{Cf}\p{Co}]")
+
+
+@query("recognized_entities", rf"""WITH clean AS (SELECT doc_id, {_CLEAN} AS t FROM documents),
+tokens AS (SELECT doc_id, t, ws, unnest(ws) AS w, generate_subscripts(ws, 1) AS i FROM (SELECT *, string_split_regex(t, '[ \t\n\f\r]') AS ws FROM clean)),
+placed AS (SELECT doc_id, t, w, i, sum(length(w) + 1) OVER (PARTITION BY doc_id ORDER BY i) - length(w) - 1 AS o, coalesce(lag(w) OVER (PARTITION BY doc_id ORDER BY i), '') AS before, regexp_matches(w, '^[A-Z][a-z]+[.,;:!?]?$') AS cap, regexp_extract(w, '^[A-Z][a-z]+') AS core FROM tokens),
+runs AS (SELECT *, sum(CASE WHEN cap AND regexp_matches(before, '^[A-Z][a-z]+$') THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM placed),
+found AS (SELECT doc_id, any_value(t) AS t, min(o)::BIGINT AS "start", max(o + length(core))::BIGINT AS "end", count(*) AS n, arg_min(before, i) AS before, arg_max(core, i) AS last FROM runs WHERE cap GROUP BY doc_id, run)
+SELECT doc_id, substr(t, "start" + 1, "end" - "start") AS text, CASE WHEN last IN ('Inc', 'LLC', 'Corp', 'Ltd', 'Co', 'Company', 'Technologies', 'Labs') THEN 'organization' WHEN n > 1 THEN 'person' WHEN before IN ('in', 'at', 'from') THEN 'location' ELSE 'term' END AS entity_type,
+  least(1.0, 0.4 + 0.2 * n)::DOUBLE AS confidence, "start", "end" FROM found""")
+def recognized_entities(spark, sf_dir):
+    """What the recognizer of rules finds in every whole text, and where."""
+    texts = S.texts(spark, sf_dir).select("doc_id", "text")
+    return N.with_entities(texts, least=0.0).select("doc_id", F.inline("entities")).withColumn("confidence", F.round("confidence", 6))
+
+
+@query("discovered_nouns")
+def discovered_nouns(spark, sf_dir):
+    """Names in the transcripts' texts that their first halves had already and the dictionary has not."""
+    rows = S.segments(spark, sf_dir).withColumn("raw_text", F.left("text", F.length("text") - F.col("segment") % 3 * 20))
+    known = S.entries(spark, sf_dir, used=False).select(F.lower("canonical").alias("form"))
+    return N.discovered_nouns(rows, known, ("the", "and"), min_confidence=0.5)
+
+
 @query("sanitized_vocabulary", f"SELECT conv_id, array_to_string(list_filter(list({sanitized('text')} ORDER BY turn), lambda t: t <> ''), '|') AS terms FROM conversations GROUP BY 1")
 def sanitized_vocabulary(spark, sf_dir):
     """All turns of a conversation as a vocabulary."""

@@ -157,6 +157,25 @@ def test_match_spans_by_a_plain_loop(spark):
     assert got == want and {(i, s) for i, s, *_ in got} >= {(0, "Ron Chernow"), (1, "sunto"), (2, "garmen")}
 
 
+def test_spans_by_sql_are_those_of_the_frame(spark):
+    from scriptorium.operators import table_functions as U
+
+    texts = ["I met Ron Chernow in town. Ron Chernow wrote", "my sunto broke, and the Sunto Watch too", "near navysink a garmen rang", "", None, "no names", "Garmin. And Garmin again!", "é Élan Suunto"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = spark.createDataFrame(FORMS, "entry_id long, form string, kind string, ord int")
+    both = [sorted((r.doc_id, r.span, r.start, r.end, [tuple(c) for c in r.candidates]) for r in found.collect()) for found in (Z.match_spans(docs, rows), U.match_spans(spark, docs, rows))]
+    assert both[0] == both[1] and len(both[0]) > 6
+
+
+def test_a_table_function_ends_its_partitions_early(spark):
+    from scriptorium.operators import table_functions as U
+
+    U.register(spark)
+    rows = spark.range(40).selectExpr("id % 3 as g", "id")
+    found = spark.sql("SELECT place, row FROM first_rows(2, TABLE(SELECT * FROM {rows}) PARTITION BY g ORDER BY id DESC)", rows=rows).collect()
+    assert sorted((r.row, r.place) for r in found) == [("0|36", 2), ("0|39", 1), ("1|34", 2), ("1|37", 1), ("2|35", 2), ("2|38", 1)]
+
+
 def test_anchors_by_a_plain_loop(spark):
     terms = {"ron chernow", "suunto", "strava", "phở"}
     cases = [("churn now", "Ron Chernow"), ("the chair", "Ron Chernow"), ("soon toe,", "Suunto"), ("shoe", " suunto "), ("stravva!", "Strava"), ("anything", "Other"), ("", "Strava"), ("x", ""), (None, "Strava"), ("fone", "phở"), ("...", "Strava")]
