@@ -60,8 +60,9 @@ def top_by_usage(entries: DataFrame, k: int, exact: bool = False) -> DataFrame:
     return first.orderBy(F.col("occurrence_count").desc(), *by_tiers, "id").limit(k)
 
 
-def stats(entries: DataFrame, aliases: DataFrame, contexts: DataFrame) -> DataFrame:
-    """dimension, key, n: totals, and counts by tier, type and context."""
+def stats(entries: DataFrame, aliases: DataFrame, contexts: DataFrame, pronunciations: DataFrame | None = None, updated: str | None = None) -> DataFrame:
+    """dimension, key, n: totals, and counts by tier, type and context; the newest value of the column ``updated``
+    (microseconds), null without entries, under the key last_updated."""
     one = F.count(F.lit(1)).alias("n")
     sets = entries.groupingSets([[], ["tier"], ["type"]], "tier", "type").agg(one, F.grouping_id().alias("g"))
     named = sets.select(
@@ -70,6 +71,10 @@ def stats(entries: DataFrame, aliases: DataFrame, contexts: DataFrame) -> DataFr
         "n",
     )
     total = lambda rows, name: rows.agg(one).select(F.lit("total").alias("dimension"), F.lit(name).alias("key"), "n")
+    if pronunciations is not None:
+        named = named.unionByName(total(pronunciations, "pronunciations"))
+    if updated:
+        named = named.unionByName(entries.agg(F.max(updated).alias("n")).select(F.lit("total").alias("dimension"), F.lit("last_updated").alias("key"), "n"))
     return named.unionByName(total(aliases, "aliases")).unionByName(contexts.groupBy(F.col("context").alias("key")).agg(one).select(F.lit("context").alias("dimension"), "key", "n"))
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Keys of one chunk differ in their last bits only.
@@ -30,3 +30,22 @@ def followers(rows: DataFrame, group: str, key: str) -> DataFrame:
     met = near.join(then, F.col(group).eqNullSafe(F.col("__g")) & (F.col("__chunk") == F.col("__c")), "left")
     return met.select(*rows.columns, F.coalesce("__next", "__then").alias("next"))
 
+
+
+def numbered(rows: DataFrame, keys: list[Column], folder: str, name: str = "place") -> DataFrame:
+    """Adds a number from 1 in the order of some keys, which should tell all rows apart.
+
+    Rows are dealt by ranges of the keys, sorted and numbered in their part, and written to the folder, so that
+    the ranges, which Spark draws from a sample, are the same for all that follows. Each part's numbers begin
+    after those of the parts before it; only the sizes of parts are ordered as a whole.
+    """
+    spark, bits = rows.sparkSession, 33
+    at = F.monotonically_increasing_id()  # the part, and the place in it
+    sorted_ = rows.repartitionByRange(*keys).sortWithinPartitions(*keys)
+    sorted_.withColumn("__at", at).write.parquet(folder)
+    written = spark.read.parquet(folder).withColumn("__part", F.shiftright("__at", bits))
+    sizes = written.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
+    before = F.sum("__n").over(Window.orderBy("__part")) - F.col("__n")
+    starts = sizes.select(F.col("__part").alias("__p"), before.alias("__start"))
+    met = written.join(starts, F.col("__part") == F.col("__p"))
+    return met.withColumn(name, F.col("__start") + F.col("__at").bitwiseAND(F.lit((1 << bits) - 1)) + 1).select(*rows.columns, name)

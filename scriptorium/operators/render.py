@@ -9,6 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from scriptorium.operators.dictionary import TIERS
+from scriptorium.operators.order import numbered
+
 MARKDOWN_SPECIALS = r"([\\`*_{}\[\]()#+\-.!|>~])"
 
 
@@ -92,14 +95,36 @@ def render(segments: DataFrame, name: str) -> DataFrame:
     return FORMATS[key](segments)
 
 
-def export_entries(entries: DataFrame, max_tier: str = "H", context: str | None = None) -> DataFrame:
-    """Entries in export order with their place and JSON; empty optionals are left out of the JSON."""
-    kept = entries.where(F.col("tier") <= max_tier)
-    if context:
-        kept = kept.where(F.exists("contexts", lambda c: F.lower(c) == context.lower()))
-    # places count on within each of the eight tiers from where the tiers before it end
-    sizes = kept.groupBy("tier").agg(F.count(F.lit(1)).alias("n"))
-    starts = sizes.select("tier", (F.sum("n").over(Window.orderBy("tier")) - F.col("n")).alias("__start"))
-    kept = kept.join(F.broadcast(starts), "tier")
-    place = (F.col("__start") + F.row_number().over(Window.partitionBy("tier").orderBy(F.lower("canonical"), "id"))).cast("int")
-    return kept.withColumn("place", place).withColumn("json", F.to_json(F.struct("canonical", "display", "type", "tier", "boost_weight", "contexts"))).drop("__start")
+def kept_for_export(entries: DataFrame, max_tier: str | None = None, context: str | None = None) -> DataFrame:
+    """Entries of the tier or a higher one, and with the context, in any case; an unknown tier cuts nothing."""
+    kept = entries.where(F.col("tier") <= max_tier) if max_tier in TIERS else entries
+    return kept.where(F.exists("contexts", lambda c: F.lower(c) == context.lower())) if context else kept
+
+
+def export_entries(entries: DataFrame, folder: str, max_tier: str | None = None, context: str | None = None) -> DataFrame:
+    """Entries in export order (tier, canonical in any case, id) with their place and JSON.
+
+    entries: nested, with aliases (alias), contexts, and pronunciations (ipa), display, source and notes if there are
+    any. Lists are always there, optional texts only where they are not empty. The folder takes the sorted rows.
+    """
+    kept = kept_for_export(entries, max_tier, context)
+    listed = lambda name, field: F.coalesce(F.transform(name, lambda x: x[field]), F.array().cast("array<string>")) if name in kept.columns else F.array().cast("array<string>")
+    texts = [F.nullif(F.col(c), F.lit("")).alias(c) for c in ("display", "source", "notes") if c in kept.columns]
+    sounds = F.filter(listed("pronunciations", "ipa"), lambda x: x != "")
+    body = F.struct("canonical", "type", "tier", "boost_weight", listed("aliases", "alias").alias("aliases"), sounds.alias("pronunciations"), F.coalesce("contexts", F.array().cast("array<string>")).alias("contexts"), *texts)
+    rows = kept.select("id", "canonical", "tier", F.to_json(body).alias("json"))
+    return numbered(rows, [F.col("tier"), F.lower("canonical"), F.col("id")], folder)
+
+
+def export_envelope(exported: DataFrame, at: str, max_tier: str | None = None, context: str | None = None) -> DataFrame:
+    """json: one row that says what an export holds; its entries are the lines beside it."""
+    filters = F.struct(F.lit(max_tier).alias("tier"), F.lit(context).alias("context"))
+    return exported.agg(F.count(F.lit(1)).alias("count")).select(F.to_json(F.struct(F.lit("1.0").alias("version"), F.lit(at).alias("exported_at"), filters.alias("filters"), "count")).alias("json"))
+
+
+def write_export(entries: DataFrame, folder: str, at: str, max_tier: str | None = None, context: str | None = None) -> None:
+    """A folder with ``entries``, JSON lines whose files and lines are in export order, and ``envelope``."""
+    exported = export_entries(entries, f"{folder}/sorted", max_tier, context)
+    ordered = exported.repartitionByRange("place").sortWithinPartitions("place")
+    ordered.select("json").write.text(f"{folder}/entries")
+    export_envelope(exported, at, max_tier, context).write.text(f"{folder}/envelope")

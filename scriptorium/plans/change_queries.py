@@ -9,6 +9,7 @@ from scriptorium.operators import entities as E
 from scriptorium.operators import queues as Q
 from scriptorium.plans.analysis_queries import _NAMES, names
 from scriptorium.plans.registry import query, table
+from scriptorium.sources import maintenance as M
 from scriptorium.sources import relations as S
 from scriptorium.sources import versions as V
 
@@ -206,3 +207,17 @@ def changed_dictionary(spark, sf_dir):
     names = now["aliases"].groupBy(F.col("entry_id").alias("id")).agg(F.array_join(F.sort_array(F.collect_list("alias")), "|").alias("aliases"))
     placed = now["contexts"].groupBy(F.col("entry_id").alias("id")).agg(F.count(F.lit(1)).alias("n"))
     return now["entries"].select("id", "tier").join(names, "id", "left").join(placed, "id", "left").select("id", "tier", "aliases", F.coalesce("n", F.lit(0)).cast("long").alias("n_contexts"))
+
+
+@query("column_statistics", " UNION ALL ".join(f"SELECT '{c}' AS \"column\", count(*) AS n, count(*) FILTER ({c} IS NULL) AS n_null, count(DISTINCT {c}) AS n_distinct, min({c})::VARCHAR AS least, max({c})::VARCHAR AS greatest FROM customer" for c in ("c_custkey", "c_name", "c_nationkey", "c_mktsegment")))
+def column_statistics(spark, sf_dir):
+    return M.column_statistics(table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey", "c_mktsegment"))
+
+
+@query("compacted", "SELECT p_partkey, p_name FROM part")
+def compacted(spark, sf_dir):
+    """Parts written as many files, and read again from the few that they were compacted to."""
+    place = V.shared_place(spark, "parts")
+    table(spark, sf_dir, "part").select("p_partkey", "p_name").repartition(24).write.parquet(f"{place}/many")
+    M.compact(spark, f"{place}/many", f"{place}/few")
+    return spark.read.parquet(f"{place}/few")

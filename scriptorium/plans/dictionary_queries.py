@@ -6,9 +6,11 @@ from pyspark.sql import functions as F
 
 from scriptorium.operators import dictionary as D
 from scriptorium.operators import ranking as R
+from scriptorium.operators import render as N
 from scriptorium.operators import search_index as I
 from scriptorium.plans.registry import query, table
 from scriptorium.sources import relations as S
+from scriptorium.sources import versions as V
 
 PROFILE = R.Profile("ASIA", include_tiers=("B", "C"), include_contexts=("ASIA", "EUROPE"), max_entries=40, boost_multiplier=1.2)
 #: Keywords of contexts, for texts of several languages.
@@ -159,10 +161,10 @@ def top_usage_exact(spark, sf_dir):
     return D.top_by_usage(S.entries(spark, sf_dir), 20, exact=True).select("id", "occurrence_count")
 
 
-@query("dict_stats", S.with_relations("usage entries aliases contexts", "SELECT 'total' AS dimension, 'entries' AS key, count(*) AS n FROM entries UNION ALL SELECT 'tier', tier, count(*) FROM entries GROUP BY tier UNION ALL SELECT 'type', type, count(*) FROM entries GROUP BY type "
-       "UNION ALL SELECT 'total', 'aliases', count(*) FROM aliases UNION ALL SELECT 'context', context, count(*) FROM contexts GROUP BY context"))
+@query("dict_stats", S.with_relations("usage entries aliases pronunciations contexts", "SELECT 'total' AS dimension, 'entries' AS key, count(*) AS n FROM entries UNION ALL SELECT 'tier', tier, count(*) FROM entries GROUP BY tier UNION ALL SELECT 'type', type, count(*) FROM entries GROUP BY type "
+       "UNION ALL SELECT 'total', 'aliases', count(*) FROM aliases UNION ALL SELECT 'total', 'pronunciations', count(*) FROM pronunciations UNION ALL SELECT 'total', 'last_updated', max(last_seen_us) FROM entries UNION ALL SELECT 'context', context, count(*) FROM contexts GROUP BY context"))
 def dict_stats(spark, sf_dir):
-    return D.stats(S.entries(spark, sf_dir), S.aliases(spark, sf_dir), S.contexts(spark, sf_dir)).where("dimension != 'tier' or key is not null")
+    return D.stats(S.entries(spark, sf_dir), S.aliases(spark, sf_dir), S.contexts(spark, sf_dir), S.pronunciations(spark, sf_dir), "last_seen_us").where("dimension != 'tier' or key is not null")
 
 
 @query("stats_cube", S.with_relations("usage entries", "SELECT tier, type, count(*) AS n, sum(occurrence_count)::BIGINT AS used FROM entries GROUP BY CUBE (tier, type)"))
@@ -185,11 +187,30 @@ def all_forms(spark, sf_dir):
     return S.dictionary(spark, sf_dir).select("id", F.explode(F.concat(F.array("canonical"), F.transform("aliases", lambda a: a["alias"]))).alias("form"))
 
 
-@query("export_dictionary", S.with_relations(_NESTED, f"SELECT row_number() OVER (ORDER BY tier, lower(canonical), id) AS place, id, canonical, tier FROM {_OWN} WHERE tier <= 'C' AND list_contains(contexts, 'ASIA')"))
+_EXPORTED = f"""(SELECT row_number() OVER (ORDER BY tier, lower(canonical), o.id) AS place, o.id, canonical, tier, to_json({{'canonical': canonical, 'type': type, 'tier': tier, 'boost_weight': boost_weight,
+  'aliases': coalesce(names, []), 'pronunciations': coalesce(ipas, []), 'contexts': list_sort(contexts), 'display': display}})::VARCHAR AS json
+  FROM {_OWN} o LEFT JOIN (SELECT entry_id AS id, list(alias ORDER BY alias, is_common_misspelling) AS names FROM aliases GROUP BY 1) a USING (id) LEFT JOIN (SELECT entry_id AS id, list(ipa) AS ipas FROM pronunciations WHERE ipa <> '' GROUP BY 1) p USING (id)"""
+
+
+def _nested(spark, sf_dir):
+    said = S.pronunciations(spark, sf_dir).groupBy(F.col("entry_id").alias("id")).agg(F.collect_list(F.struct("ipa", "language")).alias("pronunciations"))
+    return S.dictionary(spark, sf_dir).join(said, "id", "left")
+
+
+@query("export_dictionary", S.with_relations("usage entries aliases pronunciations contexts placed", f"SELECT place, id, canonical, tier, json FROM {_EXPORTED} WHERE tier <= 'C' AND list_contains(contexts, 'ASIA'))"))
 def export_dictionary(spark, sf_dir):
-    from scriptorium.operators.render import export_entries
+    return N.export_entries(_nested(spark, sf_dir), V.shared_place(spark, "export"), max_tier="C", context="asia")
+
+
+@query("export_everything", S.with_relations("usage entries aliases pronunciations contexts placed", f"SELECT place, id, json FROM {_EXPORTED})"))
+def export_everything(spark, sf_dir):
+    return N.export_entries(_nested(spark, sf_dir), V.shared_place(spark, "export")).select("place", "id", "json")
+
 
-    return export_entries(S.dictionary(spark, sf_dir), max_tier="C", context="asia").select("place", "id", "canonical", "tier")
+@query("export_envelope", S.with_relations("usage entries contexts placed", f"""SELECT '{{"version":"1.0","exported_at":"{S.NOW}","filters":{{"tier":"C","context":"asia"}},"count":' || count(*) || '}}' AS json FROM {_OWN} WHERE tier <= 'C' AND list_contains(contexts, 'ASIA')"""))
+def export_envelope(spark, sf_dir):
+    kept = N.kept_for_export(S.dictionary(spark, sf_dir), "C", "asia")
+    return N.export_envelope(kept, S.NOW, "C", "asia")
 
 
 @query("validate_entries", S.with_relations("usage entries", "SELECT id, 'boost_weight' AS problem FROM entries WHERE boost_weight * 1.5 > 3"))

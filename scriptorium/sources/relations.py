@@ -50,6 +50,14 @@ def aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("entry_id"), F.inline(forms)).dropDuplicates(["entry_id", "alias"])
 
 
+def pronunciations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """entry_id, ipa, language: of every fourth size one, of every twelfth another that is empty."""
+    size = F.col("p_size")
+    ipa = F.array(F.struct(F.concat(F.lit("/"), F.lower("p_type"), F.lit("/")).alias("ipa")), F.struct(F.lit("").alias("ipa")))
+    few = F.slice(ipa, 1, F.when(size % 12 == 0, 2).when(size % 4 == 0, 1).otherwise(0))
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("entry_id"), F.inline(few)).withColumn("language", F.lit("en"))
+
+
 def contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """entry_id, context: the regions whose suppliers sold the part."""
     places = (
@@ -115,6 +123,7 @@ SQL = {
     "((p_size % 7) * 0.5)::DOUBLE AS boost_weight, 'en' AS language, coalesce(occurrence_count, 0) AS occurrence_count, last_seen_us FROM part LEFT JOIN usage ON p_partkey = usage.id)",
     "aliases": "aliases AS (SELECT DISTINCT ON (entry_id, alias) entry_id, alias, wrong AS is_common_misspelling FROM (SELECT p_partkey AS entry_id, p_brand AS alias, false AS wrong FROM part "
     "UNION ALL SELECT p_partkey, p_type, false FROM part UNION ALL SELECT p_partkey, replace(p_name, ' ', ''), true FROM part))",
+    "pronunciations": "pronunciations AS (SELECT p_partkey AS entry_id, '/' || lower(p_type) || '/' AS ipa, 'en' AS language FROM part WHERE p_size % 4 = 0 UNION ALL SELECT p_partkey, '', 'en' FROM part WHERE p_size % 12 = 0)",
     "contexts": "contexts AS (SELECT DISTINCT l_partkey AS entry_id, r_name AS context FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey)",
     "placed": "placed AS (SELECT entry_id, list(context) AS contexts FROM contexts GROUP BY 1)",
     "segments": r"segments AS (SELECT *, start + n_words * 400 / 1000 AS \"end\" FROM (SELECT *, coalesce(sum(n_words * 400 + (segment % 3) * 300) OVER (PARTITION BY transcript ORDER BY segment ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) / 1000 AS start "
