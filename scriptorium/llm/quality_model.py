@@ -1,13 +1,14 @@
 """Quality classifier: learned vectors of hashed words and character n-grams, averaged per document.
 
-Each text is lower-cased (A-Z) and read as the hashed buckets of its words, of the byte n-grams in
-``GRAMS``, and of a few shapes: words with capitals, words ending in marks, repeats of the word
-before. A document is the mean of its buckets' vectors; a softmax over two outputs gives the score.
-Vectors and outputs are trained together by stochastic gradient descent in numpy.
+Each text is read as the hashed buckets of its words, in lower case (A-Z), and of its byte n-grams in
+``GRAMS``, as they are written. A word that only says again what the word before it says is read as one
+word for all of those. A document is the mean of its buckets' vectors; a softmax over two outputs gives
+the score. Vectors and outputs are trained together by stochastic gradient descent in numpy.
 
 Training takes at most ``TRAIN_DOCS`` labelled rows, drawn by a hash of the id from the rows that may
-be learnt from; that is the only bound, and a documented one. The sample is joined and brought to the
-driver, which trains for ``EPOCHS`` passes. As the outputs see a mean of vectors, a bucket matters only
+be learnt from; that is the only bound, and a documented one. The sample's texts stay on the executors: the
+driver gets the buckets of each and their shares, 2^BUCKET_BITS of them at most however long a text is, and
+trains for ``EPOCHS`` passes. As the outputs see a mean of vectors, a bucket matters only
 through the difference that its vector makes to the two outputs: after training one number for each
 bucket is left, and scoring is a mean of looked-up numbers. That table, ``2^BUCKET_BITS`` floats, is
 what is broadcast, whatever the input. Scoring runs over whole texts in Arrow batches, without an
@@ -39,93 +40,58 @@ EPOCHS = 6
 RATE = 0.5
 THRESHOLD = 0.7
 SEED = 11
-
-_MARKS = np.zeros(256, bool)
-_MARKS[[ord(c) for c in "#*$%&|<>!?=_~^@"]] = True
-_UPPER = np.zeros(256, bool)
-_UPPER[65:91] = True
-#: Buckets of the shapes, apart from all hashed ones.
-SHAPES = 3
-
+#: What a word is read as that only says again what the word before it says.
+REPEATED = np.uint64(0x5EC0_17D5_A11E_0F0B)
 
 def features(block: kernels.Block) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of every text of a block, end to end, and where each text's begin."""
+    """Buckets of every text of a block, end to end, and where each text's begin: of its words in lower case, then
+    of its byte n-grams as they are written."""
     low = kernels.lowered(block)
     found = kernels.words(low)
-    prefixes = kernels.prefix_hashes(low)
-    shift, size = np.uint64(64 - BUCKET_BITS), len(low.data)
-    words = kernels.range_hashes(prefixes, found.starts, found.ends)
-    parts = [((words >> shift).astype(np.int32), found.starts)]
+    words = kernels.range_hashes(kernels.prefix_hashes(low), found.starts, found.ends)
+    again = np.flatnonzero(words[1:] == words[:-1]) + 1
+    words[np.setdiff1d(again, found.bounds)] = REPEATED  # not the first word of a text
+    shift, written = np.uint64(64 - BUCKET_BITS), kernels.prefix_hashes(block)
+    parts = [((words >> shift).astype(np.int32), found.bounds)]
     for n in GRAMS:
-        at = np.arange(max(0, size - n + 1))
-        crossing = np.zeros(len(at), bool)
-        for edge in low.offsets[1:-1].tolist():
-            crossing[max(0, edge - n + 1) : edge] = True
-        at = at[~crossing]
-        parts.append(((kernels.range_hashes(prefixes, at, at + n) >> shift).astype(np.int32), at))
-    shapes = (
-        _UPPER[block.data[found.starts]] & _UPPER[block.data[found.ends - 1]] & (found.ends - found.starts > 1),
-        _MARKS[block.data[found.ends - 1]],
-        np.concatenate([[False], words[1:] == words[:-1]]) if len(words) else np.zeros(0, bool),
-    )
-    for i, shape in enumerate(shapes):
-        # each word has the shape's bucket or its opposite's, so that shares are learnt
-        parts.append((np.where(shape, (1 << BUCKET_BITS) + 2 * i, (1 << BUCKET_BITS) + 2 * i + 1).astype(np.int32), found.starts))
-    text = [np.searchsorted(low.offsets, at, "right") - 1 for _, at in parts]
-    order = np.argsort(np.concatenate(text), kind="stable") if block.n > 1 else slice(None)
-    buckets = np.concatenate([b for b, _ in parts])[order]
-    counts = sum(np.bincount(t, minlength=block.n)[: block.n] for t in text)
-    return buckets, np.concatenate([[0], np.cumsum(counts)])
+        counts = np.maximum(0, np.diff(block.offsets) - n + 1)
+        bounds = np.concatenate([[0], np.cumsum(counts)])
+        at = np.arange(bounds[-1]) + np.repeat(block.offsets[:-1] - bounds[:-1], counts)
+        grams = kernels.range_hashes(written, at, at + n)
+        with np.errstate(over="ignore"):
+            parts.append(((kernels.mixed(grams + np.uint64(n)) >> shift).astype(np.int32), bounds))
+    sizes = np.stack([np.diff(bounds) for _, bounds in parts])
+    bounds = np.concatenate([[0], np.cumsum(sizes.sum(axis=0))])
+    out = np.empty(bounds[-1], np.int32)
+    begins = bounds[:-1].copy()
+    for (buckets, own), size in zip(parts, sizes, strict=True):
+        out[np.repeat(begins - own[:-1], size) + np.arange(own[-1])] = buckets
+        begins += size
+    return out, bounds
 
 
 def means(block: kernels.Block, table: np.ndarray) -> np.ndarray:
-    """For each text the mean of the table over its buckets; 0 for a text without any.
-
-    The same buckets as ``features``, summed part by part, so that nothing need be sorted.
-    """
-    low = kernels.lowered(block)
-    found = kernels.words(low)
-    prefixes = kernels.prefix_hashes(low)
-    shift, size, n_texts = np.uint64(64 - BUCKET_BITS), len(low.data), block.n
-    total, count = np.zeros(n_texts), np.diff(found.bounds).astype(float) * (1 + SHAPES)
-
-    def add(values: np.ndarray, bounds: np.ndarray) -> None:
-        sums = np.concatenate([[0.0], np.cumsum(values, dtype=np.float64)])
-        total[:] += sums[bounds[1:]] - sums[bounds[:-1]]
-
-    words = kernels.range_hashes(prefixes, found.starts, found.ends)
-    add(table[words >> shift], found.bounds)
-    for n in GRAMS:
-        at = np.arange(max(0, size - n + 1))
-        values = table[kernels.range_hashes(prefixes, at, at + n) >> shift]
-        stops = np.maximum(low.offsets[1:] - n + 1, low.offsets[:-1])
-        sums = np.concatenate([[0.0], np.cumsum(values, dtype=np.float64)])
-        last = len(sums) - 1
-        total += sums[np.minimum(stops, last)] - sums[np.minimum(low.offsets[:-1], last)]
-        count += np.maximum(0, np.diff(low.offsets) - n + 1)
-    shapes = (
-        _UPPER[block.data[found.starts]] & _UPPER[block.data[found.ends - 1]] & (found.ends - found.starts > 1),
-        _MARKS[block.data[found.ends - 1]],
-        np.concatenate([[False], words[1:] == words[:-1]]) if len(words) else np.zeros(0, bool),
-    )
-    for i, shape in enumerate(shapes):
-        yes, no = table[(1 << BUCKET_BITS) + 2 * i], table[(1 << BUCKET_BITS) + 2 * i + 1]
-        add(np.where(shape, yes, no), found.bounds)
-    return total / np.maximum(count, 1)
-
-
-def train(texts: list[str | None], labels: list[int], epochs: int = EPOCHS, seed: int = SEED) -> tuple[np.ndarray, float]:
-    """The table of each bucket's pull towards label 1, and the bias."""
-    n_buckets = (1 << BUCKET_BITS) + 2 * SHAPES
-    if not len(set(labels)):
+    """For each text the mean of the table over its buckets; 0 for a text without any."""
+    buckets, bounds = features(block)
+    sums = np.concatenate([[0.0], np.cumsum(table[buckets], dtype=np.float64)])
+    return (sums[bounds[1:]] - sums[bounds[:-1]]) / np.maximum(np.diff(bounds), 1)
+
+
+def counted(block: kernels.Block) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each text its different buckets and the share of the text that each has."""
+    buckets, bounds = features(block)
+    made = []
+    for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+        seen, times = np.unique(buckets[a:b], return_counts=True)
+        made.append((seen, (times / max(1, b - a)).astype(np.float32)))
+    return made
+
+
+def train(docs: list[tuple[np.ndarray, np.ndarray]], labels: list[int], epochs: int = EPOCHS, seed: int = SEED) -> tuple[np.ndarray, float]:
+    """The table of each bucket's pull towards label 1, and the bias, from documents' buckets and shares."""
+    n_buckets = 1 << BUCKET_BITS
+    if not docs:
         return np.zeros(n_buckets, np.float32), 0.0
-    docs: list[tuple[np.ndarray, np.ndarray] | None] = []
-    for block in kernels.blocks(pa.array(texts, pa.large_string())):
-        buckets, bounds = features(block)
-        for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-            # a bucket and its share of the document, in the smallest types that hold them
-            seen, times = np.unique(buckets[a:b], return_counts=True)
-            docs.append((seen.astype(np.int32), (times / max(1, b - a)).astype(np.float32)))
     rng = np.random.default_rng(seed)
     vectors = rng.uniform(-1, 1, (n_buckets, DIMENSIONS)).astype(np.float32) / DIMENSIONS
     outputs = np.zeros((2, DIMENSIONS), np.float32)
@@ -177,12 +143,24 @@ def training_rows(docs: DataFrame, labels: DataFrame, key: str, text: str, label
     return texts.join(F.broadcast(drawn), "__key").groupBy("__key").agg(F.min("__text").alias("__text"), F.min("__label").alias("__label"))
 
 
+def training_buckets(sample: DataFrame) -> DataFrame:
+    """__key, __label, and packed buckets and shares of the sample's texts."""
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [x for block in kernels.blocks(batch.column(2)) for x in counted(block)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *(pa.array([x[i].tobytes() for x in found], pa.binary()) for i in (0, 1))], names=["__key", "__label", "__seen", "__share"])
+
+    kind = sample.schema["__key"].dataType.simpleString()
+    return sample.select("__key", "__label", "__text").mapInArrow(made, f"__key {kind}, __label int, __seen binary, __share binary")
+
+
 def quality_scores(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality") -> DataFrame:
     """key, held_out, score and predicted for each row."""
-    sample = training_rows(docs, labels, key, text, label).toArrow()
-    order = np.argsort(sample["__key"].to_numpy(), kind="stable")
-    sample = sample.take(pa.array(order))
-    table, bias = train(sample["__text"].to_pylist(), sample["__label"].to_pylist())
+    sample = training_buckets(training_rows(docs, labels, key, text, label)).toArrow()
+    sample = sample.take(pa.array(np.argsort(sample["__key"].to_numpy(), kind="stable")))
+    packed = zip(sample["__seen"].to_pylist(), sample["__share"].to_pylist(), strict=True)
+    table, bias = train([(np.frombuffer(a, np.int32), np.frombuffer(b, np.float32)) for a, b in packed], sample["__label"].to_pylist())
     model = docs.sparkSession.sparkContext.broadcast((table.tobytes(), bias))
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

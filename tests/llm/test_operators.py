@@ -372,6 +372,39 @@ def test_classifier_learns_and_never_reads_held_out_rows(spark):
     assert {r.score for r in nothing} == {0.5}
 
 
+def test_classifier_scores_by_a_plain_mean(spark, odd):
+    """Features and shares word by word and n-gram by n-gram, and each score as the softmax of a plain mean."""
+    texts = ["", "a", "The the THE cat", "the", "été 😀!! été", "ab\ncd  ef", "x" * 40, None, "the"]
+    bits, place = quality_model.BUCKET_BITS, lambda h: int(h >> np.uint64(64 - quality_model.BUCKET_BITS))
+    one = lambda data: kernels.range_hashes(kernels.prefix_hashes(kernels.Block(np.frombuffer(data, np.uint8), np.array([0, len(data)]), 0)), np.array([0]), np.array([len(data)]))
+
+    def plain(text):
+        out, before = [], None
+        for w in WORD.findall(lower(text)):
+            out.append(place(quality_model.REPEATED) if w == before else place(one(w.encode())[0]))
+            before = w
+        raw = (text or "").encode()
+        for n in quality_model.GRAMS:
+            out += [place(kernels.mixed(one(raw[i : i + n]) + np.uint64(n))[0]) for i in range(len(raw) - n + 1)]
+        return out
+
+    table = np.random.default_rng(1).normal(size=1 << bits).astype(np.float32)
+    for block in kernels.blocks(pa.array(texts, pa.large_string())):
+        buckets, bounds = quality_model.features(block)
+        found = [buckets[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+        assert list(map(sorted, found)) == [sorted(plain(t)) for t in texts]
+        want = [float(np.mean(table[plain(t)].astype(float))) if plain(t) else 0.0 for t in texts]
+        assert np.allclose(quality_model.means(block, table), want, atol=1e-9)
+        for (seen, share), t in zip(quality_model.counted(block), texts, strict=True):
+            assert dict(zip(seen.tolist(), share.tolist(), strict=True)) == pytest.approx({b: n / len(plain(t)) for b, n in Counter(plain(t)).items()})
+    rows = [(i, " ".join(random.Random(i).choices("good bad Ugly !! river".split(), k=9))) for i in range(60)]
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i, i % 2) for i, _ in rows], "doc_id long, quality int")
+    taught = [(i, t) for i, t in rows if zlib.crc32(str(i).encode()) % 4 != 2]
+    pull, bias = quality_model.train([x for block in kernels.blocks(pa.array([t for _, t in taught])) for x in quality_model.counted(block)], [i % 2 for i, _ in taught])
+    found = {r.doc_id: r.score for r in quality_model.quality_scores(docs, labels).collect()}
+    assert all(abs(found[i] - 1 / (1 + math.exp(-(np.mean(pull[plain(t)].astype(float)) + bias)))) < 1e-6 for i, t in rows)
+
+
 # ---- suffix tree
 
 
