@@ -41,7 +41,7 @@ _UNESCAPE = re.compile(rf"([<\[])\\(\\*)({_CONTROL})")
 _READ = re.compile(r"<\|turn\|>(.*?)<\|says\|>(.*?)<\|over\|>\n", re.DOTALL)
 _PLACEHOLDER = re.compile(r"<\|(image|audio|document):([0-9]+)\|>")
 IMAGE_PATCH = 28
-AUDIO_TOKENS_A_SECOND = 25
+SOUND_TOKENS_A_SECOND = 25
 PAGE_TOKENS = 512
 
 
@@ -72,12 +72,12 @@ class Image:
 
 
 @dataclass(frozen=True)
-class Audio:
+class Sound:
     ref: str
     seconds: float = 0.0
 
     def accept(self, visitor: Visitor) -> None:
-        visitor.audio(self)
+        visitor.sound(self)
 
 
 @dataclass(frozen=True)
@@ -102,8 +102,8 @@ class Visitor:
     def image(self, part: Image) -> None:
         self._attach("image", part.ref, max(1, math.ceil(part.width / IMAGE_PATCH)) * max(1, math.ceil(part.height / IMAGE_PATCH)))
 
-    def audio(self, part: Audio) -> None:
-        self._attach("audio", part.ref, max(1, math.ceil(part.seconds * AUDIO_TOKENS_A_SECOND)))
+    def sound(self, part: Sound) -> None:
+        self._attach("audio", part.ref, max(1, math.ceil(part.seconds * SOUND_TOKENS_A_SECOND)))
 
     def document(self, part: Document) -> None:
         self._attach("document", part.ref, max(1, part.pages) * PAGE_TOKENS)
@@ -113,7 +113,7 @@ class Visitor:
         self.attachments.append({"kind": kind, "ref": ref, "tokens": tokens})
 
 
-Part = Text | Image | Audio | Document
+Part = Text | Image | Sound | Document
 
 
 def part_of(row: dict) -> Part:
@@ -122,7 +122,7 @@ def part_of(row: dict) -> Part:
         case "image":
             return Image(row.get("ref") or "", row.get("width") or 0, row.get("height") or 0)
         case "audio":
-            return Audio(row.get("ref") or "", row.get("seconds") or 0.0)
+            return Sound(row.get("ref") or "", row.get("seconds") or 0.0)
         case "document":
             return Document(row.get("ref") or "", row.get("pages") or 0)
         case _:

@@ -543,7 +543,7 @@ def test_chat_round_trip_and_mask(spark):
 
 
 def test_parts_become_placeholders_in_order():
-    parts = [chat_format.Text("see <|image:0|>"), chat_format.Image("i.png", 57, 28), chat_format.Audio("a.wav", 2.0), chat_format.Document("d.pdf", 3)]
+    parts = [chat_format.Text("see <|image:0|>"), chat_format.Image("i.png", 57, 28), chat_format.Sound("a.wav", 2.0), chat_format.Document("d.pdf", 3)]
     written, attached = chat_format.format_turn("user", parts)
     assert written == "<|turn|>user<|says|>see <\\|image:0|><|image:0|><|audio:1|><|document:2|><|over|>\n"
     assert [(a["kind"], a["ref"], a["tokens"]) for a in attached] == [("image", "i.png", 3), ("audio", "a.wav", 50), ("document", "d.pdf", 1536)]
