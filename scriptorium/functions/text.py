@@ -27,6 +27,15 @@ BOOK_STARTS = ("*** START OF THE PROJECT GUTENBERG", "*** START OF THIS PROJECT
 BOOK_ENDS = ("*** END OF THE PROJECT GUTENBERG", "*** END OF THIS PROJECT GUTENBERG")
 #: What could steer a model, in any case.
 STEERING = (r"system:", r"assistant:", r"user:", r"<\|.*?\|>", r"\[INST\]", r"\[/INST\]")
+#: Entry types by the names of domains.
+DOMAIN_TYPES = {
+    "person": ("biography", "names", "people", "speakers"),
+    "jargon": ("tech", "technical", "programming", "software"),
+    "org": ("companies", "organizations", "orgs"),
+    "product": ("products", "brands"),
+    "location": ("places", "locations", "geography"),
+    "event": ("events", "conferences"),
+}
 #: Ends of company names.
 COMPANY_ENDS = ("Inc", "LLC", "Corp", "Ltd", "Co", "Company", "Technologies", "Labs")
 SNIPPET_REACH, SNIPPET_MOST = 75, 150
@@ -293,18 +302,10 @@ def valid_term(term: Column) -> Column:
 def infer_type(term: Column, domain: Column) -> Column:
     """Entry type by the domain, else by the look of the term."""
     low, parts = F.lower(domain), F.split(stripped(term), r"\s+")
-    capital = F.forall(parts, lambda w: w.rlike(r"^\p{Lu}"))
-    return (
-        F.when(low.isin("biography", "names", "people", "speakers"), "person")
-        .when(low.isin("tech", "technical", "programming", "software"), "jargon")
-        .when(low.isin("companies", "organizations", "orgs"), "org")
-        .when(low.isin("products", "brands"), "product")
-        .when(low.isin("places", "locations", "geography"), "location")
-        .when(low.isin("events", "conferences"), "event")
-        .when(F.size(parts).between(2, 4) & capital, "person")
-        .when(term.rlike(rf"({'|'.join(COMPANY_ENDS)})\z"), "org")
-        .otherwise("misc")
-    )
+    person = F.size(parts).between(2, 4) & F.forall(parts, lambda w: w.rlike(r"^\p{Lu}"))
+    by_domain = F.coalesce(*[F.when(low.isin(list(names)), kind) for kind, names in DOMAIN_TYPES.items()])
+    by_look = F.when(person, "person").when(term.rlike(rf"({'|'.join(COMPANY_ENDS)})\z"), "org").otherwise("misc")
+    return F.coalesce(by_domain, by_look)
 
 
 def gate_correction(words: Column, corrected: Column, confident: float = 0.85, most: float = 0.2) -> Column:

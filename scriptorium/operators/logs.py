@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from scriptorium.operators.events import FIELDS
+
 #: Fields that some event has; other fields of a line are left alone.
 EVENT = T.StructType(
     [
@@ -111,12 +113,7 @@ def bench_summary(runs: DataFrame) -> DataFrame:
     )
 
 
-#: Kinds of events of a session's log.
-KINDS = (
-    "session_start", "config", "audio_prepared", "chunk_transcribed", "chunk_timing", "segment_created", "correction_attempted",
-    "correction_applied", "correction_rejected", "vocabulary_used", "learning_candidates", "pass_complete", "error",
-    "session_complete", "transcription_complete",
-)
+KINDS = tuple(FIELDS)
 
 
 def event_lines(rows: DataFrame, kind: str, fields: dict[str, Column], session: str = "session", at: str = "ts") -> DataFrame:

@@ -79,7 +79,7 @@ def term_prompt(entries: DataFrame, max_tokens: int = 200, context: str | None =
     of which there are ten at most, only hand on what is left.
     """
     if max_tokens <= 0:
-        raise ValueError(f"max_tokens must be positive, got {max_tokens}")
+        raise ValueError("a prompt needs room for one token at least")
     opening = f"{BEGINNINGS[context]} You may hear:" if context in BEGINNINGS else "You may hear proper nouns:"
     first = entries.orderBy("id").limit(MOST_ENTRIES)
     others = F.filter(_proper(F.col("aliases"), 2), lambda a: F.lower(a) != F.lower("canonical"))
@@ -115,7 +115,7 @@ def escape_cell(text: Column) -> Column:
 def correction_table(entries: DataFrame, max_entries: int = 100) -> DataFrame:
     """One row, block: a table of the entries with the highest boost, with up to three aliases and notes."""
     if max_entries <= 0:
-        raise ValueError(f"max_entries must be positive, got {max_entries}")
+        raise ValueError("a block needs room for one entry at least")
     source = F.col("source") if "source" in entries.columns else F.lit(None).cast("string")
     given = lambda c: F.nullif(c, F.lit(""))
     notes = F.concat_ws("; ", F.when(F.col("display") != F.col("canonical"), given(F.col("display"))), F.concat(F.lit("Source: "), given(source)))

@@ -33,7 +33,7 @@ GENERAL = (("first_names", 100), ("last_names", 100))
 
 def _file(folder: str, name: str, suffix: str) -> Path:
     if not valid_domain(name):
-        raise ValueError(f"Invalid domain name: {name}")
+        raise ValueError(f"no name for a domain: {name!r}")
     return Path(folder) / f"{name}{suffix}"
 
 
@@ -72,7 +72,7 @@ def remove_domain(folder: str, name: str) -> bool:
 
 def save_profile(folder: str, profile: Profile) -> None:
     if not profile.name or not all(c.isalnum() or c in "_-" for c in profile.name):
-        raise ValueError(f"Invalid profile name: {profile.name}")
+        raise ValueError(f"no name for a profile: {profile.name!r}")
     _private(Path(folder) / f"{profile.name}.json", json.dumps(asdict(profile), indent=2))
 
 
@@ -88,7 +88,7 @@ def with_resources(config, name: str):
     """The configuration (a dataclass with max_parallel_chunks) under a resource setting, and whether words
     get time stamps."""
     if name not in RESOURCES:
-        raise ValueError(f"Unknown profile: {name}. Available: {list(RESOURCES)}")
+        raise ValueError(f"no such amount of resources: {name!r}; there are {', '.join(RESOURCES)}")
     chunks, stamps = RESOURCES[name]
     return replace(config, max_parallel_chunks=chunks), stamps
 
