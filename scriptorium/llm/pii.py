@@ -98,11 +98,11 @@ _DNI = re.compile(r"(?<![0-9A-Za-z-])[0-9]{8}[\x20-]?[A-Z](?![0-9A-Za-z])")
 _NIR = re.compile(r"(?<![0-9])[12]\x20?[0-9]{2}\x20?(?:0[1-9]|1[0-2])\x20?[0-9]{2}\x20?[0-9]{3}\x20?[0-9]{3}\x20?[0-9]{2}(?![0-9])")
 _ELEVEN = re.compile(r"(?<![0-9.-])[0-9]{2}\x20?[0-9]{3}\x20?[0-9]{3}\x20?[0-9]{3}(?![0-9]|[.-][0-9])")
 _CLOUD_KEY = re.compile(r"(?<![A-Za-z0-9])(?:AKIA|ASIA|AGPA|AIDA|AROA)[A-Z0-9]{16}(?![A-Za-z0-9])")
-_TOKEN = re.compile(r"(?<![A-Za-z0-9])(?:gh[pousr]_|github_pat_|glpat-|xox[abprs]-|sk_live_|sk_test_|rk_live_|sk-|npm_|pypi-|hf_|AIza|SG\.)([A-Za-z0-9_.-]{20,255})")
-_JWT = re.compile(r"(?<![A-Za-z0-9])eyJ[A-Za-z0-9_-]{8,4096}\.eyJ[A-Za-z0-9_-]{8,4096}\.[A-Za-z0-9_-]{8,4096}")
-_PEM = re.compile(r"-----BEGIN (?:[A-Z0-9]{1,16}\x20){0,3}PRIVATE KEY-----(?:[A-Za-z0-9+/=:,\s-]{0,8192}?-----END (?:[A-Z0-9]{1,16}\x20){0,3}PRIVATE KEY-----)?")
-_ASSIGNED = re.compile(r"(?i)(?<![a-z])(?:password|passwd|pwd|passphrase|passwort|contraseña|secret|token|bearer|api[_-]?key|access[_-]?key|auth[_-]?key|client[_-]?secret)[\"']?\s{0,3}[:=]\s{0,3}[\"']?([A-Za-z0-9+/_=.~!@#$%^&*-]{8,256})")
-_DRAWN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,512}={0,2}(?![A-Za-z0-9+/_=-])")
+_TOKEN = re.compile(r"(?<![A-Za-z0-9])(?:gh[pousr]_|github_pat_|glpat-|xox[abprs]-|sk_live_|sk_test_|rk_live_|sk-|npm_|pypi-|hf_|AIza|SG\.)([A-Za-z0-9_.-]{20,}+)")
+_JWT = re.compile(r"(?<![A-Za-z0-9])eyJ[A-Za-z0-9_-]{8,}+\.eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+")
+_PEM = re.compile(r"-----BEGIN (?:[A-Z0-9]{1,16}\x20){0,3}PRIVATE KEY-----(?:(?:(?!-----BEGIN)[A-Za-z0-9+/=:,\s-])*?-----END (?:[A-Z0-9]{1,16}\x20){0,3}PRIVATE KEY-----)?")
+_ASSIGNED = re.compile(r"(?i)(?<![a-z])(?:password|passwd|pwd|passphrase|passwort|contraseña|secret|token|bearer|api[_-]?key|access[_-]?key|auth[_-]?key|client[_-]?secret)[\"']?\s{0,3}[:=]\s{0,3}[\"']?([A-Za-z0-9+/_=.~!@#$%^&*-]{8,}+)")
+_DRAWN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,}+={0,2}+(?![A-Za-z0-9+/_=-])")
 _BEGINS = re.compile(r"AKIA|ASIA|AGPA|AIDA|AROA|AIza|SG\.|[a-z_]{2}[_-]|xox|eyJ|-----BEGIN")
 _DIGIT = re.compile(r"[0-9]")
 _NOT_DIGITS = re.compile(r"[^0-9]+")

@@ -6,6 +6,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -209,6 +210,55 @@ def test_added_kinds_are_found_where_they_were_planted():
     assert all(hits[k] >= 0.95 * n for k, n in all_.items()), {k: hits[k] / n for k, n in all_.items()}
 
 
+def test_kinds_without_context_only_where_their_own_check_is_strong():
+    """The same values beside words that say nothing: numbers with a weak check, or none, are left alone."""
+    rng = random.Random(19)
+    hits, all_ = Counter(), Counter()
+    for _ in range(200):
+        for kind, value, before in planted(rng):
+            if before.endswith(("=", ": ", "= ")):
+                continue
+            text = f"the garden {value} by the river"
+            all_[kind] += 1
+            hits[kind] += f"{kind}:11:{11 + len(value)}" in [s.name for s in pii.find(text)]
+    share = {k: hits[k] / n for k, n in all_.items()}
+    assert all(share[k] >= 0.95 for k in ("iban", "dni", "cloud_key", "token", "jwt", "private_key"))
+    assert all(share[k] <= 0.05 for k in ("routing", "taxid"))
+
+
+def test_ordinary_numbers_are_no_personal_data():
+    """Orders, commits, digests, dates, versions: false spans are counted, and there are hardly any."""
+    rng = random.Random(3)
+    digits = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    hexes = lambda n: "".join(rng.choice("0123456789abcdef") for _ in range(n))
+    lines = (
+        lambda: f"Order {digits(9)} of 2024-0{rng.randint(1, 9)}-{rng.randint(10, 28)} for {digits(3)}.{digits(2)} EUR",
+        lambda: f"commit {hexes(40)} merged",
+        lambda: f"md5 {hexes(32)} of the file",
+        lambda: f"id {hexes(8)}-{hexes(4)}-{hexes(4)}-{hexes(4)}-{hexes(12)}",
+        lambda: f"invoice {digits(2)}-{digits(3)}-{digits(4)} page {digits(2)}",
+        lambda: f"version {rng.randint(1, 9)}.{rng.randint(0, 99)}.{rng.randint(0, 99)}",
+        lambda: f"ISBN 978-{digits(1)}-{digits(4)}-{digits(4)}-{digits(1)}",
+        lambda: f"parcel {digits(11)}",
+        lambda: f"{rng.randint(1, 28):02d}.{rng.randint(1, 12):02d}.20{digits(2)} at {rng.randint(0, 23):02d}:{digits(2)}",
+        lambda: "Donaudampfschifffahrtsgesellschaft internationalization",
+    )
+    found = Counter(s.kind for line in lines for _ in range(200) for s in pii.find(f"The {line()} was seen."))
+    assert sum(found.values()) <= 0.005 * 200 * len(lines), found
+
+
+def test_long_secrets_are_found_whole_and_in_linear_time():
+    rng = random.Random(5)
+    drawn = lambda n, of="abcdefghijklmnopqrstuvwxyz0123456789": "".join(rng.choice(of) for _ in range(n))
+    pem = "-----BEGIN RSA PRIVATE KEY-----\n" + "\n".join(drawn(64) for _ in range(400)) + "\n-----END RSA PRIVATE KEY-----"
+    for kind, before, value in (("token", "x ", "ghp_" + drawn(900)), ("secret", "token ", drawn(700, "0123456789abcdef")), ("private_key", "k ", pem), ("jwt", "x ", f"eyJ{drawn(9_000)}.eyJ{drawn(9_000)}.{drawn(5_000)}"), ("password", "pwd = ", drawn(600))):
+        assert f"{kind}:{len(before)}:{len(before) + len(value)}" in [s.name for s in pii.find(f"{before}{value} y")], kind
+    for text in ("x" * 400_000, "-----BEGIN PRIVATE KEY-----\n" * 8_000, "eyJ" * 100_000, "token=" + "z1" * 200_000, "sk-" * 150_000):
+        began = time.perf_counter()
+        pii.find(text)
+        assert time.perf_counter() - began < 5
+
+
 def test_added_kinds_by_plain_checks():
     """Every checksum against another statement of it, over values right and wrong."""
     rng = random.Random(23)
