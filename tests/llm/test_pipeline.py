@@ -5,9 +5,12 @@ from __future__ import annotations
 import re
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
-from scriptorium.llm import mixing
+from scriptorium.llm import mixing, quality_rules
 from scriptorium.llm.queries import tokenizer
+from test_native import in_sql
 from test_operators import components, sets_by_words
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -29,6 +32,15 @@ def test_stages_in_order(odd, copies, spark, tmp_path):
         docs = seen[name][1]
     for name in list(seen)[:-1]:
         assert seen[name][1].columns == seen[name][0].columns
+    # quality rules by their SQL, for the ids that stand once; what stays of a text are its lines in order
+    before, after = seen["quality_rules"]
+    texts = {r.doc_id: r.text for r in before.collect()}
+    once = {i for i, n in Counter(r.doc_id for r in before.collect()).items() if n == 1 and i is not None}
+    judged = in_sql(quality_rules.ORACLE, before.where(F.col("doc_id").isin(list(once))))
+    assert {r.doc_id for r in after.collect()} & once == {int(i) for i, kept in zip(judged.doc_id, judged.kept, strict=True) if kept}
+    for r in after.where(F.col("doc_id").isNotNull()).collect():
+        left = iter((texts[r.doc_id] or "").split("\n"))
+        assert all(line in left for line in r.text.split("\n")) and r.n_chars == len(r.text)
     before, after = ([r.text for r in x.collect()] for x in seen["exact_dedup"])
     assert Counter(after) == Counter(set(before))
     ids = {r.doc_id for r in seen["ngram_join"][1].collect()}
@@ -38,7 +50,9 @@ def test_stages_in_order(odd, copies, spark, tmp_path):
     smallest = components(sets_by_words([r.text for r in rows]), [r.doc_id for r in rows])
     assert Counter(r.doc_id for r in seen["ngram_join"][1].collect()) == Counter(r.doc_id for r, least in zip(rows, smallest, strict=True) if r.doc_id == least)
     before, after = seen["mixing"]
-    # each document as often as it is taken, in whole or cut to its first words
+    # each document as often as it is taken, by the operator and by its SQL, in whole or cut to its first words
+    stated = in_sql(mixing.oracle(), before)
+    assert sorted(stated.taken) == sorted(r.taken for r in mixing.mix(before).collect())
     taken = Counter()
     for r in after.collect():
         taken[r.doc_id] += len(WORD.findall(r.text))
