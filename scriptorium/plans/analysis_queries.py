@@ -308,11 +308,11 @@ def log_sessions(spark, sf_dir):
     return G.sessions(S.log_events(spark, sf_dir)).drop("acceptance").withColumn("avg_value", F.round("avg_value", 6))
 
 
-@query("acceptance_rate", S.with_relations("log_events", f"WITH {_SESSIONS} SELECT session, applied * 1000 // (applied + rejected) AS per_mille FROM s WHERE applied + rejected > 0"))
+@query("acceptance_rate", S.with_relations("log_events", f"WITH {_SESSIONS} SELECT session, applied * 1000 // (applied + rejected) AS per_mille, round(applied * 100.0 / (applied + rejected), 1)::DOUBLE AS percent FROM s WHERE applied + rejected > 0"))
 def acceptance_rate(spark, sf_dir):
     found = G.sessions(S.log_events(spark, sf_dir))
     whole = F.col("applied") + F.col("rejected")
-    return found.where(whole > 0).select("session", F.floor(F.col("applied") * 1000 / whole).alias("per_mille"))
+    return found.where(whole > 0).select("session", F.floor(F.col("applied") * 1000 / whole).alias("per_mille"), G.rate(F.col("applied"), whole).alias("percent"))
 
 
 @query("log_analysis", S.with_relations("log_events", f"WITH {_SESSIONS} SELECT count(*) AS sessions, sum(words)::BIGINT AS words, sum(applied)::BIGINT AS applied, sum(rejected)::BIGINT AS rejected, round(avg(avg_value), 6) AS avg_value FROM s"))
@@ -618,10 +618,10 @@ def deduplicated_entities(spark, sf_dir):
     return T.deduplicated_entities(rows).select(F.lower("text").alias("name"), "confidence")
 
 
-@query("entity_variants", "SELECT p_type AS canonical, least(10, count(DISTINCT lower(p_name))) AS n FROM part GROUP BY 1")
+@query("entity_variants", "SELECT canonical, array_to_string(list(variant ORDER BY pos)[:10], '|') AS variants FROM (SELECT p_type AS canonical, arg_min(p_name, p_partkey) AS variant, min(p_partkey) AS pos FROM part GROUP BY p_type, lower(p_name)) GROUP BY 1")
 def entity_variants(spark, sf_dir):
     rows = table(spark, sf_dir, "part").select(F.col("p_type").alias("canonical"), F.col("p_name").alias("variant"), F.col("p_partkey").alias("pos"))
-    return T.entity_variants(rows).select("canonical", F.size("variants").cast("long").alias("n"))
+    return T.entity_variants(rows).select("canonical", F.array_join("variants", "|").alias("variants"))
 
 
 @query("learnable_terms", "SELECT lower(p_name) AS term, min(p_partkey) AS pos FROM part GROUP BY 1")

@@ -137,8 +137,8 @@ def recent_entries(spark, sf_dir):
 
 @query("entry_by_canonical", S.with_relations("usage entries", "SELECT id, canonical FROM entries WHERE canonical IN (SELECT canonical FROM entries WHERE id = 7)"))
 def entry_by_canonical(spark, sf_dir):
-    wanted = S.entries(spark, sf_dir).where("id = 7").select("canonical")
-    return S.entries(spark, sf_dir).join(wanted, "canonical", "left_semi").select("id", "canonical")
+    entries = S.entries(spark, sf_dir)
+    return D.by_canonical(entries, entries.where("id = 7").first().canonical).select("id", "canonical")
 
 
 @query("entry_lookup", S.with_relations("usage entries aliases", "WITH keys AS (SELECT upper(canonical) AS key FROM entries WHERE id % 50 = 1 UNION ALL SELECT id::VARCHAR FROM entries WHERE id % 50 = 2 UNION ALL SELECT DISTINCT upper(alias) FROM aliases WHERE is_common_misspelling), "
@@ -177,9 +177,10 @@ def all_contexts(spark, sf_dir):
     return S.contexts(spark, sf_dir).select("context").distinct().orderBy("context")
 
 
-@query("relations_nested", S.with_relations("usage entries aliases contexts", "SELECT id, (SELECT count(*) FROM aliases a WHERE a.entry_id = e.id) AS n_aliases, (SELECT count(*) FROM contexts c WHERE c.entry_id = e.id) AS n_contexts FROM entries e"))
+@query("relations_nested", S.with_relations("usage entries aliases contexts", "SELECT id, (SELECT string_agg(alias || ':' || is_common_misspelling, '|' ORDER BY alias) FROM aliases a WHERE a.entry_id = e.id) AS aliases, coalesce((SELECT string_agg(context, '|' ORDER BY context) FROM contexts c WHERE c.entry_id = e.id), '') AS contexts FROM entries e"))
 def relations_nested(spark, sf_dir):
-    return S.dictionary(spark, sf_dir).select("id", F.size("aliases").cast("long").alias("n_aliases"), F.size("contexts").cast("long").alias("n_contexts"))
+    named = F.transform("aliases", lambda a: F.concat(a["alias"], F.lit(":"), a["is_common_misspelling"].cast("string")))
+    return S.dictionary(spark, sf_dir).select("id", F.array_join(named, "|").alias("aliases"), F.array_join("contexts", "|").alias("contexts"))
 
 
 @query("all_forms", S.with_relations("usage entries aliases", "SELECT id, canonical AS form FROM entries UNION ALL SELECT entry_id, alias FROM aliases"))
@@ -246,13 +247,13 @@ def bulk_create(spark, sf_dir):
     return counted.agg(F.sum("new").alias("created"), (F.sum("all") - F.sum("new")).alias("skipped"))
 
 
-@query("delete_cascade", S.with_relations("usage entries aliases contexts", "SELECT 'entries' AS relation, count(*) AS n FROM entries WHERE tier <> 'B' UNION ALL SELECT 'aliases', count(*) FROM aliases WHERE entry_id IN (SELECT id FROM entries WHERE tier <> 'B') "
-       "UNION ALL SELECT 'contexts', count(*) FROM contexts WHERE entry_id IN (SELECT id FROM entries WHERE tier <> 'B')"))
+@query("delete_cascade", S.with_relations("usage entries aliases contexts", "WITH kept AS (SELECT id, canonical FROM entries WHERE tier <> 'B') SELECT 'entries' AS relation, id, canonical AS value FROM kept UNION ALL SELECT 'aliases', entry_id, alias FROM aliases WHERE entry_id IN (SELECT id FROM kept) "
+       "UNION ALL SELECT 'contexts', entry_id, context FROM contexts WHERE entry_id IN (SELECT id FROM kept)"))
 def delete_cascade(spark, sf_dir):
     e = S.entries(spark, sf_dir)
     left = D.delete({"entries": e, "aliases": S.aliases(spark, sf_dir), "contexts": S.contexts(spark, sf_dir)}, e.where("tier = 'B'"))
-    counted = [rows.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("relation"), "n") for name, rows in left.items()]
-    return counted[0].unionByName(counted[1]).unionByName(counted[2])
+    told = lambda name, key, value: left[name].select(F.lit(name).alias("relation"), F.col(key).alias("id"), F.col(value).alias("value"))
+    return told("entries", "id", "canonical").unionByName(told("aliases", "entry_id", "alias")).unionByName(told("contexts", "entry_id", "context"))
 
 
 @query("update_entry", S.with_relations("usage entries", "SELECT id, CASE WHEN id % 10 = 0 THEN 'A' ELSE tier END AS tier, display FROM entries"))
