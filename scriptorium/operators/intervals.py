@@ -1,13 +1,14 @@
 """Interval algebra: merging, padding, greedy merging, splitting, de-duplication, batching.
 
 Where a decision depends on sums and maxima of what came before, it is a window. Where it depends on
-earlier decisions, it is a fold over the sorted array of one group (a recording or a transcript,
-whose length bounds the array), inside the JVM.
+earlier decisions, it is a fold over one group in order (a recording or a transcript, whose length
+bounds it): inside the JVM, or in Arrow where each row gives one of its own.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -94,41 +95,51 @@ def merge_small(intervals: DataFrame, key: str = "grp", least: float = 20.0, cap
     return grouped.select(key, F.posexplode("merged").alias("pos", "x")).select(key, "pos", "x.start", "x.end")
 
 
+def _in_order(rows: DataFrame, key: str, order: list[str], fold: Callable[[list[dict]], list[tuple]], names: list[str], schema: str) -> DataFrame:
+    """What a fold makes of each group's rows in order; a group is one recording, gone through once."""
+    kind = rows.schema[key].dataType.simpleString()
+
+    def gone_through(table: pa.Table) -> pa.Table:
+        found = fold(table.sort_by([(c, "ascending") for c in order]).to_pylist())
+        made = [pa.array([r[i] for r in found], pa.int64() if kind_.endswith("long") else pa.int32()) for i, kind_ in enumerate(schema.split(", "))]
+        return pa.table([pa.repeat(table[key][0], len(found)), *made], names=[key, *names])
+
+    return rows.groupBy(key).applyInArrow(gone_through, f"`{key}` {kind}, {schema}")
+
+
 def drop_overlapping(segments: DataFrame, key: str = "grp", share: float = 0.5) -> DataFrame:
-    """Segments of which not more than the share lies before the end of the last one kept."""
+    """key, segment, id: segments of which not more than the share lies before the end of the last one kept."""
 
-    def step(state: Column, x: Column) -> Column:
-        length = x["end"] - x["start"]
-        first = F.size(state["kept"]) == 0
-        stays = first | (length <= 0) | (F.greatest(F.lit(0.0), state["upto"] - x["start"]) <= share * length)
-        return F.struct(
-            F.when(stays, F.concat(state["kept"], F.array(x["id"]))).otherwise(state["kept"]).alias("kept"),
-            F.when(stays, x["end"]).otherwise(state["upto"]).alias("upto"),
-        )
+    def fold(rows: list[dict]) -> list[tuple]:
+        kept: list[tuple] = []
+        upto = 0.0
+        for r in rows:
+            length = r["end"] - r["start"]
+            if not kept or length <= 0 or max(0.0, upto - r["start"]) <= share * length:
+                kept.append((len(kept), r["id"]))
+                upto = r["end"]
+        return kept
 
-    start = F.struct(F.array().cast("array<bigint>").alias("kept"), F.lit(0.0).alias("upto"))
-    grouped = _sorted_groups(segments.withColumn("id", F.col("id").cast("long")), key, "start", "id", "end")
-    return grouped.select(key, F.posexplode(F.aggregate("rows", start, step, lambda s: s["kept"])).alias("segment", "id"))
+    rows = segments.select(key, F.col("start").cast("double"), F.col("id").cast("long"), F.col("end").cast("double"))
+    return _in_order(rows, key, ["start", "id", "end"], fold, ["segment", "id"], "segment int, id long")
 
 
 def duration_batches(segments: DataFrame, key: str = "transcript", most: float = 30.0, rows: int = 10, least: int = 3) -> DataFrame:
     """key, segment, batch: a batch closes before it is too long or full, but not under ``least`` rows."""
 
-    def step(state: Column, x: Column) -> Column:
-        length = x["end"] - x["start"]
-        cut = (state["n"] > 0) & ((state["length"] + length > most) | (state["n"] >= rows)) & (state["n"] >= least)
-        batch = F.when(cut, state["batch"] + 1).otherwise(state["batch"])
-        return F.struct(
-            batch.alias("batch"),
-            F.when(cut, 1).otherwise(state["n"] + 1).alias("n"),
-            F.when(cut, length).otherwise(state["length"] + length).alias("length"),
-            F.concat(state["out"], F.array(F.struct(x["segment"].alias("segment"), batch.alias("batch")))).alias("out"),
-        )
-
-    none = F.array().cast("array<struct<segment:bigint,batch:int>>")
-    start = F.struct(F.lit(0).alias("batch"), F.lit(0).alias("n"), F.lit(0.0).alias("length"), none.alias("out"))
-    grouped = _sorted_groups(segments.withColumn("segment", F.col("segment").cast("long")), key, "segment", "start", "end")
-    return grouped.select(key, F.inline(F.aggregate("rows", start, step, lambda s: s["out"])))
+    def fold(found: list[dict]) -> list[tuple]:
+        out: list[tuple] = []
+        batch, n, length = 0, 0, 0.0
+        for r in found:
+            own = r["end"] - r["start"]
+            if n and (length + own > most or n >= rows) and n >= least:
+                batch, n, length = batch + 1, 0, 0.0
+            n, length = n + 1, length + own
+            out.append((r["segment"], batch))
+        return out
+
+    each = segments.select(key, F.col("segment").cast("long"), F.col("start").cast("double"), F.col("end").cast("double"))
+    return _in_order(each, key, ["segment", "start", "end"], fold, ["segment", "batch"], "segment long, batch int")
 
 
 def split_long(intervals: DataFrame, difficulty: Column, easy: float = 60.0, hard: float = 30.0, overlap: float = 2.0, hard_from: float = 0.35) -> DataFrame:
