@@ -49,21 +49,23 @@ class Corrected(NamedTuple):
 
 
 def batched(segments: DataFrame) -> DataFrame:
-    """Segments with the batch that each goes to a model in."""
-    return segments.withColumn("segment", F.col("segment").cast("long")).join(duration_batches(segments), ["transcript", "segment"])
+    """transcript, segment, batch: the batch that each segment goes to a model in."""
+    return duration_batches(segments)
 
 
-def first_pass(segments: DataFrame, proposals: DataFrame, terms: DataFrame | None = None, strict: bool = True, confident: float = 0.85) -> DataFrame:
+def first_pass(batches: DataFrame, proposals: DataFrame, words: DataFrame, terms: DataFrame | None = None, strict: bool = True, confident: float = 0.85) -> DataFrame:
     """transcript, segment, batch, place, corrected, changes of the proposals that take effect.
 
-    segments: transcript, segment, batch, ws (word, confidence). proposals: transcript, batch, place, segment,
-    corrected, changes. With terms, changes to one of them have to be spelt or sound like what was heard.
+    batches: transcript, segment, batch. words: transcript, segment, ws (word, confidence); a segment without them
+    has none. proposals: transcript, batch, place, segment, corrected, changes. With terms, changes to one of them have to be spelt or sound like what was heard.
     ``place`` is that of the segment's first accepted proposal, the rest is that of its last.
     """
-    asked = proposals.withColumn("segment", F.col("segment").cast("long")).join(segments.select("transcript", "segment", "batch", "ws"), ["transcript", "segment", "batch"])
+    asked = proposals.withColumn("segment", F.col("segment").cast("long")).join(batches, ["transcript", "segment", "batch"], "left_semi")
     if strict:
-        asked = asked.where(gate_correction(F.col("ws"), F.col("corrected"), confident))
-    asked = asked.drop("ws").withColumn("changes", F.coalesce("changes", F.array().cast(_CHANGE)))
+        heard = words.select("transcript", F.col("segment").cast("long").alias("segment"), "ws")
+        none = F.array().cast("array<struct<word:string,confidence:double>>")
+        asked = asked.join(heard, ["transcript", "segment"], "left").where(gate_correction(F.coalesce("ws", none), F.col("corrected"), confident)).drop("ws")
+    asked = asked.withColumn("changes", F.coalesce("changes", F.array().cast(_CHANGE)))
     if terms is not None:
         key = F.concat_ws(":", "transcript", "batch", "place", "n")
         each = asked.select("transcript", "batch", "place", F.posexplode("changes").alias("n", "c")).select(key.alias("id"), "transcript", "batch", "place", "n", "c")
@@ -127,6 +129,7 @@ def _later(segments: DataFrame, fixes: DataFrame, mark: str, source: str) -> Dat
 def correct(
     segments: DataFrame,
     proposals: DataFrame,
+    words: DataFrame,
     second: DataFrame | None = None,
     last: DataFrame | None = None,
     terms: DataFrame | None = None,
@@ -134,10 +137,11 @@ def correct(
     confident: float = 0.85,
     source: str = "model",
 ) -> Corrected:
-    """Run the passes for which there are tables; second and last: transcript, pos, segment, original, corrected,
+    """Run the passes for which there are tables. segments: transcript, segment, start, end, text; words: transcript,
+    segment, ws; second and last: transcript, pos, segment, original, corrected,
     reason. ``source`` is what corrected segments are marked with."""
-    placed = batched(segments)
-    taken = first_pass(placed, proposals, terms, strict, confident)
+    placed = segments.select("transcript", F.col("segment").cast("long").alias("segment"), "text")
+    taken = first_pass(batched(segments), proposals, words, terms, strict, confident)
     lines = F.transform("taken.changes", lambda c: F.concat(F.coalesce(c["original"], F.lit("")), F.lit(" -> "), F.coalesce(c["corrected"], F.lit(""))))
     met = F.col("taken").isNotNull()
     done = placed.join(taken.select("transcript", "segment", F.struct("corrected", "changes").alias("taken")), ["transcript", "segment"], "left").select(

@@ -15,18 +15,14 @@ from scriptorium.plans.registry import ORACLES, query
 from scriptorium.sources import relations as S
 
 
-def _segments(spark, sf_dir):
-    rows = S.segments(spark, sf_dir)
-    return rows.join(spoken(spark, sf_dir), ["transcript", "segment"])
-
-
-def _proposals(segments):
+def _proposals(segments, words):
     word = lambda i: F.element_at("ws", i)["word"]
     title = lambda w: F.concat(F.upper(F.left(w, F.lit(1))), F.lower(F.substr(w, F.lit(2))))
     change = lambda a, b: F.struct(a.alias("original"), b.alias("corrected"), F.lit("name").alias("reason"))
     none = F.array().cast(C._CHANGE)
     two = F.array(change(word(1), F.concat(title(word(1)), F.lit("s"))), change(word(-1), F.concat(F.lit("Le "), F.lower(word(1)))))
-    rows = C.batched(segments).where("(transcript + segment) % 3 = 0")
+    third = "(transcript + segment) % 3 = 0"
+    rows = segments.where(third).join(words.where(third), ["transcript", "segment"]).join(C.batched(segments), ["transcript", "segment"])
     kept = F.concat(F.lit("So "), F.col("text"))
     batch = F.col("batch") + F.when(F.col("segment") % 7 == 6, 1).otherwise(0)
     first = rows.select("transcript", batch.alias("batch"), F.col("segment").alias("place"), "segment", F.when(F.col("segment") % 2 == 0, kept).otherwise(F.substr("text", F.lit(40))).alias("corrected"), F.when(F.col("segment") == 3, none).otherwise(two).alias("changes"))
@@ -35,7 +31,7 @@ def _proposals(segments):
 
 
 def _fixes(segments):
-    word = F.element_at("ws", 1)["word"]
+    word = F.element_at(F.split(F.trim("text"), r"\s+"), 1)
     fix = lambda rows, pos, text: rows.select("transcript", pos.alias("pos"), F.col("segment").cast("long").alias("segment"), word.alias("original"), text.alias("corrected"), F.lit("same").alias("reason"))
     fifth = segments.where("segment % 5 = 1")
     second = fix(fifth, F.col("segment"), F.lower("text")).unionByName(fix(fifth.where("transcript % 2 = 0"), F.col("segment") + 1000, F.concat("text", F.lit("!"))))
@@ -45,8 +41,8 @@ def _fixes(segments):
 
 
 def _corrected(spark, sf_dir) -> C.Corrected:
-    rows = _segments(spark, sf_dir)
-    return C.correct(rows, _proposals(rows), *_fixes(rows))
+    rows, words = S.segments(spark, sf_dir), spoken(spark, sf_dir)
+    return C.correct(rows, _proposals(rows, words), words, *_fixes(rows))
 
 
 _KEEPS = rf"""(trim(corrected) = '' OR len(p) = 0 OR len(list_filter(p, lambda w: length(w) >= 2 AND NOT contains(' ' || regexp_replace(lower(corrected), '[^\p{{L}}\p{{N}}_]+', ' ', 'g') || ' ', ' ' || trim(regexp_replace(w, '[^\p{{L}}\p{{N}}_]+', ' ', 'g')) || ' '))) < len(p) * 0.2)"""
@@ -106,4 +102,4 @@ lines AS (SELECT e.transcript, e.batch, t.rank, '  - "' || canonical || '" (may
 SELECT e.transcript, e.batch, coalesce(chr(10) || 'Known entities from earlier segments:' || chr(10) || string_agg(line, chr(10) ORDER BY rank) || chr(10), '') AS block FROM each e LEFT JOIN lines l USING (transcript, batch) GROUP BY e.transcript, e.batch""",
 )
 def names_by_batch(spark, sf_dir):
-    return C.known_names(C.batched(_segments(spark, sf_dir)), _corrected(spark, sf_dir).names)
+    return C.known_names(C.batched(S.segments(spark, sf_dir)), _corrected(spark, sf_dir).names)

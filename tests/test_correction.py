@@ -106,7 +106,7 @@ def test_passes_by_a_plain_loop(spark):
     fixes = "transcript long, pos long, segment long, original string, corrected string, reason string"
     rows = spark.createDataFrame(segments, "transcript long, segment long, start double, end double, text string, ws array<struct<word:string,confidence:double>>")
     tables = spark.createDataFrame(proposals, f"transcript long, batch int, place long, segment long, corrected string, changes {CHANGE}"), spark.createDataFrame(second, fixes), spark.createDataFrame(last, fixes)
-    done = C.correct(rows, *tables, terms=spark.createDataFrame([(x,) for x in terms], "term string"))
+    done = C.correct(rows.drop("ws"), tables[0], rows.select("transcript", "segment", "ws"), *tables[1:], terms=spark.createDataFrame([(x,) for x in terms], "term string"))
     assert {(r.transcript, r.segment): (r.text, r.source, tuple(r.changes)) for r in done.segments.collect()} == texts
     assert {r.transcript: (r.passes_completed, r.total_changes, r.segments_changed) for r in done.results.collect()} == results
     assert Counter(r.transcript for r in done.changes.collect()) == Counter({t: n for t, (_, n, _) in results.items() if n})
@@ -117,7 +117,7 @@ def test_passes_by_a_plain_loop(spark):
 def test_nothing_proposed(spark):
     rows = spark.createDataFrame([(1, 0, 0.0, 1.0, None, None)], "transcript long, segment long, start double, end double, text string, ws array<struct<word:string,confidence:double>>")
     none = spark.createDataFrame([], f"transcript long, batch int, place long, segment long, corrected string, changes {CHANGE}")
-    done = C.correct(rows, none)
+    done = C.correct(rows, none, rows)
     assert [tuple(r) for r in done.segments.collect()] == [(1, 0, None, False, "none", [])]
     assert [tuple(r) for r in done.results.collect()] == [(1, 1, 0, 0)] and done.names.count() == 0
-    assert C.correct(rows.limit(0), none).results.count() == 0
+    assert C.correct(rows.limit(0), none, rows.limit(0)).results.count() == 0
