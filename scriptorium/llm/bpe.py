@@ -15,7 +15,8 @@ Words are replayed once for the corpus, and buckets grow in number with it, not
 named by a hash of their texts, so what a repeated task sends never meets another's.
 
 Defined results: a null or empty text has no ids, and the digests of no bytes. Very long texts are
-sources of their own, and a long word is replayed like any other. Repeated rows get equal results,
+sources of their own, and a long word is replayed like any other. Of equal pairs in a word the first is
+merged first, and the numbers of words that stand equally often follow their order. Repeated rows get equal results,
 an empty table an empty one; other columns of the input never take part. A missing rank file raises;
 a byte without a rank of its own raises a KeyError. Lone surrogates cannot occur in Spark strings.
 """

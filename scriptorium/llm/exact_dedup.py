@@ -14,7 +14,8 @@ adaptive execution broadcasts or splits where they are small or skewed.
 
 Defined results: null counts as empty, and all empty texts are equal. Of equal texts the row with
 the largest doc_id stays (a null doc_id is the smallest); of rows equal in text and doc_id exactly
-one stays. An empty table gives an empty result. Other columns never take part, and the stage that
+one stays. Very long texts have long recipes and are compared to their end. An empty table gives an empty
+result. Other columns never take part, and the stage that
 drops rows returns them as they came.
 """
 

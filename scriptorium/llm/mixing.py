@@ -19,7 +19,8 @@ only ones ordered as a whole.
 
 Defined results: null or empty texts have 0 words and are never taken; null is a source of its own
 and null ids are ordinary ids. Repeated rows are separate documents; equal rows get a share each,
-in either order. An empty table gives an empty mix. Equal quotients go to the source or shard
+in either order. Very long texts are counted to their end, and taken in part where a quota ends. An empty
+table gives an empty mix. Equal quotients go to the source or shard
 earlier in order. Other columns of the input never take part.
 """
 

@@ -30,7 +30,8 @@ class or the pairs of a list.
 
 Defined results: a null or empty text has no shingles and is alone, component_id being its own
 doc_id; null doc_ids are ignored by the smallest id unless a component has no other. Repeated rows
-are members of one class. An empty table gives an empty result; other columns never take part.
+are members of one class. Very long texts are read to their end, one at a time. An empty table gives an
+empty result; other columns never take part.
 """
 
 from __future__ import annotations
