@@ -96,6 +96,21 @@ def of_kind(events: DataFrame, kind: str) -> DataFrame:
     return events.where(F.col("event") == kind).select("session", "ts", *typed, *([] if FIELDS[kind] else ["body"]))
 
 
+def told(events: DataFrame) -> DataFrame:
+    """session, kind, field, txt, num: every field that an event of a known kind tells, by one pass over the lines:
+    texts as they are, numbers, the lengths of lists, and 1 for an object."""
+
+    def value(name: str, of: str) -> Column:
+        found = F.try_variant_get("body", f"$.{name}", of.split(" ")[0])
+        number = F.size(found) if of.startswith("array") else F.when(found.isNotNull(), 1) if of == _OBJECT else found
+        text = of == "string"
+        return F.struct(F.lit(name).alias("field"), (found if text else F.lit(None)).cast("string").alias("txt"), (F.lit(None) if text else number).cast("double").alias("num"))
+
+    of_kinds = [F.when(F.col("event") == kind, F.array(*[value(n, of) for n, of in fields.items()])) for kind, fields in FIELDS.items() if fields]
+    each = events.select("session", F.col("event").alias("kind"), F.explode(F.coalesce(*of_kinds)).alias("f"))
+    return each.select("session", "kind", "f.field", "f.txt", "f.num").where("txt is not null or num is not null")
+
+
 def account(events: DataFrame) -> DataFrame:
     """session, lines, malformed, unknown: how many lines there are, are no events, are of a kind not known."""
     return events.groupBy("session").agg(

@@ -85,18 +85,7 @@ def _expected():
 @query("typed_events", _expected())
 def typed_events(spark, sf_dir):
     """Every field of every event that the lines tell, by name: texts, numbers, and the lengths of lists."""
-    events = V.parsed(_lines(spark, sf_dir))
-    found = []
-    for kind, fields in V.FIELDS.items():
-        rows = V.of_kind(events, kind)
-        told = []
-        for name, of in fields.items():
-            text = of == "string"
-            number = F.size(name) if of.startswith("array") else F.when(F.col(name).isNotNull(), 1) if of == "variant" else F.col(name)
-            told.append(F.struct(F.lit(name).alias("field"), (F.col(name) if text else F.lit(None)).cast("string").alias("txt"), (F.lit(None) if text else number).cast("double").alias("num")))
-        if told:
-            found.append(rows.select("session", F.lit(kind).alias("kind"), F.inline(F.array(*told))))
-    whole = reduce(DataFrame.unionByName, found).where("txt is not null or num is not null")
+    whole = V.told(V.parsed(_lines(spark, sf_dir)))
     return whole.select(F.split_part("session", F.lit("/"), F.lit(2)).cast("long").alias("event_id"), "kind", "field", "txt", "num")
 
 

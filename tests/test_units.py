@@ -239,3 +239,21 @@ def test_difficulty_by_speech(spark):
 
     rows = spark.createDataFrame([([0.2], [0.5, 1.0]), ([0.2], []), ([0.4], None), ([], [0.0])], "s array<double>, p array<double>")
     assert [round(r.d, 9) for r in rows.select(I.difficulty_of(F.col("s"), F.col("p")).alias("d")).collect()] == [0.15625, 0.0, 1.0, 0.5]
+
+
+def test_lines_of_a_kind_and_their_typed_tables(spark):
+    from scriptorium.operators import events as V
+
+    rows = spark.createDataFrame([("s", "2001", 1, [("Ab", 0.5), ("c", None)])], "session string, ts string, id long, words array<struct<word:string,probability:double>>")
+    lines = V.lines(rows, "chunk_transcribed", {"chunk_id": F.col("id"), "start_time": F.lit(1.23456), **V.of_words(F.col("words"))})
+    lines = lines.unionByName(V.lines(rows, "config", {"x": F.lit(1)})).unionByName(spark.createDataFrame([("s", t) for t in ("{bad", "[1]", " ", '{"event":"odd"}', '{"a":1}', "null", None)], "session string, line string"))
+    events = V.parsed(lines)
+    (chunk,) = V.of_kind(events, "chunk_transcribed").collect()
+    assert (chunk.chunk_id, chunk.start_time, chunk.duration, chunk.word_count, chunk.low_conf_pct, chunk.avg_confidence) == (1, 1.23, None, 2, 50.0, 0.75)
+    assert [(r.word, r.probability) for r in V.lowest_words(V.of_kind(events, "chunk_transcribed")).collect()] == [("ab", 0.5), ("c", 1.0)]
+    assert V.of_kind(events, "config").count() == 1 and {r.field for r in V.told(events).collect()} == set(V.FIELDS["chunk_transcribed"]) - {"duration"}
+    assert [tuple(r) for r in V.account(events).collect()] == [("s", 7, 4, 1)]
+    with pytest.raises(ValueError, match="unknown kind"):
+        V.lines(rows, "nothing", {})
+    with pytest.raises(ValueError, match="no fields"):
+        V.lines(rows, "error", {"x": F.lit(1)})
