@@ -150,15 +150,16 @@ def outdated(applied: DataFrame, current: int) -> DataFrame:
     return version(applied).select((F.col("version") < current).alias("needed"))
 
 
-def created(tables: dict[str, DataFrame], rows: DataFrame) -> dict[str, DataFrame]:
+def created(tables: dict[str, DataFrame], rows: DataFrame, unique_names: bool = True) -> dict[str, DataFrame]:
     """Entries, aliases and contexts with those of new entries (nested rows) appended.
 
     An alias that says what the canonical says, in any case, and one that is there already, are left
-    out; so is an entry whose canonical or id is there.
+    out; so is an entry whose id is there and, with ``unique_names``, one whose canonical is.
     """
-    fresh = new_entries(rows, tables["entries"]).join(tables["entries"].select("id"), "id", "left_anti")
+    fresh = new_entries(rows, tables["entries"]) if unique_names else rows
+    fresh = fresh.join(tables["entries"].select("id"), "id", "left_anti")
     named = fresh.select(F.col("id").alias("entry_id"), "canonical", F.explode("aliases").alias("a")).select("entry_id", "canonical", F.trim("a.alias").alias("alias"), F.col("a.is_common_misspelling").alias("is_common_misspelling"))
-    named = named.where((F.col("alias") != "") & (F.lower("alias") != F.lower("canonical"))).drop("canonical").dropDuplicates(["entry_id", "alias"])
+    named = named.where((F.col("alias") != "") & ~F.lower("alias").eqNullSafe(F.lower("canonical"))).drop("canonical").dropDuplicates(["entry_id", "alias"])
     known = tables["aliases"].select(F.lower("alias").alias("__k")).distinct()
     named = named.withColumn("__k", F.lower("alias")).join(known, "__k", "left_anti").drop("__k")
     placed = fresh.select(F.col("id").alias("entry_id"), F.explode("contexts").alias("context")).distinct()

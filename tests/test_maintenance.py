@@ -68,3 +68,22 @@ def test_an_export_is_written_in_order(spark, tmp_path):
     assert envelope["count"] == 4 and envelope["exported_at"] == "now"
     nested = spark.createDataFrame(rows, schema)
     assert sorted(r.id for r in N.kept_for_export(nested, "B", "t").collect()) == [1] and N.kept_for_export(nested, "Q").count() == 4
+
+
+def test_every_customer_becomes_an_entry(spark, tmp_path):
+    """Parts have numbers that customers get, and customers' names repeat."""
+    import duckdb
+
+    from scriptorium.plans import catalog
+
+    con = duckdb.connect()
+    tables = {t: f"SELECT * FROM '/root/testdata/sf0.001/{t}.parquet'" for t in ("customer", "part", "lineitem", "supplier", "nation", "region")}
+    tables["customer"] += " UNION ALL SELECT * REPLACE (c_custkey + 10000 AS c_custkey) FROM customer"
+    tables["part"] = f"SELECT * REPLACE (p_partkey + 1000000 AS p_partkey) FROM ({tables['part']})"
+    tables["lineitem"] = f"SELECT * REPLACE (l_partkey + 1000000 AS l_partkey) FROM ({tables['lineitem']})"
+    con.execute("CREATE VIEW customer AS " + tables["customer"].split(" UNION")[0])
+    for t, made in tables.items():
+        con.execute(f"COPY ({made}) TO '{tmp_path}/{t}.parquet'")
+        con.execute(f"CREATE OR REPLACE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet'")
+    want = con.execute(f"SELECT kind, id, value FROM ({catalog.ORACLES['create_entries']})").fetchall()
+    assert Counter(map(tuple, catalog.QUERIES["create_entries"](spark, str(tmp_path)).select("kind", "id", "value").collect())) == Counter(want)
