@@ -17,7 +17,9 @@ import re
 from collections.abc import Callable, Iterator, Sequence
 from typing import Any
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,6 +34,9 @@ ENTRY_TYPES = {"person": "person", "organization": "org", "product": "product",
 _KIND = pa.list_(pa.struct([("text", pa.string()), ("entity_type", pa.string()), ("confidence", pa.float64()), ("start", pa.int64()), ("end", pa.int64())]))
 ENTITIES = "array<struct<text:string,entity_type:string,confidence:double,start:long,end:long>>"
 
+#: Bytes of text, and texts, whose entities a worker holds at a time.
+PART_BYTES, PART_TEXTS = 1 << 20, 512
+
 _loaded: dict[str, Predict | None] = {}
 
 
@@ -103,14 +108,26 @@ def model_of(load: Loader) -> Predict | None:
     return _loaded[name]
 
 
+def parts(batch: pa.RecordBatch, text: int) -> Iterator[pa.RecordBatch]:
+    """A batch in parts of about PART_BYTES of a text column, each of one row at least."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False))
+    at = 0
+    while at < batch.num_rows:
+        before = ends[at - 1] if at else 0
+        to = min(max(int(np.searchsorted(ends, before + PART_BYTES, "right")), at + 1), at + PART_TEXTS)
+        yield batch.slice(at, to - at)
+        at = to
+
+
 def with_entities(rows: DataFrame, text: str = "text", load: Loader = rules, labels: Sequence[str] = LABELS, least: float = 0.5) -> DataFrame:
-    """The rows with ``entities``; texts are read whole, in Arrow batches, without an exchange."""
+    """The rows with ``entities``; texts are read whole, in Arrow batches, without an exchange. A worker holds the
+    entities of one part of a batch, however many rows or long texts it has."""
     names, asked = rows.columns, tuple(labels)
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         predict = model_of(load)
         at = names.index(text)
-        for batch in batches:
+        for batch in (part for b in batches for part in parts(b, at)):
             found = [entities_of(t, predict, asked, least) for t in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, _KIND)], names=[*names, "entities"])
 

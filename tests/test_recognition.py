@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 
+import pyarrow as pa
+
 from scriptorium.operators import recognition as N
 
 def loaders():
@@ -66,3 +68,16 @@ def test_nouns_of_a_transcript(spark):
     assert got[1, "Ron Chernow"] == ("person", 2, "discovered", "I met Ron Chernow there.")
     assert got[1, "Xanthippe Zorro"][2] == "already_in_dictionary" and got[1, "Paul Inventedname"][2] == "discovered"  # half of it was heard
     assert got[2, "Ron Chernow"][2:] == ("rejected_hallucinations", None)
+
+
+def test_batches_are_taken_in_parts(monkeypatch):
+    """By bytes of text and by rows; a longer text is a part of its own."""
+    texts = ["é" * 600, None, "a" * 10, "b" * 5_000, "", "c"] + ["d"] * 20
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], names=["id", "text"])
+    monkeypatch.setattr(N, "PART_BYTES", 1_210)
+    monkeypatch.setattr(N, "PART_TEXTS", 8)
+    for whole in (batch, batch.slice(1), batch.slice(0, 0)):
+        made = list(N.parts(whole, 1))
+        assert [x for p in made for x in p.column(1).to_pylist()] == whole.column(1).to_pylist()
+        assert all(1 <= p.num_rows <= 8 and (p.num_rows == 1 or sum(len((t or "").encode()) for t in p.column(1).to_pylist()) <= 1_210) for p in made)
+    assert [p.num_rows for p in N.parts(batch, 1)] == [3, 1, 8, 8, 6]
