@@ -67,7 +67,8 @@ def supported(term: Column, words: Column) -> Column:
 
 
 def discover(entities: DataFrame, known: DataFrame, common: tuple[str, ...], min_confidence: float, least: int, by_sound: float | None = 0.6) -> DataFrame:
-    """Adds outcome to entities (text, confidence, count, words): the first gate that stops each.
+    """Adds outcome to entities (text, confidence, count, words): the first gate that stops each. Without the gate of
+    sound, ``heard`` (whether the words support the name) may stand for words.
 
     known: form, in lower case. Counts are of all sightings, before equal names were joined; each name
     stands once. A name that was not heard as it is spelt may still sound like a word that was, with the
@@ -76,7 +77,8 @@ def discover(entities: DataFrame, known: DataFrame, common: tuple[str, ...], min
     low = entities.where(F.col("confidence") >= min_confidence).withColumn("form", F.lower(F.trim("text")))
     found = low.join(known.select("form").distinct().withColumn("is_known", F.lit(True)), "form", "left")
     plain = unusual(F.col("text"), common).isNotNull() | (F.col("count") < least)
-    unheard = ~plain & F.col("is_known").isNull() & supported(F.col("text"), F.col("words")).isNull()
+    missed = ~F.col("heard") if "heard" in entities.columns else supported(F.col("text"), F.col("words")).isNull()
+    unheard = ~plain & F.col("is_known").isNull() & missed
     sounds = F.lit(False)
     if by_sound is not None:
         heard_as = heard_by_sound(found.where(unheard).select("form", "words"), by_sound).withColumnRenamed("word", "heard_as")

@@ -20,11 +20,11 @@ from typing import Any
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from scriptorium.functions.text import COMPANY_ENDS, snippet
-from scriptorium.operators.learning import discover
+from scriptorium.functions.text import COMPANY_ENDS, let, snippet
+from scriptorium.operators.learning import discover, supported
 
 Predict = Callable[[str, Sequence[str]], list[dict[str, Any]]]
 Loader = Callable[[], Predict]
@@ -135,18 +135,35 @@ def with_entities(rows: DataFrame, text: str = "text", load: Loader = rules, lab
     return rows.mapInArrow(made, f"{schema}, entities {ENTITIES}")
 
 
+def _names(entities: Column) -> Column:
+    """text, entity_type, confidence, count of each name among entities, in any case: the surest sighting, of equally
+    sure ones the first, and how many there are. Equal names stand side by side in a sorted array."""
+    ordered = F.array_sort(F.transform(entities, lambda e: F.struct(F.lower(e["text"]).alias("name"), (-e["confidence"]).alias("unsure"), e["start"].isNull().alias("nowhere"), e["start"].alias("start"), e["text"].alias("text"), e["entity_type"].alias("entity_type"))))
+
+    def counted(es: Column) -> Column:
+        new = lambda i: (i == 0) | (F.get(es, i)["name"] != F.get(es, i - 1)["name"])
+        places = F.filter(F.transform(es, lambda _, i: i), new)
+        one = lambda e, n: F.struct(e["text"].alias("text"), e["entity_type"].alias("entity_type"), (-e["unsure"]).alias("confidence"), n.cast("long").alias("count"))
+        return let(places, lambda ps: F.transform(ps, lambda p, k: one(F.get(es, p), F.coalesce(F.get(ps, k + 1), F.size(es)) - p)))
+
+    return let(ordered, counted)
+
+
 def discovered_nouns(segments: DataFrame, known: DataFrame, common: tuple[str, ...], load: Loader = rules, min_confidence: float = 0.7, least: int = 1, key: str = "transcript") -> DataFrame:
     """key, text, type, confidence, count, outcome, snippet: names that a recognizer finds in a transcript's text, by
     the gates of discovery against what was heard there (raw_text, else the text), with the sentence around the
-    first hit. segments: key, segment, text, raw_text. known: form, in lower case."""
+    first hit. segments: key, segment, text, raw_text. known: form, in lower case.
+
+    A transcript's names are counted, looked up among its words and given their sentences where its text is, so only
+    names leave it.
+    """
     line = F.struct("segment", F.coalesce("text", F.lit("")).alias("text"), F.coalesce("raw_text", "text", F.lit("")).alias("raw"))
     whole = segments.groupBy(key).agg(F.sort_array(F.collect_list(line)).alias("lines"))
     joined = lambda c: F.array_join(F.transform("lines", lambda x: x[c]), " ")
-    whole = whole.select(key, joined("text").alias("said"), F.array_distinct(F.split(F.lower(joined("raw")), r"\s+")).alias("words"))
-    each = with_entities(whole, "said", load).select(key, "said", "words", F.inline("entities"))
-    name = F.lower("text")
-    best = F.max_by(F.struct("text", "entity_type", "confidence"), F.struct("confidence", -F.col("start")))
-    one = each.groupBy(key, name.alias("name")).agg(best.alias("e"), F.count(F.lit(1)).alias("count"), F.first("said").alias("said"), F.first("words").alias("words"))
-    found = discover(one.select(key, "e.*", "count", "said", "words"), known, common, min_confidence, least, by_sound=None)
+    whole = with_entities(whole.select(key, joined("text").alias("said"), joined("raw").alias("raw")), "said", load)
+    each = whole.select(key, "said", F.array_distinct(F.split(F.lower("raw"), r"\s+")).alias("words"), F.inline(_names(F.col("entities"))))
+    heard = supported(F.col("text"), F.col("words")).isNotNull()
+    names = each.where(F.col("confidence") >= min_confidence).select(key, "text", "entity_type", "confidence", "count", heard.alias("heard"), F.when(heard, snippet(F.col("said"), F.col("text"))).alias("snippet"))
+    found = discover(names, known, common, min_confidence, least, by_sound=None)
     kind = F.coalesce(F.create_map(*[F.lit(x) for pair in ENTRY_TYPES.items() for x in pair])[F.col("entity_type")], F.lit("misc"))
-    return found.select(key, "text", kind.alias("type"), "confidence", "count", "outcome", F.when(F.col("outcome") == "discovered", snippet(F.col("said"), F.col("text"))).alias("snippet"))
+    return found.select(key, "text", kind.alias("type"), "confidence", "count", "outcome", F.when(F.col("outcome") == "discovered", F.col("snippet")).alias("snippet"))

@@ -81,3 +81,15 @@ def test_batches_are_taken_in_parts(monkeypatch):
         assert [x for p in made for x in p.column(1).to_pylist()] == whole.column(1).to_pylist()
         assert all(1 <= p.num_rows <= 8 and (p.num_rows == 1 or sum(len((t or "").encode()) for t in p.column(1).to_pylist()) <= 1_210) for p in made)
     assert [p.num_rows for p in N.parts(batch, 1)] == [3, 1, 8, 8, 6]
+
+
+def test_only_names_leave_a_transcript(spark):
+    segments = spark.createDataFrame([(1, 0, "I met RON Chernow. Ron Chernow and Ron Chernow, in Paris", None)], "transcript long, segment long, text string, raw_text string")
+    found = N.discovered_nouns(segments, spark.createDataFrame([("paris",)], "form string"), ("the",), min_confidence=0.5)
+    met = found._jdf.queryExecution().optimizedPlan()
+    while "Join" not in met.nodeName():
+        met = met.children().head()
+    side = met.children().head().output()
+    assert not {"said", "words", "raw"} & {side.apply(i).name() for i in range(side.size())}
+    got = {r.text: (r["count"], r.outcome, r.snippet) for r in found.collect()}
+    assert got["Ron Chernow"] == (2, "discovered", "I met RON Chernow.") and got["Paris"] == (1, "already_in_dictionary", None)
