@@ -6,6 +6,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from scriptorium.operators.order import spread
+
 #: Files that one task packs.
 GROUP_FILES = 10_000
 
@@ -64,8 +66,13 @@ def _plain(rows: DataFrame) -> list[str]:
 
 
 def column_statistics(rows: DataFrame) -> DataFrame:
-    """column, n, n_null, n_distinct, least, greatest (as text) of the columns that have an order, by one pass."""
+    """column, n, n_null, n_distinct, least, greatest (as text) of the columns that have an order, by one pass.
+
+    Rows are dealt to many tasks first: values are gathered where rows are read, and a small file is one task's.
+    """
     plain = _plain(rows)
+    if plain:
+        rows = spread(rows.select(*plain), *plain)
     count = F.count(F.lit(1))
     made = [F.struct(F.lit(c).alias("column"), count.alias("n"), F.count_if(F.col(c).isNull()).alias("n_null"), F.count_distinct(F.col(c)).alias("n_distinct"), F.min(c).cast("string").alias("least"), F.max(c).cast("string").alias("greatest")) for c in plain]
     return rows.agg(F.array(*made).alias("s")).select(F.inline("s"))

@@ -87,3 +87,12 @@ def test_every_customer_becomes_an_entry(spark, tmp_path):
         con.execute(f"CREATE OR REPLACE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet'")
     want = con.execute(f"SELECT kind, id, value FROM ({catalog.ORACLES['create_entries']})").fetchall()
     assert Counter(map(tuple, catalog.QUERIES["create_entries"](spark, str(tmp_path)).select("kind", "id", "value").collect())) == Counter(want)
+
+
+def test_values_are_gathered_by_many_tasks(spark):
+    """Rows of one file are dealt out before their values are gathered."""
+    rows = spark.createDataFrame([(i % 5 or None, float(i % 3), [i]) for i in range(60)], "k long, x double, a array<int>").coalesce(1)
+    found = M.column_statistics(rows)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Expand") < plan.index("RepartitionByExpression")
+    assert sorted(map(tuple, found.collect())) == [("k", 60, 12, 4, "1", "4"), ("x", 60, 0, 3, "0.0", "2.0")]
