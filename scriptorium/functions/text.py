@@ -17,6 +17,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from scriptorium.functions import edits as batched
+
 MAX_TOKENS = 50_000
 #: HTML entities in the order of their replacement.
 ENTITIES = (("&nbsp;", " "), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&mdash;", "—"), ("&ndash;", "–"))
@@ -197,7 +199,13 @@ def word_edits(refs: pd.Series, hyps: pd.Series) -> pd.DataFrame:
 @F.pandas_udf(T.LongType())
 def character_edits(refs: pd.Series, hyps: pd.Series) -> pd.Series:
     """Edit distance of two strings."""
-    return pd.Series([None if r is None or h is None else _distance(r, h) for r, h in zip(refs, hyps, strict=True)], dtype="Int64")
+    found = [None if r is None or h is None else max(len(r), len(h)) for r, h in zip(refs, hyps, strict=True)]
+    # the longer one is what is cut into blocks: the other tells the number of steps
+    full = {k: sorted((r, h), key=len, reverse=True) for k, (r, h) in enumerate(zip(refs, hyps, strict=True)) if r and h}
+    made = batched.counted([p[0] for p in full.values()], [p[1] for p in full.values()], batched.characters_coded, lambda r, h: (_distance(r, h),), False)
+    for k, (distance,) in zip(full, made, strict=True):
+        found[k] = distance
+    return pd.Series(found, dtype="Int64")
 
 
 def word_errors(ref: Column, hyp: Column) -> Column:

@@ -9,9 +9,12 @@ import random
 import re
 
 import duckdb
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from scriptorium.functions import edits as B
 from scriptorium.functions import text as X
 from scriptorium.operators import fuzzy as Z
 from scriptorium.plans import catalog
@@ -167,3 +170,32 @@ def test_pairs_that_are_too_long_have_no_rates(spark, monkeypatch):
     rows = spark.createDataFrame([("a b", "a c"), ("x " * 50_001 + "x", "a")], "ref string, hyp string")
     first, second = rows.select(X.word_errors(F.col("ref"), F.col("hyp")).alias("e")).select("e.*").collect()
     assert (first.wer, first.substitutions) == (0.5, 1) and second.wer is None and second.n_ref == 50_002
+
+
+@pytest.mark.parametrize("few, blocks, size, step", [(24, 1 << 13, 1 << 26, 18), (1, 40, 1 << 26, 0), (1, 1 << 13, 9_000, 0), (10_000, 3, 1 << 26, 0)])
+def test_edits_of_many_pairs_at_a_time(few, blocks, size, step, monkeypatch):
+    """Batches give what single pairs give; a batch's pairs end at different steps and have blocks of their own."""
+    for name, value in (("_FEW", few), ("_BLOCKS", blocks), ("_BYTES", size), ("_STEP", step)):
+        monkeypatch.setattr(B, name, value)
+    rng = random.Random(blocks + size)
+    lengths = [1, 2, 63, 64, 65, 127, 128, 129, 200]
+    pairs = [tuple([rng.choice(letters) for _ in range(rng.choice(lengths))] for _ in "ab") for letters in ["ab", "abcdefgh", "aé😀퟿zyxwvu"] * 50]
+    pairs += [(a, [x for x in a if rng.random() < 0.9] or ["q"]) for a, _ in pairs[:30]]
+    refs, hyps = zip(*pairs)
+    alone = []
+    X_edits = lambda r, h: (alone.append(1), X._edits(r, h))[1]
+    assert [tuple(x) for x in B.counted(refs, hyps, B.words_coded, X_edits, True)] == [X._edits(a, b) for a, b in pairs]
+    assert len(alone) < 60 and (step or size < 10_000 or not alone)
+    want = [(X._distance("".join(a), "".join(b)),) for a, b in pairs]
+    assert B.counted(["".join(a) for a in refs], ["".join(b) for b in hyps], B.characters_coded, lambda r, h: (X._distance(r, h),), False) == want
+    assert B.counted([], [], B.words_coded, X._edits, True) == []
+
+
+def test_rates_count_pairs_together(spark, monkeypatch):
+    """One batch for all pairs of a batch of rows, empty sides and nulls beside them."""
+    seen = []
+    counted = B.counted
+    monkeypatch.setattr(B, "counted", lambda refs, *args: (seen.append(len(refs)), counted(refs, *args))[1])
+    refs, hyps = pd.Series(["abc", "", None, "xyz", ""] * 40), pd.Series(["ab", "q", "a", "xyzzy", ""] * 40)
+    assert X.character_edits.func(refs, hyps).astype(object).where(lambda v: v.notna(), None).tolist() == [1, 1, None, 2, 0] * 40
+    assert seen == [80]
