@@ -192,7 +192,18 @@ def _distance(a: str, b: str) -> int:
 def word_edits(refs: pd.Series, hyps: pd.Series) -> pd.DataFrame:
     """Edit distance of two token arrays, and its substitutions, insertions and deletions; null for a pair
     with more than MAX_TOKENS on a side."""
-    found = [_edits(list(r), list(h)) if max(len(r), len(h)) <= MAX_TOKENS else (None,) * 4 for r, h in zip(refs, hyps, strict=True)]
+    found: list = [None] * len(refs)
+    full = []
+    for k, (r, h) in enumerate(zip(refs, hyps, strict=True)):
+        if max(len(r), len(h)) > MAX_TOKENS:
+            found[k] = (None,) * 4
+        elif len(r) and len(h):
+            full.append(k)
+        else:
+            found[k] = (len(r) + len(h), 0, len(h), len(r))
+    made = batched.counted([refs.iloc[k].tolist() for k in full], [hyps.iloc[k].tolist() for k in full], batched.words_coded, _edits, True)
+    for k, edits in zip(full, made, strict=True):
+        found[k] = edits
     return pd.DataFrame(found, columns=["d", "s", "i", "x"], dtype="Int64")
 
 

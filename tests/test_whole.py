@@ -198,4 +198,8 @@ def test_rates_count_pairs_together(spark, monkeypatch):
     monkeypatch.setattr(B, "counted", lambda refs, *args: (seen.append(len(refs)), counted(refs, *args))[1])
     refs, hyps = pd.Series(["abc", "", None, "xyz", ""] * 40), pd.Series(["ab", "q", "a", "xyzzy", ""] * 40)
     assert X.character_edits.func(refs, hyps).astype(object).where(lambda v: v.notna(), None).tolist() == [1, 1, None, 2, 0] * 40
-    assert seen == [80]
+    words = [["a", "b"], [], ["a"], ["a", "b", "c"]]
+    said = [["a", "c"], ["a"], [], ["b", "c", "d"]]
+    got = X.word_edits.func(pd.Series([np.array(w, object) for w in words]), pd.Series([np.array(w, object) for w in said]))
+    assert got.to_numpy().tolist() == [[1, 1, 0, 0], [1, 0, 1, 0], [1, 0, 0, 1], [2, 0, 1, 1]]
+    assert seen == [80, 2]
