@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -98,6 +99,29 @@ def test_ngram_join_equals_brute_force(which, block, paired, merged, request, mo
     assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in found) == want
 
 
+@pytest.mark.parametrize("kind", ["long", "binary"])
+@pytest.mark.parametrize("merged", [1_000_000, 600, 40, 0])
+def test_components_cost_the_driver_few_steps(spark, merged, kind, monkeypatch):
+    """What fits one task is connected in it; beyond that only stars that other edges touch go on."""
+    monkeypatch.setattr(ngram_join, "MERGED", merged)
+    steps, rng = [], random.Random(merged)
+    durable = ngram_join.durable
+    monkeypatch.setattr(ngram_join, "durable", lambda df: (steps.append(1), durable(df))[1])
+    # a long chain of shuffled nodes, a star, many pairs, some random edges, loops and repeated edges
+    chain = rng.sample(range(-200, 0), 200)
+    edges = [*itertools.pairwise(chain), *((500, k) for k in range(501, 560)), *((k, k + 1) for k in range(1_000, 1_400, 2)), *((rng.randrange(2_000, 2_100), rng.randrange(2_000, 2_100)) for _ in range(90))]
+    edges += [(7, 7), *edges[:40], *((v, u) for u, v in edges[40:80])]
+    label = {x: x for e in edges for x in e}
+    while any(label[u] != label[v] for u, v in edges):
+        for u, v in edges:
+            label[u] = label[v] = min(label[u], label[v])
+    name = (lambda x: x) if kind == "long" else (lambda x: (x + 1_000).to_bytes(2, "big") + b"\0")
+    frame = spark.createDataFrame([(name(u), name(v)) for u, v in edges], f"u {kind}, v {kind}")
+    found = [(bytes(r.u), bytes(r.v)) if kind == "binary" else (r.u, r.v) for r in ngram_join.connect(frame).collect()]
+    assert sorted(found) == sorted((name(x), name(v)) for x, v in label.items() if v != x)
+    assert len(steps) <= (2 if merged == 1_000_000 else 60)
+
+
 def test_ngram_join_of_a_tiny_table(spark):
     docs = spark.createDataFrame([(1, "a b c")], "doc_id long, text string")
     assert [(r.n_shingles, r.component_id) for r in ngram_join.ngram_join(docs).collect()] == [(1, 1)]
