@@ -1,8 +1,7 @@
 """Text functions: normalization, error rates, cleaning of web and book texts, gates on corrections.
 
-Column functions throughout. Whole-document folds over word arrays (edit distances) are bounded by
-``MAX_TOKENS`` of each side, as a dynamic program costs their product; a longer pair has no rates, and
-the rows beside it keep theirs.
+Column functions throughout. Whole-document folds over word arrays (edit distances) take pairs of any
+length: their time is the product of the lengths of unlike texts, their memory is bounded beside the texts.
 """
 
 from __future__ import annotations
@@ -19,6 +18,7 @@ from pyspark.sql import types as T
 
 from scriptorium.functions import edits as batched
 
+#: Words of a side beyond which the reference refuses a pair; only who asks for that limit has it.
 MAX_TOKENS = 50_000
 #: HTML entities in the order of their replacement.
 ENTITIES = (("&nbsp;", " "), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&mdash;", "—"), ("&ndash;", "–"))
@@ -68,16 +68,18 @@ def tokens(text: Column) -> Column:
     return F.when(text == "", F.array().cast("array<string>")).otherwise(F.split(text, " "))
 
 
-#: Least band of an edit table; bits of columns that are kept for the way back, beyond which they are made again.
-_BAND, _KEPT_BITS = 64, 1 << 26
+#: Least band of an edit table; bits of columns that are kept for the way back, beyond which they are made again; bits
+#: of words' rows that are kept, beyond which those of rarer words are made from their places.
+_BAND, _KEPT_BITS, _ROW_BITS = 64, 1 << 26, 1 << 30
 
 
 class _Table:
     """The columns of an edit table within a band, as bits of whole numbers (Myers, Hyyro).
 
     Row i of column j is bit i - j + up; rows above 0 stand for what would lead away from the start. A column
-    is kept as its rises and falls from row to row; ``step`` tells of a column where it equals its diagonal
-    neighbour and where it is one more than its left one, which is all that the way back asks for.
+    is kept as its rises and falls from row to row; ``kept`` tells of a column where it equals its diagonal
+    neighbour and where it is one more than its left one, which is all that the way back asks for. Columns
+    after ``first`` are kept; ``waiting`` are pieces before them, with the states they begin with.
     """
 
     def __init__(self, ref: list, hyp: list, most: int):
@@ -87,16 +89,28 @@ class _Table:
         self.full = (1 << self.width) - 1
         places: dict = {}
         for i, word in enumerate(ref):
-            places.setdefault(word, bytearray(self.n // 8 + 1))[i >> 3] |= 1 << (i & 7)
-        self.rows = {w: int.from_bytes(x, "little") for w, x in places.items()}
+            places.setdefault(word, []).append(i)
+        whole = sorted(places, key=lambda w: -len(places[w]))[: _ROW_BITS // max(1, self.n)]
+        self.rows = places | {w: self.row(places[w]) for w in whole}
+        self.first, self.kept, self.waiting = self.m, [], []
         self.start = (self.full & ~((1 << (self.up + 1)) - 1), (1 << (self.up + 1)) - 1)
 
+    @staticmethod
+    def row(places: list[int]) -> int:
+        """The bits at rising places."""
+        low = places[0] >> 3
+        bits = bytearray((places[-1] >> 3) - low + 1)
+        for i in places:
+            bits[(i >> 3) - low] |= 1 << (i & 7)
+        return int.from_bytes(bits, "little") << 8 * low
+
     def columns(self, j: int, to: int, state: tuple[int, int], out: list | None) -> tuple[tuple[int, int], int]:
         """Go from column j to another; the state there, and by how much the band's upper edge has risen."""
         (rise, fall), full, top, risen = state, self.full, 1 << (self.width - 1), 0
         for j in range(j + 1, to + 1):
             shift = j - self.up - 1
             rows = self.rows.get(self.hyp[j - 1], 0)
+            rows = rows if isinstance(rows, int) else self.row(rows)
             eq = (rows >> shift if shift >= 0 else rows << -shift) & full
             rise, fall = rise >> 1 | top, fall >> 1
             same = ((((eq & rise) + rise) ^ rise) | eq | fall) & full
@@ -108,19 +122,33 @@ class _Table:
             rise, fall = left | (full & ~(same | right)), same & right
         return (rise, fall), risen
 
-    def solve(self) -> tuple[int, list[tuple[int, int]], int, list]:
-        """The distance (if it is within the band), states at the starts of blocks, the blocks' length, and
-        the last block's columns."""
-        block = max(1, min(self.m, _KEPT_BITS // self.width))
-        states, state, score, out = [], self.start, self.up, []
-        for j in range(0, self.m, block):
-            states.append(state)
-            out = []
-            last = j + block >= self.m
-            state, risen = self.columns(j, min(j + block, self.m), state, out if last else None)
-            score += risen
+    def walk(self, a: int, b: int, state: tuple[int, int]) -> tuple[tuple[int, int], int]:
+        """Go from column a to b; as many columns are kept as may be, and before them states to make the others
+        from: as many as columns may be kept, so what is held grows with the depth of pieces within pieces."""
+        few, risen = max(1, _KEPT_BITS // self.width), 0
+        step = few if b - a <= few else max(few, -(-(b - a) // max(2, few)))
+        for j in range(a, b, step):
+            to = min(j + step, b)
+            keep = to == b and to - j <= few
+            if keep:
+                self.first, self.kept = j, []
+            else:
+                self.waiting.append((j, to, state))
+            state, more = self.columns(j, to, state, self.kept if keep else None)
+            risen += more
+        return state, risen
+
+    def solve(self) -> int:
+        """The distance, if it is within the band."""
+        state, risen = self.walk(0, self.m, self.start)
         held = ((1 << (self.n - self.m + self.up + 1)) - 1) & ~1
-        return score + (state[0] & held).bit_count() - (state[1] & held).bit_count(), states, block, out
+        return self.up + risen + (state[0] & held).bit_count() - (state[1] & held).bit_count()
+
+    def column(self, j: int) -> tuple[int, int]:
+        """What is kept of a column; they are asked for from the last to the first."""
+        while j <= self.first:
+            self.walk(*self.waiting.pop())
+        return self.kept[j - self.first - 1]
 
 
 def _edits(ref: list[str], hyp: list[str]) -> tuple[int, int, int, int]:
@@ -130,7 +158,7 @@ def _edits(ref: list[str], hyp: list[str]) -> tuple[int, int, int, int]:
     The band is widened until the distance fits it (Ukkonen), from what the words' counts make certain, so
     alike lists cost their length times their distance. The cells on the way back are on ways of least
     cost, all of which lie in the band, so it is the whole table's. Columns that are too many to keep are
-    made again from the nearest state.
+    made again from the nearest state before them.
     """
     n, m = len(ref), len(hyp)
     if not n or not m:
@@ -139,21 +167,16 @@ def _edits(ref: list[str], hyp: list[str]) -> tuple[int, int, int, int]:
     most = max(_BAND, abs(n - m), max(n, m) - shared)
     while True:
         table = _Table(ref, hyp, min(most, n + m))
-        distance, states, block, kept = table.solve()
+        distance = table.solve()
         if distance <= most:
             break
         most *= 2
     i, j, substituted = n, m, 0
-    first = (len(states) - 1) * block
     while i and j:
-        if j <= first:
-            first -= block
-            kept = []
-            table.columns(first, first + block, states[first // block], kept)
         if ref[i - 1] == hyp[j - 1]:
             i, j = i - 1, j - 1
             continue
-        (same, right), at = kept[j - first - 1], i - j + table.up
+        (same, right), at = table.column(j), i - j + table.up
         if not same >> at & 1:
             i, j, substituted = i - 1, j - 1, substituted + 1
         elif right >> at & 1:
@@ -190,12 +213,11 @@ def _distance(a: str, b: str) -> int:
 
 @F.pandas_udf(T.StructType([T.StructField(c, T.LongType()) for c in "dsix"]))
 def word_edits(refs: pd.Series, hyps: pd.Series) -> pd.DataFrame:
-    """Edit distance of two token arrays, and its substitutions, insertions and deletions; null for a pair
-    with more than MAX_TOKENS on a side."""
+    """Edit distance of two token arrays of any length, and its substitutions, insertions and deletions."""
     found: list = [None] * len(refs)
     full = []
     for k, (r, h) in enumerate(zip(refs, hyps, strict=True)):
-        if max(len(r), len(h)) > MAX_TOKENS:
+        if r is None or h is None:
             found[k] = (None,) * 4
         elif len(r) and len(h):
             full.append(k)
@@ -219,14 +241,16 @@ def character_edits(refs: pd.Series, hyps: pd.Series) -> pd.Series:
     return pd.Series(found, dtype="Int64")
 
 
-def word_errors(ref: Column, hyp: Column) -> Column:
+def word_errors(ref: Column, hyp: Column, most: int | None = MAX_TOKENS) -> Column:
     """wer, substitutions, insertions, deletions, n_ref, n_hyp of two texts that are normalized.
 
-    Both empty: 0. Empty reference: infinite, all words inserted. Empty hypothesis: 1, all deleted.
+    Both empty: 0. Empty reference: infinite, all words inserted. Empty hypothesis: 1, all deleted. A pair
+    with more words than ``most`` on a side has no counts, as in the reference; None: all pairs have.
     """
     both = F.struct(tokens(ref).alias("r"), tokens(hyp).alias("h"))
-    edits = word_edits(both["r"], both["h"])
     n_ref, n_hyp = F.size(both["r"]).cast("long"), F.size(both["h"]).cast("long")
+    asked = lambda side: both[side] if most is None else F.when(F.greatest(n_ref, n_hyp) <= most, both[side])
+    edits = word_edits(asked("r"), asked("h"))
     wer = F.when((n_ref == 0) & (n_hyp == 0), 0.0).when(n_ref == 0, float("inf")).otherwise(edits["d"] / n_ref)
     return F.struct(wer.alias("wer"), edits["s"].alias("substitutions"), edits["i"].alias("insertions"), edits["x"].alias("deletions"), n_ref.alias("n_ref"), n_hyp.alias("n_hyp"))
 

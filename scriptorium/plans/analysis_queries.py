@@ -396,7 +396,7 @@ _PAIRS = f"pairs AS (SELECT * FROM (SELECT doc_id, lang, ref, lead(ref) OVER (PA
 
 @query("wer_pairs")
 def wer_pairs(spark, sf_dir):
-    return _pairs(spark, sf_dir).select("doc_id", X.word_errors(F.col("ref"), F.col("hyp")).alias("e")).select("doc_id", "e.*")
+    return _pairs(spark, sf_dir).select("doc_id", X.word_errors(F.col("ref"), F.col("hyp"), most=None).alias("e")).select("doc_id", "e.*")
 
 
 @query("wer_counts", f"WITH {_PAIRS} SELECT doc_id, len(string_split(ref, ' ')) AS n_ref, len(string_split(hyp, ' ')) AS n_hyp FROM pairs WHERE ref <> '' AND hyp <> ''")
@@ -439,12 +439,12 @@ def wer_names(spark, sf_dir):
         (F.col("p_partkey") % 5 + 1).cast("int"),
     )
     rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.lower(F.concat_ws(" ", name, brand, kind)).alias("ref"), F.lower(said).alias("hyp"))
-    return rows.select("id", X.word_errors(F.col("ref"), F.col("hyp")).alias("e")).select("id", "e.*")
+    return rows.select("id", X.word_errors(F.col("ref"), F.col("hyp"), most=None).alias("e")).select("id", "e.*")
 
 
 @query("wer_averages")
 def wer_averages(spark, sf_dir):
-    rows = _pairs(spark, sf_dir).select("lang", X.word_errors(F.col("ref"), F.col("hyp")).alias("e")).select("lang", "e.*")
+    rows = _pairs(spark, sf_dir).select("lang", X.word_errors(F.col("ref"), F.col("hyp"), most=None).alias("e")).select("lang", "e.*")
     errors = F.col("substitutions") + F.col("insertions") + F.col("deletions")
     return rows.groupBy("lang").agg(F.round(F.avg(F.when(F.col("n_ref") > 0, F.col("wer"))), 6).alias("macro"), F.round(F.try_divide(F.sum(errors), F.sum("n_ref")), 6).alias("micro"))
 

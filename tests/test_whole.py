@@ -172,6 +172,35 @@ def test_pairs_that_are_too_long_have_no_rates(spark, monkeypatch):
     assert (first.wer, first.substitutions) == (0.5, 1) and second.wer is None and second.n_ref == 50_002
 
 
+def test_rates_of_documents_of_any_length(spark, tmp_path):
+    """Pairs around and beyond 50,000 words, alike and unlike, have all counts."""
+    words = [f"w{i}" for i in range(50_300)]
+    texts = [(1, "en", words[:49_999]), (2, "en", words), (3, "en", ["new", *words[:40_000], *words[40_100:], "x", "y"]), (4, "fr", words[::-1]), (5, "fr", ["one", *words[:99]])]
+    frame = spark.createDataFrame([(i, lang, " ".join(w)) for i, lang, w in texts], "doc_id long, lang string, text string")
+    S.texts(spark, FOLDER).limit(0).unionByName(frame, allowMissingColumns=True).write.parquet(f"{tmp_path}/documents.parquet")
+    found = {r.doc_id: tuple(r)[1:] for r in catalog.QUERIES["wer_pairs"](spark, str(tmp_path)).collect()}
+    assert found[1] == (301 / 49_999, 0, 301, 0, 49_999, 50_300)
+    assert found[2] == (103 / 50_300, 0, 3, 100, 50_300, 50_203)
+    assert found[4][4:] == (50_300, 100) and found[4][1] + found[4][3] == 50_299 and found[4][2] == 0
+    rates = {r.lang: r.micro for r in catalog.QUERIES["wer_averages"](spark, str(tmp_path)).collect()}
+    assert rates["en"] == round(404 / 100_299, 6)
+
+
+@pytest.mark.parametrize("kept, rows_", [(1 << 26, 0), (8, 0), (8, 200), (500, 90), (3_000, 1 << 30)])
+def test_edits_with_little_memory_by_a_plain_table(kept, rows_, monkeypatch):
+    """Columns made again from pieces within pieces, words' rows made from their places."""
+    monkeypatch.setattr(X, "_BAND", 1)
+    monkeypatch.setattr(X, "_KEPT_BITS", kept)
+    monkeypatch.setattr(X, "_ROW_BITS", rows_)
+    rng = random.Random(kept + rows_)
+    for _ in range(150):
+        letters = rng.choice(["ab", "abcdefgh", "abcdefghijklmnopqrstuvwxyz"])
+        a, b = ([rng.choice(letters) for _ in range(rng.choice([1, 2, 9, 40, 150]))] for _ in "ab")
+        if rng.random() < 0.3:
+            b = [x for x in a if rng.random() < 0.9] or ["q"]
+        assert X._edits(a, b) == plain_edits(a, b)
+
+
 @pytest.mark.parametrize("few, blocks, size, step", [(24, 1 << 13, 1 << 26, 18), (1, 40, 1 << 26, 0), (1, 1 << 13, 9_000, 0), (10_000, 3, 1 << 26, 0)])
 def test_edits_of_many_pairs_at_a_time(few, blocks, size, step, monkeypatch):
     """Batches give what single pairs give; a batch's pairs end at different steps and have blocks of their own."""
